@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.session import ship_package
+
 #: Rows of an Arrow batch that carries texts; batches stay small whatever the texts' length.
 TEXT_BATCH_BYTES = 4 << 20
 
@@ -72,6 +74,7 @@ def map_arrow(df: DataFrame, schema: str, f: Callable[[Iterator[pa.RecordBatch]]
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    ship_package(df.sparkSession)
     kinds = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):

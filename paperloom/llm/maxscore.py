@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from paperloom.session import ship_package
+
 from .common import Workspace, map_arrow, safe_columns
 
 
@@ -81,6 +83,7 @@ def _packed(vectors: DataFrame, name: str) -> DataFrame:
         group = batch[name][0].as_py()
         return pa.table({name: pa.array([group], pa.int64()), "ids": pa.array([np.asarray(batch["id"]).astype("<i8").tobytes()]), "width": pa.array([width], pa.int32()), "blob": pa.array([m.tobytes()])})
 
+    ship_package(vectors.sparkSession)
     return vectors.groupBy(name).applyInArrow(pack, f"{name} long, ids binary, width int, blob binary")
 
 

@@ -6,14 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import gam, langid
 from .binary_codes import near_vectors
 from .credential_links import link_credentials
 from .maxscore import top_k
 from .ngram_join import ngram_jaccard_classes
 from .packing import pack_documents
+from .pii import pseudonymise
 from .piece_codec import MARK, decode_pieces, encode_pieces
 from .token_counts import token_counts
 
+#: The key of the registered queries; set one's own for real data.
+PII_KEY = "paperloom-example-key"
+
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -31,6 +36,13 @@ def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_read(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
+def op4_byte_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = langid.fit(docs, F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 0)
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    return langid.identify(docs, model).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each text's number of ids, their checksum, and whether decoding gives the text back."""
     model = public_tokenizers.path("piece_bpe_32k.model")
@@ -39,6 +51,10 @@ def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"), same.alias("round_trip"))
 
 
+def op6_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(_read(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_read(spark, sf_dir, "embeddings"), F.pmod(F.col("id"), F.lit(20)) == 0, scale=64, k=20)
 
@@ -56,8 +72,15 @@ def op9_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
 
 
+def op10_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
+    scored = gam.score_quality(docs, gam.fit(docs, labels, ~held))
+    return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict:
-    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
+    return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
