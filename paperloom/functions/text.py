@@ -55,11 +55,15 @@ def is_low_quality(c: Column) -> Column:
     return short | is_blank(c) | (alnum_ratio(c) < 0.5) | (garbage_ratio(c) > 0.05) | (single_char_share(c) > 0.3)
 
 
+def _starts(name: str):
+    return lambda w: w.startswith(name)
+
+
 def confidence(c: Column, warnings: Column | None = None) -> Column:
     base = alnum_ratio(c) * 100
     if warnings is not None:
         for name, cost in (("LOW_RESOLUTION", 10), ("DARK_IMAGE", 5)):
-            base = base - cost * F.size(F.filter(warnings, lambda w, name=name: w.startswith(name)))
+            base = base - cost * F.size(F.filter(warnings, _starts(name)))
     return F.when(is_blank(c), 10.0).otherwise(F.greatest(F.lit(10.0), F.least(F.lit(98.0), base)))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
+from paperloom.operators.sentences import once
 
 _TAIL = r"\s*[:\-]?\s*([\w\d\s,./\-]{4,50}?)(?=[\n\r,;.]|$)"
 _MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
@@ -30,10 +31,9 @@ WRITTEN_DATE = (
     r"(?i)(?:the\s+)?(?:first|second|third|fourth|fifth|sixth|seventh|eighth|ninth|tenth|eleventh|twelfth|thirteenth|fourteenth|fifteenth|sixteenth|seventeenth|eighteenth|nineteenth|twentieth|"
     r"twenty[-\s]?(?:first|second|third|fourth|fifth|sixth|seventh|eighth|ninth)|thirtieth|thirty[-\s]?first)\s+day\s+of\s+(?:" + _MONTHS + r")(?:,?\s+(?:two thousand|\d{4})[\w\s]*)?"
 )
-ORGANIZATION = (
-    r"(?i)([A-Z][A-Za-z0-9\s&.,'-]{2,50}(?:Ltd\.?|LLC|Inc\.?|Corp\.?|Co\.?|Limited|Pvt\.?|PLC|LLP|Technologies|Solutions|Services|Systems|Group|Holdings|Enterprises|Associates|Partners))"
-    r"|(?:(?:company|client|vendor|employer|employee|contractor|lessor|lessee|licensor|licensee|buyer|seller|supplier|between)\s*[:\-]?\s*([A-Z][A-Za-z0-9\s&.,'-]{2,40})(?=[,\n\r;.]|\s+(?:and|or|herein|with|as)))"
-)
+_SUFFIXED = r"(?i)[A-Z][A-Za-z0-9\s&.,'-]{2,50}(?:Ltd\.?|LLC|Inc\.?|Corp\.?|Co\.?|Limited|Pvt\.?|PLC|LLP|Technologies|Solutions|Services|Systems|Group|Holdings|Enterprises|Associates|Partners)"
+_ROLE = r"(?i)(?:company|client|vendor|employer|employee|contractor|lessor|lessee|licensor|licensee|buyer|seller|supplier|between)\s*[:\-]?\s*"
+ORGANIZATION = rf"(?:{_SUFFIXED})|(?:{_ROLE}[A-Z][A-Za-z0-9\s&.,'-]{{2,40}}(?=[,\n\r;.]|\s+(?:and|or|herein|with|as)))"
 REFERENCE = r"(?i)(?:contract|agreement|invoice|order|po|ref|reference|case|doc(?:ument)?|ticket|file)\s*(?:no\.?|number|#|id)\s*[:\-]?\s*([\w\-./]{3,30})"
 DATE = (
     r"(?i)(?:(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)\s+\d{1,2},?\s+\d{4})"
@@ -92,26 +92,56 @@ def context(text: Column, at: Column, reach: int = 80) -> Column:
     return F.concat(F.lit("..."), T.trim(F.regexp_replace(part, r"[\n\r]+", " ")), F.lit("..."))
 
 
-def matches(text: Column, pattern: str, group: int) -> Column:
-    """Structs (pos, value) of all matches, in order."""
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
+def _value(m: Column, pattern: str, group: int) -> Column:
+    """A group of a match, from the matched text alone (its end stands for what the pattern looks ahead to)."""
     if pattern == ORGANIZATION:
-        other = F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
-        value = F.transform(F.arrays_zip(value.alias("a"), other.alias("b")), lambda z: F.when(z["a"] != "", z["a"]).otherwise(z["b"]))
-    zipped = F.arrays_zip(F.transform(F.split(text, pattern, -1), F.length).alias("gap"), F.transform(whole, F.length).alias("n"), value.alias("v"))
+        return F.when(m.rlike(f"^(?:{_SUFFIXED})$"), m).otherwise(F.regexp_replace(m, f"^(?:{_ROLE})", ""))
+    return F.regexp_extract(m, pattern, group) if group else m
+
+
+def matches(text: Column, pattern: str, group: int, whole: Column | None = None) -> Column:
+    """Structs (pos, value) of all matches, in order; whole: the matched texts, if they are known already.
+
+    The text is searched again, for the pieces between the matches, only where there is a match.
+    """
+    if whole is None:
+        whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
+    zipped = F.arrays_zip(gaps.alias("gap"), whole.alias("m"))
     zero = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<pos:int,value:string>>").alias("out"))
     folded = F.aggregate(
-        F.filter(zipped, lambda z: z["n"].isNotNull()),
+        F.filter(zipped, lambda z: z["m"].isNotNull()),
         zero,
-        lambda acc, z: F.struct((acc["end"] + z["gap"] + z["n"]).alias("end"), F.concat(acc["out"], F.array(F.struct((acc["end"] + z["gap"]).alias("pos"), T.trim(z["v"]).alias("value")))).alias("out")),
+        lambda acc, z: F.struct((acc["end"] + z["gap"] + F.length(z["m"])).alias("end"), F.concat(acc["out"], F.array(F.struct((acc["end"] + z["gap"]).alias("pos"), T.trim(_value(z["m"], pattern, group)).alias("value")))).alias("out")),
     )
-    return folded["out"]
+    return F.when(F.size(whole) > 0, folded["out"]).otherwise(F.array().cast("array<struct<pos:int,value:string>>"))
 
 
 def _first(found: Column, most: int, key) -> Column:
     """The first ``most`` structs of distinct keys."""
-    return F.aggregate(found, F.slice(found, 1, 0), lambda acc, x: F.when((F.size(acc) >= most) | F.exists(acc, lambda a: key(a) == key(x)), acc).otherwise(F.concat(acc, F.array(x))))
+    return F.aggregate(found, F.array().cast("array<struct<pos:int,value:string>>"), lambda acc, x: F.when((F.size(acc) >= most) | F.exists(acc, lambda a: key(a) == key(x)), acc).otherwise(F.concat(acc, F.array(x))))
+
+
+def _valid_below(longest: int):
+    return lambda x: is_valid(x["value"], longest)
+
+
+def _plain(x: Column) -> Column:
+    return x["value"]
+
+
+def _lower(x: Column) -> Column:
+    return F.lower(x["value"])
+
+
+def _swap(d: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Replaces columns, each evaluated once a row."""
+    names = {f"new{k}": c for k, c in columns.items()}
+    return once(d, **names).drop(*columns).withColumnsRenamed({f"new{k}": k for k in columns})
+
+
+def _row(place: int, name: str, sure: float):
+    return lambda x: F.struct(F.lit(place).alias("ext_ord"), x["pos"].alias("match_pos"), F.lit(name).alias("type"), x["value"].alias("value"), F.lit(sure).alias("confidence"))
 
 
 def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", types: list[str] | None = None) -> DataFrame:
@@ -123,28 +153,31 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", typ
     shown = types or names
     run = names if "DATE" in shown else shown
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    made: list[str] = []
+    d = once(d, **{f"m_{name}": F.regexp_extract_all(F.col("text"), F.lit(pattern), F.lit(0)) for name, pattern, *_ in EXTRACTORS if name in run})
+    found: dict[str, Column] = {}
     for name, pattern, group, longest, _ in EXTRACTORS:
         if name not in run:
             continue
-        found = matches(F.col("text"), pattern, group)
+        out = matches(F.col("text"), pattern, group, F.col(f"m_{name}"))
         if longest:
-            found = F.filter(found, lambda x, n=longest: is_valid(x["value"], n))
+            out = F.filter(out, _valid_below(longest))
         if name == "TOTAL_AMOUNT":
-            found = F.filter(found, lambda x: F.length(F.regexp_replace(x["value"], r"\D", "")) >= 2)
+            out = F.filter(out, lambda x: F.length(F.regexp_replace(x["value"], r"\D", "")) >= 2)
         if name in ("SIGNATORY", "ORGANIZATION"):
-            found = F.filter(found, lambda x: ~is_fragment(x["value"]))
+            out = F.filter(out, lambda x: ~is_fragment(x["value"]))
         if name == "SIGNATORY_INCOMPLETE":
-            found = F.transform(found, lambda x: F.struct(x["pos"].alias("pos"), F.concat(x["value"], F.lit(" [Name not specified]")).alias("value")))
-        d = d.withColumn(f"_{name}", found)
-        if name == "DATE":
-            before = F.flatten(F.array(*[F.transform(f"_{m}", lambda x: x["value"]) for m in made]))
-            d = d.withColumn("_DATE", F.filter("_DATE", lambda x: ~F.array_contains(before, x["value"])))
-        if name in CAPS:
-            key = (lambda x: F.lower(x["value"])) if name == "ORGANIZATION" else (lambda x: x["value"])
-            d = d.withColumn(f"_{name}", _first(F.col(f"_{name}"), CAPS[name], key))
-        made.append(name)
-    rows = F.flatten(F.array(*[F.transform(f"_{n}", lambda x, n=n, c=c: F.struct(F.lit(names.index(n)).alias("ext_ord"), x["pos"].alias("match_pos"), F.lit(n).alias("type"), x["value"].alias("value"), F.lit(c).alias("confidence"))) for n, _, _, _, c in EXTRACTORS if n in shown]))
+            out = F.transform(out, lambda x: F.struct(x["pos"].alias("pos"), F.concat(x["value"], F.lit(" [Name not specified]")).alias("value")))
+        found[f"_{name}"] = out
+    d = once(d, **found)
+    d = d.select("doc_id", "text", *found)
+    caps = {f"_{n}": _first(F.col(f"_{n}"), CAPS[n], _lower if n == "ORGANIZATION" else _plain) for n in run if n in CAPS and n != "DATE"}
+    if caps:
+        d = _swap(d, caps)
+    if "DATE" in run:
+        before = F.flatten(F.array(*[F.transform(f"_{m}", _plain) for m in run[: run.index("DATE")]]))
+        d = once(d, before=before)
+        d = _swap(d, {"_DATE": _first(F.filter("_DATE", lambda x: ~F.array_contains("before", x["value"])), CAPS["DATE"], _plain)})
+    rows = F.flatten(F.array(*[F.transform(f"_{n}", _row(names.index(n), n, c)) for n, _, _, _, c in EXTRACTORS if n in shown]))
     out = d.select("doc_id", "text", F.explode(rows).alias("e")).select("doc_id", "text", "e.*")
     return out.select("doc_id", "ext_ord", "match_pos", "type", "value", context(F.col("text"), F.col("match_pos")).alias("context"), "confidence")
 
