@@ -123,52 +123,58 @@ def _heads(docs: DataFrame, n: int, bits: int, level, num: int, den: int) -> Dat
 
 
 def _can(a: str, b: str, num: int, den: int):
-    """Size and position bounds for rows that share a shingle; ``at`` is size << 32 | position."""
+    """Size and position bounds for rows that share a shingle; ``at`` is size << 32 | position.
+
+    No common shingle of a pair stands before its first one, so a pair that links passes at its first
+    common shingle; it may fail at later ones.
+    """
     na, nb = F.shiftright(F.col(a), 32), F.shiftright(F.col(b), 32)
     pa, pb = F.col(a).bitwiseAND(0xFFFFFFFF), F.col(b).bitwiseAND(0xFFFFFFFF)
-    most = F.least(na - pa, nb - pb) + F.least(pa, pb)
-    return (den * F.least(na, nb) >= num * F.greatest(na, nb)) & ((num + den) * most >= num * (na + nb))
+    return (den * F.least(na, nb) >= num * F.greatest(na, nb)) & ((num + den) * F.least(na - pa, nb - pb) >= num * (na + nb))
+
 
+def _marks(node: np.ndarray, doc_id: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two places in the filter for each (node, doc_id)."""
+    h = mix(mix(node.astype(np.uint64)) ^ doc_id.astype(np.uint64))
+    size = np.uint64((1 << BLOOM_BITS) - 1)
+    return (h & size).astype(np.int64), ((h >> np.uint64(32)) & size).astype(np.int64)
 
-def _bloom(nodes: DataFrame):
-    """Bits of the nodes, of fixed size; a false hit only costs work."""
-    size = 1 << BLOOM_BITS
+
+def _bloom(keys: DataFrame):
+    """Bits of the (node, doc_id) rows, of fixed size; a false hit only costs work."""
 
     def run(batches):
-        bits = np.zeros(size // 8, np.uint8)
+        bits = np.zeros(1 << (BLOOM_BITS - 3), np.uint8)
         for batch in batches:
-            h = mix(np.asarray(batch.column(0)).astype(np.uint64))
-            for k in (h & np.uint64(size - 1), (h >> np.uint64(32)) & np.uint64(size - 1)):
-                np.bitwise_or.at(bits, (k >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (k & np.uint64(7)).astype(np.uint8)))
+            for k in _marks(np.asarray(batch.column(0)), np.asarray(batch.column(1))):
+                np.bitwise_or.at(bits, k >> 3, np.left_shift(np.uint8(1), (k & 7).astype(np.uint8)))
         for b in range(0, len(bits), BLOCK):
             if (x := bits[b : b + BLOCK]).any():
                 yield {"block": [b // BLOCK], "blob": [x.tobytes()]}
 
-    out = np.zeros(size // 8, np.uint8)
-    for block, blob in reduce_blobs(map_arrow(nodes, "block int, blob binary", run), "uint8", np.bitwise_or).toLocalIterator():
+    out = np.zeros(1 << (BLOOM_BITS - 3), np.uint8)
+    for block, blob in reduce_blobs(map_arrow(keys, "block int, blob binary", run), "uint8", np.bitwise_or).toLocalIterator():
         out[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(blob, np.uint8)
-    return nodes.sparkSession.sparkContext.broadcast(out)
+    return keys.sparkSession.sparkContext.broadcast(out)
 
 
 def _fragments(docs: DataFrame, n: int, bits: int, level, cuts: np.ndarray, wanted) -> DataFrame:
-    """(node, fragment, n, part): the sets of the wanted nodes, cut at the pivots."""
+    """(node, fragment, n, part): the sets of the wanted documents, cut at the pivots."""
 
     def run(batches):
-        bloom, size = wanted.value, np.uint64((1 << BLOOM_BITS) - 1)
-        for _, sets in _sets(batches, n):
-            sets = [s for s in sets if len(s)]
-            if not sets:
-                continue
-            nodes = [_node(s) for s in sets]
-            h = mix(np.array(nodes, np.uint64))
-            hit = np.ones(len(sets), bool)
-            for k in (h & size, (h >> np.uint64(32)) & size):
-                hit &= (bloom[(k >> np.uint64(3)).astype(np.int64)] >> (k & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        bloom = wanted.value
+        for batch, sets in _sets(batches, n):
+            ids = np.asarray(batch.column(0).fill_null(0))
+            some = np.array([i for i, s in enumerate(sets) if len(s)], np.int64)
+            nodes = np.array([_node(sets[i]) for i in some], np.int64)
+            hit = np.ones(len(some), bool)
+            for k in _marks(nodes, ids[some]):
+                hit &= (bloom[k >> 3] >> (k & 7).astype(np.uint8)) & 1 == 1
             rows = []
-            for i in np.flatnonzero(hit):
+            for i, node in zip(some[hit], nodes[hit]):
                 keys = _keys(sets[i], level.value, bits)
                 ends = [0, *np.searchsorted(keys, cuts).tolist(), len(keys)]
-                rows += [(nodes[i], f, len(keys), keys[a:b].tobytes()) for f, (a, b) in enumerate(zip(ends, ends[1:])) if b > a]
+                rows += [(node, f, len(keys), keys[a:b].tobytes()) for f, (a, b) in enumerate(zip(ends, ends[1:])) if b > a]
             if rows:
                 node, frag, m, part = zip(*rows)
                 yield {"node": node, "fragment": frag, "n": m, "part": part}
@@ -176,22 +182,27 @@ def _fragments(docs: DataFrame, n: int, bits: int, level, cuts: np.ndarray, want
     return map_arrow(docs.select("doc_id", "text"), "node long, fragment int, n int, part binary", run)
 
 
-def _verify(docs, pairs, n, bits, level, cuts, num, den) -> DataFrame:
-    """The pairs (a, b) that link: overlaps are counted fragment by fragment and summed per pair."""
-    wanted = _bloom(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    parts = _fragments(docs, n, bits, level, cuts, wanted).join(nodes, "node", "left_semi").dropDuplicates(["node", "fragment"])
-    right = pairs.join(parts.select(F.col("node").alias("b"), "fragment", F.col("n").alias("nb"), F.col("part").alias("pb")), "b")
-    both = right.join(parts.select(F.col("node").alias("a"), "fragment", F.col("n").alias("na"), F.col("part").alias("pa")), ["a", "fragment"])
+def _verify(docs, owners, pairs, n, bits, level, cuts, num, den) -> DataFrame:
+    """The pairs (a, b) that link: overlaps are counted fragment by fragment and summed per pair.
+
+    owners: (node, doc_id), the document that stands for each node.
+    """
+
+    def parts(side: str) -> DataFrame:
+        wanted = _bloom(owners.join(pairs.select(F.col(side).alias("node")).distinct(), "node").select("node", "doc_id"))
+        return _fragments(docs, n, bits, level, cuts, wanted).select(F.col("node").alias(side), "fragment", F.col("n").alias(f"n{side}"), F.col("part").alias(f"p{side}"))
+
+    both = pairs.join(parts("b"), "b").join(parts("a"), ["a", "fragment"])
 
     def overlap(batches):
         for batch in batches:
-            x = [np.frombuffer(p.as_buffer(), np.uint64) for p in batch.column(4)]
-            y = [np.frombuffer(p.as_buffer(), np.uint64) for p in batch.column(5)]
-            yield {"a": batch.column(0), "b": batch.column(1), "na": batch.column(2), "nb": batch.column(3), "k": [len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(x, y)]}
+            x = [np.frombuffer(p.as_buffer(), np.uint64) for p in batch.column(5)]
+            y = [np.frombuffer(p.as_buffer(), np.uint64) for p in batch.column(6)]
+            yield {c: batch.column(i) for i, c in enumerate(("a", "b", "na", "nb", "fragment"))} | {"k": [len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(x, y)]}
 
-    counted = map_arrow(both.select("a", "b", "na", "nb", "pa", "pb"), "a long, b long, na int, nb int, k long", overlap)
-    total = counted.groupBy("a", "b", "na", "nb").agg(F.sum("k").alias("k"))
+    counted = map_arrow(both.select("a", "b", "na", "nb", "fragment", "pa", "pb"), "a long, b long, na int, nb int, fragment int, k long", overlap)
+    # Repeated rows bring a fragment twice; it counts once.
+    total = counted.groupBy("a", "b", "na", "nb", "fragment").agg(F.max("k").alias("k")).groupBy("a", "b", "na", "nb").agg(F.sum("k").alias("k"))
     return total.where(den * F.col("k") >= num * (F.col("na").cast("long") + F.col("nb") - F.col("k"))).select("a", "b")
 
 
@@ -212,24 +223,26 @@ def ngram_jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
 
     tried = lists.where("lead <> node").where(_can("lead_at", "at", num, den)).groupBy("node", "lead").agg(F.count("*").alias("k"))
     tried = tried.groupBy("node").agg(F.max_by("lead", F.struct("k", "lead")).alias("lead"))
-    tried = ws.table(tried.select(F.greatest("node", "lead").alias("a"), F.least("node", "lead").alias("b")).distinct(), "tried")
-    links = ws.table(_verify(docs, tried, n, sketch_bits, level, cuts, num, den), "links")
+    tried = ws.table(tried.select(F.col("lead").alias("a"), F.col("node").alias("b")), "tried")
+    owners = ws.table(survey.where("node IS NOT NULL").groupBy("node").agg(F.coalesce(F.min("doc_id"), F.lit(0)).alias("doc_id")), "owners")
+    links = ws.table(_verify(docs, owners, tried, n, sketch_bits, level, cuts, num, den), "links")
     found = components(links).checkpoint()
 
     # What is left: pairs across components, listed by component first so that members of one never meet.
     known = lists.select("gram", "node", "at").join(found, "node", "left").withColumn("label", F.coalesce("label", "node")).drop("lead")
     several = known.groupBy("gram").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("gram")
     known = ws.table(known.join(several, "gram", "left_semi"), "known")
-    meets = known.groupBy("gram", "label").agg(F.min(F.shiftright("at", 32)).alias("lo"), F.max(F.shiftright("at", 32)).alias("hi"))
-    x, y = (meets.select("gram", *[F.col(c).alias(c + s) for c in ("label", "lo", "hi")]) for s in "xy")
-    meets = x.join(y, "gram").where((F.col("labelx") < F.col("labely")) & (den * F.col("hix") >= num * F.col("loy")) & (den * F.col("hiy") >= num * F.col("lox"))).select("gram", "labelx", "labely")
+    meets = known.groupBy("gram", "label").agg(F.min(F.shiftright("at", 32)).alias("lo"), F.max(F.shiftright("at", 32)).alias("hi"), F.max(F.shiftright("at", 32) - F.col("at").bitwiseAND(0xFFFFFFFF)).alias("left"))
+    x, y = (meets.select("gram", *[F.col(c).alias(c + s) for c in ("label", "lo", "hi", "left")]) for s in "xy")
+    meets = x.join(y, "gram").where((F.col("labelx") < F.col("labely")) & (den * F.col("hix") >= num * F.col("loy")) & (den * F.col("hiy") >= num * F.col("lox")) & ((num + den) * F.least("leftx", "lefty") >= num * (F.col("lox") + F.col("loy")))).select("gram", "labelx", "labely")
     left = known.select("gram", F.col("label").alias("labelx"), F.col("node").alias("b"), F.col("at").alias("at_b"))
     right = known.select("gram", F.col("label").alias("labely"), F.col("node").alias("a"), F.col("at").alias("at_a"))
     rest = meets.join(left, ["gram", "labelx"]).join(right, ["gram", "labely"]).where(_can("at_a", "at_b", num, den))
-    rest = rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    rest = rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    rest = rest.join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
     rest = ws.table(rest, "rest")
     if not rest.isEmpty():
-        more = ws.table(_verify(docs, rest, n, sketch_bits, level, cuts, num, den), "more")
+        more = ws.table(_verify(docs, owners, rest, n, sketch_bits, level, cuts, num, den), "more")
         if not more.isEmpty():
             found = components(links.union(more))
 
