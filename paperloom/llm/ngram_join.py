@@ -51,13 +51,13 @@ def _survey(docs: DataFrame, n: int, bits: int) -> DataFrame:
     """A row per document (block is null), and each task's counts per sketch slot, in blocks."""
 
     def run(batches):
-        count = np.zeros(1 << bits, np.uint16)
+        count = np.zeros(1 << bits, np.uint8)
         held, size = [], 0
 
         def pour():
             u, c = np.unique(np.concatenate(held) >> np.uint64(64 - bits), return_counts=True)
             u = u.astype(np.int64)
-            count[u] = np.minimum(count[u].astype(np.int64) + c, 65535)
+            count[u] = np.minimum(count[u].astype(np.int64) + c, 255)
 
         for batch, sets in _sets(batches, n):
             k = len(sets)
@@ -78,10 +78,10 @@ def _survey(docs: DataFrame, n: int, bits: int) -> DataFrame:
 
 def _order(survey: DataFrame, bits: int, fragments: int) -> tuple[np.ndarray, np.ndarray]:
     """The class of each sketch slot (0: rare), and the pivots that cut the order into fragments."""
-    add = lambda x, y: np.minimum(x.astype(np.uint32) + y, 65535).astype(np.uint16)
-    count = np.zeros(1 << bits, np.uint16)
-    for block, blob in reduce_blobs(survey.where("block IS NOT NULL"), "uint16", add).toLocalIterator():
-        count[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(blob, np.uint16)
+    add = lambda x, y: x.astype(np.uint32) + y
+    count = np.zeros(1 << bits, np.uint32)
+    for block, blob in reduce_blobs(survey.where("block IS NOT NULL"), "uint8", add).toLocalIterator():
+        count[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(blob, np.uint8 if len(blob) == BLOCK else np.uint32)
     noise = max(1.0, 2 * float(count.mean(dtype=np.float64)))
     level = np.clip(np.ceil(2 * np.log2(np.maximum(count, 1) / noise)), 0, 63).astype(np.uint8)
     mass = np.bincount(level, weights=count, minlength=64) + 1e-9
@@ -206,7 +206,7 @@ def _verify(docs, owners, pairs, n, bits, level, cuts, num, den) -> DataFrame:
     return total.where(den * F.col("k") >= num * (F.col("na").cast("long") + F.col("nb") - F.col("k"))).select("a", "b")
 
 
-def ngram_jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 4, num: int = 85, den: int = 100, fragments: int = 8, sketch_bits: int = 24) -> DataFrame:
+def ngram_jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 4, num: int = 85, den: int = 100, fragments: int = 8, sketch_bits: int = 23) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row: classes of the links with Jaccard >= num / den."""
     spark = docs.sparkSession
     ws = Workspace(spark)
@@ -234,10 +234,13 @@ def ngram_jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     known = ws.table(known.join(several, "gram", "left_semi"), "known")
     meets = known.groupBy("gram", "label").agg(F.min(F.shiftright("at", 32)).alias("lo"), F.max(F.shiftright("at", 32)).alias("hi"), F.max(F.shiftright("at", 32) - F.col("at").bitwiseAND(0xFFFFFFFF)).alias("left"))
     x, y = (meets.select("gram", *[F.col(c).alias(c + s) for c in ("label", "lo", "hi", "left")]) for s in "xy")
-    meets = x.join(y, "gram").where((F.col("labelx") < F.col("labely")) & (den * F.col("hix") >= num * F.col("loy")) & (den * F.col("hiy") >= num * F.col("lox")) & ((num + den) * F.least("leftx", "lefty") >= num * (F.col("lox") + F.col("loy")))).select("gram", "labelx", "labely")
+    meets = x.join(y, "gram").where((F.col("labelx") < F.col("labely")) & (den * F.col("hix") >= num * F.col("loy")) & (den * F.col("hiy") >= num * F.col("lox")) & ((num + den) * F.least("leftx", "lefty") >= num * (F.col("lox") + F.col("loy")))).select("gram", "labelx", "labely", "loy", "hiy", "lefty")
     left = known.select("gram", F.col("label").alias("labelx"), F.col("node").alias("b"), F.col("at").alias("at_b"))
     right = known.select("gram", F.col("label").alias("labely"), F.col("node").alias("a"), F.col("at").alias("at_a"))
-    rest = meets.join(left, ["gram", "labelx"]).join(right, ["gram", "labely"]).where(_can("at_a", "at_b", num, den))
+    # A member of the one class must be able to link with some member of the other before it is listed.
+    size, ahead = F.shiftright("at_b", 32), F.shiftright("at_b", 32) - F.col("at_b").bitwiseAND(0xFFFFFFFF)
+    able = (den * F.col("hiy") >= num * size) & (den * size >= num * F.col("loy")) & ((num + den) * F.least(ahead, "lefty") >= num * (size + F.col("loy")))
+    rest = meets.join(left, ["gram", "labelx"]).where(able).join(right, ["gram", "labely"]).where(_can("at_a", "at_b", num, den))
     rest = rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     rest = rest.join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
     rest = ws.table(rest, "rest")
