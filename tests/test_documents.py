@@ -75,9 +75,10 @@ def test_files_and_backends(spark, tmp_path):
     q = file_drops(spark, str(tmp_path)).writeStream.format("memory").queryName("drops").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "_cp")).start()
     q.awaitTermination(60)
     got = {r.path.rsplit("/", 1)[1]: (r.mime, r.status) for r in spark.table("drops").collect()}
-    # Spark's file stream passes over empty files; the batch reader keeps them.
+    # Spark's binary reader passes over empty files, in streams and batches; rows with empty content are rejected.
     assert got == {"a.pdf": ("application/pdf", None), "b.bin": (None, 400)}
-    assert {r.path.rsplit("/", 1)[1]: r.status for r in validate(read_files(spark, f"{tmp_path}/*.*")).collect()} == {"a.pdf": None, "b.bin": 400, "c.png": 400}
+    assert {r.path.rsplit("/", 1)[1]: r.status for r in validate(read_files(spark, f"{tmp_path}/*.*")).collect()} == {"a.pdf": None, "b.bin": 400}
+    assert validate(spark.createDataFrame([("3", bytearray(b""))], "doc_id string, content binary")).first().status == 400
     files = spark.createDataFrame([("1", bytearray(b"%PDF")), ("2", bytearray(b"x"))], "doc_id string, content binary")
     assert errors(validate(files)).count() == 1
     assert all(r.error and r.page_no == 0 for r in extract_pages(files).collect())
