@@ -181,18 +181,24 @@ def pieces(path: str) -> Pieces:
     return _PIECES[path]
 
 
-def encode_pieces(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, ids): the ids of each whole text, as little-endian signed 32-bit integers."""
+def encode_pieces(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str = "text", decoded: str | None = None) -> DataFrame:
+    """(doc_id, text, ids): the ids of each whole text, as little-endian signed 32-bit integers.
+
+    decoded: the name of a further column, of the texts decoded from these ids in the same pass.
+    """
 
     def run(batches):
         p = pieces(model)
         for batch in slabs(batches, "text"):
             texts = batch.column(1).to_pylist()
-            ids = p.encode([t or "" for t in texts])
-            yield {"doc_id": batch.column(0), "text": batch.column(1), "ids": [None if t is None else x.astype("<i4").tobytes() for t, x in zip(texts, ids)]}
+            ids = [None if t is None else x for t, x in zip(texts, p.encode([t or "" for t in texts]))]
+            out = {"doc_id": batch.column(0), "text": batch.column(1), "ids": [None if x is None else x.astype("<i4").tobytes() for x in ids]}
+            if decoded:
+                out[decoded] = [None if x is None else p.decode(x.tolist()) for x in ids]
+            yield out
 
     few = safe_columns(docs, doc_id=F.col(id_col), text=F.col(text_col))
-    return map_arrow(few, "doc_id long, text string, ids binary", run)
+    return map_arrow(few, "doc_id long, text string, ids binary" + (f", `{decoded}` string" if decoded else ""), run)
 
 
 def decode_pieces(encoded: DataFrame, model: str, *, ids_col: str = "ids", into: str = "decoded") -> DataFrame:

@@ -13,7 +13,7 @@ from .maxscore import top_k
 from .ngram_join import ngram_jaccard_classes
 from .packing import pack_documents
 from .pii import pseudonymise
-from .piece_codec import MARK, decode_pieces, encode_pieces
+from .piece_codec import MARK, encode_pieces
 from .token_counts import token_counts
 
 #: The key of the registered queries; set one's own for real data.
@@ -45,8 +45,7 @@ def op4_byte_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each text's number of ids, their checksum, and whether decoding gives the text back."""
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    coded = decode_pieces(encode_pieces(_read(spark, sf_dir, "documents"), model), model)
+    coded = encode_pieces(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), decoded="decoded")
     same = F.col("decoded") == F.replace("text", F.lit(MARK), F.lit(" "))
     return coded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"), same.alias("round_trip"))
 

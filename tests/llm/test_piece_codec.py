@@ -59,9 +59,10 @@ def test_words_alone_give_the_same_as_the_whole_text():
 def test_round_trip(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     odd = spark.createDataFrame([(10**6 + i, t) for i, t in enumerate([*TEXTS, None])], "doc_id long, text string")
-    out = decode_pieces(encode_pieces(docs.union(odd), MODEL), MODEL).collect()
+    out = decode_pieces(encode_pieces(docs.union(odd), MODEL, decoded="again"), MODEL).collect()
     assert len(out) == docs.count() + len(TEXTS) + 1
     for r in out:
+        assert r.decoded == r.again
         assert r.decoded == r.text if r.text is not None else r.decoded is None and r.ids is None
 
 
