@@ -4,7 +4,9 @@ The shingles of all documents stand in one global order, rare ones first (a boun
 of the whole corpus gives the order; it may be coarse, since any order gives the same links).  The
 order is cut at pivots into fragments of about equal mass.  Two documents can only link if the heads
 of their sets in that order meet, which gives the candidate pairs.  For these, each fragment counts
-its own partial overlap, and the sum per pair decides.
+its own partial overlap, and the sum per pair decides.  Pairs whose parity bitmaps (which shingle hashes
+fall on a bit an odd number of times) differ in more bits than two linked sets can are left out before: the
+bits that differ are never more than the shingles that do.
 
 Documents with equal sets are one node, so copies never meet pairwise.  A first round tries, for
 each node, one partner: the node with the cleanest head in most of its posting lists.  Its links are joined
@@ -30,6 +32,8 @@ from .shingles import distinct_sets, mix
 
 BLOCK = 1 << 16
 BLOOM_BITS = 27
+#: Words of 64 bits of a set's parity bitmap.
+PARITY = [f"s{k}" for k in range(8)]
 
 
 def _node(s: np.ndarray) -> int:
@@ -37,9 +41,19 @@ def _node(s: np.ndarray) -> int:
     return int(h[0] >> np.uint64(1))
 
 
-def _needed(a, b, num: int, den: int):
-    """The least overlap with den * overlap >= num * union for sets of a and b shingles."""
-    return -((-num * (a + b)) // (num + den))
+def _parity(s: np.ndarray) -> np.ndarray:
+    """The parity bitmap of a set, as 64-bit words."""
+    size = 64 * len(PARITY)
+    odd = np.bincount((mix(s ^ np.uint64(0x3C3C3C3C3C3C3C3C)) % np.uint64(size)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _near(pairs: DataFrame, owners: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that can link by their parity bitmaps."""
+    a, b = (owners.select(*[F.col(c).alias(c + side) for c in ("node", "n", *PARITY)]).withColumnRenamed("node" + side, side) for side in "ab")
+    differ = sum(F.bit_count(F.col(c + "a").bitwiseXOR(F.col(c + "b"))) for c in PARITY)
+    both = F.col("na").cast("long") + F.col("nb")
+    return pairs.join(a, "a").join(b, "b").where((num + den) * (both - differ) >= 2 * num * both).select("a", "b")
 
 
 def _sets(batches, n: int):
@@ -61,7 +75,7 @@ def _survey(docs: DataFrame, n: int, bits: int) -> DataFrame:
 
         for batch, sets in _sets(batches, n):
             k = len(sets)
-            yield {"doc_id": batch.column(0), "n": [len(s) for s in sets], "node": [_node(s) if len(s) else None for s in sets], "block": [None] * k, "blob": [None] * k}
+            yield {"doc_id": batch.column(0), "n": [len(s) for s in sets], "node": [_node(s) if len(s) else None for s in sets], "block": [None] * k, "blob": [None] * k} | dict(zip(PARITY, np.array([_parity(s) for s in sets]).reshape(k, -1).T))
             held += sets
             size += sum(map(len, sets))
             if size > 2_000_000:
@@ -71,9 +85,9 @@ def _survey(docs: DataFrame, n: int, bits: int) -> DataFrame:
             pour()
         for b in range(0, 1 << bits, BLOCK):
             if (x := count[b : b + BLOCK]).any():
-                yield {"doc_id": [None], "n": [None], "node": [None], "block": [b // BLOCK], "blob": [x.tobytes()]}
+                yield {"doc_id": [None], "n": [None], "node": [None], "block": [b // BLOCK], "blob": [x.tobytes()]} | dict.fromkeys(PARITY, [None])
 
-    return map_arrow(docs.select("doc_id", "text"), "doc_id long, n int, node long, block int, blob binary", run)
+    return map_arrow(docs.select("doc_id", "text"), "doc_id long, n int, node long, block int, blob binary, " + ", ".join(f"{c} long" for c in PARITY), run)
 
 
 def _order(survey: DataFrame, bits: int, fragments: int) -> tuple[np.ndarray, np.ndarray]:
@@ -224,8 +238,9 @@ def ngram_jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     tried = lists.where("lead <> node").where(_can("lead_at", "at", num, den)).groupBy("node", "lead").agg(F.count("*").alias("k"))
     tried = tried.groupBy("node").agg(F.max_by("lead", F.struct("k", "lead")).alias("lead"))
     tried = ws.table(tried.select(F.col("lead").alias("a"), F.col("node").alias("b")), "tried")
-    owners = ws.table(survey.where("node IS NOT NULL").groupBy("node").agg(F.coalesce(F.min("doc_id"), F.lit(0)).alias("doc_id")), "owners")
-    links = ws.table(_verify(docs, owners, tried, n, sketch_bits, level, cuts, num, den), "links")
+    owners = ws.table(survey.where("node IS NOT NULL").groupBy("node").agg(F.coalesce(F.min("doc_id"), F.lit(0)).alias("doc_id"), *[F.min(c).alias(c) for c in ("n", *PARITY)]), "owners")
+    near = ws.table(_near(tried, owners, num, den), "near")
+    links = ws.table(_verify(docs, owners, near, n, sketch_bits, level, cuts, num, den), "links")
     found = components(links).checkpoint()
 
     # What is left: pairs across components, listed by component first so that members of one never meet.
@@ -243,7 +258,7 @@ def ngram_jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     rest = meets.join(left, ["gram", "labelx"]).where(able).join(right, ["gram", "labely"]).where(_can("at_a", "at_b", num, den))
     rest = rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     rest = rest.join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
-    rest = ws.table(rest, "rest")
+    rest = ws.table(_near(rest, owners, num, den), "rest")
     if not rest.isEmpty():
         more = ws.table(_verify(docs, owners, rest, n, sketch_bits, level, cuts, num, den), "more")
         if not more.isEmpty():

@@ -1,9 +1,10 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
-from paperloom.llm.ngram_join import ngram_jaccard_classes
+from paperloom.llm.ngram_join import _parity, ngram_jaccard_classes
 
 
 def words(t):
@@ -66,6 +67,16 @@ def test_real_rows(spark, sf):
     assert sorted(map(tuple, ngram_jaccard_classes(df).collect())) == brute(rows)
 
 
+def test_parity_bitmaps_never_differ_in_more_bits_than_sets_in_shingles():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 40, 400, 5000):
+        a, new = rng.integers(0, 2**63, n, dtype=np.uint64), rng.integers(0, 2**63, n // 3, dtype=np.uint64)
+        b = np.concatenate([a[n // 7 :], new])
+        bits = sum(int(x).bit_count() for x in (_parity(a) ^ _parity(b)).view(np.uint64))
+        assert bits <= n // 7 + len(new)
+    assert (_parity(a[::-1]) == _parity(a)).all()
+
+
 def test_empty_table_and_repeated_rows(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_jaccard_classes(df).count() == 0
