@@ -15,6 +15,8 @@ from paperloom.session import ship_package
 
 #: Rows of an Arrow batch that carries texts; batches stay small whatever the texts' length.
 TEXT_BATCH_BYTES = 4 << 20
+#: Spark's setting that removes a query's shuffle files at its end, not at some later collection.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -38,8 +40,13 @@ class Workspace:
         self.root = f"{shared_root(spark)}/paperloom-{uuid.uuid4().hex}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        """Writes the rows and reads them again; the shuffle files behind them go once they are written."""
+        path, before = f"{self.root}/{name}", self.spark.conf.get(CLEANUP)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str = "") -> None:

@@ -241,12 +241,14 @@ def ngram_jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     owners = ws.table(survey.where("node IS NOT NULL").groupBy("node").agg(F.coalesce(F.min("doc_id"), F.lit(0)).alias("doc_id"), *[F.min(c).alias(c) for c in ("n", *PARITY)]), "owners")
     near = ws.table(_near(tried, owners, num, den), "near")
     links = ws.table(_verify(docs, owners, near, n, sketch_bits, level, cuts, num, den), "links")
+    ws.drop("near")
     found = components(links).checkpoint()
 
     # What is left: pairs across components, listed by component first so that members of one never meet.
     known = lists.select("gram", "node", "at").join(found, "node", "left").withColumn("label", F.coalesce("label", "node")).drop("lead")
     several = known.groupBy("gram").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("gram")
     known = ws.table(known.join(several, "gram", "left_semi"), "known")
+    ws.drop("lists")
     meets = known.groupBy("gram", "label").agg(F.min(F.shiftright("at", 32)).alias("lo"), F.max(F.shiftright("at", 32)).alias("hi"), F.max(F.shiftright("at", 32) - F.col("at").bitwiseAND(0xFFFFFFFF)).alias("left"))
     x, y = (meets.select("gram", *[F.col(c).alias(c + s) for c in ("label", "lo", "hi", "left")]) for s in "xy")
     meets = x.join(y, "gram").where((F.col("labelx") < F.col("labely")) & (den * F.col("hix") >= num * F.col("loy")) & (den * F.col("hiy") >= num * F.col("lox")) & ((num + den) * F.least("leftx", "lefty") >= num * (F.col("lox") + F.col("loy")))).select("gram", "labelx", "labely", "loy", "hiy", "lefty")
@@ -259,6 +261,8 @@ def ngram_jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     rest = rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     rest = rest.join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
     rest = ws.table(_near(rest, owners, num, den), "rest")
+    ws.drop("known")
+    ws.drop("tried")
     if not rest.isEmpty():
         more = ws.table(_verify(docs, owners, rest, n, sketch_bits, level, cuts, num, den), "more")
         if not more.isEmpty():
