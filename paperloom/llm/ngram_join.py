@@ -21,6 +21,8 @@ Sets are compared by 58-bit shingle hashes and nodes by 63-bit set hashes.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -155,7 +157,7 @@ def _marks(node: np.ndarray, doc_id: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _bloom(keys: DataFrame):
-    """Bits of the (node, doc_id) rows, of fixed size; a false hit only costs work."""
+    """Bits of the (node, doc_id) rows, of fixed size, sent compressed; a false hit only costs work."""
 
     def run(batches):
         bits = np.zeros(1 << (BLOOM_BITS - 3), np.uint8)
@@ -169,14 +171,14 @@ def _bloom(keys: DataFrame):
     out = np.zeros(1 << (BLOOM_BITS - 3), np.uint8)
     for block, blob in reduce_blobs(map_arrow(keys, "block int, blob binary", run), "uint8", np.bitwise_or).toLocalIterator():
         out[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(blob, np.uint8)
-    return keys.sparkSession.sparkContext.broadcast(out)
+    return keys.sparkSession.sparkContext.broadcast(zlib.compress(out.tobytes(), 1))
 
 
 def _fragments(docs: DataFrame, n: int, bits: int, level, cuts: np.ndarray, wanted) -> DataFrame:
     """(node, fragment, n, part): the sets of the wanted documents, cut at the pivots."""
 
     def run(batches):
-        bloom = wanted.value
+        bloom = np.frombuffer(zlib.decompress(wanted.value), np.uint8)
         for batch, sets in _sets(batches, n):
             ids = np.asarray(batch.column(0).fill_null(0))
             some = np.array([i for i, s in enumerate(sets) if len(s)], np.int64)
