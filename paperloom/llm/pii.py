@@ -38,6 +38,8 @@ PHONE = r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\
 CARD = r"\d{13,19}|\d{4}(?:[ -]\d{4}){3}(?:[ -]\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{5}"
 #: One search; no part may begin or end within a word or number.
 PATTERN = rf"(?<![A-Za-z0-9._%+@-])(?:{EMAIL})(?![A-Za-z0-9-])|(?<![\w.+-])(?:(?:{IBAN})|(?:{PHONE}(?!\d))|(?:{IP}(?!\.?\d))|(?:{DATE})|(?:{SSN})|(?:{CARD}))(?![\w-])"
+#: What each match of PATTERN holds: an address of single digits is the one kind without two digits together.
+MAYBE = r"[0-9]{2}|@|[0-9](?:\.[0-9]){3}"
 
 
 def _feistel(left: str, right: str, ml: str, mr: str, tweak: str, key: str) -> str:
@@ -140,7 +142,7 @@ def pseudonymise(docs: DataFrame, key: str, *, text_col: str = "text", count_col
     if not key or set(key) & set("'\\"):
         raise ValueError("the key must be a non-empty string without quotes or backslashes")
     text = F.col(f"`{text_col}`")
-    maybe = text.rlike("[0-9]{2}|@")
+    maybe = text.rlike(MAYBE)
     pattern = F.lit(PATTERN)
     marks = F.when(maybe, F.regexp_extract_all(text, pattern, F.lit(0))).otherwise(F.array().cast("array<string>"))
     out = docs.withColumn("__found", marks)

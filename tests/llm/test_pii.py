@@ -89,3 +89,9 @@ def test_long_text_and_empty_table(spark):
     assert n == 1 and len(text) == len(long) and text[:400000] == long[:400000]
     assert pseudonymise(spark.createDataFrame([], "text string, n_pii string"), "k").count() == 0
     assert re.compile(PATTERN.replace("++", "+").replace("}+", "}"))
+
+
+def test_addresses_of_single_digits_go_and_stay_linked(spark):
+    (a, n), (b, m) = run(spark, ["use DNS 8.8.8.8 or 1.1.1.1 now", "in 2024: 8.8.8.8 or 1.1.1.1 now"])
+    assert n == m == 2 and a[8:] == b[9:] and "8.8.8.8" not in a and "1.1.1.1" not in a
+    assert run(spark, ["v1.2.3 of 3.4, 1.2.3 and 1.2.3.4.5"]) == [("v1.2.3 of 3.4, 1.2.3 and 1.2.3.4.5", 0)]
