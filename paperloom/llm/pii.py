@@ -1,8 +1,9 @@
 """Format-preserving Feistel pseudonyms for personal data, in DataFrame functions alone.
 
-Every text is searched once by one pattern.  What it finds is validated (check digits of cards and
-account numbers, octets of addresses, ranges of numbers, days of calendars) and then permuted by a
-keyed Feistel network within its own format: a card becomes a card with a right check digit, a date a
+Every text is searched by one pattern from every place.  What it finds is validated (check digits of
+cards and account numbers, octets of addresses, ranges of numbers, days of calendars); where the
+longest match is not valid, the longest valid one of fewer groups is taken ("4111 1111 1111 1111 123").
+From the left, valid values are permuted by a keyed Feistel network within their own format: a card becomes a card with a right check digit, a date a
 date, an address an address.  Equal values get equal pseudonyms in every document, different values
 different ones.  Mail addresses get a keyed token before a reserved domain.  What fails validation
 stays as it is, and so does the rest of the text.
@@ -36,8 +37,10 @@ DATE = r"\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4}"
 SSN = r"\d{3}-\d{2}-\d{4}"
 PHONE = r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}"
 CARD = r"\d{13,19}|\d{4}(?:[ -]\d{4}){3}(?:[ -]\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{5}"
-#: One search; no part may begin or end within a word or number.
+#: No part may begin or end within a word or number.
 PATTERN = rf"(?<![A-Za-z0-9._%+@-])(?:{EMAIL})(?![A-Za-z0-9-])|(?<![\w.+-])(?:(?:{IBAN})|(?:{PHONE}(?!\d))|(?:{IP}(?!\.?\d))|(?:{DATE})|(?:{SSN})|(?:{CARD}))(?![\w-])"
+#: The kinds whose match can hold a shorter value and words or numbers after it; no account number has less than 15 characters.
+SHORTER = rf"^(?:(?=(?: ?[A-Z0-9]){{15}})(?:{IBAN})|(?:{PHONE})|(?:{CARD}))$"
 #: What each match of PATTERN holds: an address of single digits is the one kind without two digits together.
 MAYBE = r"[0-9]{2}|@|[0-9](?:\.[0-9]){3}"
 
@@ -104,6 +107,25 @@ def kind_sql(v: str = "v") -> str:
     end"""
 
 
+def valid_sql(v: str = "v") -> str:
+    """SQL for the longest valid value that a match begins with, or null."""
+    shorter = f"transform(filter(sequence(length({v}) - 1, 1, -1), k -> substring({v}, k + 1, 1) rlike '[ .-]'), k -> substring({v}, 1, k))"
+    return f"if({kind_sql(v)} is not null, {v}, get(filter({shorter}, u -> u rlike r'{SHORTER}' and {kind_sql('u')} is not null), 0))"
+
+
+def _cuts(parts: str, valid: str) -> str:
+    """SQL for how much of each part's beginning goes, from the left: positive where its valid value is taken.
+
+    A value is not taken where one taken before reaches.  Parts are walked in stretches, as appending copies.
+    """
+    items = f"transform({parts}, (x, at) -> named_struct('n', length(x), 'w', coalesce(length({valid}[at]), 0)))"
+    taken = "named_struct('open', greatest(x.w - x.n, 0), 'cuts', array_append(s.cuts, least(x.w, x.n)))"
+    passed = "named_struct('open', greatest(s.open - x.n, 0), 'cuts', array_append(s.cuts, -least(s.open, x.n)))"
+    some = f"aggregate(slice(m, 1 + c * 512, 512), named_struct('open', r.open, 'cuts', cast(array() as array<int>)), (s, x) -> if(s.open = 0 and x.w > 0, {taken}, {passed}))"
+    walk = f"aggregate(sequence(0, (size(m) - 1) div 512), named_struct('open', 0, 'cuts', cast(array() as array<array<int>>)), (r, c) -> {_let(some, "named_struct('open', e.open, 'cuts', array_append(r.cuts, e.cuts))", "e")}, r -> flatten(r.cuts))"
+    return _let(items, walk, "m")
+
+
 def pseudonym_sql(key: str, v: str = "v") -> str:
     """SQL for the pseudonym of a match, itself where it is not valid."""
     d = f"regexp_replace({v}, '[^0-9]', '')"
@@ -142,12 +164,16 @@ def pseudonymise(docs: DataFrame, key: str, *, text_col: str = "text", count_col
     if not key or set(key) & set("'\\"):
         raise ValueError("the key must be a non-empty string without quotes or backslashes")
     text = F.col(f"`{text_col}`")
-    maybe = text.rlike(MAYBE)
-    pattern = F.lit(PATTERN)
-    marks = F.when(maybe, F.regexp_extract_all(text, pattern, F.lit(0))).otherwise(F.array().cast("array<string>"))
-    out = docs.withColumn("__found", marks)
-    found = F.expr(f"transform(__found, v -> {pseudonym_sql(key)})")
-    joined = F.array_join(F.flatten(F.transform(F.arrays_zip(F.split(text, PATTERN, -1).alias("a"), found.alias("b")), lambda z: F.array(z["a"], F.coalesce(z["b"], F.lit(""))))), "")
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    heads = F.when(text.rlike(MAYBE), F.regexp_extract_all(text, F.lit(f"(?=({PATTERN}))"), F.lit(1))).otherwise(none("string"))
+    out = docs.withColumn("__heads", heads).withColumn("__valid", F.expr(f"transform(__heads, v -> {valid_sql()})"))
+    found = F.exists("__valid", lambda v: v.isNotNull())
+    # Every part but the first begins where a match does; the first is empty here if the text begins with one.
+    parts = F.split(text, f"(?={PATTERN})", -1)
+    out = out.withColumn("__parts", F.when(found, parts).otherwise(none("string")))
+    out = out.withColumn("__parts", F.expr("if(size(__parts) = size(__valid), concat(array(''), __parts), __parts)"))
+    out = out.withColumn("__cuts", F.when(F.size("__parts") > 1, F.expr(_cuts("slice(__parts, 2, size(__valid))", "__valid"))).otherwise(none("int")))
+    joined = F.expr(f"concat(__parts[0], array_join(transform(__valid, (v, at) -> concat(if(__cuts[at] > 0, {pseudonym_sql(key)}, ''), substring(__parts[at + 1], 1 + abs(__cuts[at])))), ''))")
     if count_col:
-        out = out.withColumn(count_col, F.coalesce(F.expr(f"size(filter(__found, v -> {kind_sql()} is not null))"), F.lit(0)).cast("long"))
-    return out.withColumn(text_col, F.when(F.size("__found") > 0, joined).otherwise(text)).drop("__found")
+        out = out.withColumn(count_col, F.size(F.filter("__cuts", lambda c: c > 0)).cast("long"))
+    return out.withColumn(text_col, F.when(F.size("__cuts") > 0, joined).otherwise(text)).drop("__heads", "__valid", "__parts", "__cuts")

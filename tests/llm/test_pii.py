@@ -95,3 +95,20 @@ def test_addresses_of_single_digits_go_and_stay_linked(spark):
     (a, n), (b, m) = run(spark, ["use DNS 8.8.8.8 or 1.1.1.1 now", "in 2024: 8.8.8.8 or 1.1.1.1 now"])
     assert n == m == 2 and a[8:] == b[9:] and "8.8.8.8" not in a and "1.1.1.1" not in a
     assert run(spark, ["v1.2.3 of 3.4, 1.2.3 and 1.2.3.4.5"]) == [("v1.2.3 of 3.4, 1.2.3 and 1.2.3.4.5", 0)]
+
+
+def test_valid_values_within_longer_matches_go(spark):
+    plain = ["4111 1111 1111 1111", "AT61 1904 3002 3457 3201", "AT611904300234573201", "ES91 2100 0418 4502 0005 1332"]
+    new = {v: t for v, (t, _) in zip(plain, run(spark, plain))}
+    card, iban, packed, es = plain
+    texts = [
+        (f"{card} 123", [card]), (f"{card} 12/27", [card]), (f"{iban} EUR", [iban]), (f"{packed} BIC", [packed]), (f"{es} 12 March", [es]),
+        (f"{iban} PAID TO ME", [iban]), (f"{iban} {card} 123", [iban, card]), (f"in 2024 {card}", [card]), (f"2024 {card} 12/27, {card}", [card] * 2),
+        (f"{card} 123 {iban} EUR " * 700, [card, iban] * 700), ("4111 1111 1111 1112 123", []),
+    ]
+    for (t, values), (got, n) in zip(texts, run(spark, [t for t, _ in texts])):
+        want = t
+        for v in set(values):
+            want = want.replace(v, new[v])
+        assert (got, n) == (want, len(values)), t
+    assert all(new[v] != v for v in plain)
