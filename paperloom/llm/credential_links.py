@@ -31,6 +31,8 @@ _ACCESS = re.compile(rb"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(rb"[0-9a-f]{16,}")
 _PAIR = re.compile(rb"([a-z0-9_-]{2,40})[\"']?\x20*[:=]\x20*[\"']?([a-z0-9+/_.=@-]{4,})")
 _ENDPOINT = re.compile(rb"(?:https?|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[a-z0-9._~:/?#@!$&*+,;=%-]{4,}")
+#: Tried before the identifiers, as secret_access_key ends like one.
+_SECRETS = re.compile(rb"secret[a-z0-9_-]*key$")
 _NAMES = re.compile(rb"(?:^|[_-])(?:user|username|login|client_id|account|key_id|access_key|tenant|app_id)$")
 _HOSTS = re.compile(rb"(?:^|[_-])(?:host|hostname|endpoint|server|url|database_url|dsn)$")
 _WEAK = re.compile(rb"(?:^|[_-])(?:pwd|pass|key|credential|auth|signature|passphrase)$")
@@ -62,7 +64,7 @@ def scan(raw: bytes, reach: int = 300) -> list[tuple[int, int, int]]:
     hosts: list[tuple[int, int]] = []
     if b"=" in low or b":" in low:
         for m in _PAIR.finditer(low):
-            for pattern, to in ((_NAMES, names), (_HOSTS, hosts), (_WEAK, weak)):
+            for pattern, to in ((_SECRETS, weak), (_NAMES, names), (_HOSTS, hosts), (_WEAK, weak)):
                 if pattern.search(m[1]):
                     to.append(m.span())
                     break
