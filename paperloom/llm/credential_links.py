@@ -16,6 +16,7 @@ result, other columns of the input are not read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -82,7 +83,9 @@ def scan(raw: bytes, reach: int = 300) -> list[tuple[int, int, int]]:
             return [x for x, ok in zip(spans, before | after) if ok]
 
         taken = linked(sorted(set(weak)), names + hosts + found[1])
-        found[5] = [w for w in taken if not any(s <= w[0] and w[1] <= e for s, e in found[0])] if len(taken) < 64 else [w for w, over in zip(taken, _near(np.array(taken)[:, 0], np.array(taken)[:, 1], found[0])) if not over]
+        starts = [s for s, _ in found[0]]
+        # The assign spans are disjoint and sorted: only the last one before a weak span can hold it.
+        found[5] = [w for w in taken if not ((i := bisect_right(starts, w[0])) and w[1] <= found[0][i - 1][1])]
         found[3] = linked(sorted(set(names)), strong + taken)
         found[4] = linked(sorted(set(hosts)), strong + taken)
     return sorted((s, k, e) for k, spans in enumerate(found) for s, e in spans)

@@ -44,3 +44,11 @@ def test_the_secret_half_of_an_access_key_is_linked():
         assert scan(both) == [(0, 3, n), (20, 1, n), (n + 1, 5, len(both))], name
         assert scan(lines[1]) == []
     assert [k for _, k, _ in scan(b"access_key = alice pwd = hunter22")] == [3, 5]
+
+
+def test_overlapping_weak_spans_stay_at_every_size():
+    line = b"host=db.example.org stripe_api_key = abcdefghijkl1234 db_key=short99 secret = secret_key=abcdefgh\n"
+    one = scan(line)
+    assert (20, 5, 53) in one and (27, 0, 53) in one
+    for n in (2, 63, 64, 200):
+        assert scan(line * n) == [(i * len(line) + s, k, i * len(line) + e) for i in range(n) for s, k, e in one]
