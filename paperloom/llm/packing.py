@@ -16,7 +16,6 @@ with equal results.
 
 from __future__ import annotations
 
-import heapq
 import json
 import re
 
@@ -108,27 +107,19 @@ def fill(pieces: list[tuple], room: int) -> tuple[list[list[tuple]], list[tuple]
     """Packs (key, start, length) pieces of at most ``room`` into full sequences; the rest comes second."""
     bins = sum(p[2] for p in pieces) // room
     seqs: list[list[tuple]] = [[] for _ in range(bins)]
-    free = [room] * bins
-    heap = [(0.0, i) for i in range(bins)]
+    free, cost = np.full(bins, room), np.zeros(bins)
     homeless = []
     for p in sorted(pieces, key=lambda p: -p[2]):
-        passed, n = [], p[2]
-        while heap:
-            cost, i = heapq.heappop(heap)
-            if free[i] >= n:
-                seqs[i].append(p)
-                free[i] -= n
-                if free[i]:
-                    passed.append((cost + n + n * n / room, i))
-                break
-            passed.append((cost, i))
-            if len(passed) > 32:  # what does not fit in any of the cheapest is cut below
-                homeless.append(p)
-                break
-        else:
+        n = p[2]
+        able = np.flatnonzero(free >= n)
+        if not len(able):
             homeless.append(p)
-        for x in passed:
-            heapq.heappush(heap, x)
+            continue
+        i = able[cost[able].argmin()]
+        seqs[i].append(p)
+        free[i] -= n
+        cost[i] += n + n * n / room
+    free = free.tolist()
     rest = []
     gaps = iter(sorted((i for i in range(bins) if free[i]), key=lambda i: -free[i]))
     i = next(gaps, None)

@@ -49,3 +49,24 @@ def test_lowest_cost_first():
 
 def test_empty_table(spark):
     assert pack_documents(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["lognormal", "uniform"])
+def test_no_piece_is_cut_while_a_sequence_has_room(kind):
+    rng, room = np.random.default_rng(3), 2048
+    sizes = np.clip(rng.lognormal(5.5, 1, 1400) if kind == "lognormal" else rng.uniform(1, room, 500), 1, room - 1).astype(int).tolist()
+    bins = sum(sizes) // room
+    free, cost, whole = [room] * bins, [0.0] * bins, set()
+    for k in sorted(range(len(sizes)), key=lambda k: -sizes[k]):
+        n = sizes[k]
+        able = [(cost[i], i) for i in range(bins) if free[i] >= n]
+        if able:
+            i = min(able)[1]
+            free[i] -= n
+            cost[i] += n + n * n / room
+            whole.add(k)
+    seqs, rest = fill([(k, 0, n) for k, n in enumerate(sizes)], room)
+    assert all(sum(p[2] for p in s) == room for s in seqs)
+    assert {k for s in seqs for k, start, n in s if n == sizes[k]} == whole
+    assert sum(p[2] for s in seqs + [rest] for p in s) == sum(sizes)
+    print(kind, len(sizes), "pieces,", len(sizes) - len(whole), "not placed whole")
