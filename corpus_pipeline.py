@@ -9,6 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from paperloom.llm import gam, langid
 from paperloom.llm.common import Workspace
@@ -36,10 +37,22 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each group linked by Jaccard similarity 0.8 of five-word shingles."""
-    classes = ngram_jaccard_classes(docs, n=5, num=80, den=100)
-    first = classes.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(docs.columns)
+    """Keeps one row of each group linked by Jaccard similarity 0.8 of five-word shingles.
+
+    It is the one of least id, a null id being last; among rows of one id, any text's.  Repeated rows
+    of one id and text shrink to one.  Rows without words are linked with nothing and all stay.
+    """
+    keyed = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
+    classes = ngram_jaccard_classes(keyed, id_col="__row", n=5, num=80, den=100)
+    rows = classes.join(keyed.select(F.col("__row").alias("doc_id"), F.col("doc_id").alias("id")).distinct(), "doc_id")
+    least = F.struct(F.col("id").isNull().alias("none"), "id", "doc_id")
+    groups = rows.where("n_shingles > 0").groupBy("component_id", "doc_id", "id").agg(F.count("*").alias("copies"))
+    first = groups.groupBy("component_id").agg(F.min_by(F.struct("doc_id", "copies"), least).alias("first")).select(F.col("first.doc_id").alias("__row"), F.col("first.copies").alias("copies"))
+    once = first.where("copies = 1").select("__row").union(classes.where("n_shingles = 0").select(F.col("doc_id").alias("__row")).distinct())
+    again = keyed.join(first.where("copies > 1"), "__row", "left_semi")
+    order = Window.partitionBy("__row").orderBy(*[F.col(f"`{c}`") for c in docs.columns])
+    again = again.withColumn("__at", F.row_number().over(order)).where("__at = 1")
+    return keyed.join(once, "__row", "left_semi").select(docs.columns).union(again.select(docs.columns))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

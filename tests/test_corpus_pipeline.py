@@ -1,0 +1,25 @@
+import corpus_pipeline
+
+A = "one two three four five six seven eight nine ten eleven twelve"
+B = "another text of quite different words which no other row of this table holds"
+C = "and a third one whose copies have no ids at all in any of their rows"
+
+
+def test_near_duplicates_keeps_one_row_of_each_group(spark):
+    rows = [
+        (None, B, "en"), (None, C, "en"), (None, C, "de"), (7, A, "en"), (7, A, "en"), (9, A, "en"), (None, A, "en"),
+        (20, "x " + B, "b"), (20, "x " + C[::-1], "c"), (21, C[::-1], "d"), (None, None, "en"), (None, "", "en"), (5, " ", "en"), (5, " ", "en"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    key = lambda r: tuple(map(str, r))
+    want = [(7, A, "en"), (20, "x " + B, "b"), (20, "x " + C[::-1], "c"), (None, C, "de"), (None, None, "en"), (None, "", "en"), (5, " ", "en"), (5, " ", "en")]
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
+def test_near_duplicates_of_real_rows(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    classes = corpus_pipeline.ngram_jaccard_classes(docs, n=5, num=80, den=100).collect()
+    got = [r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()]
+    assert sorted(got) == sorted({r.component_id for r in classes})
