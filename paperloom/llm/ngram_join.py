@@ -11,7 +11,8 @@ bits that differ are never more than the shingles that do.
 Documents with equal sets are one node, so copies never meet pairwise.  A first round tries, for
 each node, one partner: the node with the cleanest head in most of its posting lists.  Its links are joined
 into components, and the second round tries every remaining candidate pair across components; a
-pair inside one component can't change any class.  No posting list, group or class is capped.
+pair inside one component can't change any class.  Only if links are to be counted, a third round tries
+the candidate pairs within components.  No posting list, group or class is capped.
 
 Nulls, empty and blank texts: n_shingles 0, linked with nothing, component_id is the row's own id.
 Repeated rows: each row is returned; equal sets share a component.  A null id takes no part in the
@@ -222,8 +223,11 @@ def _verify(docs, owners, pairs, n, bits, level, cuts, num, den) -> DataFrame:
     return total.where(den * F.col("k") >= num * (F.col("na").cast("long") + F.col("nb") - F.col("k"))).select("a", "b")
 
 
-def ngram_jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 4, num: int = 85, den: int = 100, fragments: int = 8, sketch_bits: int = 23) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row: classes of the links with Jaccard >= num / den."""
+def ngram_jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 4, num: int = 85, den: int = 100, fragments: int = 8, sketch_bits: int = 23, count_links: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row: classes of the links with Jaccard >= num / den.
+
+    count_links: with n_links, the number of other rows each row links with, copies of its set included.
+    """
     spark = docs.sparkSession
     ws = Workspace(spark)
     docs = safe_columns(docs, doc_id=F.col(id_col), text=F.col(text_col))
@@ -236,6 +240,7 @@ def ngram_jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     order = Window.partitionBy("gram").orderBy(F.col("at").bitwiseAND(0xFFFFFFFF), "node")
     placed = heads.select("gram", "node", "at", F.first("node").over(order).alias("lead"), F.first("at").over(order).alias("lead_at"), F.lead("node").over(order).alias("next"))
     lists = ws.table(placed.where("lead <> node OR next IS NOT NULL").drop("next"), "lists")
+    posted = lists.select("gram", "node", "at")
 
     tried = lists.where("lead <> node").where(_can("lead_at", "at", num, den)).groupBy("node", "lead").agg(F.count("*").alias("k"))
     tried = tried.groupBy("node").agg(F.max_by("lead", F.struct("k", "lead")).alias("lead"))
@@ -250,7 +255,8 @@ def ngram_jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     known = lists.select("gram", "node", "at").join(found, "node", "left").withColumn("label", F.coalesce("label", "node")).drop("lead")
     several = known.groupBy("gram").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("gram")
     known = ws.table(known.join(several, "gram", "left_semi"), "known")
-    ws.drop("lists")
+    if not count_links:
+        ws.drop("lists")
     meets = known.groupBy("gram", "label").agg(F.min(F.shiftright("at", 32)).alias("lo"), F.max(F.shiftright("at", 32)).alias("hi"), F.max(F.shiftright("at", 32) - F.col("at").bitwiseAND(0xFFFFFFFF)).alias("left"))
     x, y = (meets.select("gram", *[F.col(c).alias(c + s) for c in ("label", "lo", "hi", "left")]) for s in "xy")
     meets = x.join(y, "gram").where((F.col("labelx") < F.col("labely")) & (den * F.col("hix") >= num * F.col("loy")) & (den * F.col("hiy") >= num * F.col("lox")) & ((num + den) * F.least("leftx", "lefty") >= num * (F.col("lox") + F.col("loy")))).select("gram", "labelx", "labely", "loy", "hiy", "lefty")
@@ -264,14 +270,37 @@ def ngram_jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     rest = rest.join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
     rest = ws.table(_near(rest, owners, num, den), "rest")
     ws.drop("known")
-    ws.drop("tried")
+    if not count_links:
+        ws.drop("tried")
     if not rest.isEmpty():
         more = ws.table(_verify(docs, owners, rest, n, sketch_bits, level, cuts, num, den), "more")
         if not more.isEmpty():
-            found = components(links.union(more))
+            links = links.union(more)
+            found = components(links)
+    if count_links:
+        # Every pair that links lies in one component; those tried above are not tried again.
+        found = found.checkpoint()
+        inside = posted.join(found, "node")
+        x, y = (inside.select("gram", "label", F.col("node").alias(c), F.col("at").alias("at_" + c)) for c in "ab")
+        inside = x.join(y, ["gram", "label"]).where("a > b").where(_can("at_a", "at_b", num, den)).select("a", "b").distinct()
+        for done in (tried, rest):
+            inside = inside.join(done.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
+        inside = ws.table(_near(inside, owners, num, den), "inside")
+        ws.drop("lists")
+        ws.drop("tried")
+        if not inside.isEmpty():
+            links = links.union(ws.table(_verify(docs, owners, inside, n, sketch_bits, level, cuts, num, den), "within"))
 
     rows = survey.where("block IS NULL").select("doc_id", "n", "node")
-    rows = rows.join(found, "node", "left").select("doc_id", "n", F.coalesce("label", "node").alias("label"))
+    rows = rows.join(found, "node", "left").select("doc_id", "n", "node", F.coalesce("label", "node").alias("label"))
     least = rows.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least"))
     out = rows.join(least, "label", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    if count_links:
+        # A row links with the other rows of its node and with all rows of the nodes that its node links with.
+        copies = survey.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("copies"))
+        ends = links.select("a", "b").union(links.select("b", "a")).toDF("node", "other")
+        others = ends.join(copies.toDF("other", "more"), "other").groupBy("node").agg(F.sum("more").alias("more"))
+        counts = copies.join(others, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
+        rows = rows.join(counts, "node", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+        out = rows.join(least, "label", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), "n_links")
     return ws.result(out)

@@ -29,7 +29,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard_classes(_read(spark, sf_dir, "documents"), n=4, num=85, den=100)
+    return ngram_jaccard_classes(_read(spark, sf_dir, "documents"), n=4, num=85, den=100, count_links=True)
 
 
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

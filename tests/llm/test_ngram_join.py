@@ -82,3 +82,14 @@ def test_empty_table_and_repeated_rows(spark):
     assert ngram_jaccard_classes(df).count() == 0
     df = spark.createDataFrame([(3, "a b c d e"), (3, "a b c d e"), (1, "A b c d E")], "doc_id long, text string")
     assert sorted(map(tuple, ngram_jaccard_classes(df).collect())) == [(1, 2, 1), (3, 2, 1), (3, 2, 1)]
+
+
+def test_links_equal_brute_force(spark):
+    rows = copies(3) + [(9000, None), (9001, ""), (9003, "One two"), (9004, "one\x0btwo"), (9004, "one two")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, ngram_jaccard_classes(df, sketch_bits=12, count_links=True).collect()))
+    sets = [grams(t, 4) for _, t in rows]
+    links = [sum(i != j and bool(x & y) and 100 * len(x & y) >= 85 * len(x | y) for j, y in enumerate(sets)) for i, x in enumerate(sets)]
+    assert sum(links) > 500
+    assert sorted((d, k) for d, _, _, k in got) == sorted((d, k) for (d, _), k in zip(rows, links))
+    assert [r[:3] for r in got] == brute(rows)
