@@ -2,21 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.functions.rows import once
+
+#: Marks of page breaks and failed pages, and the text that stands for no text.
 PAGE_BREAK = r"---\s*Page Break\s*---"
 FAILED_PAGE = r"\[Page \d+: Could not be processed\]"
 PLACEHOLDER = "[No readable text could be extracted from this document. The image may be too low resolution, blank, or contain only graphical elements.]"
-#: Characters that one-to-one clean-up maps, and ligatures.
+#: Characters that one-to-one clean-up maps, marks that count as garbage, and ligatures.
 BULLETS = "Ø·•●"
 DASHES = "‐‑‒–—―"
+GARBAGE = r"~%|#^&*@<>{}\[\]\\=+"
 LIGATURES = {"ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl"}
 
 
+#: What a warning takes from the confidence.
+COSTS = {"LOW_RESOLUTION": 10, "DARK_IMAGE": 5}
+
+
 def trim(c: Column) -> Column:
     """Removes code points up to U+0020 at both ends."""
-    return F.regexp_replace(c, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    return F.regexp_replace(c, r"\A[\x00-\x20]++|(?<![\x00-\x20])[\x00-\x20]++\z", "")
+
+
+def strip_end(c: Column) -> Column:
+    """Removes white space at the end; a run of it inside is looked at once, not from each of its places."""
+    return F.regexp_replace(c, r"(?<!\s)\s++\z", "")
 
 
 def ink(c: Column) -> Column:
@@ -29,30 +42,65 @@ def word_count(c: Column) -> Column:
 
 
 def is_blank(c: Column) -> Column:
-    return F.coalesce(ink(c) == "", F.lit(True))
+    return ~F.coalesce(c.rlike(r"\S"), F.lit(False))
 
 
-def alnum_ratio(c: Column) -> Column:
+def ink_length(c: Column) -> Column:
+    return F.length(ink(c))
+
+
+def alnum_length(c: Column) -> Column:
+    """Number of letters, digits and . , ' \" -"""
+    return F.length(F.regexp_replace(c, r"[^\p{L}\p{Nd}.,'\"-]+", ""))
+
+
+def alnum_ratio(c: Column, ink_n: Column | None = None, alnum_n: Column | None = None) -> Column:
     """Letters, digits and . , ' \" - among the characters that are not white space; 0 if there are none."""
-    n = F.length(ink(c))
-    return F.when(n > 0, F.length(F.regexp_replace(ink(c), r"[^\p{L}\p{Nd}.,'\"-]", "")) / n).otherwise(F.lit(0.0))
+    n = ink_length(c) if ink_n is None else ink_n
+    return F.when(n > 0, (alnum_length(c) if alnum_n is None else alnum_n) / n).otherwise(F.lit(0.0))
+
 
+def garbage_length(c: Column, marks: str = GARBAGE) -> Column:
+    return F.length(F.regexp_replace(c, f"[^{marks}]+", ""))
 
-def garbage_ratio(c: Column, marks: str = r"~%|#^&*@<>{}\[\]\\=+") -> Column:
-    n = F.length(ink(c))
-    return F.when(n > 0, F.length(F.regexp_replace(c, f"[^{marks}]", "")) / n).otherwise(F.lit(0.0))
+
+def garbage_ratio(c: Column, ink_n: Column | None = None, garbage_n: Column | None = None) -> Column:
+    n = ink_length(c) if ink_n is None else ink_n
+    return F.when(n > 0, (garbage_length(c) if garbage_n is None else garbage_n) / n).otherwise(F.lit(0.0))
 
 
 def single_char_share(c: Column) -> Column:
-    """Share of one-character words other than a, A, I and digits, in texts of more than ten words; else 0."""
-    words = F.split(F.regexp_replace(c, r"\s+$", ""), r"\s+")
-    odd = F.size(F.filter(words, lambda w: (F.length(w) == 1) & ~w.rlike("^[aAI0-9]$")))
-    return F.when(F.size(words) > 10, odd / F.size(words)).otherwise(F.lit(0.0))
+    """Share of one-character words other than a, A, I and digits, in texts of more than ten words; else 0.
 
+    White space at the start counts as one word more, as splitting at white space gives an empty first word.
+    """
+    words = word_count(c) + F.when(c.rlike(r"\A\s"), 1).otherwise(0)
+    odd = F.regexp_count(c, F.lit(r"(?<!\S)[^\saAI0-9](?!\S)"))
+    return F.when(words > 10, odd / words).otherwise(F.lit(0.0))
 
-def is_low_quality(c: Column) -> Column:
+
+def _low(c: Column, ink_n: Column, alnum: Column, garbage: Column, single: Column) -> Column:
     short = F.coalesce(F.length(trim(c)) < 20, F.lit(True))
-    return short | is_blank(c) | (alnum_ratio(c) < 0.5) | (garbage_ratio(c) > 0.05) | (single_char_share(c) > 0.3)
+    return short | (ink_n == 0) | (alnum < 0.5) | (garbage > 0.05) | (single > 0.3)
+
+
+def is_low_quality(c: Column) -> Column:
+    return _low(c, ink_length(c), alnum_ratio(c), garbage_ratio(c), single_char_share(c))
+
+
+def with_quality(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """The input with ``alnum``, ``garbage``, ``single_share``, ``low_quality`` and ``confidence``: one pass of each pattern a text."""
+    c = F.col(text_col)
+    d = once(df, __ink=ink_length(c), __alnum=alnum_length(c), __garbage=garbage_length(c), single_share=single_char_share(c))
+    ink_n = F.col("__ink")
+    d = once(d, alnum=alnum_ratio(c, ink_n, F.col("__alnum")), garbage=garbage_ratio(c, ink_n, F.col("__garbage")))
+    low = _low(c, ink_n, F.col("alnum"), F.col("garbage"), F.col("single_share"))
+    sure = F.when(F.coalesce(ink_n, F.lit(0)) == 0, 10.0).otherwise(_bounded(F.col("alnum") * 100))
+    return d.withColumns({"low_quality": low, "confidence": sure}).drop("__ink", "__alnum", "__garbage")
+
+
+def _bounded(c: Column) -> Column:
+    return F.greatest(F.lit(10.0), F.least(F.lit(98.0), c))
 
 
 def _starts(name: str):
@@ -62,9 +110,9 @@ def _starts(name: str):
 def confidence(c: Column, warnings: Column | None = None) -> Column:
     base = alnum_ratio(c) * 100
     if warnings is not None:
-        for name, cost in (("LOW_RESOLUTION", 10), ("DARK_IMAGE", 5)):
+        for name, cost in COSTS.items():
             base = base - cost * F.size(F.filter(warnings, _starts(name)))
-    return F.when(is_blank(c), 10.0).otherwise(F.greatest(F.lit(10.0), F.least(F.lit(98.0), base)))
+    return F.when(is_blank(c), 10.0).otherwise(_bounded(base))
 
 
 def file_size(n: Column) -> Column:
@@ -73,7 +121,7 @@ def file_size(n: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Lower-cased pieces between non-word characters: trailing empty ones go, a leading one stays."""
-    return F.split(F.regexp_replace(F.lower(c), r"\W+$", ""), r"\W+")
+    return F.split(F.regexp_replace(F.lower(c), r"(?<!\W)\W++\z", ""), r"\W+")
 
 
 def inner_spaces(c: Column) -> Column:
@@ -85,7 +133,7 @@ def join_hyphens(c: Column) -> Column:
 
 
 def collapse_blank_lines(c: Column) -> Column:
-    return F.regexp_replace(c, r"(\r?\n){3,}", "\n\n")
+    return F.regexp_replace(c, r"(?:\r?\n){3,}+", "\n\n")
 
 
 def _ligatures(c: Column) -> Column:
@@ -95,7 +143,7 @@ def _ligatures(c: Column) -> Column:
 
 
 def _lines(c: Column, f) -> Column:
-    return trim(F.array_join(f(F.transform(F.split(c, "\n"), lambda line: F.regexp_replace(line, r"\s+$", ""))), "\n"))
+    return trim(F.array_join(f(F.transform(F.split(c, "\n"), strip_end)), "\n"))
 
 
 def normalize_native(c: Column) -> Column:

@@ -1,7 +1,8 @@
 """Entities by pattern: dates, amounts, signatories, organisations and reference numbers, with context and confidence.
 
 All extractors of a document run in one projection (no shuffle); a match's place comes from the
-lengths of the pieces around the matches.
+lengths of the pieces around the matches.  Runs of blanks or digits are taken possessively wherever
+giving some back can't lead to a match, so a long run costs its length and not its square.
 """
 
 from __future__ import annotations
@@ -10,34 +11,53 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
-from paperloom.operators.sentences import once
+from paperloom.functions.rows import let, once, running_sums
 
-_TAIL = r"\s*[:\-]?\s*([\w\d\s,./\-]{4,50}?)(?=[\n\r,;.]|$)"
+
+
+def _any(words: str) -> str:
+    """A pattern of alternatives (between bars), tried by their first letter.
+
+    Alternatives of different first letters exclude each other, so only the order within a letter matters; it stays.
+    """
+    by: dict[str, list[str]] = {}
+    for w in words.split("|"):
+        by.setdefault(w[0].lower(), []).append(w[1:])
+    listed = [k + (f"(?:{'|'.join(v)})" if len(v) > 1 else v[0]) for k, v in by.items()]
+    return f"(?=[{''.join(by)}])(?:{'|'.join(listed)})"
+
+
+#: What may stand between a keyword and its value: before what can't begin with a blank or dash, and before what can.
+_COLON = r"\s*+(?:[:\-]\s*+)?"
+_DASH = r"(?:\s*+[:\-]\s*+|\s*+)"
+_TAIL = r"(?:\s*+[:\-]\s*|\s*)([\w\d\s,./\-]{4,50}?)(?=[\n\r,;.]|$)"
 _MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
 #: The patterns of the eleven entity types.
-DUE_DATE = r"(?i)(?:due\s+(?:date|by|on)|payment\s+due|payable\s+by|deadline|expiry\s+date|expiration\s+date|last\s+date|pay\s+by)" + _TAIL
-SIGNING_DATE = r"(?i)(?:dated?|made\s+(?:this|on)|executed\s+(?:on|this)|signed\s+(?:on|this)|effective\s+(?:date|from)|commencement\s+date|agreement\s+date)" + _TAIL
+DUE_DATE = "(?i)" + _any(r"due\s+date|due\s+by|due\s+on|payment\s+due|payable\s+by|deadline|expiry\s+date|expiration\s+date|last\s+date|pay\s+by") + _TAIL
+SIGNING_DATE = "(?i)" + _any(r"dated?|made\s+this|made\s+on|executed\s+on|executed\s+this|signed\s+on|signed\s+this|effective\s+date|effective\s+from|commencement\s+date|agreement\s+date") + _TAIL
 AMOUNT = (
-    r"(?i)(?:[\$₹€£¥]\s?[\d,]+(?:\.\d{1,2})?(?:\s*(?:billion|million|lakh|crore|thousand|mn|bn))?)"
+    r"(?i)(?=[\$₹€£¥\d,uiegca])(?:(?:[\$₹€£¥]\s?[\d,]+(?:\.\d{1,2})?(?:\s*(?:billion|million|lakh|crore|thousand|mn|bn))?)"
     r"|(?:(?:USD|INR|EUR|GBP|CAD|AUD)\s?[\d,]+(?:\.\d{1,2})?(?:\s*(?:billion|million|lakh|crore|thousand))?)"
-    r"|(?:[\d,]+(?:\.\d{1,2})?\s*(?:billion|million|lakh|crore|thousand)\s*(?:dollars|rupees|USD|INR)?)"
-    r"|(?:[\d]{1,2},[\d]{2},[\d]{3}(?:\.\d{1,2})?)"
+    r"|(?:(?:(?<![\d,])|\G)[\d,]++(?:\.\d{1,2})?\s*+(?:billion|million|lakh|crore|thousand)\s*(?:dollars|rupees|USD|INR)?)"
+    r"|(?:[\d]{1,2},[\d]{2},[\d]{3}(?:\.\d{1,2})?))"
 )
-WORDS_AMOUNT = r"(?i)(?:rupees?|dollars?|euros?|pounds?)\s+(?:[A-Za-z\s]+?)?(?:crore|lakh|lac|thousand|hundred|million|billion)(?:\s+[A-Za-z\s]+?)?(?:\s+only|\.)?"
-DEDUCTION = r"(?i)(?:less\s*:|minus|deduct(?:ion|ed)?|TDS|tax\s+deduct|withhold|rebate|discount)\s*[:\-]?\s*(?:[\$₹€£]\s?)?[\d,]+(?:\.\d{1,2})?"
-SIGNATORY = r"(?i)(?:signed\s+by|signature\s+of|authorized\s+by|signatory\s*:|signee\s*:|executed\s+by|witnessed\s+by)\s*[:\-]?\s*([A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,3})"
-UNNAMED = r"(?i)(?:signed\s+by|authorized\s+(?:representative|signatory|person)|duly\s+authorized|competent\s+authority)(?!\s+[A-Z][a-zA-Z])"
+WORDS_AMOUNT = "(?i)" + _any("rupees?|dollars?|euros?|pounds?") + r"\s+(?:[A-Za-z\s]+?)?(?:crore|lakh|lac|thousand|hundred|million|billion)(?:\s+[A-Za-z\s]+?)?(?:\s+only|\.)?"
+DEDUCTION = "(?i)" + _any(r"less\s*:|minus|deduction|deducted|deduct|TDS|tax\s+deduct|withhold|rebate|discount") + _COLON + r"(?:[\$₹€£]\s?)?[\d,]+(?:\.\d{1,2})?"
+SIGNATORY = "(?i)" + _any(r"signed\s+by|signature\s+of|authorized\s+by|signatory\s*:|signee\s*:|executed\s+by|witnessed\s+by") + _COLON + r"([A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,3})"
+UNNAMED = "(?i)" + _any(r"signed\s+by|authorized\s+representative|authorized\s+signatory|authorized\s+person|duly\s+authorized|competent\s+authority") + r"(?!\s+[A-Z][a-zA-Z])"
 WRITTEN_DATE = (
-    r"(?i)(?:the\s+)?(?:first|second|third|fourth|fifth|sixth|seventh|eighth|ninth|tenth|eleventh|twelfth|thirteenth|fourteenth|fifteenth|sixteenth|seventeenth|eighteenth|nineteenth|twentieth|"
-    r"twenty[-\s]?(?:first|second|third|fourth|fifth|sixth|seventh|eighth|ninth)|thirtieth|thirty[-\s]?first)\s+day\s+of\s+(?:" + _MONTHS + r")(?:,?\s+(?:two thousand|\d{4})[\w\s]*)?"
-)
-_SUFFIXED = r"(?i)[A-Z][A-Za-z0-9\s&.,'-]{2,50}(?:Ltd\.?|LLC|Inc\.?|Corp\.?|Co\.?|Limited|Pvt\.?|PLC|LLP|Technologies|Solutions|Services|Systems|Group|Holdings|Enterprises|Associates|Partners)"
-_ROLE = r"(?i)(?:company|client|vendor|employer|employee|contractor|lessor|lessee|licensor|licensee|buyer|seller|supplier|between)\s*[:\-]?\s*"
+    r"(?i)(?:the\s+)?"
+    + _any("first|second|third|fourth|fifth|sixth|seventh|eighth|ninth|tenth|eleventh|twelfth|thirteenth|fourteenth|fifteenth|sixteenth|seventeenth|eighteenth|nineteenth|twentieth|"
+           + "|".join(r"twenty[-\s]?" + x for x in "first second third fourth fifth sixth seventh eighth ninth".split()) + r"|thirtieth|thirty[-\s]?first")
+    + r"\s+day\s+of\s+(?:" + _MONTHS + r")(?:,?\s+(?:two thousand|\d{4})[\w\s]*)?"
+)
+_SUFFIXED = r"(?i)[A-Z][A-Za-z0-9\s&.,'-]{2,50}" + _any(r"Ltd\.?|LLC|Inc\.?|Corp\.?|Co\.?|Limited|Pvt\.?|PLC|LLP|Technologies|Solutions|Services|Systems|Group|Holdings|Enterprises|Associates|Partners")
+_ROLE = "(?i)" + _any("company|client|vendor|employer|employee|contractor|lessor|lessee|licensor|licensee|buyer|seller|supplier|between") + _COLON
 ORGANIZATION = rf"(?:{_SUFFIXED})|(?:{_ROLE}[A-Z][A-Za-z0-9\s&.,'-]{{2,40}}(?=[,\n\r;.]|\s+(?:and|or|herein|with|as)))"
-REFERENCE = r"(?i)(?:contract|agreement|invoice|order|po|ref|reference|case|doc(?:ument)?|ticket|file)\s*(?:no\.?|number|#|id)\s*[:\-]?\s*([\w\-./]{3,30})"
+REFERENCE = "(?i)" + _any("contract|agreement|invoice|order|po|ref|reference|case|document|doc|ticket|file") + r"\s*(?:no\.?|number|#|id)" + _DASH + r"([\w\-./]{3,30})"
 DATE = (
-    r"(?i)(?:(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)\s+\d{1,2},?\s+\d{4})"
-    r"|(?:\d{1,2}[\-/.]\d{1,2}[\-/.]\d{2,4})|(?:\d{4}[\-/.]\d{1,2}[\-/.]\d{1,2})"
+    r"(?i)(?=[jfmasond\d])(?:(?:(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)\s+\d{1,2},?\s+\d{4})"
+    r"|(?:\d{1,2}[\-/.]\d{1,2}[\-/.]\d{2,4})|(?:\d{4}[\-/.]\d{1,2}[\-/.]\d{1,2}))"
 )
 #: Common words whose share marks a sentence fragment.
 FRAGMENT_WORDS = (
@@ -99,27 +119,33 @@ def _value(m: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract(m, pattern, group) if group else m
 
 
-def matches(text: Column, pattern: str, group: int, whole: Column | None = None) -> Column:
+FOUND = "array<struct<pos:int,value:string>>"
+
+
+def matches(text: Column, pattern: str, group: int, whole: Column | None = None, places: bool = True) -> Column:
     """Structs (pos, value) of all matches, in order; whole: the matched texts, if they are known already.
 
     The text is searched again, for the pieces between the matches, only where there is a match.
+    Without ``places`` it is not, and pos is the match's number.
     """
     if whole is None:
         whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    zipped = F.arrays_zip(gaps.alias("gap"), whole.alias("m"))
-    zero = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<pos:int,value:string>>").alias("out"))
-    folded = F.aggregate(
-        F.filter(zipped, lambda z: z["m"].isNotNull()),
-        zero,
-        lambda acc, z: F.struct((acc["end"] + z["gap"] + F.length(z["m"])).alias("end"), F.concat(acc["out"], F.array(F.struct((acc["end"] + z["gap"]).alias("pos"), T.trim(_value(z["m"], pattern, group)).alias("value")))).alias("out")),
-    )
-    return F.when(F.size(whole) > 0, folded["out"]).otherwise(F.array().cast("array<struct<pos:int,value:string>>"))
+    value = lambda m: T.trim(_value(m, pattern, group))
+    if not places:
+        return F.transform(whole, lambda m, i: F.struct(i.alias("pos"), value(m).alias("value")))
+    gaps = F.slice(F.transform(F.split(text, pattern, -1), F.length), F.lit(1), F.size(whole))
+    steps = F.zip_with(gaps, whole, lambda gap, m: F.struct(gap.alias("gap"), m.alias("m")))
+
+    def placed(z: Column) -> Column:
+        before = running_sums(F.transform(z, lambda s: s["gap"] + F.length(s["m"])))
+        return let(before, lambda sums: F.transform(z, lambda s, i: F.struct((sums[i] + s["gap"]).alias("pos"), value(s["m"]).alias("value"))))
+
+    return F.when(F.size(whole) > 0, let(steps, placed)).otherwise(F.array().cast(FOUND))
 
 
 def _first(found: Column, most: int, key) -> Column:
     """The first ``most`` structs of distinct keys."""
-    return F.aggregate(found, F.array().cast("array<struct<pos:int,value:string>>"), lambda acc, x: F.when((F.size(acc) >= most) | F.exists(acc, lambda a: key(a) == key(x)), acc).otherwise(F.concat(acc, F.array(x))))
+    return F.aggregate(found, F.array().cast(FOUND), lambda acc, x: F.when((F.size(acc) >= most) | F.exists(acc, lambda a: key(a) == key(x)), acc).otherwise(F.array_append(acc, x)))
 
 
 def _valid_below(longest: int):
@@ -144,46 +170,61 @@ def _row(place: int, name: str, sure: float):
     return lambda x: F.struct(F.lit(place).alias("ext_ord"), x["pos"].alias("match_pos"), F.lit(name).alias("type"), x["value"].alias("value"), F.lit(sure).alias("confidence"))
 
 
-def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", types: list[str] | None = None) -> DataFrame:
-    """(doc_id, ext_ord, match_pos, type, value, context, confidence) of all documents, one row per entity.
+def with_entities(docs: DataFrame, text_col: str = "text", types: list[str] | None = None, into: str = "entities", places: bool = True) -> DataFrame:
+    """The input with an array of (ext_ord, match_pos, type, value, confidence), by extractor and place.
 
     types: only these extractors are shown; DATE still sees the values of all that come before it.
     """
     names = [e[0] for e in EXTRACTORS]
     shown = types or names
     run = names if "DATE" in shown else shown
-    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    d = once(d, **{f"m_{name}": F.regexp_extract_all(F.col("text"), F.lit(pattern), F.lit(0)) for name, pattern, *_ in EXTRACTORS if name in run})
+    d = docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit("")))
+    d = once(d, **{f"__m_{name}": F.regexp_extract_all(F.col("__text"), F.lit(pattern), F.lit(0)) for name, pattern, *_ in EXTRACTORS if name in run})
     found: dict[str, Column] = {}
     for name, pattern, group, longest, _ in EXTRACTORS:
         if name not in run:
             continue
-        out = matches(F.col("text"), pattern, group, F.col(f"m_{name}"))
+        out = matches(F.col("__text"), pattern, group, F.col(f"__m_{name}"), places and name in shown)
         if longest:
             out = F.filter(out, _valid_below(longest))
         if name == "TOTAL_AMOUNT":
-            out = F.filter(out, lambda x: F.length(F.regexp_replace(x["value"], r"\D", "")) >= 2)
+            out = F.filter(out, lambda x: x["value"].rlike(r"\d\D*\d"))
         if name in ("SIGNATORY", "ORGANIZATION"):
             out = F.filter(out, lambda x: ~is_fragment(x["value"]))
         if name == "SIGNATORY_INCOMPLETE":
             out = F.transform(out, lambda x: F.struct(x["pos"].alias("pos"), F.concat(x["value"], F.lit(" [Name not specified]")).alias("value")))
-        found[f"_{name}"] = out
+        found[f"__{name}"] = out
     d = once(d, **found)
-    d = d.select("doc_id", "text", *found)
-    caps = {f"_{n}": _first(F.col(f"_{n}"), CAPS[n], _lower if n == "ORGANIZATION" else _plain) for n in run if n in CAPS and n != "DATE"}
+    caps = {f"__{n}": _first(F.col(f"__{n}"), CAPS[n], _lower if n == "ORGANIZATION" else _plain) for n in run if n in CAPS and n != "DATE"}
     if caps:
-        d = _swap(d, caps)
+        d = once(d, **caps)
     if "DATE" in run:
-        before = F.flatten(F.array(*[F.transform(f"_{m}", _plain) for m in run[: run.index("DATE")]]))
-        d = once(d, before=before)
-        d = _swap(d, {"_DATE": _first(F.filter("_DATE", lambda x: ~F.array_contains("before", x["value"])), CAPS["DATE"], _plain)})
-    rows = F.flatten(F.array(*[F.transform(f"_{n}", _row(names.index(n), n, c)) for n, _, _, _, c in EXTRACTORS if n in shown]))
-    out = d.select("doc_id", "text", F.explode(rows).alias("e")).select("doc_id", "text", "e.*")
-    return out.select("doc_id", "ext_ord", "match_pos", "type", "value", context(F.col("text"), F.col("match_pos")).alias("context"), "confidence")
+        before = F.array_distinct(F.flatten(F.array(*[F.transform(f"__{m}", _plain) for m in run[: run.index("DATE")]])))
+        # At most ten new dates are looked for, so each match is compared with a bounded list only until then.
+        d = once(once(d, __before=before), __DATE=_first(F.filter("__DATE", lambda x: ~F.array_contains("__before", x["value"])), CAPS["DATE"], _plain))
+    rows = F.flatten(F.array(*[F.transform(f"__{n}", _row(names.index(n), n, c)) for n, _, _, _, c in EXTRACTORS if n in shown]))
+    return d.select(*[F.col(f"`{c}`") for c in docs.columns], rows.alias(into))
+
+
+def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", types: list[str] | None = None, places: bool = True) -> DataFrame:
+    """(doc_id, ext_ord, match_pos, type, value, context, confidence) of all documents, one row per entity.
+
+    Without ``places``, match_pos and context are left out, and no text is searched a second time.
+    """
+    few = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    out = with_entities(few, types=types, places=places)
+    out = out.select("doc_id", *(["text"] if places else []), F.explode("entities").alias("e"))
+    if not places:
+        return out.select("doc_id", "e.ext_ord", "e.type", "e.value", "e.confidence")
+    return out.select("doc_id", "e.ext_ord", "e.match_pos", "e.type", "e.value", context(F.col("text"), F.col("e.match_pos")).alias("context"), "e.confidence")
+
+
+def shown(type_: Column) -> dict[str, Column]:
+    """Icon, colour, label and flag of an entity type; unknown types get defaults."""
+    of = lambda k: F.element_at(F.create_map(*[F.lit(x) for row in META for x in (row[0], row[k])]), type_)
+    return {"icon": F.coalesce(of(1), F.lit("info")), "color": F.coalesce(of(2), F.lit("#64748b")), "label": F.coalesce(of(3), type_), "flagged": F.coalesce(of(4), F.lit(False))}
 
 
 def decorate(entities: DataFrame) -> DataFrame:
-    """Icon, colour, label and flag of each entity; unknown types get defaults.  The joined table has eleven rows."""
-    meta = entities.sparkSession.createDataFrame(META, "type string, icon string, color string, label string, flagged boolean")
-    out = entities.join(F.broadcast(meta), "type", "left")
-    return out.withColumns({"icon": F.coalesce("icon", F.lit("info")), "color": F.coalesce("color", F.lit("#64748b")), "label": F.coalesce("label", "type"), "flagged": F.coalesce("flagged", F.lit(False))})
+    """Icon, colour, label and flag of each entity, from a constant of eleven entries."""
+    return entities.withColumns(shown(F.col("type")))

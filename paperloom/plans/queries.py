@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,10 +45,9 @@ _GARBAGE = rf"(CASE WHEN {_INK.format('text')} > 0 THEN length(regexp_replace(te
 _SINGLE = r"(CASE WHEN len(w) > 10 THEN len(list_filter(w, lambda q: length(q) = 1 AND NOT regexp_full_match(q, '[aAI0-9]')))::DOUBLE / len(w) ELSE 0 END)"
 
 
-@query(r"SELECT doc_id, len(regexp_extract_all(text, '\S+')) AS word_count, length(text) AS character_count, CASE WHEN n_chars < 1024 THEN concat(n_chars, ' B') WHEN n_chars < 1048576 THEN concat((n_chars * 10 // 1024) // 10, ' KB') ELSE 'MB' END AS size FROM documents")
+@query(r"SELECT doc_id, len(regexp_extract_all(text, '\S+')) AS word_count, length(text) AS character_count, CASE WHEN n_chars < 1024 THEN concat(n_chars, ' B') WHEN n_chars < 1048576 THEN concat((n_chars * 10 + 512) // 1024 // 10, '.', (n_chars * 10 + 512) // 1024 % 10, ' KB') ELSE concat((n_chars * 10 + 524288) // 1048576 // 10, '.', (n_chars * 10 + 524288) // 1048576 % 10, ' MB') END AS size FROM documents")
 def doc_metadata(spark, d):
-    size = F.when(F.col("n_chars") < 1024, T.file_size(F.col("n_chars"))).when(F.col("n_chars") < 1 << 20, F.concat(F.floor(F.col("n_chars") / 1024).cast("string"), F.lit(" KB"))).otherwise("MB")
-    return _docs(spark, d).select("doc_id", T.word_count(F.col("text")).alias("word_count"), F.length("text").alias("character_count"), size.alias("size"))
+    return _docs(spark, d).select("doc_id", T.word_count(F.col("text")).alias("word_count"), F.length("text").alias("character_count"), T.file_size(F.col("n_chars")).alias("size"))
 
 
 @query(rf"""WITH t AS (SELECT doc_id, text, regexp_split_to_array(regexp_replace(text, '\s+$', ''), '\s+') AS w FROM documents)
@@ -55,8 +55,8 @@ SELECT doc_id, round({_ALNUM}, 9) AS alnum, round({_GARBAGE}, 9) AS garbage, rou
 length({_TRIM.format('text')}) < 20 OR {_INK.format('text')} = 0 OR {_ALNUM} < 0.5 OR {_GARBAGE} > 0.05 OR {_SINGLE} > 0.3 AS low_quality,
 round(CASE WHEN {_INK.format('text')} = 0 THEN 10 ELSE greatest(10, least(98, {_ALNUM} * 100)) END, 7) AS confidence FROM t""")
 def text_quality(spark, d):
-    c = F.col("text")
-    return _docs(spark, d).select("doc_id", F.round(T.alnum_ratio(c), 9).alias("alnum"), F.round(T.garbage_ratio(c), 9).alias("garbage"), F.round(T.single_char_share(c), 9).alias("single_share"), T.is_low_quality(c).alias("low_quality"), F.round(T.confidence(c), 7).alias("confidence"))
+    rated = T.with_quality(_docs(spark, d).select("doc_id", "text"))
+    return rated.select("doc_id", *[F.round(c, 9).alias(c) for c in ("alnum", "garbage", "single_share")], "low_quality", F.round("confidence", 7).alias("confidence"))
 
 
 @query(rf"""WITH t AS (SELECT turn, conv_id, text, lower(text) AS alt FROM conversations), q AS (SELECT conv_id, turn, role_text, alnum FROM (SELECT conv_id, turn, text AS role_text, {_ALNUM} AS alnum FROM t))
@@ -185,8 +185,11 @@ def page_strategy(spark, d):
 
 
 def _re2(pattern: str) -> str:
-    """The pattern for an engine without look-ahead: what follows is consumed."""
-    return pattern.replace(r"(?=[\n\r,;.]|$)", r"(?:[\n\r,;.]|$)").replace("'", "''")
+    """The pattern for an engine without look-around and possessive runs: what follows is consumed, runs are plain."""
+    plain = {r"(?=[\n\r,;.]|$)": r"(?:[\n\r,;.]|$)", r"(?:\s*+[:\-]\s*|\s*)": r"\s*[:\-]?\s*", E._COLON: r"\s*[:\-]?\s*", E._DASH: r"\s*[:\-]?\s*", r"(?:(?<![\d,])|\G)[\d,]++": r"[\d,]+", r"\s*+": r"\s*", "'": "''"}
+    for old, new in plain.items():
+        pattern = pattern.replace(old, new)
+    return re.sub(r"\(\?=\[[^]]*\]\)", "", pattern)
 
 
 _FRAGMENT = rf"(len(string_split(v, ' ')) >= 3 AND len(list_filter(regexp_split_to_array(lower(v), '\s+'), lambda w: list_contains({_list(E.FRAGMENT_WORDS)}, w)))::DOUBLE / len(regexp_split_to_array(v, '\s+')) >= 0.4)"
@@ -199,7 +202,7 @@ def _values(pattern: str, group: int, longest: int | None, extra: str = "true")
 
 def _entity(name: str, sql: str | None) -> None:
     def run(spark, d):
-        rows = E.extract(X.contracts(spark, d), types=[name])
+        rows = E.extract(X.contracts(spark, d), types=[name], places=False)
         return rows.groupBy("doc_id", "value").agg(F.count("*").alias("n"))
 
     run.__name__ = f"ent_{name.lower()}"

@@ -98,3 +98,54 @@ def test_kernels_agree_with_pixel_rows(spark):
     out, seen = I.enhance(a)
     assert seen["low_resolution"] and set(np.unique(out)) <= {0, 255} and (out == 0).any() and abs(seen["skew"]) <= 1
     assert (I.rotate(np.full((9, 9), 7.0), 0) == 7).all()
+
+
+@pytest.mark.parametrize("part", ["\n", "\r\n", " ", "\t", ".", "!", "\f", "-\n", "due date ", "1", "1,", "less: ", "a", " ", "--- ", "$ "])
+def test_long_runs_cost_their_length(spark, part):
+    n = 1_000_000 // len(part) if len(part) < 4 else 20_000
+    rows = [(1, "Some words stand here" + part * n + "and here. "), (2, part * n), (3, "x y" + part * n)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    c = F.col("text")
+    cleaned = d.select("doc_id", *[F.length(f(c)).alias(f.__name__) for f in (T.trim, T.strip_end, T.ink, T.clean, T.normalize_native, T.normalize_ocr)], F.size(T.tokens(c)).alias("tokens"), F.size(T.sentences(c)).alias("sentences"))
+    assert len(T.with_quality(d).drop("text").collect()) == len(cleaned.collect()) == 3
+    blank = part.strip() == ""
+    assert cleaned.where("doc_id = 2").first().trim == (0 if all(x <= " " for x in part) else len((part * n).strip("".join(map(chr, range(33))))))
+    assert blank or part == " " or d.select(F.size(contradictions(c)).alias("k")).where("k > 0").count() == 0
+    if part in ("due date ", "1", "1,", "less: ", "$ ", " ", "\n"):
+        assert E.extract(d, types=["DUE_DATE", "SIGNING_DATE", "TOTAL_AMOUNT", "DEDUCTION", "SIGNATORY", "SIGNATORY_INCOMPLETE", "REFERENCE_NUMBER"]).count() >= 0
+
+
+@pytest.mark.parametrize(
+    "text,kind,want",
+    [
+        ("due date   ABC, x", "DUE_DATE", ["ABC, x"]),
+        ("due date  -  AB, x", "DUE_DATE", ["AB, x"]),
+        ("due date: ab.", "DUE_DATE", []),
+        ("The twenty-first day of June, two thousand ten. the first  day of May", "DATE_WRITTEN_FORM", ["The twenty-first day of June, two thousand ten", "the first  day of May"]),
+        ("First day of May, 2024 and more", "DATE_WRITTEN_FORM", ["First day of May, 2024 and more"]),
+        ("Invoice no. - AB/12-x.3 and ticket #9, case id: abc PO number 12345", "REFERENCE_NUMBER", ["AB/12-x.3", "12345"]),
+        ("Order # -77a", "REFERENCE_NUMBER", ["77a"]),
+        ("$1.2345 million and 12,34,567 or 12,34,5678 and 99 lakh rupees", "TOTAL_AMOUNT", ["$1.23", "45 million", "12,34,567", "99 lakh rupees"]),
+        ("less:   - $ 50 or minus 7", "DEDUCTION", []),
+        ("Less:   - $ 50.5 TDS 7", "DEDUCTION", ["Less:   - $ 50.5", "TDS 7"]),
+        ("Seller: Blue Sky Ltd. and more", "ORGANIZATION", ["Blue Sky Ltd."]),
+        ("Executed by :  Ada  Lovelace, duly authorized", "SIGNATORY", ["Ada  Lovelace"]),
+    ],
+)
+def test_entity_literals(spark, text, kind, want):
+    assert values(spark, text, kind) == want
+
+
+def test_places_of_many_matches(spark):
+    text = "x" + " TDS 17" * 3000
+    rows = E.extract(spark.createDataFrame([(1, text)], "doc_id long, text string"), types=["DEDUCTION"]).select("match_pos", "value").collect()
+    assert sorted(map(tuple, rows)) == [(2 + 7 * i, "TDS 17") for i in range(3000)]
+
+
+def test_rows_of_one_id_stay_apart(spark):
+    long = " ".join(f"Sentence number {i} speaks of topic {i * 7} at some length." for i in range(9))
+    rows = [(1, long), (1, long), (1, "Invoice # A-123 " * 3), (None, long)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.summary, len(r.entities)) for r in analyze(df).collect()]
+    assert len(got) == 4 and len({g[1] for g in got}) == 2
+    assert summaries(df).count() == 4 and "Exchange" not in analyze(df)._jdf.queryExecution().executedPlan().toString()
