@@ -112,5 +112,12 @@ def safe_columns(df: DataFrame, **named: Column) -> DataFrame:
     return df.select(*[c.alias(k) for k, c in named.items()])
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that the input doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    tail = next(k for k in range(len(taken) + 1) if not any(f"__{n}{k}" in taken for n in names))
+    return [f"__{n}{tail}" for n in names]
+
+
 def letters(c: Column) -> Column:
     return F.length(F.regexp_replace(c, r"\P{L}", ""))

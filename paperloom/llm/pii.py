@@ -21,7 +21,7 @@ date       a day of 1900-2099, y-m-d, m/d/y or d.m.y       within these 73,049 d
 =========  ==============================================  ==================================
 
 Null texts stay null, empty texts empty; both have n_pii 0.  Repeated rows give equal results; an
-empty table gives an empty result.  All other columns of the input are kept as they are.
+empty table gives an empty result.  All other columns of the input are kept as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,16 +29,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 ROUNDS = 8
-EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*\.[A-Za-z]{2,}+"
+#: Taken whole, as a possessive group is walked without recursion; the last label is looked at afterwards (MAIL).
+EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+#: The longest part of such a run that ends with a top-level label.
+MAIL = r"^(.*\.[A-Za-z]{2,}+)(?![A-Za-z0-9-])"
 IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
 IP = r"(?:\d{1,3}\.){3}\d{1,3}"
 DATE = r"\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4}"
 SSN = r"\d{3}-\d{2}-\d{4}"
 PHONE = r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}"
 CARD = r"\d{13,19}|\d{4}(?:[ -]\d{4}){3}(?:[ -]\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{5}"
+NUMBER = rf"(?:(?:{IBAN})|(?:{PHONE}(?!\d))|(?:{IP}(?!\.?\d))|(?:{DATE})|(?:{SSN})|(?:{CARD}))(?![\w-])"
 #: No part may begin or end within a word or number.
-PATTERN = rf"(?<![A-Za-z0-9._%+@-])(?:{EMAIL})(?![A-Za-z0-9-])|(?<![\w.+-])(?:(?:{IBAN})|(?:{PHONE}(?!\d))|(?:{IP}(?!\.?\d))|(?:{DATE})|(?:{SSN})|(?:{CARD}))(?![\w-])"
+PATTERN = rf"(?<![A-Za-z0-9._%+@-])(?:{EMAIL})|(?<![\w.+-]){NUMBER}"
 #: The kinds whose match can hold a shorter value and words or numbers after it; no account number has less than 15 characters.
 SHORTER = rf"^(?:(?=(?: ?[A-Z0-9]){{15}})(?:{IBAN})|(?:{PHONE})|(?:{CARD}))$"
 #: What each match of PATTERN holds: an address of single digits is the one kind without two digits together.
@@ -108,9 +114,14 @@ def kind_sql(v: str = "v") -> str:
 
 
 def valid_sql(v: str = "v") -> str:
-    """SQL for the longest valid value that a match begins with, or null."""
-    shorter = f"transform(filter(sequence(length({v}) - 1, 1, -1), k -> substring({v}, k + 1, 1) rlike '[ .-]'), k -> substring({v}, 1, k))"
-    return f"if({kind_sql(v)} is not null, {v}, get(filter({shorter}, u -> u rlike r'{SHORTER}' and {kind_sql('u')} is not null), 0))"
+    """SQL for the longest valid value that a match begins with, or null.
+
+    A run that looks like a mail address without a top-level label can still begin with a number.
+    """
+    shorter = "transform(filter(sequence(length(w) - 1, 1, -1), k -> substring(w, k + 1, 1) rlike '[ .-]'), k -> substring(w, 1, k))"
+    plain = f"case when length(w) < 2 then null when {kind_sql('w')} is not null then w else get(filter({shorter}, u -> u rlike r'{SHORTER}' and {kind_sql('u')} is not null), 0) end"
+    mail = f"coalesce(nullif(regexp_extract({v}, r'{MAIL}', 1), ''), regexp_extract({v}, r'^{NUMBER}', 0))"
+    return _let(f"if(contains({v}, '@'), {mail}, {v})", plain, "w")
 
 
 def _cuts(parts: str, valid: str) -> str:
@@ -157,23 +168,26 @@ def pseudonym_sql(key: str, v: str = "v") -> str:
 
 
 def pseudonymise(docs: DataFrame, key: str, *, text_col: str = "text", count_col: str | None = "n_pii") -> DataFrame:
-    """The input with its texts' personal data replaced, and the number of replaced values.
+    """The input with its texts' personal data replaced, and the number of replaced values in ``count_col``.
 
-    key: a secret without quotes or backslashes; equal keys give equal pseudonyms.
+    key: a secret without quotes or backslashes; equal keys give equal pseudonyms.  An input column
+    named like ``count_col`` is replaced by it; all others stay.
     """
     if not key or set(key) & set("'\\"):
         raise ValueError("the key must be a non-empty string without quotes or backslashes")
     text = F.col(f"`{text_col}`")
     none = lambda kind: F.array().cast(f"array<{kind}>")
+    heads_, valid_, parts_, cuts_ = fresh(docs, "heads", "valid", "parts", "cuts")
     heads = F.when(text.rlike(MAYBE), F.regexp_extract_all(text, F.lit(f"(?=({PATTERN}))"), F.lit(1))).otherwise(none("string"))
-    out = docs.withColumn("__heads", heads).withColumn("__valid", F.expr(f"transform(__heads, v -> {valid_sql()})"))
-    found = F.exists("__valid", lambda v: v.isNotNull())
+    out = docs.withColumn(heads_, heads).withColumn(valid_, F.expr(f"transform({heads_}, v -> {valid_sql()})"))
+    found = F.exists(valid_, lambda v: v.isNotNull())
     # Every part but the first begins where a match does; the first is empty here if the text begins with one.
     parts = F.split(text, f"(?={PATTERN})", -1)
-    out = out.withColumn("__parts", F.when(found, parts).otherwise(none("string")))
-    out = out.withColumn("__parts", F.expr("if(size(__parts) = size(__valid), concat(array(''), __parts), __parts)"))
-    out = out.withColumn("__cuts", F.when(F.size("__parts") > 1, F.expr(_cuts("slice(__parts, 2, size(__valid))", "__valid"))).otherwise(none("int")))
-    joined = F.expr(f"concat(__parts[0], array_join(transform(__valid, (v, at) -> concat(if(__cuts[at] > 0, {pseudonym_sql(key)}, ''), substring(__parts[at + 1], 1 + abs(__cuts[at])))), ''))")
+    out = out.withColumn(parts_, F.when(found, parts).otherwise(none("string")))
+    out = out.withColumn(parts_, F.expr(f"if(size({parts_}) = size({valid_}), concat(array(''), {parts_}), {parts_})"))
+    out = out.withColumn(cuts_, F.when(F.size(parts_) > 1, F.expr(_cuts(f"slice({parts_}, 2, size({valid_}))", valid_))).otherwise(none("int")))
+    joined = F.expr(f"concat({parts_}[0], array_join(transform({valid_}, (v, at) -> concat(if({cuts_}[at] > 0, {pseudonym_sql(key)}, ''), substring({parts_}[at + 1], 1 + abs({cuts_}[at])))), ''))")
+    out = out.withColumn(text_col, F.when(F.size(cuts_) > 0, joined).otherwise(text))
     if count_col:
-        out = out.withColumn(count_col, F.size(F.filter("__cuts", lambda c: c > 0)).cast("long"))
-    return out.withColumn(text_col, F.when(F.size("__cuts") > 0, joined).otherwise(text)).drop("__heads", "__valid", "__parts", "__cuts")
+        out = out.withColumn(count_col, F.size(F.filter(cuts_, lambda c: c > 0)).cast("long"))
+    return out.drop(heads_, valid_, parts_, cuts_)

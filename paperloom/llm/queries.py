@@ -16,8 +16,12 @@ from .pii import pseudonymise
 from .piece_codec import MARK, encode_pieces
 from .token_counts import token_counts
 
-#: The key of the registered queries; set one's own for real data.
-PII_KEY = "paperloom-example-key"
+#: Where the key of pseudonyms is looked up, and the one of tests and examples; set one's own for real data.
+PII_SETTING, PII_EXAMPLE = "spark.paperloom.pii.key", "paperloom-example-key"
+
+
+def pii_key(spark: SparkSession) -> str:
+    return spark.conf.get(PII_SETTING, PII_EXAMPLE)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -51,7 +55,7 @@ def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(_read(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    return pseudonymise(_read(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark))
 
 
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
