@@ -16,7 +16,7 @@ from paperloom.llm.common import Workspace
 from paperloom.llm.ngram_join import ngram_jaccard_classes
 from paperloom.llm.packing import pack_documents
 from paperloom.llm.pii import pseudonymise
-from paperloom.llm.queries import PII_KEY
+from paperloom.llm.queries import pii_key
 
 #: Documents whose clearest language has a lower mean probability are rejected; of four languages a
 #: uniform guess gives 0.25.
@@ -57,7 +57,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by pseudonyms; n_chars follows the new text."""
-    out = pseudonymise(docs, PII_KEY, count_col=None)
+    out = pseudonymise(docs, pii_key(spark), count_col=None)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
