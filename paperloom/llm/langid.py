@@ -4,8 +4,8 @@ Two GRUs read windows of a text's bytes, one forwards and one backwards; a softm
 labels every position, and the document's probabilities are the mean over the positions that belong
 to letters.  Windows overlap by ``MARGIN`` bytes on each side whose labels are not used, so a text of any
 length is read as a whole in bounded memory.  The network is trained in numpy by backpropagation
-through time and Adam, on windows of a bounded sample: ``per_lang`` documents of each language, the
-first by a hash of their ids, each with ``WINDOWS`` stretches spread over the text.
+through time and Adam, on a bounded sample of labelled rows: at most ``per_lang`` of each language, drawn
+by a hash of id and text.  Each gives ``draws`` windows at places drawn uniformly from its whole text.
 
 Null texts and texts without a letter get ``und`` and score 0; so does every text if no language
 could be learned.  Ties go to the language first in order.  Repeated rows get equal results, an empty
@@ -14,6 +14,8 @@ table gives an empty result, other columns of the input are not read.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +24,8 @@ from pyspark.sql.window import Window
 from .common import map_arrow, safe_columns, slabs
 
 HIDDEN, CORE, MARGIN, WIDE = 8, 208, 16, 2048
-WINDOWS, STRETCH = 4, 160
+#: Bytes of a training window, and the most languages that a network is built for.
+LENGTH, MOST_LANGUAGES = 48, 1000
 LETTER = np.zeros(256, np.float32)
 LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 
@@ -119,24 +122,19 @@ def loss_and_gradients(p: dict, x: np.ndarray, y: np.ndarray) -> tuple[float, di
     return loss, grad
 
 
-def train(rows: list[tuple[bytes, int]], langs: int, steps: int = 300, batch: int = 192, length: int = 48, seed: int = 5) -> dict[str, np.ndarray]:
-    """Adam on random windows; languages are drawn with equal probability."""
+def train(rows: list[tuple[np.ndarray, int]], langs: int, steps: int = 300, batch: int = 192, seed: int = 5) -> dict[str, np.ndarray]:
+    """Adam on windows of the rows (window, byte); languages are drawn with equal probability."""
     rng = np.random.default_rng(seed)
     p = init(langs, rng)
     m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
-    rows = [(np.frombuffer(b, np.uint8), y) for b, y in rows if len(b)]
-    by = [[b for b, y in rows if y == k] for k in range(langs)]
+    by = [[w for w, y in rows if y == k] for k in range(langs)]
     have = [k for k in range(langs) if by[k]]
     if not have:
         return p
     for step in range(1, steps + 1):
         y = rng.choice(have, batch)
-        x = np.full((length, batch), 32, np.uint8)
-        for i, k in enumerate(y):
-            b = by[k][rng.integers(len(by[k]))]
-            s = rng.integers(max(1, len(b) - length + 1))
-            part = b[s : s + length]
-            x[: len(part), i] = part
+        some = [by[k][rng.integers(len(by[k]))] for k in y]
+        x = np.stack([w[rng.integers(len(w))] for w in some], axis=1)
         _, g = loss_and_gradients(p, x, y)
         rate = 0.02 * min(1, step / 20) * (0.5 * (1 + np.cos(np.pi * step / steps)) + 0.02)
         norm = np.sqrt(sum(float((a * a).sum()) for a in g.values()))
@@ -182,21 +180,48 @@ def predict(p: dict, raws: list[bytes]) -> np.ndarray:
     return total / np.maximum(weight, 1)[:, None]
 
 
-def sample(docs: DataFrame, training: Column, per_lang: int) -> list[tuple[str, str]]:
-    """(lang, stretch) rows of at most per_lang documents of each language."""
-    rows = safe_columns(docs, doc_id=F.col("doc_id"), text=F.col("text"), lang=F.col("lang")).where(training & F.col("lang").isNotNull() & (F.length("text") > 0))
-    place = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("lang", "doc_id").withColumn("k", F.row_number().over(place)).where(F.col("k") <= per_lang).select("doc_id").distinct()
-    rows = rows.join(F.broadcast(ids), "doc_id", "left_semi").select("lang", "doc_id", *[F.substring("text", F.greatest(F.lit(1), F.floor(F.length("text") * k / WINDOWS)).cast("int"), F.lit(STRETCH)).alias(f"s{k}") for k in range(WINDOWS)])
-    return [(r.lang, r[f"s{k}"]) for r in sorted(rows.collect(), key=lambda r: (r.lang, r.doc_id, r.s0)) for k in range(WINDOWS)]
+def windows(raw: bytes, draws: int, length: int) -> np.ndarray:
+    """``draws`` windows at places drawn from the whole text, blanks after its end; equal texts give equal windows."""
+    b = np.frombuffer(raw, np.uint8)
+    at = np.random.default_rng(zlib.crc32(raw)).integers(0, max(1, len(b) - length + 1), draws)
+    out = np.full((draws, length), 32, np.uint8)
+    for w, s in zip(out, at):
+        part = b[s : s + length]
+        w[: len(part)] = part
+    return out
+
+
+def sample(docs: DataFrame, training: Column, per_lang: int, draws: int, length: int = LENGTH) -> list[tuple[str, bytes]]:
+    """(lang, windows) of at most ``per_lang`` documents of each language, in a fixed order.
+
+    The languages are counted first, so that a threshold on the hash leaves about 1.5 times ``per_lang`` rows of
+    each, however frequent it is; only these are ranked.
+    """
+    rows = safe_columns(docs, doc_id=F.col("doc_id"), text=F.col("text"), lang=F.col("lang")).where(training & F.col("lang").isNotNull())
+    counts = rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    if not counts:
+        return []
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, (1.5 * per_lang + 50) / r["count"]))])
+    h = F.xxhash64("doc_id", "text")
+    drawn = rows.where(F.length("text") > 0).withColumn("h", h).where(F.pmod("h", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
+    place = Window.partitionBy("lang").orderBy("h", "doc_id", "text")
+    drawn = drawn.withColumn("k", F.row_number().over(place)).where(F.col("k") <= per_lang).select("lang", "h", "k", "text")
+
+    def run(batches):
+        for batch in slabs(batches, "text"):
+            yield {"lang": batch.column(0), "k": batch.column(2), "windows": [windows(t.encode(), draws, length).tobytes() for t in batch.column(3).to_pylist()]}
+
+    return [(r.lang, r.windows) for r in sorted(map_arrow(drawn, "lang string, k int, windows binary", run).collect(), key=lambda r: (r.lang, r.k))]
 
 
-def fit(docs: DataFrame, training: Column, per_lang: int = 500) -> tuple[list[str], dict]:
-    """The languages in order, and the network's parameters."""
-    rows = sample(docs, training, per_lang)
+def fit(docs: DataFrame, training: Column, per_lang: int = 500, draws: int = 32) -> tuple[list[str], dict]:
+    """The languages in order, and the network's parameters; the sample is ``per_lang`` * ``draws`` windows of each at most."""
+    rows = sample(docs, training, per_lang, draws)
     langs = sorted({lang for lang, _ in rows})
     at = {lang: i for i, lang in enumerate(langs)}
-    return langs, train([(t.encode(), at[lang]) for lang, t in rows], len(langs)) if langs else {}
+    return langs, train([(np.frombuffer(w, np.uint8).reshape(draws, LENGTH), at[lang]) for lang, w in rows], len(langs)) if langs else {}
 
 
 def label(model: tuple[list[str], dict], texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -222,8 +247,13 @@ def identify(docs: DataFrame, model: tuple[list[str], dict], *, id_col: str = "d
     return map_arrow(few, "doc_id long, lang_pred string, score double", run)
 
 
-def keep_known(docs: DataFrame, model: tuple[list[str], dict], least: float = 0.3) -> DataFrame:
-    """The documents with a language (not ``und``) of mean probability ``least`` or more, in one pass without a join."""
+def keep_known(docs: DataFrame, model: tuple[list[str], dict], clear: float = 1.2) -> DataFrame:
+    """The documents with a language (not ``und``) whose mean probability is ``clear`` times that of a guess, in one pass without a join.
+
+    A guess among L languages has 1 / L, so the bound follows their number (0.3 of four languages; never above
+    0.99).  All columns stay; repeated rows are judged alike, null and letterless texts go, an empty table stays empty.
+    """
+    least = min(0.99, clear / max(1, len(model[0])))
 
     def run(batches):
         for batch in slabs(batches, "text"):
