@@ -11,7 +11,8 @@ hash of their ids; the classes' shares among all training labels are restored by
 
 Every text gets a score: a null text counts as empty, and empty texts have all features 0.  Without
 training rows the score is 0.5; with rows of one label it is that label's smoothed share.
-Repeated rows get equal scores; an empty table gives an empty result.
+Repeated rows get equal scores; an empty table gives an empty result.  Other columns of the input are
+not read, whatever their names; ``keep_quality`` keeps them.
 """
 
 from __future__ import annotations
@@ -191,7 +192,9 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, *, label_col: str
     """The model of documents (doc_id, text) and labels (doc_id, 0 or 1) of the rows that ``training`` (on doc_id) selects."""
     known = safe_columns(labels, doc_id=F.col("doc_id"), y=F.col(label_col).cast("int")).where(training & F.col("y").isin(0, 1))
     totals = dict(known.groupBy("y").count().collect())
-    picked = [known.where(F.col("y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
+    # About 1.5 times as many rows as wanted pass the threshold, so what partitions send to the last step does not grow with them.
+    h, share = F.xxhash64("doc_id"), {k: min(1.0, (1.5 * per_class + 50) / totals.get(k, 1)) for k in (0, 1)}
+    picked = [known.where((F.col("y") == k) & (F.pmod(h, F.lit(1 << 30)) < share[k] * (1 << 30))).orderBy(h, "doc_id").limit(per_class) for k in (0, 1)]
     picked = picked[0].union(picked[1])
     texts = safe_columns(docs, doc_id=F.col("doc_id"), text=F.coalesce("text", F.lit(""))).join(F.broadcast(picked), "doc_id")
 
