@@ -4,15 +4,19 @@ A dimension is a term, a component its impact, and a dimension's column in a sha
 a query, each term's score is bounded by the shard's extremes; the terms are ordered by bound, and those of
 smallest bound that cannot reach the current threshold together are non-essential.  The essential
 postings are traversed; the other terms are probed, a few at a time, only for the rows that can still
-reach the threshold.  The threshold starts at the k-th best of a few rows scored in full and rises
-with the results.  Each shard gives its own k best per query, and the shards are merged.
+reach the threshold.  The threshold starts at the k-th best of a few rows scored in full, or at the k-th best
+of the shards that the task has searched before, and rises with the k-th best of the partial scores, each plus
+the least that its remaining terms can add.  Each shard gives its own k best per query, and the shards are merged.
 
-Queries are cut into blocks and rows into shards, both of bounded size; every block meets every shard
-under a key of its own, so no side is broadcast and no key is hot.
+Queries are cut into blocks and rows into shards, both of bounded size.  The query blocks, the smaller
+side, are copied to every shard; a task holds one shard and lets the blocks stream by.  So no side is
+broadcast, no key is hot, and no shard is copied.
 
 Null vectors and vectors with null or non-finite components take no part; vectors of unequal length
 are padded with zeros.  Ties go to the smaller id.  A row never finds itself: rows with the query's
-id are left out.  Fewer rows than k: all are returned.  Repeated rows are rows of their own.
+id are left out.  Fewer rows than k: all are returned.  Repeated rows are rows of their own: each is
+found by itself, and each row that asks gets its own k ranks.  An empty table gives an empty result;
+other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark.sql.window import Window
 
 from paperloom.session import ship_package
 
-from .common import Workspace, map_arrow, safe_columns
+from .common import Workspace, map_arrow, partitions, safe_columns
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -37,40 +41,53 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return near[np.lexsort((ids[near], -scores[near]))][:k]
 
 
-def search_shard(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, step: int = 8, seeds: int = 512):
-    """(query place, row id, score) arrays of each query's k best rows of the shard."""
+def search_shard(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, floors: np.ndarray | None = None, step: int = 8, seeds: int = 512):
+    """(query place, row id, score) arrays of each query's k best rows of the shard; rows below ``floors`` may be left out.
+
+    floors: for each query a score that k rows are known to reach; it is raised in place.
+    """
     most = max(1.0, float(np.abs(queries).max(initial=0)) * float(np.abs(rows).max(initial=0)) * max(1, rows.shape[1]))
     kind = np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
     q, columns = queries.astype(kind), np.ascontiguousarray(rows.T.astype(kind))
     high, low = columns.max(axis=1), columns.min(axis=1)
+    floors = np.full(len(q), -np.inf) if floors is None else floors
     out = []
     for i in range(len(q)):
-        bound = np.maximum(q[i] * high, q[i] * low)
+        bound, least = np.maximum(q[i] * high, q[i] * low), np.minimum(q[i] * high, q[i] * low)
         order = np.argsort(-bound, kind="stable")
-        w, rest = q[i][order], np.concatenate([np.cumsum(bound[order][::-1])[::-1], [0]])
+        w = q[i][order]
+        # What the terms from a place on can add at most, and at least.
+        rest, sure = (np.concatenate([np.cumsum(x[order][::-1])[::-1], [0]]) for x in (bound, least))
         own = ids == query_ids[i]
         first = np.flatnonzero(~own[: seeds + 1])
         seed = np.sort(q[i] @ columns[:, first])
-        floor = seed[-k] if len(seed) >= k else -np.inf
+        floor = max(floors[i], seed[-k] if len(seed) >= k else -np.inf)
         # Terms from `split` on are non-essential: their bounds together stay below the threshold.
         split = int(np.argmax(rest < floor)) if np.isfinite(floor) and (rest < floor).any() else len(w)
         split = max(1, split) if len(w) else 0
-        part = w[:split] @ columns[order[:split]] if split else np.zeros(len(ids), kind)
-        alive = np.flatnonzero((part + rest[split] >= floor) & ~own)
-        part = part[alive]
-        for at in range(split, len(w), step):
-            terms = order[at : at + step]
-            part = part + w[at : at + step] @ columns[np.ix_(terms, alive)]
-            if len(part) > k:
-                keep = part + rest[min(at + step, len(w))] >= floor
-                alive, part = alive[keep], part[keep]
-        best = _best(part, ids[alive], k)
-        out.append((np.full(len(best), i), ids[alive][best], part[best]))
+        part, alive, at = np.zeros(len(ids), kind), np.flatnonzero(~own), 0
+        for at in [*range(0, split, step), *range(split, len(w), step)]:
+            end = min(at + step, split) if at < split else min(at + step, len(w))
+            terms = order[at:end]
+            # Whole columns are read while most rows are alive.
+            if len(alive) == len(part):
+                part = part + w[at:end] @ columns[terms]
+            else:
+                part[alive] += w[at:end] @ columns[np.ix_(terms, alive)]
+            if len(alive) >= k:
+                now = part[alive]
+                floor = max(floor, float(np.partition(now, len(now) - k)[len(now) - k] + sure[end]))
+                alive = alive[now + rest[end] >= floor]
+        best = _best(part[alive], ids[alive], k)
+        score = part[alive][best]
+        if len(best) == k:
+            floors[i] = max(floors[i], float(score[-1]))
+        out.append((np.full(len(best), i), ids[alive][best], score))
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, int),) * 3
 
 
 def _packed(vectors: DataFrame, name: str) -> DataFrame:
-    """One row per group: its ids and its matrix, as blobs."""
+    """One row per group: its ids and its matrix, in the least integer type that holds it, as blobs."""
 
     def pack(batch):
         import pyarrow as pa
@@ -80,11 +97,21 @@ def _packed(vectors: DataFrame, name: str) -> DataFrame:
         m = np.zeros((len(rows), width), np.int64)
         for i, v in enumerate(rows):
             m[i, : len(v)] = v
-        group = batch[name][0].as_py()
-        return pa.table({name: pa.array([group], pa.int64()), "ids": pa.array([np.asarray(batch["id"]).astype("<i8").tobytes()]), "width": pa.array([width], pa.int32()), "blob": pa.array([m.tobytes()])})
+        kind = next(k for k in ("i1", "<i2", "<i4", "<i8") if not m.size or (np.iinfo(k).min <= m.min() and m.max() <= np.iinfo(k).max))
+        ids = np.asarray(batch["id"]).astype("<i8").tobytes()
+        return pa.table({name: pa.array([batch[name][0].as_py()], pa.int64()), "ids": pa.array([ids]), "kind": pa.array([kind]), "blob": pa.array([m.astype(kind).tobytes()])})
 
     ship_package(vectors.sparkSession)
-    return vectors.groupBy(name).applyInArrow(pack, f"{name} long, ids binary, width int, blob binary")
+    return vectors.groupBy(name).applyInArrow(pack, f"{name} long, ids binary, kind string, blob binary")
+
+
+def _matrix(ids, kind, blob) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.frombuffer(ids.as_buffer(), "<i8")
+    return ids, np.frombuffer(blob.as_buffer(), kind.as_py()).reshape(len(ids), -1)
+
+
+#: Queries of a task whose thresholds are carried from shard to shard (a double each); beyond, each shard starts anew.
+CARRIED = 1 << 22
 
 
 def top_k(vectors: DataFrame, queries: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64, k: int = 20, shard_rows: int = 8192, block_rows: int = 2048) -> DataFrame:
@@ -96,25 +123,35 @@ def top_k(vectors: DataFrame, queries: Column, *, id_col: str = "vec_id", vector
     v = ws.table(v.where(fine).select("id", F.transform("vector", lambda x: F.floor(x * scale)).alias("vector")), "vectors")
     n, m = v.agg(F.count("*"), F.count_if(queries)).first()
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-m // block_rows))
-    place = F.xxhash64("id", "vector")
+    # Rows that are alike must not fall into one shard: the place is dealt by row, from the written table's partitions.
+    v = ws.table(v.withColumn("at", F.monotonically_increasing_id()), "rows")
+    place = F.xxhash64("at")
     rows = _packed(v.withColumn("shard", F.pmod(place, F.lit(shards)).cast("long")), "shard")
     asked = _packed(v.where(queries).withColumn("block", F.pmod(place, F.lit(blocks)).cast("long")), "block")
-    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    asked = asked.select("block", F.col("ids").alias("qids"), F.col("width").alias("qwidth"), F.col("blob").alias("qblob"))
     asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-    met = rows.join(asked.hint("shuffle_merge"), ["block", "shard"])
+    names = ["shard", "block", "ids", "kind", "blob"]
+    met = rows.withColumn("block", F.lit(-1).cast("long")).select(names).union(asked.select(names))
+    # A shard's own row comes first, its query blocks after it.
+    met = met.repartition(min(shards, 4 * partitions(spark)), "shard").sortWithinPartitions("shard", "block")
 
     def search(batches):
+        ids = data = None
+        floors: dict[int, np.ndarray] = {}
         for batch in batches:
-            for r in batch.to_pylist():
-                ids, qids = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["qids"], "<i8")
-                a, b = np.frombuffer(r["blob"], np.int64).reshape(len(ids), -1), np.frombuffer(r["qblob"], np.int64).reshape(len(qids), -1)
-                width = max(r["width"], r["qwidth"])
-                a, b = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (a, b))
-                at, found, score = search_shard(b, qids, a, ids, k)
-                yield {"query_id": qids[at], "vec_id": found, "score": score.astype(np.int64)}
-
-    found = map_arrow(met.select("ids", "width", "blob", "qids", "qwidth", "qblob"), "query_id long, vec_id long, score long", search)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+            for block, own, kind, blob in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), batch.column(4)):
+                if block < 0:
+                    ids, data = _matrix(own, kind, blob)
+                    continue
+                qids, asks = _matrix(own, kind, blob)
+                width = max(data.shape[1], asks.shape[1])
+                a, b = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (data, asks))
+                floor = floors.get(block, np.full(len(qids), -np.inf))
+                if len(floors) * block_rows < CARRIED:
+                    floors[block] = floor
+                at, found, score = search_shard(b, qids, a, ids, k, floor)
+                yield {"query": block << 32 | at, "query_id": qids[at], "vec_id": found, "score": score.astype(np.int64)}
+
+    found = map_arrow(met, "query long, query_id long, vec_id long, score long", search)
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ws.result(best.select("query_id", "rank", "vec_id", "score"))

@@ -2,8 +2,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from paperloom.llm import queries
 from paperloom.llm.binary_codes import encode, near_vectors, rotation, upper_bounds
-from paperloom.llm.maxscore import top_k
+from paperloom.llm.maxscore import search_shard, top_k
 
 SCHEMA = "vec_id long, embedding array<float>, label int, node string"
 
@@ -62,23 +63,55 @@ def test_estimates_are_unbiased_and_bounded():
     assert (upper_bounds(signs, factor, small, step, 4.0) >= true).mean() > 0.9995
 
 
+def best_of(data, scale=64, every=20, k=20):
+    """All (query_id, rank, vec_id, score) by comparing each asking row with each row."""
+    width = max(len(v) for _, v in data)
+    ok = [(i, np.floor(scale * np.pad(v, (0, width - len(v)))).astype(int)) for i, v in data]
+    out = []
+    for i, q in ok:
+        if i % every == 0:
+            found = sorted((-int(q @ v), j) for j, v in ok if j != i)[:k]
+            out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(found)]
+    return sorted(out)
+
+
+def usable(data):
+    return [(i, np.array(v, np.float32).astype(float)) for i, v, *_ in data if v is not None and None not in v and np.isfinite(v).all()]
+
+
 @pytest.mark.parametrize("shard,block", [(8192, 2048), (37, 5)])
-def test_top_k(spark, shard, block):
-    data = rows(4) + [(20, [0.5] * 16, 2, "z")]
+@pytest.mark.parametrize("scale", [64, 100000])
+def test_top_k(spark, shard, block, scale):
+    data = rows(4) + [(20, [0.5] * 16, 2, "z"), (40, rows(4)[40][1], 2, "z")] + [(5000 + i, [0.25] * 16, 0, "z") for i in range(30)]
     df = spark.createDataFrame(data, SCHEMA)
-    ok = [(i, np.floor(64 * np.pad(np.array(v, np.float32).astype(float), (0, 16 - len(v)))).astype(int)) for i, v, *_ in data if v is not None and None not in v and np.isfinite(v).all()]
-    want = set()
-    for i, q in ok:
-        if i % 20 == 0:
-            best = sorted((-int(q @ v), j) for j, v in ok if j != i)[:20]
-            want |= {(i, j, -s) for s, j in best}
-    out = top_k(df, F.pmod(F.col("id"), F.lit(20)) == 0, shard_rows=shard, block_rows=block).collect()
-    got = {(r.query_id, r.vec_id, r.score) for r in out if r.query_id != 20}
-    assert got == {w for w in want if w[0] != 20}
-    for q in {r.query_id for r in out} - {20}:
-        own = sorted((r for r in out if r.query_id == q), key=lambda r: r["rank"])
-        assert [r["rank"] for r in own] == list(range(1, len(own) + 1))
-        assert own == sorted(own, key=lambda r: (-r.score, r.vec_id))
+    out = top_k(df, F.pmod(F.col("id"), F.lit(20)) == 0, scale=scale, shard_rows=shard, block_rows=block).collect()
+    assert sorted(map(tuple, out)) == best_of(usable(data), scale)
+
+
+def test_two_equal_query_rows_get_their_own_ranks(spark):
+    data = [(0, [1.0, 0.0]), (0, [1.0, 0.0])] + [(i, [i / 10, 1.0]) for i in range(1, 9)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    got = sorted(map(tuple, top_k(df, F.col("id") == 0, k=5, shard_rows=3, block_rows=1).collect()))
+    one = [(0, r + 1, 8 - r, int(np.floor(64 * np.float64(np.float32((8 - r) / 10)))) * 64) for r in range(5)]
+    assert got == sorted(one * 2)
+
+
+@pytest.mark.parametrize("table", ["sf0.01", "sf0.001"])
+def test_registered_query_equals_brute_force(spark, table):
+    sf = f"/root/testdata/{table}"
+    data = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    assert sorted(map(tuple, queries.op7_exact_top_k(spark, sf).collect())) == best_of(usable(data))
+
+
+def test_threshold_rises_and_is_carried():
+    rng = np.random.default_rng(2)
+    q, x = rng.integers(-60, 60, (5, 32)), rng.integers(-60, 60, (4000, 32))
+    floors = np.full(5, -np.inf)
+    for part in (slice(0, 2000), slice(2000, 4000)):
+        search_shard(q, np.full(5, -1), x[part], np.arange(4000)[part], 10, floors)
+        want = np.sort(q @ x[: part.stop].T, axis=1)[:, -10]
+        assert (floors <= want).all()
+    assert (floors >= np.sort(q @ x[:2000].T, axis=1)[:, -10]).all()
 
 
 def test_empty_tables(spark):
