@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from paperloom.session import ship_package
 
+#: The side below which images are enlarged and by how much at most, and the reach and offset of the local threshold.
 LONG_SIDE_AT_LEAST, UPSCALE_MOST, REACH, OFFSET = 2500, 3.0, 35, 12
 
 
@@ -86,6 +87,7 @@ def convolve(pixels: DataFrame, kernel: list[list[float]]) -> DataFrame:
     return p.select("img_id", "y", "x", F.when(edge, F.col("v")).otherwise(out).cast("int").alias("v"))
 
 
+#: The kernels.
 BLUR = [[1 / 16, 2 / 16, 1 / 16], [2 / 16, 4 / 16, 2 / 16], [1 / 16, 2 / 16, 1 / 16]]
 SHARPEN = [[0, -0.2, 0], [-0.2, 1.8, -0.2], [0, -0.2, 0]]
 
@@ -182,7 +184,7 @@ def enhance(rgb: np.ndarray) -> tuple[np.ndarray, dict]:
         out[1:], out[:-1] = f(out[1:], a[:-1]), f(out[:-1], a[1:])
         out[:, 1:], out[:, :-1] = f(out[:, 1:], a[:, :-1]), f(out[:, :-1], a[:, 1:])
         a = out
-    return a.astype(np.uint8), {"low_resolution": w < 800 or h < 800, "brightness": light, "skew": angle}
+    return a.astype(np.uint8), {"low_resolution": w < LOW or h < LOW, "brightness": light, "skew": angle}
 
 
 def preprocess(images: DataFrame) -> DataFrame:
@@ -209,13 +211,22 @@ def preprocess(images: DataFrame) -> DataFrame:
     return few.mapInPandas(run, "origin string, height int, width int, data binary, low_resolution boolean, brightness double, skew double, error string")
 
 
+#: The measurements that count as low resolution, dark, overexposed and skewed, and the warnings.
+LOW, DARK, LIGHT, SKEWED = 800, 60, 220, 1.0
+WARNINGS = {
+    "low_resolution": "LOW_RESOLUTION: Image resolution below recommended 800px. Image was upscaled for better OCR.",
+    "dark": "DARK_IMAGE: Very dark image detected. Enhanced contrast applied.",
+    "overexposed": "OVEREXPOSED: Washed-out image detected. Processing applied.",
+    "skewed": "DESKEWED: Document was rotated %.1f°. Auto-corrected for better OCR.",
+}
+
+
+def flags(low_resolution: Column, light: Column, angle: Column) -> dict[str, Column]:
+    """What is wrong with an image, in the order of its warnings."""
+    return {"low_resolution": low_resolution, "dark": light < DARK, "overexposed": light > LIGHT, "skewed": F.abs(angle) > SKEWED}
+
+
 def warnings(low_resolution: Column, light: Column, angle: Column) -> Column:
     """The warnings of an image, in order."""
-    return F.array_compact(
-        F.array(
-            F.when(low_resolution, F.lit("LOW_RESOLUTION: image is below 800 pixels")),
-            F.when(light < 60, F.lit("DARK_IMAGE: image is underexposed")),
-            F.when(light > 220, F.lit("OVEREXPOSED: image is overexposed")),
-            F.when(F.abs(angle) > 1.0, F.format_string("DESKEWED: corrected by %.1f degrees", angle)),
-        )
-    )
+    seen = flags(low_resolution, light, angle)
+    return F.array_compact(F.array(*[F.when(seen[k], F.format_string(w, angle) if "%" in w else F.lit(w)) for k, w in WARNINGS.items()]))

@@ -30,7 +30,13 @@ PAGE = f"""concat(
   case when c_custkey % 11 = 0 and page_no = 2 then '' else concat({_NL}, 'Line of ', c_name, ' on page ', cast(page_no as string), ' which is long enough for a native page', {_NL}, case when page_no = 3 then concat('Report ', cast(c_custkey % 7 as string)) else 'middle' end) end,
   case when c_custkey % 5 = 0 then '' else concat({_NL}, 'Footer ', case when page_no % 3 = 0 then 'x' else 'all' end) end)"""
 PIXEL = "case img_id % 5 when 0 then (x * 7 + y * 13 + img_id * 31) % 256 when 1 then (x * y * 11 + img_id) % 256 when 2 then 200 + (x + y) % 55 when 3 then case when y % 4 = 0 then 10 else 240 end else 77 end"
-SIDE, IMAGES = 16, 20
+SIDE, IMAGES, WIDE_SIDE = 16, 20, 96
+#: Pages with their own text, what an engine would read in two modes, the skew, and whether the page was lost.
+SCAN = f"""doc_id, page_no,
+  case when doc_id % 4 = 0 then text when doc_id % 4 = 1 then '' when (doc_id + page_no) % 2 = 0 then text else 'short' end AS native,
+  case when (doc_id + page_no) % 4 = 0 then '%%## ~~ @@ ^^ && ** <<>> == ||' else concat('Scan head ', cast(doc_id % 3 as string), {_NL}, {_NL}, 'page ', cast(page_no as string), ' of the scan has  2l3 marks and 1O0 words enough', {_NL}, 'Scan foot') end AS block,
+  case (doc_id + page_no) % 8 when 0 then concat('Better layout read on page ', cast(page_no as string), ' by the other mode') when 4 then '## @@' else '' end AS layout,
+  cast((doc_id * 7 + page_no * 3) % 51 - 25 as double) / 10 AS skew, doc_id % 13 = 0 AND page_no = 2 AS failed"""
 FILE = "case n_nationkey % 9 when 0 then '255044462D312E37' when 1 then '89504E470D0A1A0A' when 2 then 'FFD8FFE0' when 3 then '49492A00FF' when 4 then '4D4D002AFF' when 5 then '424D' when 6 then '00' when 7 then '' else 'CAFEBABE00' end"
 DECLARED = "case n_nationkey % 3 when 0 then 'application/pdf' when 1 then 'image/png' end"
 
@@ -52,6 +58,29 @@ def page_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.selectExpr("c_custkey AS doc_id", "page_no", f"{PAGE} AS text")
 
 
+def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_sets(spark, sf_dir).selectExpr(*[x.strip() for x in _split(SCAN)])
+
+
+def _split(columns: str) -> list[str]:
+    """A select list cut at its outer commas."""
+    out, depth = [""], 0
+    for c in columns:
+        depth += (c == "(") - (c == ")")
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return out
+
+
+def wide_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of 96 x 96, larger than the local threshold's reach each way; one for every 500 customers."""
+    ids = _read(spark, sf_dir, "customer").where("c_custkey % 500 = 1").selectExpr("cast(c_custkey div 500 AS int) AS img_id")
+    grid = ids.selectExpr("img_id", f"explode(sequence(0, {WIDE_SIDE - 1})) AS y").selectExpr("img_id", "y", f"explode(sequence(0, {WIDE_SIDE - 1})) AS x")
+    return grid.selectExpr("img_id", "y", "x", f"cast({PIXEL} AS int) AS v")
+
+
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = spark.range(IMAGES * SIDE * SIDE).selectExpr(f"cast(id div {SIDE * SIDE} AS int) AS img_id", f"cast(id div {SIDE} % {SIDE} AS int) AS y", f"cast(id % {SIDE} AS int) AS x")
     return grid.selectExpr("img_id", "y", "x", f"cast({PIXEL} AS int) AS v")
@@ -67,5 +96,7 @@ SQL = {
     "noisy": f"noisy AS (SELECT n_nationkey AS id, {NOISY} AS text FROM nation)",
     "page_sets": f"page_sets AS (SELECT c_custkey AS doc_id, page_no::INT AS page_no, {PAGE} AS text FROM (SELECT c_custkey, c_name, unnest(generate_series(1, 1 + c_custkey % 5)) AS page_no FROM customer))",
     "pixels": f"pixels AS (SELECT img_id, y, x, ({PIXEL})::INT AS v FROM (SELECT (id // {SIDE * SIDE})::INT AS img_id, (id // {SIDE} % {SIDE})::INT AS y, (id % {SIDE})::INT AS x FROM range({IMAGES * SIDE * SIDE}) t(id)))",
+    "scans": f"scans AS (SELECT {SCAN} FROM page_sets)",
+    "wide_pixels": f"wide_pixels AS (SELECT img_id, y, x, ({PIXEL})::INT AS v FROM (SELECT (c_custkey // 500)::INT AS img_id, a.i::INT AS y, b.i::INT AS x FROM customer, range({WIDE_SIDE}) a(i), range({WIDE_SIDE}) b(i) WHERE c_custkey % 500 = 1))",
     "files": f"files AS (SELECT n_nationkey::VARCHAR AS doc_id, unhex({FILE}) AS content, {DECLARED} AS declared FROM nation)",
 }

@@ -12,11 +12,13 @@ from paperloom.functions import text as T
 from paperloom.operators import entities as E
 from paperloom.operators import images as I
 from paperloom.operators import pages as P
+from paperloom.operators import recognition as R
 from paperloom.operators import sentences as S
-from paperloom.operators.contradictions import contradictions
+from paperloom.operators.contradictions import PAYMENT, contradictions
 from paperloom.plans import fixtures as X
 from paperloom.plans.analyze import analyze, to_json
-from paperloom.sources.files import effective_mime, extension, sniff, validate
+from paperloom.sources import files as S_
+from paperloom.sources.files import effective_mime, errors, extension, is_pdf, sniff, validate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -137,7 +139,7 @@ def summary(spark, d):
 
 
 @query(rf"""WITH {X.SQL['contracts']}, t AS (SELECT doc_id, lower(text) AS low,
-  list_sort(list_transform(list_distinct(regexp_extract_all(text, '(?i)(?:payment\s+due|due\s+in|within|pay\s+within)\s+(\d+)\s+days', 1)), lambda n: n::INT)) AS pay,
+  list_sort(list_transform(list_distinct(regexp_extract_all(text, '{PAYMENT}', 1)), lambda n: n::INT)) AS pay,
   list_sort(list_transform(list_distinct(regexp_extract_all(text, '(?i)(?:terminat[a-z]+|notice)\s+(?:with|of|period\s+of)?\s*(\d+)\s+(?:days|months)', 1)), lambda n: n::INT)) AS notice FROM contracts)
 SELECT doc_id, concat_ws('; ', CASE WHEN len(pay) > 1 THEN 'Conflicting payment terms found: ' || array_to_string(list_transform(pay, lambda n: concat(n, ' days')), ' vs ') END,
   CASE WHEN contains(low, 'non-refundable') AND NOT contains(low, 'non-refundable and refundable') THEN 'Document contains both ''refundable'' and ''non-refundable'' clauses' END,
@@ -220,7 +222,13 @@ _entity("DEDUCTION", _values(E.DEDUCTION, 0, 80))
 _entity("SIGNATORY", _values(E.SIGNATORY, 1, 60, f"NOT {_FRAGMENT}"))
 _entity("SIGNATORY_INCOMPLETE", f"SELECT doc_id, v || ' [Name not specified]' AS v FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)(signed\\s+by|authorized\\s+(?:representative|signatory|person)|duly\\s+authorized|competent\\s+authority)(\\s+[A-Z][a-zA-Z])?', 1)) AS v, unnest(regexp_extract_all(text, '(?i)(signed\\s+by|authorized\\s+(?:representative|signatory|person)|duly\\s+authorized|competent\\s+authority)(\\s+[A-Z][a-zA-Z])?', 2)) AS w FROM contracts) WHERE coalesce(w, '') = ''")
 _entity("DATE_WRITTEN_FORM", _values(E.WRITTEN_DATE, 0, None))
-_entity("ORGANIZATION", None)
+_ORG = _re2(rf"({E._SUFFIXED})|(?:{E._ROLE}([A-Z][A-Za-z0-9\s&.,'-]{{2,40}})(?:[,\n\r;.]|\s+(?:and|or|herein|with|as)))")
+_entity(
+    "ORGANIZATION",
+    f"""SELECT doc_id, arg_min(v, i) AS v FROM (SELECT doc_id, i, v FROM (SELECT doc_id, i, {_TRIM.format("CASE WHEN a <> '' THEN a ELSE b END")} AS v FROM
+(SELECT doc_id, generate_subscripts(ma, 1) AS i, unnest(ma) AS a, unnest(mb) AS b FROM (SELECT doc_id, regexp_extract_all(text, '{_ORG}', 1) AS ma, regexp_extract_all(text, '{_ORG}', 2) AS mb FROM contracts)))
+WHERE v <> '' AND length(v) <= 80 AND NOT regexp_matches(v, '^\\p{{Ll}}') AND NOT {_FRAGMENT}) GROUP BY doc_id, lower(v) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) <= 8""",
+)
 _entity("REFERENCE_NUMBER", _values(E.REFERENCE, 1, 30))
 _entity("DATE", _capped(f"SELECT * FROM ({_values(E.DATE, 0, 40)}) a WHERE NOT EXISTS (SELECT 1 FROM ({_BEFORE}) b WHERE a.doc_id = b.doc_id AND a.v = b.v)", 10))
 
@@ -233,6 +241,13 @@ def ent_context_decorated(spark, d):
     return E.decorate(first).select("doc_id", "match_pos", "context", "icon", "label", "flagged")
 
 
+@query(rf"""WITH s AS ({ORACLES['summary']}), t AS (SELECT doc_id, text AS raw, {_INK.format('text')} = 0 AS blank, {_ALNUM} AS alnum FROM documents), u AS (SELECT *, CASE WHEN blank THEN '{T.PLACEHOLDER}' ELSE raw END AS text FROM t)
+SELECT doc_id, len(regexp_extract_all(text, '\S+')) AS word_count, length(text) AS character_count, round(CASE WHEN blank THEN 10 ELSE greatest(10, least(98, alnum * 100)) END, 7) AS confidence, CASE WHEN blank THEN text ELSE summary END AS summary, is_empty AND NOT blank AS is_empty FROM u JOIN s USING (doc_id)""")
+def analysis_rows(spark, d):
+    out = analyze(_docs(spark, d))
+    return out.select("doc_id", "metadata.word_count", "metadata.character_count", F.round("metadata.ocr_confidence_percent", 7).alias("confidence"), "summary", "is_empty")
+
+
 @query()
 def analyze_json(spark, d):
     return to_json(analyze(X.contracts(spark, d)))
@@ -249,11 +264,80 @@ def mime_sniff(spark, d):
     return X.files(spark, d).select("doc_id", sniff(F.col("content")).alias("mime"), mime.alias("effective"), extension(mime).alias("extension"))
 
 
-@query(f"WITH {X.SQL['files']} SELECT doc_id, CASE WHEN octet_length(content) = 0 THEN 400 WHEN {_SNIFF} IS NULL THEN 400 END AS status, CASE WHEN octet_length(content) = 0 THEN 'The file is empty.' WHEN {_SNIFF} IS NULL THEN 'The file type is not supported.' END AS message FROM files")
+@query(f"WITH {X.SQL['files']} SELECT doc_id, CASE WHEN octet_length(content) = 0 THEN 422 WHEN {_SNIFF} IS NULL THEN 400 END AS status, CASE WHEN octet_length(content) = 0 THEN '{S_.EMPTY}' WHEN {_SNIFF} IS NULL THEN '{S_.UNSUPPORTED}' || coalesce(declared, 'unknown') || '{S_.SUPPORTED}' END AS message FROM files")
 def validate_files(spark, d):
     return validate(X.files(spark, d)).select("doc_id", "status", "message")
 
 
+_BYTES = "CASE n_nationkey % 4 WHEN 0 THEN 52428800 + n_nationkey * 123456 ELSE n_nationkey % 3 * 100 END"
+
+
+@query(f"""WITH t AS (SELECT n_nationkey::VARCHAR AS doc_id, ({_BYTES}) AS n FROM nation)
+SELECT doc_id, CASE WHEN n = 0 THEN 422 WHEN n > 52428800 THEN 413 WHEN doc_id::INT % 5 = 1 THEN 500 END AS status, CASE WHEN n = 0 THEN 'OCR Processing Failed' WHEN n > 52428800 THEN 'File Too Large' ELSE 'Internal Server Error' END AS error,
+CASE WHEN n = 0 THEN '{S_.EMPTY}' WHEN n > 52428800 THEN replace('{S_.TOO_LARGE}', '%.1f', concat((n * 10 + 524288) // 1048576 // 10, '.', (n * 10 + 524288) // 1048576 % 10)) ELSE '{S_.UNEXPECTED}' END AS message
+FROM t WHERE n = 0 OR n > 52428800 OR doc_id::INT % 5 = 1""")
+def error_table(spark, d):
+    """Files that are empty or too large, and rows that failed with a status that is not listed."""
+    files = spark.read.parquet(f"{d}/nation.parquet").selectExpr("cast(n_nationkey AS string) AS doc_id", "unhex('25504446') AS content", f"{_BYTES} AS n")
+    checked = validate(files, F.col("n"))
+    lost = checked.where("status IS NULL AND cast(doc_id AS int) % 5 = 1").withColumns({"status": F.lit(507), "message": F.lit("java.lang.OutOfMemoryError")})
+    return errors(checked.where("status IS NOT NULL").unionByName(lost)).drop("ts")
+
+
+@query(f"WITH {X.SQL['files']} SELECT doc_id, coalesce(lower(coalesce({_SNIFF}, declared)) = 'application/pdf', false) AS pdf FROM files")
+def pdf_files(spark, d):
+    return X.files(spark, d).select("doc_id", is_pdf(effective_mime(F.col("content"), F.col("declared"))).alias("pdf"))
+
+
+# --- recognised text --------------------------------------------------------------------------
+
+_LOW = f"(length({_TRIM.format('text')}) < 20 OR {_INK.format('text')} = 0 OR {_ALNUM} < 0.5 OR {_GARBAGE} > 0.05 OR {_SINGLE} > 0.3)"
+_CLEAN_NATIVE = _STRIPPED.format("replace(" + _BLANKS.format(_HYPHEN.format(_SPACES.format(_LIG.format(_NATIVE)))) + ", chr(12), chr(10) || chr(10))")
+_CLEAN_OCR = _TRIM.format("array_to_string(" + _KEPT.format(_OCR) + ", chr(10))")
+_RATED = rf"rated AS (SELECT doc_id, page_no, k, {_LOW} AS low, {_ALNUM} AS alnum FROM (SELECT *, regexp_split_to_array(regexp_replace(text, '\s+$', ''), '\s+') AS w FROM (SELECT doc_id, page_no, 1 AS k, block AS text FROM scans UNION ALL SELECT doc_id, page_no, 2, layout FROM scans)))"
+_SECOND = "second AS (SELECT a.doc_id, a.page_no, a.low AND b.alnum > a.alnum AS second FROM rated a JOIN rated b ON a.doc_id = b.doc_id AND a.page_no = b.page_no AND a.k = 1 AND b.k = 2)"
+_SURE = f"(CASE WHEN {_INK.format('text')} = 0 THEN 10 ELSE greatest(10, least(98, {_ALNUM} * 100 - taken)) END)"
+
+
+@query(rf"""WITH {X.SQL['page_sets']}, {X.SQL['scans']}, {_RATED}, {_SECOND},
+read AS (SELECT doc_id, page_no, native, {_INK.format('native')} >= 50 AS own, coalesce(failed, false) AS failed, second AND NOT failed AS again, skew, {_TRIM.format('CASE WHEN second THEN layout ELSE block END')} AS text FROM scans JOIN second USING (doc_id, page_no)),
+cleaned AS (SELECT *, CASE WHEN failed THEN '' ELSE {_CLEAN_OCR} END AS ocr FROM read),
+pg AS (SELECT doc_id, page_no, native, own, CASE WHEN own THEN {_CLEAN_NATIVE.replace('text', 'native')} ELSE ocr END AS text,
+  CASE WHEN own THEN [] ELSE list_filter([CASE WHEN abs(skew) > 1 THEN concat('Page ', page_no, ': deskewed ', printf('%.1f', skew), '°') END, CASE WHEN again THEN concat('Page ', page_no, ': Used automatic layout detection for better results.') END, CASE WHEN failed THEN concat('Page ', page_no, ' could not be processed.') END], lambda x: x IS NOT NULL) END AS notes FROM cleaned),
+ends AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM pg),
+marks AS (SELECT doc_id, {_TRIM.format('l[1]')} AS line FROM ends UNION ALL SELECT doc_id, {_TRIM.format('l[-1]')} FROM ends WHERE len(l) > 1),
+total AS (SELECT doc_id, count(*) AS pages, count_if(own) AS natives, string_agg(native, chr(10) ORDER BY page_no) AS whole, flatten(list(notes ORDER BY page_no)) AS notes FROM pg GROUP BY doc_id),
+rep AS (SELECT doc_id, list(line) AS lines FROM (SELECT doc_id, line, count(*) AS n FROM marks WHERE line <> '' GROUP BY ALL) JOIN total USING (doc_id) WHERE pages > 2 AND n >= ceil(pages * 0.6) GROUP BY doc_id),
+kept AS (SELECT pg.doc_id, page_no, CASE WHEN lines IS NULL THEN text ELSE {_TRIM.format(f"array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(lines, {_TRIM.format('x')})), chr(10))")} END AS t FROM pg LEFT JOIN rep USING (doc_id)),
+joined AS (SELECT doc_id, {_TRIM.format('string_agg(t, chr(10) || chr(10) ORDER BY page_no)')} AS read FROM kept GROUP BY doc_id),
+done AS (SELECT doc_id, pages, natives, notes, CASE WHEN natives = pages THEN {_CLEAN_NATIVE.replace('text', 'whole')} ELSE read END AS text, 0 AS taken FROM total JOIN joined USING (doc_id))
+SELECT doc_id, text, pages AS page_count, natives = pages AS native, CASE WHEN natives = pages THEN 'native-text' WHEN natives > 0 THEN 'mixed' ELSE 'eng' END AS detected, round(CASE WHEN natives = pages THEN 98 ELSE {_SURE} END, 7) AS confidence,
+array_to_string(CASE WHEN natives = pages THEN ['{R.NATIVE}'] WHEN natives > 0 THEN [concat('MIXED_PDF: ', natives, ' page(s) used direct text extraction, ', pages - natives, ' page(s) used OCR.')] || notes ELSE notes END, '; ') AS warnings FROM done""")
+def mixed_document(spark, d):
+    out = R.documents(X.scans(spark, d))
+    return out.withColumns({"confidence": F.round("confidence", 7), "warnings": F.array_join("warnings", "; ")})
+
+
+@query(rf"""WITH {X.SQL['page_sets']}, {X.SQL['scans']}, {_RATED}, {_SECOND},
+t AS (SELECT doc_id, page_no, CASE WHEN second THEN layout ELSE block END AS text, doc_id % 2 = 0 AS low, (doc_id * 11 + page_no) % 256 AS light, skew FROM scans JOIN second USING (doc_id, page_no)),
+u AS (SELECT *, CASE WHEN low THEN 10 ELSE 0 END + CASE WHEN light < 60 THEN 5 ELSE 0 END AS taken FROM t)
+SELECT doc_id, page_no, {_CLEAN_OCR} AS text, round({_SURE}, 7) AS confidence, concat_ws('; ', CASE WHEN low THEN '{I.WARNINGS['low_resolution']}' END, CASE WHEN light < 60 THEN '{I.WARNINGS['dark']}' END, CASE WHEN light > 220 THEN '{I.WARNINGS['overexposed']}' END, CASE WHEN abs(skew) > 1 THEN replace('{I.WARNINGS['skewed']}', '%.1f', printf('%.1f', skew)) END) AS warnings FROM u""")
+def image_driver(spark, d):
+    rows = X.scans(spark, d).selectExpr("doc_id", "page_no", "block AS first", "layout AS second", "doc_id % 2 = 0 AS low_resolution", "cast((doc_id * 11 + page_no) % 256 AS double) AS brightness", "skew", "'eng' AS language")
+    out = R.image_texts(rows)
+    return out.select("doc_id", "page_no", "text", F.round("confidence", 7).alias("confidence"), F.array_join("warnings", "; ").alias("warnings"))
+
+
+_PROBE = "CASE turn % 4 WHEN 0 THEN NULL WHEN 1 THEN concat(text, repeat('#', 6 + cast(conv_id % 20 AS int))) WHEN 2 THEN '' ELSE text END"
+
+
+@query(rf"""WITH t AS (SELECT conv_id, turn, {_PROBE} AS probe FROM conversations)
+SELECT conv_id, turn, 'eng' AS one, CASE WHEN probe IS NULL OR (probe <> '' AND length(regexp_replace(probe, '[^~%|#^&*@<>{{}}\[\]\\]', '', 'g'))::DOUBLE / length(probe) > 0.08) THEN 'eng+hin' ELSE 'eng' END AS two FROM t""")
+def ocr_language(spark, d):
+    t = spark.read.parquet(f"{d}/conversations.parquet").selectExpr("conv_id", "turn", f"{_PROBE} AS probe")
+    return t.select("conv_id", "turn", R.choose_language(F.col("probe"), []).alias("one"), R.choose_language(F.col("probe"), ["hin"]).alias("two"))
+
+
 # --- images -----------------------------------------------------------------------------------
 
 _PIX = X.SQL["pixels"]
@@ -281,8 +365,14 @@ def img_contrast(spark, d):
     return I.stretch(X.pixels(spark, d))
 
 
-@query(f"WITH {_PIX} SELECT a.img_id, a.y, a.x, CASE WHEN a.v < avg(b.v) - 12 THEN 0 ELSE 255 END AS v FROM pixels a JOIN pixels b ON a.img_id = b.img_id AND abs(a.x - b.x) <= 3 AND abs(a.y - b.y) <= 3 GROUP BY a.img_id, a.y, a.x, a.v")
+@query(f"""WITH {X.SQL['wide_pixels']}, cols AS (SELECT img_id, y, x, v, sum(v) OVER c AS s, count(*) OVER c AS k FROM wide_pixels WINDOW c AS (PARTITION BY img_id, x ORDER BY y ROWS BETWEEN 35 PRECEDING AND 35 FOLLOWING)),
+both_ways AS (SELECT img_id, y, x, v, sum(s) OVER r AS s, sum(k) OVER r AS k FROM cols WINDOW r AS (PARTITION BY img_id, y ORDER BY x ROWS BETWEEN 35 PRECEDING AND 35 FOLLOWING)) SELECT img_id, y, x, CASE WHEN v < s::DOUBLE / k - 12 THEN 0 ELSE 255 END AS v FROM both_ways""")
 def img_threshold(spark, d):
+    return I.local_threshold(X.wide_pixels(spark, d))
+
+
+@query(f"WITH {_PIX} SELECT a.img_id, a.y, a.x, CASE WHEN a.v < avg(b.v) - 12 THEN 0 ELSE 255 END AS v FROM pixels a JOIN pixels b ON a.img_id = b.img_id AND abs(a.x - b.x) <= 3 AND abs(a.y - b.y) <= 3 GROUP BY a.img_id, a.y, a.x, a.v")
+def img_threshold_small(spark, d):
     return I.local_threshold(X.pixels(spark, d), reach=3)
 
 
@@ -303,6 +393,11 @@ def img_denoise(spark, d):
     return I.convolve(X.pixels(spark, d), I.BLUR)
 
 
+@query(_conv("CASE abs(a.x - b.x) + abs(a.y - b.y) WHEN 0 THEN 1.8 WHEN 1 THEN -0.2 ELSE 0 END::DOUBLE").replace(_PIX, X.SQL["wide_pixels"]).replace("pixels a", "wide_pixels a").replace("pixels b", "wide_pixels b"))
+def img_sharpen(spark, d):
+    return I.convolve(X.wide_pixels(spark, d), I.SHARPEN)
+
+
 @query(f"WITH {_PIX}, r AS (SELECT img_id, y, count_if(v < 128) AS n FROM pixels GROUP BY ALL) SELECT img_id, round(var_pop(n), 9) AS variance FROM r GROUP BY img_id")
 def img_projection(spark, d):
     return I.row_profile(X.pixels(spark, d)).select("img_id", F.round("variance", 9).alias("variance"))

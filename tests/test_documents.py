@@ -4,12 +4,13 @@ from pyspark.sql import functions as F
 from paperloom.functions import text as T
 from paperloom.operators import entities as E
 from paperloom.operators import images as I
+from paperloom.operators import recognition as R
 from paperloom.operators.contradictions import contradictions
 from paperloom.operators.sentences import dedup, summaries
 from paperloom.plans.analyze import analyze
 from paperloom.plans.queries import ORACLES, QUERIES
-from paperloom.sources.backends import extract_pages
-from paperloom.sources.files import errors, read_files, validate
+from paperloom.sources.backends import Damaged, PasswordNeeded, extract_pages, model_path
+from paperloom.sources.files import errors, info, read_files, validate
 from paperloom.streaming.drops import file_drops
 
 from .oracle import compare
@@ -78,11 +79,56 @@ def test_files_and_backends(spark, tmp_path):
     # Spark's binary reader passes over empty files, in streams and batches; rows with empty content are rejected.
     assert got == {"a.pdf": ("application/pdf", None), "b.bin": (None, 400)}
     assert {r.path.rsplit("/", 1)[1]: r.status for r in validate(read_files(spark, f"{tmp_path}/*.*")).collect()} == {"a.pdf": None, "b.bin": 400}
-    assert validate(spark.createDataFrame([("3", bytearray(b""))], "doc_id string, content binary")).first().status == 400
+    assert validate(spark.createDataFrame([("3", bytearray(b""))], "doc_id string, content binary")).first().status == 422
     files = spark.createDataFrame([("1", bytearray(b"%PDF")), ("2", bytearray(b"x"))], "doc_id string, content binary")
     assert errors(validate(files)).count() == 1
-    assert all(r.error and r.page_no == 0 for r in extract_pages(files).collect())
-    assert extract_pages(files, lambda b: [b.decode(), "two"]).where("error IS NULL").count() == 4
+    assert all(r.message and r.status == 422 and r.page_no == 0 for r in extract_pages(files).collect())
+    assert extract_pages(files, lambda b: [b.decode(), "two"]).where("status IS NULL").count() == 4
+
+
+def test_failures_are_typed(spark, tmp_path):
+    def backend(content):
+        raise {b"p": PasswordNeeded(), b"d": Damaged("bad xref"), b"m": MemoryError("heap"), b"x": ValueError("odd")}[content] if content != b"n" else StopIteration("none")
+
+    files = spark.createDataFrame([(c, bytearray(c.encode())) for c in "pdmxn"], "doc_id string, content binary")
+    got = {r.doc_id: (r.status, r.error, r.message) for r in errors(extract_pages(files, backend)).collect()}
+    assert got["p"] == (422, "OCR Processing Failed", "This document is password-protected. Please remove the password and re-upload.")
+    assert got["d"][2].endswith("malformed: bad xref") and got["x"][2] == "PDF processing error: odd" and got["m"] == (500, "Internal Server Error", "An unexpected error occurred. Please try again.")
+    assert errors(extract_pages(files, lambda b: [])).first().message == "The PDF has no pages."
+    (tmp_path / "models").mkdir()
+    assert model_path(str(tmp_path / "models")) == str(tmp_path / "models") == model_path("models", [str(tmp_path)]) and model_path("nowhere").endswith("/nowhere")
+    assert info(spark).first().most_mb == 50
+
+
+def test_engine_is_asked_again_only_where_the_first_text_is_poor(spark):
+    import numpy as np
+
+    good = np.full((30, 40), 230, np.uint8)
+    rows = [("a", 30, 40, 1, 0, bytearray(good.tobytes())), ("b", 30, 40, 1, 0, bytearray((good - 60).tobytes())), ("c", -1, -1, -1, -1, bytearray())]
+    images = spark.createDataFrame(rows, "origin string, height int, width int, nChannels int, mode int, data binary")
+
+    def engine(raster, language, mode, settings):
+        if mode == 3:
+            return "#### ~~~~ %%%%"
+        return f"read by block in {language}, no invert {settings['tessedit_do_invert']}"
+
+    got = {r.origin: r for r in R.recognise(images, engine, ["ben"]).collect()}
+    assert got["a"].text == "read by block in eng, no invert 0" and got["a"].warnings[0].startswith("LOW_RESOLUTION") and got["a"].detected == "eng"
+    assert got["c"].text == "" and got["c"].confidence == 10 and got["c"].error
+    plain = {r.origin: r for r in R.recognise(images, lambda *a: "a text that is clear and good from the start").collect()}
+    assert plain["b"].text.startswith("a text that is clear")
+
+
+def test_pages_of_odd_documents(spark):
+    rows = [(1, 1, None, None, None, None, True), (2, 1, "x" * 60, None, None, None, None), (3, 1, " ", "Some clear text of a page", None, 1.04, False), (3, 2, None, None, None, -2.0, True)]
+    rows += [(4, k, "", f"Head\n\nbody {k} of the page with words\nFoot", None, 0.0, False) for k in range(1, 6)]
+    pages = spark.createDataFrame(rows, "doc_id long, page_no int, native string, block string, layout string, skew double, failed boolean")
+    got = {r.doc_id: r for r in R.documents(pages).collect()}
+    assert (got[1].text, got[1].confidence, got[1].warnings) == ("", 10.0, ["Page 1 could not be processed."])
+    assert got[2].native and got[2].confidence == 98 and got[2].warnings == [R.NATIVE] and got[2].detected == "native-text"
+    assert got[3].warnings == ["Page 1: deskewed 1.0°", "Page 2: deskewed -2.0°", "Page 2 could not be processed."] and got[3].text == "Some clear text of a page"
+    assert got[4].text == "\n\n".join(f"body {k} of the page with words" for k in range(1, 6))
+    assert R.documents(pages.limit(0)).count() == 0
 
 
 def test_analysis_of_blank_text(spark):
