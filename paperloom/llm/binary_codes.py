@@ -8,11 +8,15 @@ threshold are dropped; the rest are recomputed exactly, in double precision, and
 
 Pairs are looked for in buckets: ``tables`` keys of ``bits`` signs of random projections each, with
 tables chosen so that a pair at the threshold is missed with probability ``miss`` at most.  All vectors
-are indexed.  Equal vectors are one node with a count, so copies never meet.  A bucket larger than
-``chunk`` rows is cut into chunks, and each pair of chunks is a group of its own.
+are indexed; an index row holds the bucket, the vector's name and SKETCH signs of rotations, no copy of
+the vector or its code.  Pairs of a bucket whose sketches differ in more signs than those of a linked pair do
+(but with probability SLIP) go no further; the others are told apart from those of other tables, and codes,
+and after them vectors, are fetched once a pair.  Equal vectors are one node with a count, so copies never meet.
+The rows of a large bucket, node or class are dealt to several tasks.
 
 Null, empty and zero vectors and such with null or non-finite components: n_links 0, own component.
 Vectors of other length than another link with nothing of it.  Repeated rows count as links of each other.
+A null id takes no part in the minimum.  An empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,17 +25,20 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, map_arrow, partitions, safe_columns
+from .common import Workspace, in_workspace, map_arrow, safe_columns, spread_join
 from .components import components
 
 SEED = 77
+#: Signs of a sketch, and the probability that a linked pair's sketches differ in more signs than allowed.
+SKETCH, SLIP = 128, 1e-6
 
 
-def rotation(d: int) -> np.ndarray:
-    q, r = np.linalg.qr(np.random.default_rng(SEED + d).standard_normal((d, d)))
+def rotation(d: int, k: int = 0) -> np.ndarray:
+    q, r = np.linalg.qr(np.random.default_rng(SEED + d + (k << 20)).standard_normal((d, d)))
     return q * np.sign(np.diag(r))
 
 
@@ -61,123 +68,115 @@ def _plan(n: int, threshold: float, miss: float) -> tuple[int, int]:
     return bits, math.ceil(math.log(miss) / math.log(1 - p))
 
 
-def _pairs(lo: np.ndarray, hi: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All places (i, j) of one group each: i < j on one side, or i left and j right."""
-    i_all, j_all = [], []
-    for a, b in zip(lo, hi):
-        s = side[a:b]
-        if (s == 2).all():
-            i, j = np.triu_indices(b - a, 1)
-        else:
-            x, y = np.flatnonzero(s == 0), np.flatnonzero(s == 1)
-            i, j = np.repeat(x, len(y)), np.tile(y, len(x))
-        i_all.append(a + i)
-        j_all.append(a + j)
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(i_all), np.concatenate(j_all)) if i_all else (none, none)
+def _signs_apart(threshold: float) -> int:
+    """The most signs in which sketches of a pair at the threshold differ, but with probability SLIP.
 
+    The signs of one rotation are less spread than independent ones, for which the bound holds.
+    """
+    p, tail = math.acos(threshold) / math.pi, 0.0
+    for k in range(SKETCH, -1, -1):
+        tail += math.comb(SKETCH, k) * p**k * (1 - p) ** (SKETCH - k)
+        if tail > SLIP:
+            return k
+    return 0
 
-def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, miss: float = 0.005, width: float = 4.0, chunk: int = 2048) -> DataFrame:
+
+def _by_width(batch: pa.RecordBatch, sizes: np.ndarray):
+    """The rows of each vector length, with their places."""
+    for d in np.unique(sizes):
+        at = np.flatnonzero(sizes == d)
+        yield int(d), batch.take(pa.array(at))
+
+
+def _unit(column: pa.Array, d: int) -> np.ndarray:
+    x = np.asarray(column.flatten()).reshape(-1, d)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _index(nodes: DataFrame, bits: int, tables: int) -> DataFrame:
+    """(d, bucket, node, s0, s1): a row per vector and table."""
+
+    def run(batches):
+        for batch in batches:
+            for d, own in _by_width(batch, np.asarray(batch.column(2))):
+                x = _unit(own.column(1), d)
+                plane = np.random.default_rng(SEED).standard_normal((bits * tables, d))
+                turns = np.concatenate([rotation(d, k) for k in range(1, 1 + -(-SKETCH // d))])[:SKETCH]
+                sketch = np.packbits(x @ turns.T >= 0, axis=1).view(np.int64)
+                for i in range(0, len(x), 2048):
+                    part = slice(i, i + 2048)
+                    keys = ((x[part] @ plane.T >= 0).reshape(-1, tables, bits) << np.arange(bits)).sum(axis=2) + (np.arange(tables) << bits)
+                    names = np.asarray(own.column(0))[part]
+                    yield {"d": np.full(keys.size, d), "bucket": keys.ravel(), "node": np.repeat(names, tables), "s0": np.repeat(sketch[part, 0], tables), "s1": np.repeat(sketch[part, 1], tables)}
+
+    return map_arrow(nodes.select("node", "vector", "d"), "d int, bucket long, node long, s0 long, s1 long", run)
+
+
+def _codes(nodes: DataFrame) -> DataFrame:
+    """(node, code, factor, small, step) of each vector."""
+
+    def run(batches):
+        for batch in batches:
+            for d, own in _by_width(batch, np.asarray(batch.column(2))):
+                sign, factor, small, step = encode(_unit(own.column(1), d), rotation(d))
+                yield {"node": own.column(0), "code": [r.tobytes() for r in sign], "factor": factor, "small": [r.tobytes() for r in small], "step": step}
+
+    return map_arrow(nodes.select("node", "vector", "d"), "node long, code binary, factor float, small binary, step float", run)
+
+
+def _fetch(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs with what stands for a and b; a vector with many pairs is dealt out."""
+    total, count = pairs.count(), lambda c: pairs.groupBy(c).agg(F.count("*").alias("k"))
+    return spread_join(spread_join(pairs, a, ["a"], count("a"), total, F.xxhash64("b")), b, ["b"], count("b"), total, F.xxhash64("a"))
+
+
+@in_workspace
+def near_vectors(vectors: DataFrame, ws: Workspace, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, miss: float = 0.005, width: float = 4.0) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row; links are pairs with cosine >= threshold."""
-    spark = vectors.sparkSession
-    ws = Workspace(spark)
     v = safe_columns(vectors, vec_id=F.col(id_col), vector=F.col(vector_col).cast("array<double>"))
     fine = (F.size("vector") > 0) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
     v = ws.table(v.withColumn("node", F.when(F.coalesce(fine, F.lit(False)), F.xxhash64("vector"))), "rows")
-    nodes = ws.table(v.where("node IS NOT NULL").groupBy("node", "vector").agg(F.count("*").alias("copies")).withColumn("d", F.size("vector")), "nodes")
+    nodes = ws.table(v.where("node IS NOT NULL").groupBy("node", "vector").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least")).withColumn("d", F.size("vector")), "nodes")
     n = nodes.count()
-    bits, tables = _plan(n, threshold, miss)
+    index = ws.table(_index(nodes, *_plan(n, threshold, miss)), "index")
 
-    def codes(batches):
-        for batch in batches:
-            sizes = np.asarray(batch.column(2))
-            for d in np.unique(sizes):
-                own = batch.filter(pa.array(sizes == d))
-                x = np.asarray(own.column(1).flatten()).reshape(-1, d)
-                x = x / np.abs(x).max(axis=1, keepdims=True)
-                x = x / np.linalg.norm(x, axis=1, keepdims=True)
-                plane = np.random.default_rng(SEED).standard_normal((bits * tables, d))
-                keys = ((x @ plane.T >= 0).reshape(len(x), tables, bits) << np.arange(bits)).sum(axis=2) + (np.arange(tables) << bits)
-                sign, factor, small, step = encode(x, rotation(d))
-                for i in range(0, len(x), 256):
-                    k = min(256, len(x) - i)
-                    rep = np.repeat(np.arange(i, i + k), tables)
-                    yield {"node": np.repeat(np.asarray(own.column(0))[i : i + k], tables), "d": np.full(len(rep), d), "bucket": keys[i : i + k].ravel(), "code": [sign[r].tobytes() for r in rep], "factor": factor[rep], "small": [small[r].tobytes() for r in rep], "step": step[rep]}
-
-    index = map_arrow(nodes.select("node", "vector", "d"), "node long, d int, bucket long, code binary, factor float, small binary, step float", codes)
-    index = ws.table(index, "index")
-    # Buckets of one row are dropped; large ones are cut into chunks that meet in pairs.
-    sizes = index.groupBy("d", "bucket").agg(F.count("*").alias("k")).where("k > 1")
-    big = sizes.withColumn("m", F.ceil(F.col("k") / chunk).cast("int"))
-    dealt = index.join(big.drop("k"), ["d", "bucket"]).withColumn("c", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
-    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    dealt = dealt.select("d", "bucket", F.least("c", "o").alias("x"), F.greatest("c", "o").alias("y"), F.when(F.col("c") == F.col("o"), 2).when(F.col("c") < F.col("o"), 0).otherwise(1).cast("int").alias("side"), "node", "code", "factor", "small", "step")
-    dealt = dealt.repartition(partitions(spark), "d", "bucket", "x", "y").sortWithinPartitions("d", "bucket", "x", "y")
-
-    def candidates(table: pa.Table):
-        key = np.stack([np.asarray(table.column(c)).astype(np.int64) for c in range(4)], axis=1)
-        cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1), [True]]))
-        node, side, d = (np.asarray(table.column(c)) for c in (5, 4, 0))
-        factor, step = np.asarray(table.column(7)), np.asarray(table.column(9))
-        for a0 in range(0, len(cut) - 1, 512):
-            groups = cut[a0 : a0 + 513]
-            for dim in np.unique(d[groups[0] : groups[-1]]):
-                use = d[groups[:-1]] == dim
-                i, j = _pairs(groups[:-1][use], groups[1:][use], side)
-                for s in range(0, len(i), 1 << 18):
-                    p, q = i[s : s + (1 << 18)], j[s : s + (1 << 18)]
-                    rows, back = np.unique(np.concatenate([p, q]), return_inverse=True)
-                    take = table.take(pa.array(rows))
-                    code = np.frombuffer(b"".join(take.column(6).to_pylist()), np.uint8).reshape(len(rows), -1)
-                    sign = np.unpackbits(code, axis=1)[:, :dim].astype(np.float32) * 2 - 1
-                    small = np.frombuffer(b"".join(take.column(8).to_pylist()), np.int8).reshape(len(rows), dim)
-                    bp, bq = back[: len(p)], back[len(p) :]
-                    for t in range(0, len(p), 1 << 15):
-                        x, y = bp[t : t + (1 << 15)], bq[t : t + (1 << 15)]
-                        # A quick look at the signs alone would do for most; the estimate is cheap enough for all.
-                        ub = upper_bounds(sign[x], factor[rows[x]], small[y], step[rows[y]], width)
-                        hit = ub >= threshold
-                        a, b = node[rows[x[hit]]], node[rows[y[hit]]]
-                        yield {"a": np.minimum(a, b), "b": np.maximum(a, b)}
-
-    def meet(batches):
-        held: list[pa.RecordBatch] = []
+    # Pairs of a bucket whose sketches are near, once each; rows of single buckets find no partner.
+    x, y = (index.select("bucket", "d", *[F.col(c).alias(c + s) for c in ("node", "s0", "s1")]) for s in "ab")
+    sizes = index.groupBy("bucket").agg(F.count("*").alias("k"))
+    apart = F.bit_count(F.col("s0a").bitwiseXOR(F.col("s0b"))) + F.bit_count(F.col("s1a").bitwiseXOR(F.col("s1b")))
+    met = spread_join(x, y, ["bucket", "d"], sizes, index.count(), F.xxhash64("nodea")).where("nodea < nodeb").where(apart <= _signs_apart(threshold))
+    pairs = ws.table(met.select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct(), "pairs")
+    ws.drop("index")
+
+    def estimate(batches):
         for batch in batches:
-            # Whole groups only: what follows the last change of key waits for more.
-            keys = [np.asarray(batch.column(c)) for c in range(4)]
-            change = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1 if batch.num_rows > 1 else []
-            if held and any(held[-1].column(c)[-1] != batch.column(c)[0] for c in range(4)):
-                yield from candidates(pa.Table.from_batches(held))
-                held = []
-            if len(change):
-                at = int(change[-1])
-                yield from candidates(pa.Table.from_batches([*held, batch.slice(0, at)]))
-                held = [batch.slice(at)]
-            else:
-                held.append(batch)
-        if held:
-            yield from candidates(pa.Table.from_batches(held))
-
-    pairs = map_arrow(dealt, "a long, b long", meet).where("a <> b").distinct()
+            for d, own in _by_width(batch, pc.binary_length(batch.column(4)).to_numpy(zero_copy_only=False)):
+                blob = lambda c, kind, w: np.frombuffer(b"".join(own.column(c).to_pylist()), kind).reshape(-1, w)
+                signs = np.unpackbits(blob(2, np.uint8, -(-d // 8)), axis=1)[:, :d].astype(np.float32) * 2 - 1
+                hit = upper_bounds(signs, np.asarray(own.column(3)), blob(4, np.int8, d), np.asarray(own.column(5)), width) >= threshold
+                yield {"a": np.asarray(own.column(0))[hit], "b": np.asarray(own.column(1))[hit]}
 
     def exact(batches):
         for batch in batches:
-            rows = [(np.asarray(x.values), np.asarray(y.values)) for x, y in zip(batch.column(4), batch.column(5))]
-            cos = []
-            for x, y in rows:
-                x, y = x / np.abs(x).max(), y / np.abs(y).max()
-                cos.append(float(x @ y / (np.linalg.norm(x) * np.linalg.norm(y))))
-            hit = np.array(cos) >= threshold
-            yield {k: np.asarray(batch.column(i))[hit] for i, k in enumerate(("a", "b", "ca", "cb"))}
-
-    left = nodes.select(F.col("node").alias("a"), F.col("copies").alias("ca"), F.col("vector").alias("va"))
-    right = nodes.select(F.col("node").alias("b"), F.col("copies").alias("cb"), F.col("vector").alias("vb"))
-    links = map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "ca", "cb", "va", "vb"), "a long, b long, ca long, cb long", exact)
-    links = ws.table(links, "links")
-    others = links.select(F.col("a").alias("node"), F.col("cb").alias("k")).union(links.select("b", "ca")).groupBy("node").agg(F.sum("k").alias("others"))
-    found = components(links)
-    out = v.join(nodes.select("node", "copies"), "node", "left").join(others, "node", "left").join(found, "node", "left")
-    out = out.select("vec_id", (F.coalesce("others", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).cast("long").alias("n_links"), F.coalesce("label", "node").alias("label"))
-    least = out.where("label IS NOT NULL").groupBy("label").agg(F.min("vec_id").alias("least"))
-    out = out.join(least, "label", "left").select("vec_id", "n_links", F.coalesce("least", "vec_id").alias("component_id"))
+            for d, own in _by_width(batch, np.asarray(batch.column(2).value_lengths())):
+                hit = np.einsum("ij,ij->i", _unit(own.column(2), d), _unit(own.column(3), d)) >= threshold
+                yield {"a": np.asarray(own.column(0))[hit], "b": np.asarray(own.column(1))[hit]}
+
+    codes = ws.table(_codes(nodes), "codes")
+    coded = _fetch(pairs, codes.select(F.col("node").alias("a"), "code", "factor"), codes.select(F.col("node").alias("b"), "small", "step"))
+    open_ = ws.table(map_arrow(coded.select("a", "b", "code", "factor", "small", "step"), "a long, b long", estimate), "open")
+    whole = lambda c: nodes.select(F.col("node").alias(c), F.col("vector").alias("v" + c))
+    links = ws.table(map_arrow(_fetch(open_, whole("a"), whole("b")).select("a", "b", "va", "vb"), "a long, b long", exact), "links")
+
+    total = links.count()
+    ends = links.select("a", "b").union(links.select("b", "a")).toDF("node", "other")
+    others = spread_join(ends, nodes.select(F.col("node").alias("other"), "copies"), ["other"], ends.groupBy("other").agg(F.count("*").alias("k")), 2 * total, F.xxhash64("node"))
+    others = others.groupBy("node").agg(F.sum("copies").alias("others"))
+    own = nodes.select("node", "copies", "least").join(components(links, ws), "node", "left").join(others, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    own = ws.table(own.select("node", "label", "least", "copies", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "own")
+    classes = own.groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("k"))
+    known = spread_join(own.select("label", "node", "n_links"), classes.drop("k"), ["label"], classes.select("label", "k"), n, F.xxhash64("node")).drop("label")
+    out = spread_join(v.select("node", "vec_id"), known, ["node"], own.select("node", F.col("copies").alias("k")), v.count(), F.monotonically_increasing_id(), "left")
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return ws.result(out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import functools
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -32,34 +35,104 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+_CLEANING, _LOCK = {"users": 0, "before": None}, threading.Lock()
+
+
+@contextlib.contextmanager
+def _clean_shuffles(spark: SparkSession):
+    """While any write is in here, its shuffle files go at its end; the session's own setting comes back with the last one."""
+    with _LOCK:
+        if not _CLEANING["users"]:
+            _CLEANING["before"] = spark.conf.get(CLEANUP)
+        _CLEANING["users"] += 1
+        spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _LOCK:
+            _CLEANING["users"] -= 1
+            if not _CLEANING["users"]:
+                spark.conf.set(CLEANUP, _CLEANING["before"])
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 class Workspace:
     """Intermediate Parquet tables of one operator call, below the shared folder."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_root(spark)}/paperloom-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Writes the rows and reads them again; the shuffle files behind them go once they are written."""
-        path, before = f"{self.root}/{name}", self.spark.conf.get(CLEANUP)
-        self.spark.conf.set(CLEANUP, "true")
-        try:
+        path = f"{self.root}/{name}"
+        self.names.add(name)
+        with _clean_shuffles(self.spark):
             df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-        finally:
-            self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str = "") -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, f"{self.root}/{name}".rstrip("/"))
 
     def result(self, df: DataFrame) -> DataFrame:
-        """A reliable checkpoint of the result; the tables go."""
-        out = df.checkpoint(eager=True)
-        self.drop()
+        """The written result; the other tables go.  ``discard_results`` removes what results have left."""
+        before = set(self.names)
+        out = self.table(df, "result")
+        for name in before:
+            self.drop(name)
+        _RESULTS.append(self.root)
         return out
 
 
+_RESULTS: list[str] = []
+
+
+def discard_results(spark: SparkSession) -> None:
+    """Removes the files of all results that operators have returned in this process; their DataFrames can't be read any more."""
+    while _RESULTS:
+        _delete(spark, _RESULTS.pop())
+
+
+def in_workspace(f):
+    """Calls f(df, workspace, ...); what it has written goes if it fails."""
+
+    @functools.wraps(f)
+    def run(df: DataFrame, *args, **kwargs):
+        ws = Workspace(df.sparkSession)
+        try:
+            return f(df, ws, *args, **kwargs)
+        except BaseException:
+            ws.drop()
+            raise
+
+    return run
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], counts: DataFrame, total: int, salt: Column, how: str = "inner") -> DataFrame:
+    """left joined with right on ``on``; values of on[0] with many left rows, if there are any, are dealt to several tasks.
+
+    counts: (on[0], k), the left rows of each value, ``total`` together.  A value is dealt out if it has more than
+    its share of a task; there are at most four times as many as partitions, which bounds what is collected.
+    salt: a whole number that differs among the rows of one value.  The right rows of such values are copied.
+    """
+    key, tasks = on[0], 4 * partitions(left.sparkSession)
+    limit = max(256, total // tasks)
+    hot = counts.where((F.col("k") > limit) & F.col(key).isNotNull()).select(key, F.ceil(F.col("k") / limit).cast("int").alias("__n"))
+    found = hot.limit(tasks).collect() if total > limit else []
+    if not found:
+        return left.join(right, on, how)
+    hot = left.sparkSession.createDataFrame(found, hot.schema)
+    one = F.coalesce("__n", F.lit(1))
+    dealt = left.withColumn("__salt", salt).join(F.broadcast(hot), key, "left").withColumn("__salt", F.pmod("__salt", one).cast("int")).drop("__n")
+    copied = right.join(F.broadcast(hot), key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), one - 1))).drop("__n")
+    return dealt.join(copied, [*on, "__salt"], how).drop("__salt")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -117,7 +190,3 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     taken = {c.lower() for c in df.columns}
     tail = next(k for k in range(len(taken) + 1) if not any(f"__{n}{k}" in taken for n in names))
     return [f"__{n}{tail}" for n in names]
-
-
-def letters(c: Column) -> Column:
-    return F.length(F.regexp_replace(c, r"\P{L}", ""))

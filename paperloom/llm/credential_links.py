@@ -2,7 +2,7 @@
 
 Base spans (``assign``, ``access``, ``hex``) are reported wherever they stand.  Beside them each
 text is searched for identifiers, endpoints and weak secrets, which alone are not worth a report.
-A weak secret's scope (``reach`` code points to either side) is joined by interval with the spans of
+A weak secret's scope (``reach`` bytes of UTF-8 to either side) is joined by interval with the spans of
 identifiers, endpoints and access keys: it is reported, with these partners, only if at least one
 falls into its scope and does not overlap it.  Identifiers and endpoints are likewise reported when
 a base secret is in their scope.  The join is a pair of binary searches per kind, so a text with many

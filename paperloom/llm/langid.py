@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 
 from .common import map_arrow, safe_columns, slabs
 
-HIDDEN, CORE, MARGIN, WIDE = 8, 208, 16, 2048
+HIDDEN, CORE, MARGIN, STEP, WIDE = 8, 208, 16, 16, 2048
 #: Bytes of a training window, and the most languages that a network is built for.
 LENGTH, MOST_LANGUAGES = 48, 1000
 LETTER = np.zeros(256, np.float32)
@@ -158,12 +158,14 @@ def predict(p: dict, raws: list[bytes]) -> np.ndarray:
     start = (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) * CORE
     total, weight = np.zeros((len(raws), langs)), np.zeros(len(raws))
     offsets = np.arange(-MARGIN, CORE + MARGIN)[:, None]
-    # Windows of like length go together; what lies outside the text reads as blanks.
+    # Windows of one width go together, so that a text's result does not depend on its neighbours; what lies outside the text reads as blanks.
     left = np.minimum(sizes[doc] - start, CORE)
-    order = np.argsort(left, kind="stable")
-    for i in range(0, len(doc), WIDE):
-        w = order[i : i + WIDE]
-        span = offsets[: 2 * MARGIN + int(left[w].max())]
+    width = -(-left // STEP) * STEP
+    order = np.argsort(width, kind="stable")
+    cuts = np.flatnonzero(np.diff(width[order], prepend=-1, append=-1))
+    for i, end in ((i, min(i + WIDE, b)) for a, b in zip(cuts, cuts[1:]) for i in range(a, b, WIDE)):
+        w = order[i:end]
+        span = offsets[: 2 * MARGIN + int(width[w[0]])]
         place = start[w] + span
         x = data[np.minimum(first[doc[w]] + place + pad, len(data) - 1)]
         x = np.where((place >= 0) & (place < sizes[doc[w]]), x, np.uint8(32))

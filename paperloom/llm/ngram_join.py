@@ -12,7 +12,8 @@ Documents with equal sets are one node, so copies never meet pairwise.  A first
 each node, one partner: the node with the cleanest head in most of its posting lists.  Its links are joined
 into components, and the second round tries every remaining candidate pair across components; a
 pair inside one component can't change any class.  Only if links are to be counted, a third round tries
-the candidate pairs within components.  No posting list, group or class is capped.
+the candidate pairs within components; but two nodes that share so much with one lead that they must link are
+counted by the sizes of their overlaps with it, without being paired.  No posting list, group or class is capped.
 
 Nulls, empty and blank texts: n_shingles 0, linked with nothing, component_id is the row's own id.
 Repeated rows: each row is returned; equal sets share a component.  A null id takes no part in the
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Workspace, map_arrow, partitions, reduce_blobs, safe_columns, slabs
+from .common import Workspace, in_workspace, map_arrow, partitions, reduce_blobs, safe_columns, slabs, spread_join
 from .components import components
 from .shingles import distinct_sets, mix
 
@@ -93,12 +94,18 @@ def _survey(docs: DataFrame, n: int, bits: int) -> DataFrame:
     return map_arrow(docs.select("doc_id", "text"), "doc_id long, n int, node long, block int, blob binary, " + ", ".join(f"{c} long" for c in PARITY), run)
 
 
-def _order(survey: DataFrame, bits: int, fragments: int) -> tuple[np.ndarray, np.ndarray]:
-    """The class of each sketch slot (0: rare), and the pivots that cut the order into fragments."""
+def _order(survey: DataFrame, bits: int, fragments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The class of each sketch slot (0: rare), the pivots that cut the order into fragments, and hot slots.
+
+    A hot slot (slot, salts) has more shingles than its share of a task; there are at most four times as many as partitions.
+    """
     add = lambda x, y: x.astype(np.uint32) + y
     count = np.zeros(1 << bits, np.uint32)
     for block, blob in reduce_blobs(survey.where("block IS NOT NULL"), "uint8", add).toLocalIterator():
         count[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(blob, np.uint8 if len(blob) == BLOCK else np.uint32)
+    limit = max(256, int(count.sum(dtype=np.int64)) // (4 * partitions(survey.sparkSession)))
+    slots = np.flatnonzero(count > limit)
+    hot = np.stack([slots, -(-count[slots].astype(np.int64) // limit)])
     noise = max(1.0, 2 * float(count.mean(dtype=np.float64)))
     level = np.clip(np.ceil(2 * np.log2(np.maximum(count, 1) / noise)), 0, 63).astype(np.uint8)
     mass = np.bincount(level, weights=count, minlength=64) + 1e-9
@@ -108,35 +115,64 @@ def _order(survey: DataFrame, bits: int, fragments: int) -> tuple[np.ndarray, np
         c = min(63, int(np.searchsorted(cum, f / fragments, "right")) - 1)
         within = (f / fragments - cum[c]) / (cum[c + 1] - cum[c])
         cuts.append((c << 58) | int(min(within, 0.999999) * 2**58))
-    return level, np.array(cuts, np.uint64)
+    return level, np.array(cuts, np.uint64), hot
 
 
-def _keys(s: np.ndarray, level: np.ndarray, bits: int) -> np.ndarray:
-    """The places of a set's shingles in the global order, ascending."""
+def _places(s: np.ndarray, level: np.ndarray, bits: int) -> np.ndarray:
+    """The places of a set's shingles in the global order."""
     c = level[(s >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64)
     # The slot is the hash's head, so its tail must come first within a class.
-    return np.sort((c << np.uint64(58)) | (mix(s) >> np.uint64(6)))
+    return (c << np.uint64(58)) | (mix(s) >> np.uint64(6))
+
+
+def _keys(s: np.ndarray, level: np.ndarray, bits: int) -> np.ndarray:
+    return np.sort(_places(s, level, bits))
+
+
+def _salts(s: np.ndarray, bits: int, hot: np.ndarray) -> np.ndarray:
+    """For each shingle, to how many tasks the rows of its slot are dealt."""
+    if not hot.shape[1]:
+        return np.ones(len(s), np.int16)
+    slot = (s >> np.uint64(64 - bits)).astype(np.int64)
+    at = np.minimum(np.searchsorted(hot[0], slot), hot.shape[1] - 1)
+    return np.where(hot[0][at] == slot, hot[1][at], 1).astype(np.int16)
 
 
-def _heads(docs: DataFrame, n: int, bits: int, level, num: int, den: int) -> DataFrame:
+def _heads(docs: DataFrame, n: int, bits: int, level, hot: np.ndarray, num: int, den: int) -> DataFrame:
+    """(gram, node, at, salts): the first shingles of each set in the global order; ``at`` is size << 32 | position."""
+
     def run(batches):
         for _, sets in _sets(batches, n):
-            rows = [(_node(s), len(s), _keys(s, level.value, bits)) for s in sets if len(s)]
+            rows = []
+            for s in sets:
+                if m := len(s):
+                    keys = _places(s, level.value, bits)
+                    first = np.argsort(keys)[: m - -(-num * m // den) + 1]
+                    rows.append((_node(s), m, keys[first].tobytes(), _salts(s[first], bits, hot).tobytes()))
             if rows:
-                yield {"node": [r[0] for r in rows], "n": [r[1] for r in rows], "head": [k[: m - -(-num * m // den) + 1].tobytes() for _, m, k in rows]}
+                yield dict(zip(("node", "n", "head", "salts"), zip(*rows)))
 
-    heads = map_arrow(docs.select("doc_id", "text"), "node long, n int, head binary", run).dropDuplicates(["node"])
+    heads = map_arrow(docs.select("doc_id", "text"), "node long, n int, head binary, salts binary", run).dropDuplicates(["node"])
 
     def unpack(batches):
         for batch in batches:
-            keys = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(2)]
+            keys, salts = ([np.frombuffer(x.as_buffer(), kind) for x in batch.column(c)] for c, kind in ((2, np.int64), (3, np.int16)))
             for i in range(0, len(keys), 4096):
                 part = keys[i : i + 4096]
                 k = np.array([len(x) for x in part])
                 pos = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-                yield {"gram": np.concatenate(part), "node": np.repeat(np.asarray(batch.column(0)[i : i + 4096]), k), "at": np.repeat(np.asarray(batch.column(1)[i : i + 4096]).astype(np.int64), k) << 32 | pos}
+                yield {"gram": np.concatenate(part), "node": np.repeat(np.asarray(batch.column(0)[i : i + 4096]), k), "at": np.repeat(np.asarray(batch.column(1)[i : i + 4096]).astype(np.int64), k) << 32 | pos, "salts": np.concatenate(salts[i : i + 4096])}
 
-    return map_arrow(heads, "gram long, node long, at long", unpack)
+    return map_arrow(heads, "gram long, node long, at long, salts short", unpack)
+
+
+def _dealt(c: str):
+    """The task among those of a hot shingle that a node's or class's row goes to."""
+    return F.pmod(F.xxhash64(c), F.col("salts")).cast("int").alias("salt")
+
+
+def _each_salt():
+    return F.explode(F.sequence(F.lit(0), F.col("salts").cast("int") - 1)).alias("salt")
 
 
 def _can(a: str, b: str, num: int, den: int):
@@ -199,73 +235,134 @@ def _fragments(docs: DataFrame, n: int, bits: int, level, cuts: np.ndarray, want
     return map_arrow(docs.select("doc_id", "text"), "node long, fragment int, n int, part binary", run)
 
 
-def _verify(docs, owners, pairs, n, bits, level, cuts, num, den) -> DataFrame:
-    """The pairs (a, b) that link: overlaps are counted fragment by fragment and summed per pair.
+class Verifier:
+    """Decides pairs by summed overlaps; the fragments of a node's set are written once, when it is first in a pair.
+
+    owners: (node, doc_id, ...), the document that stands for each node.
+    """
 
-    owners: (node, doc_id), the document that stands for each node.
+    #: Up to so many nodes (8 bytes each) are broadcast to leave other nodes' fragments out before a shuffle.
+    FEW = 1 << 16
+
+    def __init__(self, ws: Workspace, docs: DataFrame, owners: DataFrame, n: int, bits: int, level, cuts: np.ndarray, num: int, den: int):
+        self.ws, self.docs, self.owners, self.n, self.bits, self.level, self.cuts, self.num, self.den = ws, docs, owners, n, bits, level, cuts, num, den
+        self.parts: list[DataFrame] = []
+        self.known: list[DataFrame] = []
+
+    def links(self, pairs: DataFrame, name: str) -> DataFrame:
+        """(a, b, k): the pairs of a table that link, with their overlaps."""
+        nodes = self.ws.table(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"nodes-{name}")
+        if nodes.isEmpty():
+            return self.ws.spark.createDataFrame([], "a long, b long, k long")
+        new = nodes
+        for t in self.known:
+            new = new.join(t, "node", "left_anti")
+        if not new.isEmpty():
+            wanted = _bloom(self.owners.join(new, "node").select("node", "doc_id"))
+            self.parts.append(self.ws.table(_fragments(self.docs, self.n, self.bits, self.level, self.cuts, wanted), f"parts-{name}"))
+            self.known.append(nodes)
+        parts = self.parts[0]
+        for t in self.parts[1:]:
+            parts = parts.union(t)
+        few = nodes.count() <= self.FEW
+
+        def side(c: str) -> DataFrame:
+            own = pairs.select(c).distinct()
+            named = parts.select(F.col("node").alias(c), "fragment", F.col("n").alias(f"n{c}"), F.col("part").alias(f"p{c}"))
+            return named.join(F.broadcast(own) if few else own, c, "left_semi")
+
+        total, count = pairs.count(), lambda c: pairs.groupBy(c).agg(F.count("*").alias("k"))
+        both = spread_join(pairs, side("b"), ["b"], count("b"), total, F.xxhash64("a"))
+        both = spread_join(both, side("a"), ["a", "fragment"], count("a"), total, F.xxhash64("b"))
+        # Repeated rows bring a fragment twice; it counts once.
+        counted = map_arrow(both.select("a", "b", "na", "nb", "fragment", "pa", "pb"), "a long, b long, na int, nb int, fragment int, k long", _overlaps)
+        total = counted.groupBy("a", "b", "na", "nb", "fragment").agg(F.max("k").alias("k")).groupBy("a", "b", "na", "nb").agg(F.sum("k").alias("k"))
+        good = total.where(self.den * F.col("k") >= self.num * (F.col("na").cast("long") + F.col("nb") - F.col("k"))).select("a", "b", "k")
+        return self.ws.table(good, f"links-{name}")
+
+
+def _stars(led: DataFrame, owners: DataFrame) -> DataFrame:
+    """(node, lead, n, k, of, copies): nodes that link with the lead they have tried; ``k`` of its ``of`` shingles are theirs."""
+    own = owners.select("node", "n", "copies")
+    stars = led.select(F.col("b").alias("node"), F.col("a").alias("lead"), "k").join(own, "node")
+    return stars.join(own.select(F.col("node").alias("lead"), F.col("n").alias("of")), "lead").select("node", "lead", "n", "k", "of", "copies")
+
+
+def _sure(least, both, num: int, den: int):
+    """Whether nodes of ``both`` shingles together link for sure.
+
+    Two nodes of one lead share all but what either lacks of it, at ``least``: k of the one and k of the other, less the lead's size.
     """
+    return den * least >= num * (both - least)
 
-    def parts(side: str) -> DataFrame:
-        wanted = _bloom(owners.join(pairs.select(F.col(side).alias("node")).distinct(), "node").select("node", "doc_id"))
-        return _fragments(docs, n, bits, level, cuts, wanted).select(F.col("node").alias(side), "fragment", F.col("n").alias(f"n{side}"), F.col("part").alias(f"p{side}"))
 
-    both = pairs.join(parts("b"), "b").join(parts("a"), ["a", "fragment"])
+def _sure_links(stars: DataFrame, num: int, den: int) -> DataFrame:
+    """(node, sure): the rows that a node links with for sure, by its lead's kinds (n, k) of nodes and not by pairs."""
+    kinds = stars.groupBy("lead", "n", "k", "of").agg(F.sum("copies").alias("rows"))
+    x, y = (kinds.select("lead", *[F.col(c).alias(f"{c}_{s}") for c in ("n", "k", "of", "rows")]) for s in "ab")
+    certain = _sure(F.col("k_a") + F.col("k_b") - F.col("of_a"), F.col("n_a").cast("long") + F.col("n_b"), num, den)
+    sums = x.join(y, "lead").where(certain).groupBy("lead", F.col("n_a").alias("n"), F.col("k_a").alias("k")).agg(F.sum("rows_b").alias("all"))
+    itself = F.when(_sure(2 * F.col("k") - F.col("of"), 2 * F.col("n").cast("long"), num, den), F.col("copies")).otherwise(0)
+    return stars.join(sums, ["lead", "n", "k"]).select("node", (F.col("all") - itself).alias("sure"))
 
-    def overlap(batches):
-        for batch in batches:
-            x = [np.frombuffer(p.as_buffer(), np.uint64) for p in batch.column(5)]
-            y = [np.frombuffer(p.as_buffer(), np.uint64) for p in batch.column(6)]
-            yield {c: batch.column(i) for i, c in enumerate(("a", "b", "na", "nb", "fragment"))} | {"k": [len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(x, y)]}
 
-    counted = map_arrow(both.select("a", "b", "na", "nb", "fragment", "pa", "pb"), "a long, b long, na int, nb int, fragment int, k long", overlap)
-    # Repeated rows bring a fragment twice; it counts once.
-    total = counted.groupBy("a", "b", "na", "nb", "fragment").agg(F.max("k").alias("k")).groupBy("a", "b", "na", "nb").agg(F.sum("k").alias("k"))
-    return total.where(den * F.col("k") >= num * (F.col("na").cast("long") + F.col("nb") - F.col("k"))).select("a", "b")
+def _overlaps(batches):
+    for batch in batches:
+        x = [np.frombuffer(p.as_buffer(), np.uint64) for p in batch.column(5)]
+        y = [np.frombuffer(p.as_buffer(), np.uint64) for p in batch.column(6)]
+        yield {c: batch.column(i) for i, c in enumerate(("a", "b", "na", "nb", "fragment"))} | {"k": [len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(x, y)]}
 
 
-def ngram_jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 4, num: int = 85, den: int = 100, fragments: int = 8, sketch_bits: int = 23, count_links: bool = False) -> DataFrame:
+@in_workspace
+def ngram_jaccard_classes(docs: DataFrame, ws: Workspace, *, id_col: str = "doc_id", text_col: str = "text", n: int = 4, num: int = 85, den: int = 100, fragments: int = 8, sketch_bits: int = 23, count_links: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row: classes of the links with Jaccard >= num / den.
 
     count_links: with n_links, the number of other rows each row links with, copies of its set included.
     """
     spark = docs.sparkSession
-    ws = Workspace(spark)
     docs = safe_columns(docs, doc_id=F.col(id_col), text=F.col(text_col))
     survey = ws.table(_survey(docs, n, sketch_bits), "survey")
-    level, cuts = _order(survey, sketch_bits, fragments)
+    level, cuts, hot = _order(survey, sketch_bits, fragments)
     level = spark.sparkContext.broadcast(level)
 
     # Rows of one posting list lie together, cleanest heads first; lists of one node are dropped here.
-    heads = _heads(docs, n, sketch_bits, level, num, den).repartition(partitions(spark), "gram")
-    order = Window.partitionBy("gram").orderBy(F.col("at").bitwiseAND(0xFFFFFFFF), "node")
-    placed = heads.select("gram", "node", "at", F.first("node").over(order).alias("lead"), F.first("at").over(order).alias("lead_at"), F.lead("node").over(order).alias("next"))
-    lists = ws.table(placed.where("lead <> node OR next IS NOT NULL").drop("next"), "lists")
-    posted = lists.select("gram", "node", "at")
-
-    tried = lists.where("lead <> node").where(_can("lead_at", "at", num, den)).groupBy("node", "lead").agg(F.count("*").alias("k"))
+    # The list of a hot shingle is dealt out, and each part has a lead of its own.
+    heads = _heads(docs, n, sketch_bits, level, hot, num, den).withColumn("salt", _dealt("node")).repartition(partitions(spark), "gram", "salt")
+    cleanest = (F.col("at").bitwiseAND(0xFFFFFFFF), F.col("node"))
+    order = Window.partitionBy("gram", "salt").orderBy(*cleanest)
+    placed = heads.select("gram", "node", "at", "salts", F.first("node").over(order).alias("lead"), F.first("at").over(order).alias("lead_at"), F.lead("node").over(order).alias("next"))
+    lists = ws.table(placed.where("lead <> node OR next IS NOT NULL OR salts > 1").drop("next"), "lists")
+    posted = lists.select("gram", "node", "at", "salts")
+
+    # The leads of a dealt list's parts try the first of them.
+    order = Window.partitionBy("gram").orderBy(*cleanest)
+    parts = lists.where("salts > 1 AND lead = node").select("node", F.first("node").over(order).alias("lead"), "at", F.first("at").over(order).alias("lead_at"))
+    tried = lists.select("node", "lead", "at", "lead_at").union(parts).where("lead <> node").where(_can("lead_at", "at", num, den)).groupBy("node", "lead").agg(F.count("*").alias("k"))
     tried = tried.groupBy("node").agg(F.max_by("lead", F.struct("k", "lead")).alias("lead"))
     tried = ws.table(tried.select(F.col("lead").alias("a"), F.col("node").alias("b")), "tried")
-    owners = ws.table(survey.where("node IS NOT NULL").groupBy("node").agg(F.coalesce(F.min("doc_id"), F.lit(0)).alias("doc_id"), *[F.min(c).alias(c) for c in ("n", *PARITY)]), "owners")
-    near = ws.table(_near(tried, owners, num, den), "near")
-    links = ws.table(_verify(docs, owners, near, n, sketch_bits, level, cuts, num, den), "links")
+    owners = ws.table(survey.where("node IS NOT NULL").groupBy("node").agg(F.coalesce(F.min("doc_id"), F.lit(0)).alias("doc_id"), F.min("doc_id").alias("least"), F.count("*").alias("copies"), *[F.min(c).alias(c) for c in ("n", *PARITY)]), "owners")
+    verifier = Verifier(ws, docs, owners, n, sketch_bits, level, cuts, num, den)
+    led = links = verifier.links(ws.table(_near(tried, owners, num, den), "near"), "tried")
     ws.drop("near")
-    found = components(links).checkpoint()
+    found = ws.table(components(links, ws), "found")
 
     # What is left: pairs across components, listed by component first so that members of one never meet.
-    known = lists.select("gram", "node", "at").join(found, "node", "left").withColumn("label", F.coalesce("label", "node")).drop("lead")
-    several = known.groupBy("gram").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("gram")
-    known = ws.table(known.join(several, "gram", "left_semi"), "known")
+    known = posted.join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    several = known.groupBy("gram").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("salts").alias("salts")).where("x <> y").select("gram", _each_salt())
+    known = ws.table(known.withColumn("salt", _dealt("node")).join(several, ["gram", "salt"], "left_semi"), "known")
     if not count_links:
         ws.drop("lists")
-    meets = known.groupBy("gram", "label").agg(F.min(F.shiftright("at", 32)).alias("lo"), F.max(F.shiftright("at", 32)).alias("hi"), F.max(F.shiftright("at", 32) - F.col("at").bitwiseAND(0xFFFFFFFF)).alias("left"))
-    x, y = (meets.select("gram", *[F.col(c).alias(c + s) for c in ("label", "lo", "hi", "left")]) for s in "xy")
-    meets = x.join(y, "gram").where((F.col("labelx") < F.col("labely")) & (den * F.col("hix") >= num * F.col("loy")) & (den * F.col("hiy") >= num * F.col("lox")) & ((num + den) * F.least("leftx", "lefty") >= num * (F.col("lox") + F.col("loy")))).select("gram", "labelx", "labely", "loy", "hiy", "lefty")
-    left = known.select("gram", F.col("label").alias("labelx"), F.col("node").alias("b"), F.col("at").alias("at_b"))
+    meets = known.groupBy("gram", "label").agg(F.min(F.shiftright("at", 32)).alias("lo"), F.max(F.shiftright("at", 32)).alias("hi"), F.max(F.shiftright("at", 32) - F.col("at").bitwiseAND(0xFFFFFFFF)).alias("left"), F.max("salts").alias("salts"))
+    x, y = (meets.select("gram", "salts", *[F.col(c).alias(c + s) for c in ("label", "lo", "hi", "left")]) for s in "xy")
+    x, y = x.withColumn("salt", _dealt("labelx")).drop("salts"), y.select("*", _each_salt())
+    meets = x.join(y, ["gram", "salt"]).where((F.col("labelx") < F.col("labely")) & (den * F.col("hix") >= num * F.col("loy")) & (den * F.col("hiy") >= num * F.col("lox")) & ((num + den) * F.least("leftx", "lefty") >= num * (F.col("lox") + F.col("loy"))))
+    meets = meets.select("gram", "labelx", "labely", "loy", "hiy", "lefty", _each_salt())
+    left = known.select("gram", "salt", F.col("label").alias("labelx"), F.col("node").alias("b"), F.col("at").alias("at_b"))
     right = known.select("gram", F.col("label").alias("labely"), F.col("node").alias("a"), F.col("at").alias("at_a"))
     # A member of the one class must be able to link with some member of the other before it is listed.
     size, ahead = F.shiftright("at_b", 32), F.shiftright("at_b", 32) - F.col("at_b").bitwiseAND(0xFFFFFFFF)
     able = (den * F.col("hiy") >= num * size) & (den * size >= num * F.col("loy")) & ((num + den) * F.least(ahead, "lefty") >= num * (size + F.col("loy")))
-    rest = meets.join(left, ["gram", "labelx"]).where(able).join(right, ["gram", "labely"]).where(_can("at_a", "at_b", num, den))
+    rest = meets.join(left, ["gram", "labelx", "salt"]).where(able).join(right, ["gram", "labely"]).where(_can("at_a", "at_b", num, den))
     rest = rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     rest = rest.join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
     rest = ws.table(_near(rest, owners, num, den), "rest")
@@ -273,34 +370,41 @@ def ngram_jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     if not count_links:
         ws.drop("tried")
     if not rest.isEmpty():
-        more = ws.table(_verify(docs, owners, rest, n, sketch_bits, level, cuts, num, den), "more")
+        more = verifier.links(rest, "rest")
         if not more.isEmpty():
             links = links.union(more)
-            found = components(links)
+            found = ws.table(components(links, ws, "edges-again"), "found-again")
     if count_links:
-        # Every pair that links lies in one component; those tried above are not tried again.
-        found = found.checkpoint()
-        inside = posted.join(found, "node")
-        x, y = (inside.select("gram", "label", F.col("node").alias(c), F.col("at").alias("at_" + c)) for c in "ab")
-        inside = x.join(y, ["gram", "label"]).where("a > b").where(_can("at_a", "at_b", num, den)).select("a", "b").distinct()
+        # Every pair that links lies in one component; those tried above are not tried again, nor those that are sure.
+        stars = _stars(led, owners)
+        packed = stars.select("node", "lead", F.shiftleft("k", 32).bitwiseOR(F.col("of")).alias("kof"))
+        inside = posted.join(found.join(packed, "node", "left"), "node")
+        x, y = (inside.select("gram", "label", "salts", F.col("node").alias(c), *[F.col(k).alias(f"{k}_{c}") for k in ("at", "lead", "kof")]) for c in "ab")
+        inside = x.withColumn("salt", _dealt("a")).drop("salts").join(y.select("*", _each_salt()), ["gram", "label", "salt"])
+        least = F.shiftright("kof_a", 32) + F.shiftright("kof_b", 32) - F.col("kof_a").bitwiseAND(0xFFFFFFFF)
+        sure = F.coalesce((F.col("lead_a") == F.col("lead_b")) & _sure(least, F.shiftright("at_a", 32) + F.shiftright("at_b", 32), num, den), F.lit(False))
+        inside = inside.where("a > b").where(_can("at_a", "at_b", num, den) & ~sure).select("a", "b").distinct()
         for done in (tried, rest):
             inside = inside.join(done.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
         inside = ws.table(_near(inside, owners, num, den), "inside")
         ws.drop("lists")
         ws.drop("tried")
         if not inside.isEmpty():
-            links = links.union(ws.table(_verify(docs, owners, inside, n, sketch_bits, level, cuts, num, den), "within"))
+            links = links.union(verifier.links(inside, "inside"))
 
-    rows = survey.where("block IS NULL").select("doc_id", "n", "node")
-    rows = rows.join(found, "node", "left").select("doc_id", "n", "node", F.coalesce("label", "node").alias("label"))
-    least = rows.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least"))
-    out = rows.join(least, "label", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    # A node's class and least id; nodes of a large class and rows of a large node are dealt out.
+    nodes = owners.join(found, "node", "left").select("node", "least", "copies", F.coalesce("label", "node").alias("label"))
+    classes = nodes.groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("k"))
+    nodes = spread_join(nodes.drop("least"), classes.drop("k"), ["label"], classes.select("label", "k"), owners.count(), F.xxhash64("node")).drop("label")
     if count_links:
         # A row links with the other rows of its node and with all rows of the nodes that its node links with.
-        copies = survey.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("copies"))
-        ends = links.select("a", "b").union(links.select("b", "a")).toDF("node", "other")
-        others = ends.join(copies.toDF("other", "more"), "other").groupBy("node").agg(F.sum("more").alias("more"))
-        counts = copies.join(others, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
-        rows = rows.join(counts, "node", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
-        out = rows.join(least, "label", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), "n_links")
+        ends = links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).toDF("node", "other")
+        copies = owners.select(F.col("node").alias("other"), F.col("copies").alias("more"))
+        by_other = ends.groupBy("other").agg(F.count("*").alias("k"))
+        others = spread_join(ends, copies, ["other"], by_other, ends.count(), F.xxhash64("node")).groupBy("node").agg(F.sum("more").alias("more"))
+        nodes = nodes.join(others, "node", "left").join(_sure_links(stars, num, den), "node", "left")
+        nodes = nodes.withColumn("n_links", F.col("copies") - 1 + F.coalesce("more", F.lit(0)) + F.coalesce("sure", F.lit(0))).drop("more", "sure")
+    rows = survey.where("block IS NULL").select("doc_id", "n", "node")
+    rows = spread_join(rows, nodes.drop("copies"), ["node"], owners.select("node", F.col("copies").alias("k")), survey.count(), F.monotonically_increasing_id(), "left")
+    out = rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *([F.coalesce("n_links", F.lit(0)).alias("n_links")] if count_links else []))
     return ws.result(out)

@@ -11,6 +11,8 @@ change of result; each worker keeps the ids of the words it has met (see ``wordc
 A null text has null results, an empty text no ids.  Decoding gives back the text exactly if it
 encodes without an unknown id (bytes pieces guarantee that) and has no space mark U+2581 of its own,
 which becomes a space.  Models with a character map are refused: their normalisation would be lost.
+Repeated rows are coded separately, an empty table gives an empty result; encoding reads no other columns,
+decoding keeps them.
 """
 
 from __future__ import annotations
@@ -202,7 +204,9 @@ def encode_pieces(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_c
 
 
 def decode_pieces(encoded: DataFrame, model: str, *, ids_col: str = "ids", into: str = "decoded") -> DataFrame:
-    """The input's columns and ``into``: the texts of packed ids."""
+    """The input's columns and ``into``: the texts of packed ids; an input column of that name is replaced."""
+    encoded = encoded.drop(into) if ids_col.lower() != into.lower() else encoded.withColumnRenamed(ids_col, "__ids")
+    ids_col = ids_col if ids_col.lower() != into.lower() else "__ids"
 
     def run(batches):
         p = pieces(model)
@@ -210,5 +214,6 @@ def decode_pieces(encoded: DataFrame, model: str, *, ids_col: str = "ids", into:
             ids = batch.column(batch.schema.get_field_index(ids_col)).to_pylist()
             yield {n: batch.column(i) for i, n in enumerate(batch.schema.names)} | {into: [None if x is None else p.decode(np.frombuffer(x, "<i4").tolist()) for x in ids]}
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema) + f", {into} string"
-    return map_arrow(encoded, schema, run)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema) + f", `{into}` string"
+    out = map_arrow(encoded, schema, run)
+    return out.drop("__ids") if ids_col == "__ids" else out

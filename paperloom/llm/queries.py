@@ -86,5 +86,63 @@ def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
+# --- the same results in DuckDB SQL -----------------------------------------------------------
+
+_CAPITALS = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: reach(a, b): b can be reached from a by links; one row for each pair of a class.
+_REACH = "reach(a, b) AS (SELECT a, a FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b), classes AS (SELECT a, min(b) AS least FROM reach GROUP BY a)"
+
+_OP2 = rf"""WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all({_CAPITALS}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM words),
+rows AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM sets),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, x.n AS na, y.n AS nb, count(*) AS k FROM rows x JOIN rows y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs WHERE 100 * k >= 85 * (na + nb - k)), {_REACH},
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT doc_id, len(g)::BIGINT AS n_shingles, coalesce(least, doc_id) AS component_id, coalesce(n, 0)::BIGINT AS n_links FROM sets LEFT JOIN classes ON classes.a = doc_id LEFT JOIN counts ON counts.a = doc_id"""
+
+_FINE = "len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"
+_OP3 = f"""WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE {_FINE} AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id AND len(x.e) = len(y.e) WHERE list_cosine_similarity(x.e, y.e) >= 0.9), {_REACH},
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(least, vec_id) AS component_id, coalesce(least, vec_id) = vec_id AS kept FROM embeddings LEFT JOIN classes ON classes.a = vec_id LEFT JOIN counts ON counts.a = vec_id"""
+
+_OP7 = f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL AND ({_FINE} OR len(embedding) = 0)),
+scored AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e[1:least(len(q.e), len(v.e))], v.e[1:least(len(q.e), len(v.e))])::BIGINT AS score FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20"""
+
+
+def _spans(text: str, pattern: str, keep: str = "true") -> str:
+    """SQL for the list of spans {s, e, sb, eb, m} (code points and bytes) of a pattern's matches m for which ``keep`` holds."""
+    pattern = pattern.replace("'", "''")
+    lists = f"{{'m': regexp_extract_all({text}, '{pattern}'), 'g': string_split_regex({text}, '{pattern}')}}"
+    before = lambda f, n: f"coalesce(list_sum(list_transform(l.g[1:i], lambda x: {f}(x))), 0)::BIGINT + coalesce(list_sum(list_transform(l.m[1:{n}], lambda x: {f}(x))), 0)::BIGINT"
+    span = f"{{'s': {before('length', 'i - 1')}, 'e': {before('length', 'i')}, 'sb': {before('strlen', 'i - 1')}, 'eb': {before('strlen', 'i')}, 'm': l.m[i]}}"
+    return f"list_filter(list_transform([{lists}], lambda l: list_transform(range(1, len(l.m) + 1), lambda i: {span}))[1], lambda x: {keep})"
+
+
+def _op9() -> str:
+    from . import credential_links as C
+
+    plain = lambda p: p.pattern.decode()
+    value = f"length(regexp_extract(x.m, '{plain(C._ASSIGN).replace(chr(39), chr(39) * 2)}', 1))"
+    name = f"regexp_extract(x.m, '{plain(C._PAIR).replace(chr(39), chr(39) * 2)}', 1)"
+    named = lambda p: f"regexp_matches({name}, '{plain(p)}')"
+    secret, ident, host, weak = (named(p) for p in (C._SECRETS, C._NAMES, C._HOSTS, C._WEAK))
+    near = lambda of, x: f"len(list_filter({of}, lambda p: (p.sb < {x}.sb AND p.eb > {x}.sb - 300) OR (p.sb < {x}.eb + 300 AND p.eb > {x}.eb))) > 0"
+    told = lambda spans, kind: f"list_transform({spans}, lambda x: {{'s': x.s, 'k': {C.KINDS.index(kind)}, 't': concat('{kind}:', x.s, ':', x.e)}})"
+    text = lambda spans: f"array_to_string(list_transform(list_sort({spans}), lambda x: x.t), ',')"
+    return f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS raw, {_CAPITALS} AS low FROM documents),
+f AS (SELECT doc_id, {_spans('low', plain(C._ASSIGN), value + ' >= 12')} AS assign, {_spans('low', plain(C._ASSIGN), value + ' BETWEEN 6 AND 11')} AS short,
+  {_spans('raw', plain(C._ACCESS))} AS access, {_spans('raw', plain(C._HEX))} AS hex, {_spans('low', plain(C._PAIR))} AS pairs, {_spans('low', plain(C._ENDPOINT))} AS urls FROM t),
+n AS (SELECT *, list_filter(pairs, lambda x: {ident} AND NOT {secret}) AS names, list_filter(pairs, lambda x: {host} AND NOT {secret} AND NOT {ident}) || urls AS hosts,
+  list_distinct(list_transform(short || list_filter(pairs, lambda x: {secret} OR ({weak} AND NOT {ident} AND NOT {host})), lambda x: {{'s': x.s, 'e': x.e, 'sb': x.sb, 'eb': x.eb}})) AS weak FROM f),
+w AS (SELECT *, list_filter(weak, lambda x: {near('names || hosts || access', 'x')}) AS taken FROM n),
+u AS (SELECT *, list_filter(names, lambda x: {near("list_transform(assign || hex, lambda q: {'sb': q.sb, 'eb': q.eb}) || list_transform(taken, lambda q: {'sb': q.sb, 'eb': q.eb})", 'x')}) AS idents, list_distinct(list_transform(list_filter(hosts, lambda x: {near("list_transform(assign || hex, lambda q: {'sb': q.sb, 'eb': q.eb}) || list_transform(taken, lambda q: {'sb': q.sb, 'eb': q.eb})", 'x')}), lambda x: {{'s': x.s, 'e': x.e}})) AS ends,
+  list_filter(taken, lambda x: len(list_filter(assign, lambda p: p.sb <= x.sb AND p.eb >= x.eb)) = 0) AS alone FROM w),
+b AS (SELECT *, {told('assign', 'assign')} || {told('access', 'access')} || {told('hex', 'hex')} AS base FROM u)
+SELECT doc_id, len(assign)::BIGINT AS n_assign, len(access)::BIGINT AS n_access, len(hex)::BIGINT AS n_hex, sha256({text('base')}) AS base_sha256, {text('base || ' + told('idents', 'identifier') + ' || ' + told('ends', 'endpoint') + ' || ' + told('alone', 'weak'))} AS spans FROM b"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The classifiers, tokenizers and pseudonyms have no SQL form; tests compare them with plain versions."""
+    return {"op2_ngram_jaccard_join": _OP2, "op3_embedding_near_dedup": _OP3, "op7_exact_top_k": _OP7, "op9_credential_links": _op9()}

@@ -2,7 +2,8 @@
 
 Tokenizers that split a text into words before merging give a word the same ids wherever it stands,
 so each worker keeps the ids of the words it has met.  The cache is emptied when it holds
-``MOST`` words; it only saves work and never changes a result.
+``MOST`` words.  It saves work; words are taken as equal by their 64-bit hashes, so a result would only change if two
+of the words that a worker holds at once had one hash (for a million words, a chance of 3 in 10^8).
 """
 
 from __future__ import annotations

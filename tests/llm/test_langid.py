@@ -30,11 +30,12 @@ def test_windows_see_what_a_plain_loop_sees():
     padded = b" " * langid.MARGIN + raw + b" " * (langid.MARGIN + langid.CORE)
     for s in range(0, len(raw), langid.CORE):
         n = min(langid.CORE, len(raw) - s)
-        x = np.frombuffer(padded[s : s + n + 2 * langid.MARGIN], np.uint8)[:, None]
+        x = np.frombuffer(padded[s : s + -(-n // langid.STEP) * langid.STEP + 2 * langid.MARGIN], np.uint8)[:, None]
         hf, hb = langid.states(p, x, "f"), langid.states(p, x[::-1], "b")[::-1]
         prob = langid.softmax(hf @ p["Vf"] + hb @ p["Vb"] + p["c"])[langid.MARGIN : langid.MARGIN + n, 0]
         total, count = total + prob.sum(axis=0), count + n
-    assert np.allclose(langid.predict(p, [b"", raw, b"12"])[1], total / count, atol=2e-3)
+    assert np.allclose(langid.predict(p, [b"", raw, b"12"])[1], total / count, atol=1e-5)
+    assert (langid.predict(p, [b"abc", raw[:300], raw, raw[:999]])[2] == langid.predict(p, [raw])[0]).all()
 
 
 def test_held_out_accuracy_and_odd_texts(spark):

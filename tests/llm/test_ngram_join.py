@@ -77,6 +77,24 @@ def test_parity_bitmaps_never_differ_in_more_bits_than_sets_in_shingles():
     assert (_parity(a[::-1]) == _parity(a)).all()
 
 
+def test_hot_shingles_and_classes_are_dealt_out(spark):
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for i in range(900):
+        w = list(base)
+        w[rng.randrange(60)] = f"n{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(2000 + i, rows[7][1]) for i in range(700)] + [(5000 + i, " ".join(base[:40] + [f"o{i}_{j}" for j in range(20)])) for i in range(300)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, ngram_jaccard_classes(df, sketch_bits=16, count_links=True).collect()))
+    assert [r[:3] for r in got] == brute(rows)
+    sets = [grams(t, 4) for _, t in rows]
+    some = {d: sum(100 * len(s & t) >= 85 * len(s | t) for t in sets) - 1 for (d, _), s in zip(rows, sets) if d % 97 == 0}
+    assert {d: k for d, _, _, k in got if d in some} == some
+
+
 def test_empty_table_and_repeated_rows(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_jaccard_classes(df).count() == 0
