@@ -2,6 +2,9 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
 of ``documents``.  ``run`` writes each stage's rows as Parquet and reads them again for the next.
+
+In every stage rows are judged by their own text: equal rows fare alike (but near_duplicates keeps one of them),
+null ids stay null, columns beyond those of ``documents`` are kept, and an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -18,22 +21,18 @@ from paperloom.llm.packing import pack_documents
 from paperloom.llm.pii import pseudonymise
 from paperloom.llm.queries import pii_key
 
-#: Documents whose clearest language has a lower mean probability are rejected; of four languages a
-#: uniform guess gives 0.25.
-LEAST_LANGUAGE = 0.3
-
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps what the quality classifier scores 0.5 or more."""
+    """Keeps what the quality classifier scores 0.5 or more; a null text counts as empty."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
     return gam.keep_quality(docs, gam.fit(docs, labels, ~held), 0.5)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a language that the network knows."""
+    """Keeps documents in a language that the network knows; texts that are null or without a letter go."""
     held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
-    return langid.keep_known(docs, langid.fit(docs, ~held), LEAST_LANGUAGE)
+    return langid.keep_known(docs, langid.fit(docs, ~held))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,20 +55,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by pseudonyms; n_chars follows the new text."""
+    """Replaces personal data by pseudonyms, keyed by the session's setting; n_chars follows the new text, null for none."""
     out = pseudonymise(docs, pii_key(spark), count_col=None)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the tokens of what is left into sequences of 2048."""
+    """Packs the tokens of what is left into sequences of 2048; a null text has the end id alone.  Other columns end here."""
     pieces = pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), max_tokens=2048, end_id=1)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 STAGES = [("quality", quality), ("language", language), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("packing", packing)]
 
-#: The classifier, the network and the tokenizer have no SQL form; the pipeline is tested stage by stage.
+#: The classifier, the network and the tokenizer have no SQL form; tests compare the stages with plain versions.
 ORACLE_SQL = None
 
 
