@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from paperloom.session import ship_package
 
 #: Rows of an Arrow batch that carries texts; batches stay small whatever the texts' length.
-TEXT_BATCH_BYTES = 4 << 20
+TEXT_BATCH_BYTES = 2 << 20
 #: Spark's setting that removes a query's shuffle files at its end, not at some later collection.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

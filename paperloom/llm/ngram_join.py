@@ -105,7 +105,7 @@ def _order(survey: DataFrame, bits: int, fragments: int) -> tuple[np.ndarray, np
         count[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(blob, np.uint8 if len(blob) == BLOCK else np.uint32)
     limit = max(256, int(count.sum(dtype=np.int64)) // (4 * partitions(survey.sparkSession)))
     slots = np.flatnonzero(count > limit)
-    hot = np.stack([slots, -(-count[slots].astype(np.int64) // limit)])
+    hot = np.stack([slots, np.minimum(-(-count[slots].astype(np.int64) // limit), 32767)])
     noise = max(1.0, 2 * float(count.mean(dtype=np.float64)))
     level = np.clip(np.ceil(2 * np.log2(np.maximum(count, 1) / noise)), 0, 63).astype(np.uint8)
     mass = np.bincount(level, weights=count, minlength=64) + 1e-9
@@ -139,7 +139,10 @@ def _salts(s: np.ndarray, bits: int, hot: np.ndarray) -> np.ndarray:
 
 
 def _heads(docs: DataFrame, n: int, bits: int, level, hot: np.ndarray, num: int, den: int) -> DataFrame:
-    """(gram, node, at, salts): the first shingles of each set in the global order; ``at`` is size << 32 | position."""
+    """(gram, node, at, part): the first shingles of each set in the global order.
+
+    at: size << 32 | position.  part: to how many tasks the shingle's rows are dealt << 16 | the row's one of them.
+    """
 
     def run(batches):
         for _, sets in _sets(batches, n):
@@ -161,9 +164,10 @@ def _heads(docs: DataFrame, n: int, bits: int, level, hot: np.ndarray, num: int,
                 part = keys[i : i + 4096]
                 k = np.array([len(x) for x in part])
                 pos = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-                yield {"gram": np.concatenate(part), "node": np.repeat(np.asarray(batch.column(0)[i : i + 4096]), k), "at": np.repeat(np.asarray(batch.column(1)[i : i + 4096]).astype(np.int64), k) << 32 | pos, "salts": np.concatenate(salts[i : i + 4096])}
+                names, many = np.repeat(np.asarray(batch.column(0)[i : i + 4096]), k), np.concatenate(salts[i : i + 4096]).astype(np.int64)
+                yield {"gram": np.concatenate(part), "node": names, "at": np.repeat(np.asarray(batch.column(1)[i : i + 4096]).astype(np.int64), k) << 32 | pos, "part": many << 16 | names % many}
 
-    return map_arrow(heads, "gram long, node long, at long, salts short", unpack)
+    return map_arrow(heads, "gram long, node long, at long, part int", unpack)
 
 
 def _dealt(c: str):
@@ -327,16 +331,16 @@ def ngram_jaccard_classes(docs: DataFrame, ws: Workspace, *, id_col: str = "doc_
 
     # Rows of one posting list lie together, cleanest heads first; lists of one node are dropped here.
     # The list of a hot shingle is dealt out, and each part has a lead of its own.
-    heads = _heads(docs, n, sketch_bits, level, hot, num, den).withColumn("salt", _dealt("node")).repartition(partitions(spark), "gram", "salt")
+    heads = _heads(docs, n, sketch_bits, level, hot, num, den).repartition(partitions(spark), "gram", "part")
     cleanest = (F.col("at").bitwiseAND(0xFFFFFFFF), F.col("node"))
-    order = Window.partitionBy("gram", "salt").orderBy(*cleanest)
-    placed = heads.select("gram", "node", "at", "salts", F.first("node").over(order).alias("lead"), F.first("at").over(order).alias("lead_at"), F.lead("node").over(order).alias("next"))
-    lists = ws.table(placed.where("lead <> node OR next IS NOT NULL OR salts > 1").drop("next"), "lists")
-    posted = lists.select("gram", "node", "at", "salts")
+    order = Window.partitionBy("gram", "part").orderBy(*cleanest)
+    placed = heads.select("gram", "node", "at", "part", F.first("node").over(order).alias("lead"), F.first("at").over(order).alias("lead_at"), F.lead("node").over(order).alias("next"))
+    lists = ws.table(placed.where("lead <> node OR next IS NOT NULL OR part >= 131072").drop("next"), "lists")
+    posted = lists.select("gram", "node", "at", F.shiftright("part", 16).alias("salts"))
 
     # The leads of a dealt list's parts try the first of them.
     order = Window.partitionBy("gram").orderBy(*cleanest)
-    parts = lists.where("salts > 1 AND lead = node").select("node", F.first("node").over(order).alias("lead"), "at", F.first("at").over(order).alias("lead_at"))
+    parts = lists.where("part >= 131072 AND lead = node").select("node", F.first("node").over(order).alias("lead"), "at", F.first("at").over(order).alias("lead_at"))
     tried = lists.select("node", "lead", "at", "lead_at").union(parts).where("lead <> node").where(_can("lead_at", "at", num, den)).groupBy("node", "lead").agg(F.count("*").alias("k"))
     tried = tried.groupBy("node").agg(F.max_by("lead", F.struct("k", "lead")).alias("lead"))
     tried = ws.table(tried.select(F.col("lead").alias("a"), F.col("node").alias("b")), "tried")
