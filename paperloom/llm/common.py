@@ -113,6 +113,15 @@ def in_workspace(f):
     return run
 
 
+#: Rows of one value that a task reads without help; only values with more are dealt to several tasks.
+HOT_ROWS = 20_000
+
+
+def share(total: int, spark: SparkSession) -> int:
+    """The rows of a value above which it is dealt out: a quarter of a task's part of them all, HOT_ROWS at least."""
+    return max(HOT_ROWS, total // (4 * partitions(spark)))
+
+
 def spread_join(left: DataFrame, right: DataFrame, on: list[str], counts: DataFrame, total: int, salt: Column, how: str = "inner") -> DataFrame:
     """left joined with right on ``on``; values of on[0] with many left rows, if there are any, are dealt to several tasks.
 
@@ -120,10 +129,9 @@ def spread_join(left: DataFrame, right: DataFrame, on: list[str], counts: DataFr
     its share of a task; there are at most four times as many as partitions, which bounds what is collected.
     salt: a whole number that differs among the rows of one value.  The right rows of such values are copied.
     """
-    key, tasks = on[0], 4 * partitions(left.sparkSession)
-    limit = max(256, total // tasks)
+    key, limit = on[0], share(total, left.sparkSession)
     hot = counts.where((F.col("k") > limit) & F.col(key).isNotNull()).select(key, F.ceil(F.col("k") / limit).cast("int").alias("__n"))
-    found = hot.limit(tasks).collect() if total > limit else []
+    found = hot.limit(4 * partitions(left.sparkSession)).collect() if total > limit else []
     if not found:
         return left.join(right, on, how)
     hot = left.sparkSession.createDataFrame(found, hot.schema)

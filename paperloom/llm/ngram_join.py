@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Workspace, in_workspace, map_arrow, partitions, reduce_blobs, safe_columns, slabs, spread_join
+from .common import Workspace, in_workspace, map_arrow, partitions, reduce_blobs, safe_columns, share, slabs, spread_join
 from .components import components
 from .shingles import distinct_sets, mix
 
@@ -103,7 +103,7 @@ def _order(survey: DataFrame, bits: int, fragments: int) -> tuple[np.ndarray, np
     count = np.zeros(1 << bits, np.uint32)
     for block, blob in reduce_blobs(survey.where("block IS NOT NULL"), "uint8", add).toLocalIterator():
         count[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(blob, np.uint8 if len(blob) == BLOCK else np.uint32)
-    limit = max(256, int(count.sum(dtype=np.int64)) // (4 * partitions(survey.sparkSession)))
+    limit = share(int(count.sum(dtype=np.int64)), survey.sparkSession)
     slots = np.flatnonzero(count > limit)
     hot = np.stack([slots, np.minimum(-(-count[slots].astype(np.int64) // limit), 32767)])
     noise = max(1.0, 2 * float(count.mean(dtype=np.float64)))

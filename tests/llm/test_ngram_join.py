@@ -77,7 +77,8 @@ def test_parity_bitmaps_never_differ_in_more_bits_than_sets_in_shingles():
     assert (_parity(a[::-1]) == _parity(a)).all()
 
 
-def test_hot_shingles_and_classes_are_dealt_out(spark):
+def test_hot_shingles_and_classes_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr("paperloom.llm.common.HOT_ROWS", 64)
     rng = random.Random(9)
     base = [f"b{i}" for i in range(60)]
     rows = []

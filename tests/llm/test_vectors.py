@@ -23,7 +23,8 @@ def rows(seed, n=300, d=16):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_near_vectors(spark, seed):
+def test_near_vectors(spark, monkeypatch, seed):
+    monkeypatch.setattr("paperloom.llm.common.HOT_ROWS", 64)
     data = rows(seed)
     df = spark.createDataFrame(data, SCHEMA)
     got = {}
