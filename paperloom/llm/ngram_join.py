@@ -11,9 +11,8 @@ bits that differ are never more than the shingles that do.
 Documents with equal sets are one node, so copies never meet pairwise.  A first round tries, for
 each node, one partner: the node with the cleanest head in most of its posting lists.  Its links are joined
 into components, and the second round tries every remaining candidate pair across components; a
-pair inside one component can't change any class.  Only if links are to be counted, a third round tries
-the candidate pairs within components; but two nodes that share so much with one lead that they must link are
-counted by the sizes of their overlaps with it, without being paired.  No posting list, group or class is capped.
+pair inside one component can't change any class.  Links are counted, if they are to be, within the components, by
+blocks of nodes and not by pairs (``link_counts``).  No posting list, group or class is capped.
 
 Nulls, empty and blank texts: n_shingles 0, linked with nothing, component_id is the row's own id.
 Repeated rows: each row is returned; equal sets share a component.  A null id takes no part in the
@@ -32,6 +31,7 @@ from pyspark.sql.window import Window
 
 from .common import Workspace, in_workspace, map_arrow, partitions, reduce_blobs, safe_columns, share, slabs, spread_join
 from .components import components
+from .link_counts import count_links as links_of_nodes
 from .shingles import distinct_sets, mix
 
 BLOCK = 1 << 16
@@ -253,11 +253,18 @@ class Verifier:
         self.parts: list[DataFrame] = []
         self.known: list[DataFrame] = []
 
+    def fragments(self) -> DataFrame:
+        """The fragments of all nodes that have been in a pair, so of every node with a link."""
+        parts = self.parts[0]
+        for t in self.parts[1:]:
+            parts = parts.union(t)
+        return parts
+
     def links(self, pairs: DataFrame, name: str) -> DataFrame:
-        """(a, b, k): the pairs of a table that link, with their overlaps."""
+        """(a, b): the pairs of a table that link."""
         nodes = self.ws.table(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"nodes-{name}")
         if nodes.isEmpty():
-            return self.ws.spark.createDataFrame([], "a long, b long, k long")
+            return self.ws.spark.createDataFrame([], "a long, b long")
         new = nodes
         for t in self.known:
             new = new.join(t, "node", "left_anti")
@@ -265,9 +272,7 @@ class Verifier:
             wanted = _bloom(self.owners.join(new, "node").select("node", "doc_id"))
             self.parts.append(self.ws.table(_fragments(self.docs, self.n, self.bits, self.level, self.cuts, wanted), f"parts-{name}"))
             self.known.append(nodes)
-        parts = self.parts[0]
-        for t in self.parts[1:]:
-            parts = parts.union(t)
+        parts = self.fragments()
         few = nodes.count() <= self.FEW
 
         def side(c: str) -> DataFrame:
@@ -281,35 +286,10 @@ class Verifier:
         # Repeated rows bring a fragment twice; it counts once.
         counted = map_arrow(both.select("a", "b", "na", "nb", "fragment", "pa", "pb"), "a long, b long, na int, nb int, fragment int, k long", _overlaps)
         total = counted.groupBy("a", "b", "na", "nb", "fragment").agg(F.max("k").alias("k")).groupBy("a", "b", "na", "nb").agg(F.sum("k").alias("k"))
-        good = total.where(self.den * F.col("k") >= self.num * (F.col("na").cast("long") + F.col("nb") - F.col("k"))).select("a", "b", "k")
+        good = total.where(self.den * F.col("k") >= self.num * (F.col("na").cast("long") + F.col("nb") - F.col("k"))).select("a", "b")
         return self.ws.table(good, f"links-{name}")
 
 
-def _stars(led: DataFrame, owners: DataFrame) -> DataFrame:
-    """(node, lead, n, k, of, copies): nodes that link with the lead they have tried; ``k`` of its ``of`` shingles are theirs."""
-    own = owners.select("node", "n", "copies")
-    stars = led.select(F.col("b").alias("node"), F.col("a").alias("lead"), "k").join(own, "node")
-    return stars.join(own.select(F.col("node").alias("lead"), F.col("n").alias("of")), "lead").select("node", "lead", "n", "k", "of", "copies")
-
-
-def _sure(least, both, num: int, den: int):
-    """Whether nodes of ``both`` shingles together link for sure.
-
-    Two nodes of one lead share all but what either lacks of it, at ``least``: k of the one and k of the other, less the lead's size.
-    """
-    return den * least >= num * (both - least)
-
-
-def _sure_links(stars: DataFrame, num: int, den: int) -> DataFrame:
-    """(node, sure): the rows that a node links with for sure, by its lead's kinds (n, k) of nodes and not by pairs."""
-    kinds = stars.groupBy("lead", "n", "k", "of").agg(F.sum("copies").alias("rows"))
-    x, y = (kinds.select("lead", *[F.col(c).alias(f"{c}_{s}") for c in ("n", "k", "of", "rows")]) for s in "ab")
-    certain = _sure(F.col("k_a") + F.col("k_b") - F.col("of_a"), F.col("n_a").cast("long") + F.col("n_b"), num, den)
-    sums = x.join(y, "lead").where(certain).groupBy("lead", F.col("n_a").alias("n"), F.col("k_a").alias("k")).agg(F.sum("rows_b").alias("all"))
-    itself = F.when(_sure(2 * F.col("k") - F.col("of"), 2 * F.col("n").cast("long"), num, den), F.col("copies")).otherwise(0)
-    return stars.join(sums, ["lead", "n", "k"]).select("node", (F.col("all") - itself).alias("sure"))
-
-
 def _overlaps(batches):
     for batch in batches:
         x = [np.frombuffer(p.as_buffer(), np.uint64) for p in batch.column(5)]
@@ -346,7 +326,7 @@ def ngram_jaccard_classes(docs: DataFrame, ws: Workspace, *, id_col: str = "doc_
     tried = ws.table(tried.select(F.col("lead").alias("a"), F.col("node").alias("b")), "tried")
     owners = ws.table(survey.where("node IS NOT NULL").groupBy("node").agg(F.coalesce(F.min("doc_id"), F.lit(0)).alias("doc_id"), F.min("doc_id").alias("least"), F.count("*").alias("copies"), *[F.min(c).alias(c) for c in ("n", *PARITY)]), "owners")
     verifier = Verifier(ws, docs, owners, n, sketch_bits, level, cuts, num, den)
-    led = links = verifier.links(ws.table(_near(tried, owners, num, den), "near"), "tried")
+    links = verifier.links(ws.table(_near(tried, owners, num, den), "near"), "tried")
     ws.drop("near")
     found = ws.table(components(links, ws), "found")
 
@@ -354,8 +334,7 @@ def ngram_jaccard_classes(docs: DataFrame, ws: Workspace, *, id_col: str = "doc_
     known = posted.join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
     several = known.groupBy("gram").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("salts").alias("salts")).where("x <> y").select("gram", _each_salt())
     known = ws.table(known.withColumn("salt", _dealt("node")).join(several, ["gram", "salt"], "left_semi"), "known")
-    if not count_links:
-        ws.drop("lists")
+    ws.drop("lists")
     meets = known.groupBy("gram", "label").agg(F.min(F.shiftright("at", 32)).alias("lo"), F.max(F.shiftright("at", 32)).alias("hi"), F.max(F.shiftright("at", 32) - F.col("at").bitwiseAND(0xFFFFFFFF)).alias("left"), F.max("salts").alias("salts"))
     x, y = (meets.select("gram", "salts", *[F.col(c).alias(c + s) for c in ("label", "lo", "hi", "left")]) for s in "xy")
     x, y = x.withColumn("salt", _dealt("labelx")).drop("salts"), y.select("*", _each_salt())
@@ -371,30 +350,12 @@ def ngram_jaccard_classes(docs: DataFrame, ws: Workspace, *, id_col: str = "doc_
     rest = rest.join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
     rest = ws.table(_near(rest, owners, num, den), "rest")
     ws.drop("known")
-    if not count_links:
-        ws.drop("tried")
+    ws.drop("tried")
     if not rest.isEmpty():
         more = verifier.links(rest, "rest")
         if not more.isEmpty():
             links = links.union(more)
             found = ws.table(components(links, ws, "edges-again"), "found-again")
-    if count_links:
-        # Every pair that links lies in one component; those tried above are not tried again, nor those that are sure.
-        stars = _stars(led, owners)
-        packed = stars.select("node", "lead", F.shiftleft("k", 32).bitwiseOR(F.col("of")).alias("kof"))
-        inside = posted.join(found.join(packed, "node", "left"), "node")
-        x, y = (inside.select("gram", "label", "salts", F.col("node").alias(c), *[F.col(k).alias(f"{k}_{c}") for k in ("at", "lead", "kof")]) for c in "ab")
-        inside = x.withColumn("salt", _dealt("a")).drop("salts").join(y.select("*", _each_salt()), ["gram", "label", "salt"])
-        least = F.shiftright("kof_a", 32) + F.shiftright("kof_b", 32) - F.col("kof_a").bitwiseAND(0xFFFFFFFF)
-        sure = F.coalesce((F.col("lead_a") == F.col("lead_b")) & _sure(least, F.shiftright("at_a", 32) + F.shiftright("at_b", 32), num, den), F.lit(False))
-        inside = inside.where("a > b").where(_can("at_a", "at_b", num, den) & ~sure).select("a", "b").distinct()
-        for done in (tried, rest):
-            inside = inside.join(done.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
-        inside = ws.table(_near(inside, owners, num, den), "inside")
-        ws.drop("lists")
-        ws.drop("tried")
-        if not inside.isEmpty():
-            links = links.union(verifier.links(inside, "inside"))
 
     # A node's class and least id; nodes of a large class and rows of a large node are dealt out.
     nodes = owners.join(found, "node", "left").select("node", "least", "copies", F.coalesce("label", "node").alias("label"))
@@ -402,12 +363,11 @@ def ngram_jaccard_classes(docs: DataFrame, ws: Workspace, *, id_col: str = "doc_
     nodes = spread_join(nodes.drop("least"), classes.drop("k"), ["label"], classes.select("label", "k"), owners.count(), F.xxhash64("node")).drop("label")
     if count_links:
         # A row links with the other rows of its node and with all rows of the nodes that its node links with.
-        ends = links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).toDF("node", "other")
-        copies = owners.select(F.col("node").alias("other"), F.col("copies").alias("more"))
-        by_other = ends.groupBy("other").agg(F.count("*").alias("k"))
-        others = spread_join(ends, copies, ["other"], by_other, ends.count(), F.xxhash64("node")).groupBy("node").agg(F.sum("more").alias("more"))
-        nodes = nodes.join(others, "node", "left").join(_sure_links(stars, num, den), "node", "left")
-        nodes = nodes.withColumn("n_links", F.col("copies") - 1 + F.coalesce("more", F.lit(0)) + F.coalesce("sure", F.lit(0))).drop("more", "sure")
+        nodes = nodes.withColumn("n_links", F.col("copies") - 1)
+        if verifier.parts:
+            members = owners.select("node", "n", "copies").join(found, "node")
+            more = ws.table(links_of_nodes(members, verifier.fragments(), num, den), "more")
+            nodes = nodes.join(more, "node", "left").withColumn("n_links", F.col("n_links") + F.coalesce("more", F.lit(0))).drop("more")
     rows = survey.where("block IS NULL").select("doc_id", "n", "node")
     rows = spread_join(rows, nodes.drop("copies"), ["node"], owners.select("node", F.col("copies").alias("k")), survey.count(), F.monotonically_increasing_id(), "left")
     out = rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *([F.coalesce("n_links", F.lit(0)).alias("n_links")] if count_links else []))

@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+from paperloom.llm.link_counts import overlaps
 from paperloom.llm.ngram_join import _parity, ngram_jaccard_classes
 
 
@@ -77,8 +78,22 @@ def test_parity_bitmaps_never_differ_in_more_bits_than_sets_in_shingles():
     assert (_parity(a[::-1]) == _parity(a)).all()
 
 
-def test_hot_shingles_and_classes_are_dealt_out(spark, monkeypatch):
+@pytest.mark.parametrize("slab", [1, 7, 4096])
+def test_overlaps_of_blocks(monkeypatch, slab):
+    monkeypatch.setattr("paperloom.llm.link_counts.SLICE", slab)
+    rng = np.random.default_rng(2)
+    sets = [rng.choice(60, k, replace=False).astype(np.uint64) << np.uint64(50) for k in (0, 1, 3, 20, 40, 60, 25)]
+    sets.append(np.concatenate([sets[3], sets[3]]))
+    size = lambda x, y: len(np.intersect1d(x, y))
+    assert (overlaps(sets, None) == [[size(x, y) for y in sets] for x in sets])[~np.eye(8, dtype=bool)].all()
+    assert (overlaps(sets[:3], sets[3:]) == [[size(x, y) for y in sets[3:]] for x in sets[:3]]).all()
+    assert overlaps(sets[:1], sets[:1]).tolist() == [[0]] and overlaps(sets[:1], None).tolist() == [[0]]
+
+
+@pytest.mark.parametrize("block", [100, 1024])
+def test_hot_shingles_and_classes_are_dealt_out(spark, monkeypatch, block):
     monkeypatch.setattr("paperloom.llm.common.HOT_ROWS", 64)
+    monkeypatch.setattr("paperloom.llm.link_counts.ROWS", block)
     rng = random.Random(9)
     base = [f"b{i}" for i in range(60)]
     rows = []
