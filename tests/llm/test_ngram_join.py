@@ -127,3 +127,19 @@ def test_links_equal_brute_force(spark):
     assert sum(links) > 500
     assert sorted((d, k) for d, _, _, k in got) == sorted((d, k) for (d, _), k in zip(rows, links))
     assert [r[:3] for r in got] == brute(rows)
+
+
+def test_pairs_that_lead_each_other_count_once(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(60):
+        base = [f"p{i}_{j}" for j in range(400)]
+        for side in "ab":
+            w = list(base)
+            for at in rng.sample(range(8, 390), 3):
+                w[at] = f"{side}{at}"
+            rows.append((len(rows), " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_jaccard_classes(df, sketch_bits=16, count_links=True).collect()
+    assert [r[:3] for r in sorted(map(tuple, got))] == brute(rows)
+    assert {r.n_links for r in got} == {1}
