@@ -85,8 +85,12 @@ class Workspace:
         out = self.table(df, "result")
         for name in before:
             self.drop(name)
+        return self.later(out)
+
+    def later(self, df: DataFrame) -> DataFrame:
+        """A result that reads the tables when it is run itself; ``discard_results`` removes them."""
         _RESULTS.append(self.root)
-        return out
+        return df
 
 
 _RESULTS: list[str] = []
@@ -145,14 +149,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def slabs(batches: Iterator[pa.RecordBatch], text: str | None = None) -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that one slab holds about TEXT_BATCH_BYTES of the text column at most."""
+def slabs(batches: Iterator[pa.RecordBatch], text: str | None = None, most: int = TEXT_BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cuts batches so that one slab holds about ``most`` bytes of the text column at most."""
     for batch in batches:
         if text is None or batch.num_rows < 2:
             yield batch
             continue
         size = max(1, batch.column(batch.schema.get_field_index(text)).nbytes)
-        step = max(1, int(batch.num_rows * TEXT_BATCH_BYTES / size))
+        step = max(1, int(batch.num_rows * most / size))
         for i in range(0, batch.num_rows, step):
             yield batch.slice(i, step)
 

@@ -1,4 +1,4 @@
-"""Queries of the ten operators, with production parameters, over their whole tables."""
+"""Queries of the operators, with production parameters, over their whole tables."""
 
 from __future__ import annotations
 
@@ -7,8 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import gam, langid
+from .best_fit import pack_best_fit
 from .binary_codes import near_vectors
 from .credential_links import link_credentials
+from .divergence import audit_sources
+from .importance import importance_resample
 from .maxscore import top_k
 from .ngram_join import ngram_jaccard_classes
 from .packing import pack_documents
@@ -82,6 +85,19 @@ def op10_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack_best_fit(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), max_tokens=4096, end_id=1)
+    return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_sources(_read(spark, sf_dir, "documents"), least=3, top=200)
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), num=5, den=100, least=20, buckets=10000, seed=42)
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
@@ -111,6 +127,40 @@ scored AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e[1:least(l
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20"""
 
 
+#: A kept term's probability, and the divergence of two, in whole numbers of any size.
+_P = lambda n, total, v: f"1 + 1000000000::HUGEINT * ({n} + 1) // ({total} + {v})"
+_OP12 = rf"""WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_CAPITALS} AS low FROM documents),
+terms AS (SELECT row, lang, source, unnest(regexp_extract_all(low, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM terms GROUP BY ALL HAVING count(DISTINCT row) >= 3),
+langs AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+counts AS (SELECT lang, source, term, count(*) AS n FROM terms SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+totals AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN counts USING (lang, source) GROUP BY ALL),
+dense AS (SELECT lang, source, kept.term, coalesce(c.n, 0) AS n, {_P("coalesce(c.n, 0)", "totals.total", "v")} AS p, {_P("kept.n", "langs.total", "v")} AS whole
+  FROM totals JOIN kept USING (lang) JOIN langs USING (lang) LEFT JOIN counts c USING (lang, source, term)),
+sums AS (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value FROM dense x JOIN dense y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+pairs AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0)::BIGINT AS value FROM totals x JOIN totals y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN sums s ON s.lang = x.lang AND s.source = x.source AND s.item = y.source),
+risen AS (SELECT lang, source, 'term' AS part, term AS item, ((p - whole) * (p - whole) // whole)::BIGINT AS value FROM dense WHERE n > 0 AND p > whole)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM (FROM pairs UNION ALL FROM risen) QUALIFY part = 'pair' OR row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) <= 200"""
+
+
+#: steps: what crc32 makes of each byte; crc: its value as a run's bytes are taken off one by one.
+_OP13 = rf"""WITH RECURSIVE texts AS (SELECT row_number() OVER () AS row, doc_id, 0 AS target, {_CAPITALS} AS low FROM documents UNION ALL SELECT -row_number() OVER (), NULL, 1, {_CAPITALS} FROM benchmark),
+words AS (SELECT row, doc_id, target, regexp_extract_all(low, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+each AS (SELECT row, target, unnest(w) AS a, unnest(range(len(w))) AS i FROM words),
+next AS (SELECT row, target, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM each WINDOW o AS (PARTITION BY row ORDER BY i)),
+runs AS MATERIALIZED (SELECT row, target, a AS run FROM next UNION ALL SELECT row, target, a || ' ' || b FROM next WHERE b IS NOT NULL UNION ALL SELECT row, target, a || ' ' || b || ' ' || c FROM next WHERE c IS NOT NULL),
+names AS MATERIALIZED (SELECT row_number() OVER () AS id, run, hex(encode(run)) AS x FROM (SELECT DISTINCT run FROM runs)),
+steps AS (SELECT i, printf('%02X', i) AS h, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384 * (c & 1))) AS v FROM range(256) r(i)),
+crc AS (SELECT id, x, 4294967295::BIGINT AS c FROM names UNION ALL SELECT id, x[3:], xor(c >> 8, v.v) FROM crc JOIN steps b ON b.h = x[1:2] JOIN steps v ON v.i = xor(c & 255, b.i) WHERE x <> ''),
+buckets AS (SELECT run, xor(c, 4294967295) % 10000 AS bucket FROM crc JOIN names USING (id) WHERE crc.x = ''),
+counts AS (SELECT bucket, (count(*) FILTER (target = 0))::DOUBLE AS s, (count(*) FILTER (target = 1))::DOUBLE AS t FROM runs JOIN buckets USING (run) GROUP BY bucket),
+gains AS (SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM counts) + 10000) / ((s + 1) * ((SELECT sum(t) FROM counts) + 10000))))::BIGINT AS gain FROM counts),
+weights AS (SELECT row, count(*) AS n, sum(gain)::BIGINT AS weight FROM runs JOIN buckets USING (run) JOIN gains USING (bucket) WHERE target = 0 GROUP BY row),
+scores AS (SELECT doc_id, len(w) >= 20 AS able, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5) / 4294967296)))::BIGINT AS score FROM words LEFT JOIN weights USING (row) WHERE target = 0),
+places AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id NULLS LAST, n_features) AS place FROM scores)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= 5 * (SELECT count(*) FROM scores WHERE able) // 100 THEN place END AS rank FROM places"""
+
+
 def _spans(text: str, pattern: str, keep: str = "true") -> str:
     """SQL for the list of spans {s, e, sb, eb, m} (code points and bytes) of a pattern's matches m for which ``keep`` holds."""
     pattern = pattern.replace("'", "''")
@@ -145,4 +195,4 @@ SELECT doc_id, len(assign)::BIGINT AS n_assign, len(access)::BIGINT AS n_access,
 
 def oracle_sql() -> dict[str, str]:
     """The classifiers, tokenizers and pseudonyms have no SQL form; tests compare them with plain versions."""
-    return {"op2_ngram_jaccard_join": _OP2, "op3_embedding_near_dedup": _OP3, "op7_exact_top_k": _OP7, "op9_credential_links": _op9()}
+    return {"op2_ngram_jaccard_join": _OP2, "op3_embedding_near_dedup": _OP3, "op7_exact_top_k": _OP7, "op9_credential_links": _op9(), "op12_source_divergence": _OP12, "op13_importance_resampling": _OP13}
