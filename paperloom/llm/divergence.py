@@ -36,7 +36,7 @@ from .shingles import string_buffers
 TERM = byte_class((0x00, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
 SCALE = 10**9
 #: Bytes of text grouped at once, and slices held at once.
-SLAB_BYTES, SLICES = 16 << 20, 1 << 18
+SLAB_BYTES, SLICES = 10 << 20, 1 << 18
 #: Counts of a block: so many, and so many more for each source of the language.
 BLOCK, BLOCK_EACH = 100_000, 100
 
