@@ -30,15 +30,22 @@ _ASSIGN = re.compile(rb"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]
 _ASSIGN_WORDS = (b"passw", b"secret", b"token", b"api")
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(rb"[0-9a-f]{16,}")
-_PAIR = re.compile(rb"([a-z0-9_-]{2,40})[\"']?\x20*[:=]\x20*[\"']?([a-z0-9+/_.=@-]{4,})")
+#: A name is a whole run, however long; a run without a value after it is looked at once.
+_PAIR = re.compile(rb"(?<![a-z0-9_-])([a-z0-9_-]{2,}+)[\"']?\x20*[:=]\x20*[\"']?([a-z0-9+/_.=@-]{4,})")
 _ENDPOINT = re.compile(rb"(?:https?|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[a-z0-9._~:/?#@!$&*+,;=%-]{4,}")
-#: Tried before the identifiers, as secret_access_key ends like one.
-_SECRETS = re.compile(rb"secret[a-z0-9_-]*key$")
 _NAMES = re.compile(rb"(?:^|[_-])(?:user|username|login|client_id|account|key_id|access_key|tenant|app_id)$")
 _HOSTS = re.compile(rb"(?:^|[_-])(?:host|hostname|endpoint|server|url|database_url|dsn)$")
 _WEAK = re.compile(rb"(?:^|[_-])(?:pwd|pass|key|credential|auth|signature|passphrase)$")
 
 
+def _role(name: bytes) -> int | None:
+    """The kind of a name's span, if it has one; secret_access_key ends like an identifier, so secrets come first."""
+    if name.endswith(b"key") and b"secret" in name[:-3]:
+        return 5
+    tail = name[-20:]
+    return next((kind for kind, pattern in ((3, _NAMES), (4, _HOSTS), (5, _WEAK)) if pattern.search(tail, len(name) > 20)), None)
+
+
 def _near(lo: np.ndarray, hi: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
     """Whether each scope [lo, hi) meets one of the spans."""
     if not spans:
@@ -65,10 +72,8 @@ def scan(raw: bytes, reach: int = 300) -> list[tuple[int, int, int]]:
     hosts: list[tuple[int, int]] = []
     if b"=" in low or b":" in low:
         for m in _PAIR.finditer(low):
-            for pattern, to in ((_SECRETS, weak), (_NAMES, names), (_HOSTS, hosts), (_WEAK, weak)):
-                if pattern.search(m[1]):
-                    to.append(m.span())
-                    break
+            if kind := _role(m[1]):
+                {3: names, 4: hosts, 5: weak}[kind].append(m.span())
         if b"://" in low:
             hosts += [m.span() for m in _ENDPOINT.finditer(low)]
     if weak or ((names or hosts) and any(found[:3])):

@@ -171,19 +171,23 @@ def _spans(text: str, pattern: str, keep: str = "true") -> str:
 
 
 def _op9() -> str:
-    from . import credential_links as C
-
-    plain = lambda p: p.pattern.decode()
-    value = f"length(regexp_extract(x.m, '{plain(C._ASSIGN).replace(chr(39), chr(39) * 2)}', 1))"
-    name = f"regexp_extract(x.m, '{plain(C._PAIR).replace(chr(39), chr(39) * 2)}', 1)"
-    named = lambda p: f"regexp_matches({name}, '{plain(p)}')"
-    secret, ident, host, weak = (named(p) for p in (C._SECRETS, C._NAMES, C._HOSTS, C._WEAK))
+    value_part = r"""["']?\x20*[:=]\x20*["']?([a-z0-9+/_.=-]+)"""
+    assign = "(?:password|passwd|secret|token|api_?key)" + value_part
+    pair = r"""([a-z0-9_-]{2,})["']?\x20*[:=]\x20*["']?([a-z0-9+/_.=@-]{4,})"""
+    url = "(?:https?|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[a-z0-9._~:/?#@!$&*+,;=%-]{4,}"
+    quoted = lambda p: p.replace("'", "''")
+    value, name = f"length(regexp_extract(x.m, '{quoted(assign)}', 1))", f"regexp_extract(x.m, '{quoted(pair)}', 1)"
+    secret, ident, host, weak = (
+        f"regexp_matches({name}, '{p}$')"
+        for p in ("secret[a-z0-9_-]*key", "(?:^|[_-])(?:user|username|login|client_id|account|key_id|access_key|tenant|app_id)", "(?:^|[_-])(?:host|hostname|endpoint|server|url|database_url|dsn)", "(?:^|[_-])(?:pwd|pass|key|credential|auth|signature|passphrase)")
+    )
+    kinds = ["assign", "access", "hex", "identifier", "endpoint", "weak"]
     near = lambda of, x: f"len(list_filter({of}, lambda p: (p.sb < {x}.sb AND p.eb > {x}.sb - 300) OR (p.sb < {x}.eb + 300 AND p.eb > {x}.eb))) > 0"
-    told = lambda spans, kind: f"list_transform({spans}, lambda x: {{'s': x.s, 'k': {C.KINDS.index(kind)}, 't': concat('{kind}:', x.s, ':', x.e)}})"
+    told = lambda spans, kind: f"list_transform({spans}, lambda x: {{'s': x.s, 'k': {kinds.index(kind)}, 't': concat('{kind}:', x.s, ':', x.e)}})"
     text = lambda spans: f"array_to_string(list_transform(list_sort({spans}), lambda x: x.t), ',')"
     return f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS raw, {_CAPITALS} AS low FROM documents),
-f AS (SELECT doc_id, {_spans('low', plain(C._ASSIGN), value + ' >= 12')} AS assign, {_spans('low', plain(C._ASSIGN), value + ' BETWEEN 6 AND 11')} AS short,
-  {_spans('raw', plain(C._ACCESS))} AS access, {_spans('raw', plain(C._HEX))} AS hex, {_spans('low', plain(C._PAIR))} AS pairs, {_spans('low', plain(C._ENDPOINT))} AS urls FROM t),
+f AS (SELECT doc_id, {_spans('low', assign, value + ' >= 12')} AS assign, {_spans('low', assign, value + ' BETWEEN 6 AND 11')} AS short,
+  {_spans('raw', 'AKIA[A-Z0-9]{14,}')} AS access, {_spans('raw', '[0-9a-f]{16,}')} AS hex, {_spans('low', pair)} AS pairs, {_spans('low', url)} AS urls FROM t),
 n AS (SELECT *, list_filter(pairs, lambda x: {ident} AND NOT {secret}) AS names, list_filter(pairs, lambda x: {host} AND NOT {secret} AND NOT {ident}) || urls AS hosts,
   list_distinct(list_transform(short || list_filter(pairs, lambda x: {secret} OR ({weak} AND NOT {ident} AND NOT {host})), lambda x: {{'s': x.s, 'e': x.e, 'sb': x.sb, 'eb': x.eb}})) AS weak FROM f),
 w AS (SELECT *, list_filter(weak, lambda x: {near('names || hosts || access', 'x')}) AS taken FROM n),

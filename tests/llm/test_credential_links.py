@@ -52,3 +52,20 @@ def test_overlapping_weak_spans_stay_at_every_size():
     assert (20, 5, 53) in one and (27, 0, 53) in one
     for n in (2, 63, 64, 200):
         assert scan(line * n) == [(i * len(line) + s, k, i * len(line) + e) for i in range(n) for s, k, e in one]
+
+
+def test_names_of_any_length_are_whole():
+    import time
+
+    for n in (0, 20, 39, 40, 41, 58, 60, 200, 10**6):
+        line = b"secret_" + b"z" * n + b"_key = abcd1234 host=db.example.org"
+        end = len(line) - len(b" host=db.example.org")
+        assert scan(line) == [(0, 5, end), (end + 1, 4, len(line))], n
+        line = b"secret" + b"z" * n + b"key = zzzz1234 host=db.example.org"
+        assert (0, 5, n + 20) in scan(line), n
+        line = b"x" * n + b"_username: alice pwd = hunter22"
+        assert scan(line)[0] == (0, 3, n + 16) if n else True
+    began = time.perf_counter()
+    for text in (b"a" * 10**6, b"secret" * 170_000 + b"key=abcdefgh", b"secret" * 170_000, b"a-" * 500_000 + b":"):
+        scan(text)
+    assert time.perf_counter() - began < 2
