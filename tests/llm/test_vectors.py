@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from paperloom.llm import queries
 from paperloom.llm.binary_codes import _signs_apart, encode, near_vectors, rotation, upper_bounds
-from paperloom.llm.maxscore import search_shard, top_k
+from paperloom.llm.maxscore import long_and_rest, search_shard, top_k
 
 SCHEMA = "vec_id long, embedding array<float>, label int, node string"
 
@@ -148,3 +148,37 @@ def test_empty_tables(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert near_vectors(df).count() == 0
     assert top_k(df, F.col("id") % 20 == 0).count() == 0
+
+
+@pytest.mark.parametrize("shard,block", [(8192, 2048), (3, 2)])
+def test_components_beyond_exact_doubles(spark, shard, block):
+    rng = np.random.default_rng(6)
+    data = [(20, [1e20, 1.0]), (0, [1.0, 1.0]), (3, [2.0, 1.0]), (4, [1e25, 1.0]), (40, [-1e300, 1e300]), (60, [1.7e308, -3.0]), (5, [2.0**40 + 1, 0.5]), (6, [2.0**40, 0.5])]
+    data += [(100 + i, [float(x) * 10.0 ** int(rng.integers(0, 40)), float(y)]) for i, (x, y) in enumerate(rng.standard_normal((40, 2)))]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, top_k(df, F.col("id") % 20 == 0, k=9, shard_rows=shard, block_rows=block).collect()))
+    whole = [(i, [int(np.floor(x * 64)) if abs(x * 64) < np.inf else int(x) * 64 for x in v]) for i, v in data]
+    want = []
+    for i, q in whole:
+        if i % 20 == 0:
+            best = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in whole if j != i)[:9]
+            want += [(i, r + 1, j, max(-(2**63), min(2**63 - 1, -s))) for r, (s, j) in enumerate(best)]
+    assert got == sorted(want)
+
+
+def test_rests_order_scores():
+    scores = sorted(s * (2**k + d) for s in (1, -1) for k in (0, 10, 62, 63, 64, 65, 68, 200) for d in (0, 1))
+    assert sorted(scores, key=long_and_rest) == scores
+
+
+def test_a_failing_search_leaves_no_tables(spark):
+    from pathlib import Path
+
+    from paperloom.llm.common import shared_root
+
+    root = Path(shared_root(spark).removeprefix("file://"))
+    before = set(root.glob("paperloom-*"))
+    df = spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception):
+        top_k(df.selectExpr("vec_id", "if(vec_id = 1, array(double(raise_error('x'))), embedding) as embedding"), F.col("id") > 0)
+    assert set(root.glob("paperloom-*")) == before
