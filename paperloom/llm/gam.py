@@ -189,21 +189,30 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, training: Column, *, label_col: str = "quality", per_class: int = 6000) -> Model:
-    """The model of documents (doc_id, text) and labels (doc_id, 0 or 1) of the rows that ``training`` (on doc_id) selects."""
+    """The model of documents (doc_id, text) and labels (doc_id, 0 or 1) of the rows that ``training`` (on doc_id) selects.
+
+    At most ``per_class`` rows of each label are learned from, however often an id is repeated in either table: labels are
+    drawn by a hash of the id, and the documents found for them by one of id and text.  Documents of one
+    id and equal text count once for a label; an id with both labels counts for both.
+    """
     known = safe_columns(labels, doc_id=F.col("doc_id"), y=F.col(label_col).cast("int")).where(training & F.col("y").isin(0, 1))
     totals = dict(known.groupBy("y").count().collect())
-    # About 1.5 times as many rows as wanted pass the threshold, so what partitions send to the last step does not grow with them.
-    h, share = F.xxhash64("doc_id"), {k: min(1.0, (1.5 * per_class + 50) / totals.get(k, 1)) for k in (0, 1)}
-    picked = [known.where((F.col("y") == k) & (F.pmod(h, F.lit(1 << 30)) < share[k] * (1 << 30))).orderBy(h, "doc_id").limit(per_class) for k in (0, 1)]
-    picked = picked[0].union(picked[1])
-    texts = safe_columns(docs, doc_id=F.col("doc_id"), text=F.coalesce("text", F.lit(""))).join(F.broadcast(picked), "doc_id")
+    # About 1.5 times as many rows as wanted pass a threshold, so what partitions send to the last step does not grow with them.
+    h, least = F.xxhash64("doc_id"), lambda n: min(1.0, (1.5 * per_class + 50) / max(n, 1))
+    picked = [known.where((F.col("y") == k) & (F.pmod(h, F.lit(1 << 30)) < least(totals.get(k, 1)) * (1 << 30))).orderBy(h, "doc_id").limit(per_class) for k in (0, 1)]
+    picked = picked[0].union(picked[1]).distinct()
+    found = dict(safe_columns(docs, doc_id=F.col("doc_id")).join(F.broadcast(picked), "doc_id").groupBy("y").count().collect())
+    texts = safe_columns(docs, doc_id=F.col("doc_id"), text=F.coalesce("text", F.lit(""))).join(F.broadcast(picked), "doc_id").withColumn("h", F.xxhash64("doc_id", "text"))
+    share = F.when(F.col("y") == 1, least(found.get(1, 1))).otherwise(least(found.get(0, 1)))
+    texts = texts.where(F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < share * (1 << 30))
 
     def run(batches):
         for batch in slabs(batches, "text"):
             x = features(batch.column(batch.schema.get_field_index("text")))
-            yield {"doc_id": batch.column(0), "y": batch.column(2), "x": list(x)}
+            yield {"doc_id": batch.column(0), "h": batch.column(3), "y": batch.column(2), "x": list(x)}
 
-    rows = sorted(map_arrow(texts.select("doc_id", "text", "y"), "doc_id long, y int, x array<double>", run).collect())
+    drawn = map_arrow(texts.select("doc_id", "text", "y", "h"), "doc_id long, h long, y int, x array<double>", run).dropDuplicates(["doc_id", "h", "y"])
+    rows = sorted(r for k in (0, 1) for r in drawn.where(F.col("y") == k).orderBy("h", "doc_id").limit(per_class).collect())
     y = np.array([r.y for r in rows], float)
     x = np.array([r.x for r in rows], float).reshape(len(rows), len(FEATURES))
     have = {k: max(1, int((y == k).sum())) for k in (0, 1)}

@@ -65,3 +65,15 @@ def test_few_labels(spark):
     assert {r.score for r in gam.score_quality(docs, gam.fit(docs, labels, F.lit(True))).collect()} == {0.5}
     labels = spark.createDataFrame([(1, 1), (2, None), (2, 7)], "doc_id long, quality int")
     assert all(r.score > 0.5 for r in gam.score_quality(docs, gam.fit(docs, labels, F.lit(True))).collect())
+
+
+def test_repeated_ids_stay_within_the_bound(spark, monkeypatch):
+    docs = spark.range(3000).selectExpr("7 as doc_id", "concat('text number ', id % 1500) as text").union(spark.range(300).selectExpr("id + 10", "concat('| ', id, ' |')"))
+    labels = spark.createDataFrame([(7, 1), (7, 1)] + [(10 + i, 0) for i in range(300)] + [(11, 1)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(gam.Model, "fit", lambda self, x, y, w: seen.append((x, y, w)) or self)
+    gam.fit(docs, labels, F.lit(True), per_class=100)
+    ((x, y, w),) = seen
+    assert len(x) == len(w) and 50 <= (y == 1).sum() <= 100 and (y == 0).sum() == 100
+    gam.fit(docs, labels, F.lit(True), per_class=10**6)
+    assert (seen[1][1] == 1).sum() == 1501 and (seen[1][1] == 0).sum() == 300
