@@ -5,7 +5,8 @@ labels every position, and the document's probabilities are the mean over the po
 to letters.  Windows overlap by ``MARGIN`` bytes on each side whose labels are not used, so a text of any
 length is read as a whole in bounded memory.  The network is trained in numpy by backpropagation
 through time and Adam, on a bounded sample of labelled rows: at most ``per_lang`` of each language, drawn
-by a hash of id and text.  Each gives ``draws`` windows at places drawn uniformly from its whole text.
+by a hash of id and text.  Only the ``most_languages`` most frequent languages are learned (equal counts: the
+first in order), so rare and misspelt names in a dirty table do no harm.  Each gives ``draws`` windows at places drawn uniformly from its whole text.
 
 Null texts and texts without a letter get ``und`` and score 0; so does every text if no language
 could be learned.  Ties go to the language first in order.  Repeated rows get equal results, an empty
@@ -24,8 +25,8 @@ from pyspark.sql.window import Window
 from .common import map_arrow, safe_columns, slabs
 
 HIDDEN, CORE, MARGIN, STEP, WIDE = 8, 208, 16, 16, 2048
-#: Bytes of a training window, and the most languages that a network is built for.
-LENGTH, MOST_LANGUAGES = 48, 1000
+#: Bytes of a training window.
+LENGTH = 48
 LETTER = np.zeros(256, np.float32)
 LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 
@@ -193,21 +194,19 @@ def windows(raw: bytes, draws: int, length: int) -> np.ndarray:
     return out
 
 
-def sample(docs: DataFrame, training: Column, per_lang: int, draws: int, length: int = LENGTH) -> list[tuple[str, bytes]]:
+def sample(docs: DataFrame, training: Column, per_lang: int, draws: int, most_languages: int, length: int = LENGTH) -> list[tuple[str, bytes]]:
     """(lang, windows) of at most ``per_lang`` documents of each language, in a fixed order.
 
     The languages are counted first, so that a threshold on the hash leaves about 1.5 times ``per_lang`` rows of
     each, however frequent it is; only these are ranked.
     """
     rows = safe_columns(docs, doc_id=F.col("doc_id"), text=F.col("text"), lang=F.col("lang")).where(training & F.col("lang").isNotNull())
-    counts = rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
     if not counts:
         return []
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, (1.5 * per_lang + 50) / r["count"]))])
     h = F.xxhash64("doc_id", "text")
-    drawn = rows.where(F.length("text") > 0).withColumn("h", h).where(F.pmod("h", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
+    drawn = rows.where(F.length("text") > 0).withColumn("h", h).where(F.pmod("h", F.lit(1 << 30)) < F.coalesce(share[F.col("lang")], F.lit(0.0)) * (1 << 30))
     place = Window.partitionBy("lang").orderBy("h", "doc_id", "text")
     drawn = drawn.withColumn("k", F.row_number().over(place)).where(F.col("k") <= per_lang).select("lang", "h", "k", "text")
 
@@ -218,9 +217,9 @@ def sample(docs: DataFrame, training: Column, per_lang: int, draws: int, length:
     return [(r.lang, r.windows) for r in sorted(map_arrow(drawn, "lang string, k int, windows binary", run).collect(), key=lambda r: (r.lang, r.k))]
 
 
-def fit(docs: DataFrame, training: Column, per_lang: int = 500, draws: int = 32) -> tuple[list[str], dict]:
+def fit(docs: DataFrame, training: Column, per_lang: int = 500, draws: int = 32, most_languages: int = 200) -> tuple[list[str], dict]:
     """The languages in order, and the network's parameters; the sample is ``per_lang`` * ``draws`` windows of each at most."""
-    rows = sample(docs, training, per_lang, draws)
+    rows = sample(docs, training, per_lang, draws, most_languages)
     langs = sorted({lang for lang, _ in rows})
     at = {lang: i for i, lang in enumerate(langs)}
     return langs, train([(np.frombuffer(w, np.uint8).reshape(draws, LENGTH), at[lang]) for lang, w in rows], len(langs)) if langs else {}

@@ -57,3 +57,10 @@ def test_nothing_to_learn_from(spark):
     model = langid.fit(docs, F.lit(True))
     assert [tuple(r) for r in langid.identify(docs, model).collect()] == [(1, "und", 0.0)]
     assert langid.identify(docs.limit(0), model).count() == 0
+
+
+def test_more_languages_than_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "train", lambda rows, langs: {"c": np.zeros(langs)})
+    docs = spark.createDataFrame([(i, "some text", f"l{i % 1200}") for i in range(1230)], "doc_id long, text string, lang string")
+    langs, _ = langid.fit(docs, F.lit(True), most_languages=40)
+    assert langs == sorted([f"l{i}" for i in range(30)] + sorted(f"l{i}" for i in range(30, 1200))[:10])
