@@ -10,18 +10,21 @@ null ids stay null, columns beyond those of ``documents`` are kept, and an empty
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from paperloom.llm import gam, langid
-from paperloom.llm.common import Workspace
+from paperloom.llm.common import Workspace, fresh, in_workspace, spread_join
 from paperloom.llm.ngram_join import ngram_jaccard_classes
 from paperloom.llm.packing import pack_documents
 from paperloom.llm.pii import pseudonymise
 from paperloom.llm.queries import pii_key
 
 
+def _columns(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what the quality classifier scores 0.5 or more; a null text counts as empty."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -38,26 +41,40 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group linked by Jaccard similarity 0.8 of five-word shingles.
 
-    It is the one of least id, a null id being last; among rows of one id, any text's.  Repeated rows
-    of one id and text shrink to one.  Rows without words are linked with nothing and all stay.
+    It is the one of least id, a null id being last; among rows of one id, any text's; among rows of one id and text,
+    the first of the table's partitions.  So repeated rows shrink to one, whatever columns they have, maps and such
+    with any name among them.  Rows without words are linked with nothing and all stay.
     """
-    keyed = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
-    classes = ngram_jaccard_classes(keyed, id_col="__row", n=5, num=80, den=100)
-    rows = classes.join(keyed.select(F.col("__row").alias("doc_id"), F.col("doc_id").alias("id")).distinct(), "doc_id")
+    return _first_of_each(docs)
+
+
+@in_workspace
+def _first_of_each(docs: DataFrame, ws: Workspace) -> DataFrame:
+    row, at = fresh(docs, "row", "at")
+    own = _columns(docs)
+    keyed = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    # Copies of an id and text are one row with their number from here on, and wordless rows are in no group.
+    worded = F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    classes = ngram_jaccard_classes(keyed.where(worded), id_col=row, n=5, num=80, den=100).groupBy("doc_id", "component_id").agg(F.count("*").alias("copies"))
+    ids = keyed.where(worded).select(F.col(row).alias("doc_id"), F.col("doc_id").alias("id")).distinct()
     least = F.struct(F.col("id").isNull().alias("none"), "id", "doc_id")
-    groups = rows.where("n_shingles > 0").groupBy("component_id", "doc_id", "id").agg(F.count("*").alias("copies"))
-    first = groups.groupBy("component_id").agg(F.min_by(F.struct("doc_id", "copies"), least).alias("first")).select(F.col("first.doc_id").alias("__row"), F.col("first.copies").alias("copies"))
-    once = first.where("copies = 1").select("__row").union(classes.where("n_shingles = 0").select(F.col("doc_id").alias("__row")).distinct())
-    again = keyed.join(first.where("copies > 1"), "__row", "left_semi")
-    order = Window.partitionBy("__row").orderBy(*[F.col(f"`{c}`") for c in docs.columns])
-    again = again.withColumn("__at", F.row_number().over(order)).where("__at = 1")
-    return keyed.join(once, "__row", "left_semi").select(docs.columns).union(again.select(docs.columns))
+    first = classes.join(ids, "doc_id").groupBy("component_id").agg(F.min_by(F.struct("doc_id", "copies"), least).alias("first"))
+    first = ws.table(first.select(F.col("first.doc_id").alias(row), F.col("first.copies").alias("k")), "first")
+    once = keyed.where(worded).join(first.where("k = 1"), row, "left_semi").select(own)
+    # The copies of a chosen row may be many: they are dealt to several tasks, each of which keeps its first.
+    several = first.where("k > 1")
+    total = several.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
+    copies = keyed.where(worded).withColumn(at, F.monotonically_increasing_id())
+    chosen = spread_join(copies, several.select(row), [row], several, total, F.col(at), "left_semi")
+    chosen = chosen.groupBy(row).agg(F.min_by(F.struct(*own), at).alias(at))
+    chosen = chosen.select(*[F.col(at).getField(c).alias(c) for c in docs.columns])
+    return ws.later(once.union(chosen).union(docs.where(~worded)))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by pseudonyms, keyed by the session's setting; n_chars follows the new text, null for none."""
     out = pseudonymise(docs, pii_key(spark), count_col=None)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(_columns(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,8 +90,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ws = Workspace(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages one after the other; what they have written goes if one fails."""
+    return _run(spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
+
+
+@in_workspace
+def _run(docs: DataFrame, ws: Workspace, sf_dir: str) -> DataFrame:
     for name, stage in STAGES[:-1]:
-        docs = ws.table(stage(spark, docs, sf_dir), name)
-    return ws.result(STAGES[-1][1](spark, docs, sf_dir))
+        docs = ws.table(stage(docs.sparkSession, docs, sf_dir), name)
+    return ws.result(STAGES[-1][1](docs.sparkSession, docs, sf_dir))
