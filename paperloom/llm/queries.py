@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +26,8 @@ PII_SETTING, PII_EXAMPLE = "spark.paperloom.pii.key", "paperloom-example-key"
 
 
 def pii_key(spark: SparkSession) -> str:
+    if spark.conf.get(PII_SETTING, None) is None:
+        warnings.warn(f"{PII_SETTING} is not set: pseudonyms take an example key that anyone can read", stacklevel=2)
     return spark.conf.get(PII_SETTING, PII_EXAMPLE)
 
 

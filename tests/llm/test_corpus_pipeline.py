@@ -21,10 +21,10 @@ def test_near_duplicates_keeps_one_row_of_each_group(spark):
         (None, B, "en"), (None, C, "en"), (None, C, "de"), (7, A, "en"), (7, A, "en"), (9, A, "en"), (None, A, "en"),
         (20, "x " + B, "b"), (20, "x " + C[::-1], "c"), (21, C[::-1], "d"), (None, None, "en"), (None, "", "en"), (5, " ", "en"), (5, " ", "en"),
     ]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
     got = corpus_pipeline.near_duplicates(spark, docs, "").collect()
     key = lambda r: tuple(map(str, r))
-    want = [(7, A, "en"), (20, "x " + B, "b"), (20, "x " + C[::-1], "c"), (None, C, "de"), (None, None, "en"), (None, "", "en"), (5, " ", "en"), (5, " ", "en")]
+    want = [(7, A, "en"), (20, "x " + B, "b"), (20, "x " + C[::-1], "c"), (None, C, "en"), (None, None, "en"), (None, "", "en"), (5, " ", "en"), (5, " ", "en")]
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
     assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
 
@@ -94,3 +94,17 @@ def test_run_equals_plain_stages(spark, sf):
         seqs[r.sequence_id] += r.length
     assert set(spans) == set(ids) and all(sum(n for _, n in s) == len(ids[d]) for d, s in spans.items())
     assert all(n <= 2048 for n in seqs.values()) and re.match("^[a-z_]+$", corpus_pipeline.STAGES[0][0])
+
+
+def test_near_duplicates_keeps_columns_of_any_name_and_type(spark, monkeypatch):
+    monkeypatch.setattr("paperloom.llm.common.HOT_ROWS", 8)
+    docs = spark.range(90).selectExpr("if(id < 60, 5, id) as doc_id", f"if(id < 60, '{A}', concat('{B} ', id, repeat(' z', int(id)))) as text", "'keep me' as __row", "map('a', id) as `a.b`", "named_struct('x', id) as __at", "id as k").union(
+        spark.createDataFrame([(None, None, "keep me", {"a": 7}, (7,), 7)] * 2, "doc_id long, text string, __row string, `a.b` map<string,long>, __at struct<x:long>, k long")
+    )
+    out = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert out.dtypes == docs.dtypes
+    rows = out.collect()
+    assert sum(r.doc_id == 5 for r in rows) == 1 and sum(r.doc_id is None for r in rows) == 2
+    assert all(r["__row"] == "keep me" and r["a.b"] == {"a": r.k} and r["__at"].x == r.k for r in rows)
+    want = {d for _, _, d in classes_of([(r.doc_id, r.text) for r in docs.where("text is not null").collect()], 5, 80, 100)}
+    assert {r.doc_id for r in rows if r.doc_id is not None} == want
