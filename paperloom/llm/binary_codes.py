@@ -63,7 +63,7 @@ def upper_bounds(signs: np.ndarray, factor: np.ndarray, small: np.ndarray, step:
 
 def _plan(n: int, threshold: float, miss: float) -> tuple[int, int]:
     """Bits of a key, and number of tables."""
-    bits = int(np.clip(round(math.log2(max(n, 2)) - 4), 6, 22))
+    bits = int(np.clip(round(math.log2(max(n, 2)) - 4), 6, 40))
     p = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, math.ceil(math.log(miss) / math.log(1 - p))
 
@@ -145,7 +145,8 @@ def near_vectors(vectors: DataFrame, ws: Workspace, *, id_col: str = "vec_id", v
     x, y = (index.select("bucket", "d", *[F.col(c).alias(c + s) for c in ("node", "s0", "s1")]) for s in "ab")
     sizes = index.groupBy("bucket").agg(F.count("*").alias("k"))
     apart = F.bit_count(F.col("s0a").bitwiseXOR(F.col("s0b"))) + F.bit_count(F.col("s1a").bitwiseXOR(F.col("s1b")))
-    met = spread_join(x, y, ["bucket", "d"], sizes, index.count(), F.xxhash64("nodea")).where("nodea < nodeb").where(apart <= _signs_apart(threshold))
+    total, both = sizes.agg(F.coalesce(F.sum("k"), F.lit(0)), F.coalesce(F.sum(F.col("k") * F.col("k")), F.lit(0))).first()
+    met = spread_join(x, y, ["bucket", "d"], sizes, total, F.xxhash64("nodea"), pairs=both).where("nodea < nodeb").where(apart <= _signs_apart(threshold))
     pairs = ws.table(met.select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct(), "pairs")
     ws.drop("index")
 

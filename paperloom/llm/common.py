@@ -126,16 +126,22 @@ def share(total: int, spark: SparkSession) -> int:
     return max(HOT_ROWS, total // (4 * partitions(spark)))
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: list[str], counts: DataFrame, total: int, salt: Column, how: str = "inner") -> DataFrame:
+#: A value of more rows is dealt out where the rows of a value meet each other: two million pairs are a task's share at least.
+HOT_PAIRS = 1_500
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], counts: DataFrame, total: int, salt: Column, how: str = "inner", pairs: int | None = None) -> DataFrame:
     """left joined with right on ``on``; values of on[0] with many left rows, if there are any, are dealt to several tasks.
 
     counts: (on[0], k), the left rows of each value, ``total`` together.  A value is dealt out if it has more than
     its share of a task; there are at most four times as many as partitions, which bounds what is collected.
+    pairs: where both sides have the k rows, the sum of k ** 2; the share is then one of pairs, not of rows.
     salt: a whole number that differs among the rows of one value.  The right rows of such values are copied.
     """
-    key, limit = on[0], share(total, left.sparkSession)
-    hot = counts.where((F.col("k") > limit) & F.col(key).isNotNull()).select(key, F.ceil(F.col("k") / limit).cast("int").alias("__n"))
-    found = hot.limit(4 * partitions(left.sparkSession)).collect() if total > limit else []
+    key, k = on[0], F.col("k").cast("double")
+    weight, limit, whole = (k, share(total, left.sparkSession), total) if pairs is None else (k * k, max(HOT_PAIRS**2, pairs // (4 * partitions(left.sparkSession))), pairs)
+    hot = counts.where((weight > limit) & F.col(key).isNotNull()).select(key, F.least(k, F.ceil(weight / limit)).cast("int").alias("__n"))
+    found = hot.limit(4 * partitions(left.sparkSession)).collect() if whole > limit else []
     if not found:
         return left.join(right, on, how)
     hot = left.sparkSession.createDataFrame(found, hot.schema)

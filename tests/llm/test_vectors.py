@@ -182,3 +182,15 @@ def test_a_failing_search_leaves_no_tables(spark):
     with pytest.raises(Exception):
         top_k(df.selectExpr("vec_id", "if(vec_id = 1, array(double(raise_error('x'))), embedding) as embedding"), F.col("id") > 0)
     assert set(root.glob("paperloom-*")) == before
+
+
+def test_a_bucket_with_many_rows_is_dealt_out_at_the_default_limit(spark):
+    from paperloom.llm.common import spread_join
+
+    left = spark.range(6000).selectExpr("if(id < 5000, 1, id) as v", "id as a")
+    counts = left.groupBy("v").agg(F.count("*").alias("k"))
+    joined = spread_join(left, left.withColumnRenamed("a", "b"), ["v"], counts, 6000, F.xxhash64("a"), pairs=5000**2 + 1000)
+    assert "__salt" in joined._jdf.queryExecution().optimizedPlan().toString()
+    assert joined.where("a <= b").count() == 5000 * 5001 // 2 + 1000
+    plain = spread_join(left, left.withColumnRenamed("a", "b"), ["v"], counts, 6000, F.xxhash64("a"))
+    assert "__salt" not in plain._jdf.queryExecution().optimizedPlan().toString()
