@@ -101,51 +101,69 @@ def row_profile(pixels: DataFrame) -> DataFrame:
 # --- numpy kernels ----------------------------------------------------------------------------
 
 
-def _resize(a: np.ndarray, h: int, w: int, cubic: bool) -> np.ndarray:
+def _cubic(a: np.ndarray, h: int, w: int) -> np.ndarray:
+    """Bicubic enlargement in whole numbers: places in 1 / 256, weights in 1 / 2 ** 25, one axis after the other."""
+
     def axis(n, m):
-        at = (np.arange(m) + 0.5) * n / m - 0.5
-        i = np.floor(at).astype(int)
-        t = at - i
-        if cubic:
-            k = np.stack([-0.5 * t**3 + t**2 - 0.5 * t, 1.5 * t**3 - 2.5 * t**2 + 1, -1.5 * t**3 + 2 * t**2 + 0.5 * t, 0.5 * t**3 - 0.5 * t**2])
-            return np.clip(i + np.arange(-1, 3)[:, None], 0, n - 1), k
-        return np.clip(i + np.arange(2)[:, None], 0, n - 1), np.stack([1 - t, t])
+        place = ((2 * np.arange(m) + 1) * n - m) * 256 // (2 * m)
+        i, t = place >> 8, place & 255
+        k = np.stack([-(t**3) + 512 * t**2 - 65536 * t, 3 * t**3 - 1280 * t**2 + (1 << 25), -3 * t**3 + 1024 * t**2 + 65536 * t, t**3 - 256 * t**2])
+        return np.clip(i + np.arange(-1, 3)[:, None], 0, n - 1), k
 
     (iy, ky), (ix, kx) = axis(a.shape[0], h), axis(a.shape[1], w)
+    a = a.astype(np.int64)
     a = sum(a[i] * k[:, None] for i, k in zip(iy, ky))
-    return np.clip(np.floor(sum(a[:, i] * k for i, k in zip(ix, kx)) + 0.5), 0, 255)
+    return np.clip((sum(a[:, i] * k for i, k in zip(ix, kx)) + (1 << 49)) >> 50, 0, 255)
+
+
+def shrink(a: np.ndarray, k: int) -> np.ndarray:
+    """Means of cells of k pixels each way, ragged where that does not divide."""
+    h, w = max(1, a.shape[0] // k), max(1, a.shape[1] // k)
+    y, x = np.arange(a.shape[0]) * h // a.shape[0], np.arange(a.shape[1]) * w // a.shape[1]
+    total, n = np.zeros((h, w), np.int64), np.zeros((h, w), np.int64)
+    np.add.at(total, (y[:, None], x[None, :]), a.astype(np.int64))
+    np.add.at(n, (y[:, None], x[None, :]), 1)
+    return (2 * total + n) // (2 * n)
 
 
-def rotate(a: np.ndarray, degrees: float) -> np.ndarray:
-    """Bilinear rotation on a canvas that holds all of it, white outside."""
-    if degrees == 0:
+def _turn(tenths: int) -> tuple[int, int]:
+    """Sine and cosine of tenths of a degree, in 1 / 65536."""
+    r = math.radians(tenths / 10)
+    return round(65536 * math.sin(r)), round(65536 * math.cos(r))
+
+
+def rotate(a: np.ndarray, tenths: int) -> np.ndarray:
+    """Bilinear rotation by tenths of a degree on a canvas that holds all of it, white outside."""
+    if tenths == 0:
         return a
-    r = math.radians(degrees)
-    s, c = abs(math.sin(r)), abs(math.cos(r))
+    s, c = _turn(tenths)
     h, w = a.shape
-    nh, nw = int(h * c + w * s), int(w * c + h * s)
+    nw, nh = (w * c + h * abs(s)) >> 16, (h * c + w * abs(s)) >> 16
     y, x = np.mgrid[0:nh, 0:nw]
-    y, x = y - nh / 2, x - nw / 2
-    sx, sy = math.cos(r) * x + math.sin(r) * y + w / 2, -math.sin(r) * x + math.cos(r) * y + h / 2
-    pad = np.pad(a.astype(float), 2, constant_values=255)
-    sx, sy = np.clip(sx, -2, w) + 2, np.clip(sy, -2, h) + 2
-    x0, y0 = np.floor(sx).astype(int).clip(0, w + 2), np.floor(sy).astype(int).clip(0, h + 2)
-    fx, fy = sx - x0, sy - y0
-    return np.floor(pad[y0, x0] * (1 - fx) * (1 - fy) + pad[y0, x0 + 1] * fx * (1 - fy) + pad[y0 + 1, x0] * (1 - fx) * fy + pad[y0 + 1, x0 + 1] * fx * fy + 0.5)
-
-
-def skew(a: np.ndarray) -> float:
-    """The angle whose rotation gives the rows of greatest variance: coarse steps, then fine ones; first best wins."""
-    k = max(1, a.shape[1] // 600)
-    small = np.where((_resize(a, a.shape[0] // k, a.shape[1] // k, False) if k > 1 else a) < 128, 0, 255)
-    best, top = 0.0, -1.0
-    for angles in (np.arange(-5, 5.01, 0.5), None):
-        if angles is None:
-            angles = best - 1 + 0.1 * np.arange(21)
-        for d in angles:
-            v = float(np.var((rotate(small, -d) < 128).sum(axis=1)))
+    x2, y2 = 2 * x + 1 - nw, 2 * y + 1 - nh
+    sx, sy = (c * x2 + s * y2 + ((w - 1) << 16)) >> 9, (-s * x2 + c * y2 + ((h - 1) << 16)) >> 9
+    ink = np.pad(255 - a.astype(np.int64), 2)
+    x0, y0 = np.clip(sx >> 8, -2, w) + 2, np.clip(sy >> 8, -2, h) + 2
+    fx, fy = sx & 255, sy & 255
+    total = ink[y0, x0] * (256 - fx) * (256 - fy) + ink[y0, x0 + 1] * fx * (256 - fy) + ink[y0 + 1, x0] * (256 - fx) * fy + ink[y0 + 1, x0 + 1] * fx * fy
+    return ((255 << 16) - total + (1 << 15)) >> 16
+
+
+def skew(a: np.ndarray) -> int:
+    """The angle, in tenths of a degree, whose correction gives the rows of dark pixels the greatest variance: coarse steps, then fine ones; first best wins."""
+    a = shrink(a, k) if (k := a.shape[1] // 600) > 1 else a
+    h, w = a.shape
+    y, x = np.nonzero(a < 128)
+    best, top = 0, -1.0
+    for angles in (range(-50, 51, 5), None):
+        for d in range(best - 10, best + 11) if angles is None else angles:
+            s, c = _turn(d)
+            high = (h * c + w * abs(s)) >> 16
+            row = (-s * (2 * x + 1 - w) + c * (2 * y + 1 - h) + (high << 16)) >> 17
+            n = np.bincount(row - row.min(initial=0)) if len(row) else np.zeros(1, np.int64)
+            v = float(high * int((n * n).sum()) - int(n.sum()) ** 2) / (high * high)
             if v > top:
-                best, top = float(d), v
+                best, top = d, v
     return best
 
 
@@ -157,7 +175,7 @@ def enhance(rgb: np.ndarray) -> tuple[np.ndarray, dict]:
     light = float((some.sum(axis=2) // some.shape[2]).mean()) if some.size else 128.0
     if min(h, w) < LONG_SIDE_AT_LEAST:
         k = min(LONG_SIDE_AT_LEAST / min(h, w), UPSCALE_MOST)
-        bands = np.stack([_resize(bands[..., c], int(h * k), int(w * k), True) for c in range(bands.shape[2])], axis=2)
+        bands = np.stack([_cubic(bands[..., c], int(h * k), int(w * k)) for c in range(bands.shape[2])], axis=2)
     a = np.floor(bands[..., :3] @ [0.299, 0.587, 0.114]) if bands.shape[2] >= 3 else bands[..., 0]
     cum = np.cumsum(np.bincount(a.astype(int).ravel(), minlength=256))
     low_at, high_at = int(a.size * (0.02 if light < 80 else 0.01)), int(a.size * (0.98 if light > 200 else 0.99))
@@ -165,11 +183,12 @@ def enhance(rgb: np.ndarray) -> tuple[np.ndarray, dict]:
     low = min(max(1, int(np.argmax(cum >= low_at))), high)
     if high > low:
         a = np.clip(np.floor((np.clip(a, low, high) - low) / (high - low) * 255 + 0.5), 0, 255)
-    angle = skew(a)
-    if 0.8 < abs(angle) <= 5:
-        a = rotate(a, -angle)
-    elif abs(angle) > 5:
-        angle = 0.0
+    tenths = skew(a)
+    if 8 < abs(tenths) <= 50:
+        a = rotate(a, -tenths).astype(float)
+    elif abs(tenths) > 50:
+        tenths = 0
+    angle = tenths / 10
     for kernel in (BLUR, SHARPEN):
         inner = sum(k * a[1 + i : a.shape[0] - 1 + i, 1 + j : a.shape[1] - 1 + j] for i, row in zip((-1, 0, 1), kernel) for j, k in zip((-1, 0, 1), row))
         a = a.copy()

@@ -30,7 +30,8 @@ PAGE = f"""concat(
   case when c_custkey % 11 = 0 and page_no = 2 then '' else concat({_NL}, 'Line of ', c_name, ' on page ', cast(page_no as string), ' which is long enough for a native page', {_NL}, case when page_no = 3 then concat('Report ', cast(c_custkey % 7 as string)) else 'middle' end) end,
   case when c_custkey % 5 = 0 then '' else concat({_NL}, 'Footer ', case when page_no % 3 = 0 then 'x' else 'all' end) end)"""
 PIXEL = "case img_id % 5 when 0 then (x * 7 + y * 13 + img_id * 31) % 256 when 1 then (x * y * 11 + img_id) % 256 when 2 then 200 + (x + y) % 55 when 3 then case when y % 4 = 0 then 10 else 240 end else 77 end"
-SIDE, IMAGES, WIDE_SIDE = 16, 20, 96
+SIDE, WIDE_SIDE, SHEET_HEIGHT, SHEET_WIDTH = 16, 96, 56, 72
+SHEET = "case when img_id % 13 = 0 then 255 when (y * 1000 + x * (img_id % 25 - 12) * 10 + 100000) % 12000 < 3000 then 20 + x % 7 else 230 + y % 20 end"
 #: Pages with their own text, what an engine would read in two modes, the skew, and whether the page was lost.
 SCAN = f"""doc_id, page_no,
   case when doc_id % 4 = 0 then text when doc_id % 4 = 1 then '' when (doc_id + page_no) % 2 = 0 then text else 'short' end AS native,
@@ -74,29 +75,42 @@ def _split(columns: str) -> list[str]:
     return out
 
 
+def _grid(ids: DataFrame, height: int, width: int, value: str) -> DataFrame:
+    rows = ids.selectExpr("img_id", f"explode(sequence(0, {height - 1})) AS y").selectExpr("img_id", "y", f"explode(sequence(0, {width - 1})) AS x")
+    return rows.selectExpr("img_id", "y", "x", f"cast({value} AS int) AS v")
+
+
 def wide_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Images of 96 x 96, larger than the local threshold's reach each way; one for every 500 customers."""
-    ids = _read(spark, sf_dir, "customer").where("c_custkey % 500 = 1").selectExpr("cast(c_custkey div 500 AS int) AS img_id")
-    grid = ids.selectExpr("img_id", f"explode(sequence(0, {WIDE_SIDE - 1})) AS y").selectExpr("img_id", "y", f"explode(sequence(0, {WIDE_SIDE - 1})) AS x")
-    return grid.selectExpr("img_id", "y", "x", f"cast({PIXEL} AS int) AS v")
+    """An image of 96 x 96 for each supplier, larger than the local threshold's reach each way."""
+    return _grid(_read(spark, sf_dir, "supplier").selectExpr("cast(s_suppkey AS int) AS img_id"), WIDE_SIDE, WIDE_SIDE, PIXEL)
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = spark.range(IMAGES * SIDE * SIDE).selectExpr(f"cast(id div {SIDE * SIDE} AS int) AS img_id", f"cast(id div {SIDE} % {SIDE} AS int) AS y", f"cast(id % {SIDE} AS int) AS x")
-    return grid.selectExpr("img_id", "y", "x", f"cast({PIXEL} AS int) AS v")
+    """An image of 16 x 16 for each customer."""
+    return _grid(_read(spark, sf_dir, "customer").selectExpr("cast(c_custkey AS int) AS img_id"), SIDE, SIDE, PIXEL)
+
+
+def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sheet of slanted lines for each supplier, some blank."""
+    return _grid(_read(spark, sf_dir, "supplier").selectExpr("cast(s_suppkey AS int) AS img_id"), SHEET_HEIGHT, SHEET_WIDTH, SHEET)
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "nation").selectExpr("cast(n_nationkey AS string) AS doc_id", f"unhex({FILE}) AS content", f"{DECLARED} AS declared")
 
 
+def _grid_sql(name: str, key: str, table: str, height: int, width: int, value: str) -> str:
+    return f"{name} AS (SELECT img_id, y, x, ({value})::INT AS v FROM (SELECT {key}::INT AS img_id, a.i::INT AS y, b.i::INT AS x FROM {table}, range({height}) a(i), range({width}) b(i)))"
+
+
 #: The same inputs as DuckDB table expressions.
 SQL = {
     "contracts": f"contracts AS (SELECT o_orderkey AS doc_id, {CONTRACT} AS text FROM orders)",
     "noisy": f"noisy AS (SELECT n_nationkey AS id, {NOISY} AS text FROM nation)",
     "page_sets": f"page_sets AS (SELECT c_custkey AS doc_id, page_no::INT AS page_no, {PAGE} AS text FROM (SELECT c_custkey, c_name, unnest(generate_series(1, 1 + c_custkey % 5)) AS page_no FROM customer))",
-    "pixels": f"pixels AS (SELECT img_id, y, x, ({PIXEL})::INT AS v FROM (SELECT (id // {SIDE * SIDE})::INT AS img_id, (id // {SIDE} % {SIDE})::INT AS y, (id % {SIDE})::INT AS x FROM range({IMAGES * SIDE * SIDE}) t(id)))",
+    "pixels": _grid_sql("pixels", "c_custkey", "customer", SIDE, SIDE, PIXEL),
     "scans": f"scans AS (SELECT {SCAN} FROM page_sets)",
-    "wide_pixels": f"wide_pixels AS (SELECT img_id, y, x, ({PIXEL})::INT AS v FROM (SELECT (c_custkey // 500)::INT AS img_id, a.i::INT AS y, b.i::INT AS x FROM customer, range({WIDE_SIDE}) a(i), range({WIDE_SIDE}) b(i) WHERE c_custkey % 500 = 1))",
+    "wide_pixels": _grid_sql("wide_pixels", "s_suppkey", "supplier", WIDE_SIDE, WIDE_SIDE, PIXEL),
+    "sheets": _grid_sql("sheets", "s_suppkey", "supplier", SHEET_HEIGHT, SHEET_WIDTH, SHEET),
     "files": f"files AS (SELECT n_nationkey::VARCHAR AS doc_id, unhex({FILE}) AS content, {DECLARED} AS declared FROM nation)",
 }

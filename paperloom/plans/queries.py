@@ -12,6 +12,7 @@ from paperloom.functions import text as T
 from paperloom.operators import entities as E
 from paperloom.operators import images as I
 from paperloom.operators import pages as P
+from paperloom.operators import rasters as G
 from paperloom.operators import recognition as R
 from paperloom.operators import sentences as S
 from paperloom.operators.contradictions import PAYMENT, contradictions
@@ -376,7 +377,8 @@ def img_threshold_small(spark, d):
     return I.local_threshold(X.pixels(spark, d), reach=3)
 
 
-_CROSS = "SELECT a.img_id, a.y, a.x, {f}(b.v) AS v FROM {t} a JOIN {t} b ON a.img_id = b.img_id AND abs(a.x - b.x) + abs(a.y - b.y) <= 1 GROUP BY a.img_id, a.y, a.x"
+_NEAR = "(SELECT a.i - 1 AS dy, b.i - 1 AS dx FROM range(3) a(i), range(3) b(i))"
+_CROSS = f"SELECT a.img_id, a.y, a.x, {{f}}(b.v) AS v FROM {{t}} a JOIN {_NEAR} ON abs(dx) + abs(dy) <= 1 JOIN {{t}} b ON a.img_id = b.img_id AND b.x = a.x + dx AND b.y = a.y + dy GROUP BY a.img_id, a.y, a.x"
 
 
 @query(f"WITH {_PIX}, dark AS ({_CROSS.format(f='min', t='pixels')}) {_CROSS.format(f='max', t='dark')}")
@@ -384,8 +386,8 @@ def img_close(spark, d):
     return I.close_gaps(X.pixels(spark, d))
 
 
-def _conv(weights: str) -> str:
-    return f"WITH {_PIX} SELECT a.img_id, a.y, a.x, CASE WHEN count(*) < 9 THEN a.v ELSE greatest(0, least(255, floor(sum(b.v * {weights}) + 0.5)))::INT END AS v FROM pixels a JOIN pixels b ON a.img_id = b.img_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 GROUP BY a.img_id, a.y, a.x, a.v"
+def _conv(weights: str, table: str = "pixels") -> str:
+    return f"WITH {X.SQL[table]} SELECT a.img_id, a.y, a.x, CASE WHEN count(*) < 9 THEN a.v ELSE greatest(0, least(255, floor(sum(b.v * {weights}) + 0.5)))::INT END AS v FROM {table} a CROSS JOIN {_NEAR} JOIN {table} b ON a.img_id = b.img_id AND b.x = a.x + dx AND b.y = a.y + dy GROUP BY a.img_id, a.y, a.x, a.v"
 
 
 @query(_conv("(2 - abs(a.x - b.x)) * (2 - abs(a.y - b.y)) / 16.0::DOUBLE"))
@@ -393,7 +395,7 @@ def img_denoise(spark, d):
     return I.convolve(X.pixels(spark, d), I.BLUR)
 
 
-@query(_conv("CASE abs(a.x - b.x) + abs(a.y - b.y) WHEN 0 THEN 1.8 WHEN 1 THEN -0.2 ELSE 0 END::DOUBLE").replace(_PIX, X.SQL["wide_pixels"]).replace("pixels a", "wide_pixels a").replace("pixels b", "wide_pixels b"))
+@query(_conv("CASE abs(a.x - b.x) + abs(a.y - b.y) WHEN 0 THEN 1.8 WHEN 1 THEN -0.2 ELSE 0 END::DOUBLE", "wide_pixels"))
 def img_sharpen(spark, d):
     return I.convolve(X.wide_pixels(spark, d), I.SHARPEN)
 
@@ -403,7 +405,72 @@ def img_projection(spark, d):
     return I.row_profile(X.pixels(spark, d)).select("img_id", F.round("variance", 9).alias("variance"))
 
 
-@query("WITH p AS (SELECT img_id, y, x, (x * 16 + y) % 256 AS r, (y * 16) % 256 AS g, (x * 3) % 256 AS b FROM (SELECT (id // 256)::INT AS img_id, (id // 16 % 16)::INT AS y, (id % 16)::INT AS x FROM range(5120) t(id))) SELECT img_id, y, x, floor(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b)::INT AS v FROM p")
+@query(f"WITH {_PIX}, p AS (SELECT img_id, y, x, (x * 16 + y) % 256 AS r, (y * 16 + img_id) % 256 AS g, (x * 3) % 256 AS b FROM pixels) SELECT img_id, y, x, floor(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b)::INT AS v FROM p")
 def img_gray(spark, d):
-    p = X.pixels(spark, d).selectExpr("img_id", "y", "x", "(x * 16 + y) % 256 AS r", "(y * 16) % 256 AS g", "(x * 3) % 256 AS b")
+    p = X.pixels(spark, d).selectExpr("img_id", "y", "x", "(x * 16 + y) % 256 AS r", "(y * 16 + img_id) % 256 AS g", "(x * 3) % 256 AS b")
     return p.select("img_id", "y", "x", I.gray(F.col("r").cast("double"), F.col("g").cast("double"), F.col("b").cast("double")).alias("v"))
+
+
+@query(f"WITH {X.SQL['wide_pixels']}, r AS (SELECT img_id, y, x, sum(v) OVER (PARTITION BY img_id, y ORDER BY x) AS s FROM wide_pixels) SELECT img_id, y, x, (sum(s) OVER (PARTITION BY img_id, x ORDER BY y))::BIGINT AS total FROM r")
+def img_integral(spark, d):
+    return G.integral(X.wide_pixels(spark, d))
+
+
+@query(ORACLES["img_threshold"])
+def img_threshold_integral(spark, d):
+    return G.box_threshold(X.wide_pixels(spark, d))
+
+
+_SIZES = "sizes AS (SELECT img_id, (max(x) + 1)::BIGINT AS w, (max(y) + 1)::BIGINT AS h FROM {} GROUP BY img_id)"
+
+
+def _axis(side: str) -> str:
+    """(img_id, j, i, k): the four sources of each new place of an axis, with their weights."""
+    place = f"SELECT img_id, {side} AS n, j, floor((((2 * j + 1) * {side} - n{side}) * 256)::DOUBLE / (2 * n{side}))::BIGINT AS p FROM grown, unnest(range(n{side})) u(j)"
+    weight = "CASE d WHEN 0 THEN -t*t*t + 512*t*t - 65536*t WHEN 1 THEN 3*t*t*t - 1280*t*t + 33554432 WHEN 2 THEN -3*t*t*t + 1024*t*t + 65536*t ELSE t*t*t - 256*t*t END"
+    return f"(SELECT img_id, j, greatest(0, least(n - 1, (p >> 8) + d - 1)) AS i, {weight} AS k FROM (SELECT *, p & 255 AS t FROM ({place})), range(4) r(d))"
+
+
+@query(f"""WITH {_PIX}, {_SIZES.format("pixels")}, grown AS (SELECT img_id, w, h, floor(w * least(2500.0::DOUBLE / least(w, h), 3.0::DOUBLE))::BIGINT AS nw, floor(h * least(2500.0::DOUBLE / least(w, h), 3.0::DOUBLE))::BIGINT AS nh FROM sizes),
+tall AS (SELECT img_id, j AS ny, x, sum(v * k)::BIGINT AS s FROM pixels JOIN {_axis("h")} USING (img_id) WHERE y = i GROUP BY ALL),
+wide AS (SELECT img_id, ny, j AS nx, sum(s::HUGEINT * k) AS s FROM tall JOIN {_axis("w")} USING (img_id) WHERE x = i GROUP BY ALL)
+SELECT img_id, ny::INT AS y, nx::INT AS x, greatest(0, least(255, (s + 562949953421312)::BIGINT >> 50))::INT AS v FROM wide""")
+def img_upscale(spark, d):
+    return G.upscale(X.pixels(spark, d))
+
+
+@query(f"""WITH {X.SQL["wide_pixels"]}, cells AS (SELECT img_id, (y * 19 // 96)::INT AS y, (x * 19 // 96)::INT AS x, v FROM wide_pixels) SELECT img_id, y, x, ((2 * sum(v) + count(*)) // (2 * count(*)))::INT AS v FROM cells GROUP BY ALL""")
+def img_downscale(spark, d):
+    return G.downscale(X.wide_pixels(spark, d), width=18)
+
+
+_TURNS = "turns AS (SELECT t::INT AS tenths, round(65536 * sin(radians(t / 10.0::DOUBLE)))::BIGINT AS s, round(65536 * cos(radians(t / 10.0::DOUBLE)))::BIGINT AS c FROM range(-60, 61) r(t))"
+
+
+def _turned(angles: str) -> str:
+    rows = f"SELECT img_id, tenths, place, (h * c + w * abs(s)) >> 16 AS high, (-s * (2 * x + 1 - w) + c * (2 * y + 1 - h) + ((h * c + w * abs(s)) >> 16) * 65536) >> 17 AS line, count(*) AS n FROM dark JOIN {angles} USING (img_id) JOIN sizes USING (img_id) JOIN turns USING (tenths) GROUP BY ALL"
+    return f"SELECT img_id, tenths, place, (high * sum(n * n) - sum(n) * sum(n))::DOUBLE / (high * high) AS score FROM ({rows}) GROUP BY img_id, tenths, place, high"
+
+
+_SKEW = f"""{X.SQL["sheets"]}, {_SIZES.format("sheets")}, {_TURNS}, dark AS (SELECT img_id, y, x FROM sheets WHERE v < 128),
+coarse AS ({_turned("(SELECT img_id, (5 * i - 50)::INT AS tenths, i AS place FROM sizes, range(21) r(i))")}),
+first AS (SELECT * FROM coarse QUALIFY row_number() OVER (PARTITION BY img_id ORDER BY score DESC, place) = 1),
+fine AS ({_turned("(SELECT img_id, (tenths + i - 10)::INT AS tenths, 21 + i AS place FROM first, range(21) r(i))")}),
+best AS (SELECT * FROM (FROM first UNION ALL FROM fine) QUALIFY row_number() OVER (PARTITION BY img_id ORDER BY score DESC, place) = 1),
+skews AS (SELECT img_id, coalesce(tenths, -50)::INT AS tenths FROM sizes LEFT JOIN best USING (img_id))"""
+
+
+@query(f"WITH {_SKEW} SELECT img_id, tenths, CASE WHEN abs(tenths) > 50 THEN 0 ELSE tenths END AS told, CASE WHEN abs(tenths) > 8 AND abs(tenths) <= 50 THEN -tenths ELSE 0 END AS turn FROM skews")
+def img_skew(spark, d):
+    t = F.col("tenths")
+    return G.skew(X.sheets(spark, d)).select("img_id", "tenths", G.told(t).alias("told"), G.applied(t).alias("turn"))
+
+
+@query(f"""WITH {_SKEW}, made AS (SELECT img_id, w, h, s, c, (w * c + h * abs(s)) >> 16 AS nw, (h * c + w * abs(s)) >> 16 AS nh FROM (SELECT img_id, -tenths AS tenths FROM skews WHERE abs(tenths) > 8 AND abs(tenths) <= 50) JOIN turns USING (tenths) JOIN sizes USING (img_id)),
+spots AS (SELECT *, 2 * tx + 1 - nw AS x2, 2 * ty + 1 - nh AS y2 FROM made, unnest(range(nh)) a(ty), unnest(range(nw)) b(tx)),
+sources AS (SELECT img_id, ty, tx, (c * x2 + s * y2 + (w - 1) * 65536) >> 9 AS sx, (-s * x2 + c * y2 + (h - 1) * 65536) >> 9 AS sy FROM spots),
+four AS (SELECT img_id, ty, tx, (sy >> 8) + i AS y, (sx >> 8) + j AS x, abs(256 - i * 256 - (sy & 255)) * abs(256 - j * 256 - (sx & 255)) AS k FROM sources, range(2) a(i), range(2) b(j)),
+new AS (SELECT img_id, ty::INT AS y, tx::INT AS x, ((16711680 - sum(k * (255 - coalesce(v, 255))) + 32768)::BIGINT >> 16)::INT AS v FROM four LEFT JOIN sheets USING (img_id, y, x) GROUP BY img_id, ty, tx)
+SELECT * FROM new UNION ALL SELECT img_id, y, x, v FROM sheets ANTI JOIN made USING (img_id)""")
+def img_rotate(spark, d):
+    return G.deskew(X.sheets(spark, d))
