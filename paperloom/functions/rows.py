@@ -10,7 +10,8 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     """Adds columns that are evaluated once a row, however often they are used (a generator keeps them from being inlined)."""
     one = F.explode(F.array(F.struct(*[c.alias(k) for k, c in columns.items()])))
     kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
-    return df.withColumn("__once", one).select(*kept, *[F.col(f"__once.{k}").alias(k) for k in columns])
+    at = next(n for k in range(len(df.columns) + 1) if (n := f"__once{k}") not in df.columns)
+    return df.withColumn(at, one).select(*kept, *[F.col(at).getField(k).alias(k) for k in columns])
 
 
 def let(value: Column, body) -> Column:

@@ -14,12 +14,13 @@ from paperloom.functions import text as T
 from paperloom.functions.rows import let, once, running_sums
 
 
-
 def _any(words: str) -> str:
-    """A pattern of alternatives (between bars), tried by their first letter.
+    """A pattern of alternatives (between bars), tried only where one of their first letters stands."""
+    return f"(?=[{''.join(dict.fromkeys(w[0].lower() for w in words.split('|')))}])(?:{words})"
 
-    Alternatives of different first letters exclude each other, so only the order within a letter matters; it stays.
-    """
+
+def _by_letter(words: str) -> str:
+    """As _any, for long lists: alternatives of one first letter together, in their order, as others exclude each other."""
     by: dict[str, list[str]] = {}
     for w in words.split("|"):
         by.setdefault(w[0].lower(), []).append(w[1:])
@@ -47,12 +48,17 @@ SIGNATORY = "(?i)" + _any(r"signed\s+by|signature\s+of|authorized\s+by|signatory
 UNNAMED = "(?i)" + _any(r"signed\s+by|authorized\s+representative|authorized\s+signatory|authorized\s+person|duly\s+authorized|competent\s+authority") + r"(?!\s+[A-Z][a-zA-Z])"
 WRITTEN_DATE = (
     r"(?i)(?:the\s+)?"
-    + _any("first|second|third|fourth|fifth|sixth|seventh|eighth|ninth|tenth|eleventh|twelfth|thirteenth|fourteenth|fifteenth|sixteenth|seventeenth|eighteenth|nineteenth|twentieth|"
+    + _by_letter("first|second|third|fourth|fifth|sixth|seventh|eighth|ninth|tenth|eleventh|twelfth|thirteenth|fourteenth|fifteenth|sixteenth|seventeenth|eighteenth|nineteenth|twentieth|"
            + "|".join(r"twenty[-\s]?" + x for x in "first second third fourth fifth sixth seventh eighth ninth".split()) + r"|thirtieth|thirty[-\s]?first")
     + r"\s+day\s+of\s+(?:" + _MONTHS + r")(?:,?\s+(?:two thousand|\d{4})[\w\s]*)?"
 )
-_SUFFIXED = r"(?i)[A-Z][A-Za-z0-9\s&.,'-]{2,50}" + _any(r"Ltd\.?|LLC|Inc\.?|Corp\.?|Co\.?|Limited|Pvt\.?|PLC|LLP|Technologies|Solutions|Services|Systems|Group|Holdings|Enterprises|Associates|Partners")
+_SUFFIXED = r"(?i)[A-Z][A-Za-z0-9\s&.,'-]{2,50}" + _by_letter(r"Ltd\.?|LLC|Inc\.?|Corp\.?|Co\.?|Limited|Pvt\.?|PLC|LLP|Technologies|Solutions|Services|Systems|Group|Holdings|Enterprises|Associates|Partners")
 _ROLE = "(?i)" + _any("company|client|vendor|employer|employee|contractor|lessor|lessee|licensor|licensee|buyer|seller|supplier|between") + _COLON
+#: Where a suffix or a role begins, and how far from there a role's value and what must follow it can reach (a value may hold suffixes).
+_SUFFIX_WORDS = "Ltd|LLC|Inc|Corp|Co|Limited|Pvt|PLC|LLP|Technologies|Solutions|Services|Systems|Group|Holdings|Enterprises|Associates|Partners"
+_ROLE_WORDS = "company|client|vendor|employer|employee|contractor|lessor|lessee|licensor|licensee|buyer|seller|supplier|between"
+_MARK = rf"(?i)(?=[lcipftsgheavb])(?={_SUFFIX_WORDS}|{_ROLE_WORDS})"
+_HEAD = rf"(?i)^(?:(?:{_ROLE_WORDS})\s*+(?:[:\-]\s*+)?)?[\s\S]{{0,44}}\s*+[\s\S]{{0,9}}"
 ORGANIZATION = rf"(?:{_SUFFIXED})|(?:{_ROLE}[A-Z][A-Za-z0-9\s&.,'-]{{2,40}}(?=[,\n\r;.]|\s+(?:and|or|herein|with|as)))"
 REFERENCE = "(?i)" + _any("contract|agreement|invoice|order|po|ref|reference|case|document|doc|ticket|file") + r"\s*(?:no\.?|number|#|id)" + _DASH + r"([\w\-./]{3,30})"
 DATE = (
@@ -119,6 +125,26 @@ def _value(m: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract(m, pattern, group) if group else m
 
 
+def near_marks(text: Column) -> Column:
+    """The text with null characters for what can be in no organisation, so that the rest keeps its place.
+
+    A name ends in a suffix and begins at most 51 characters before it, all of a few classes, or follows a role.  So the
+    text is cut where a suffix or role begins; of each part its head stays, and of the 52 characters before the next
+    mark those behind the last that no name holds.  The costly pattern then has little left to try.
+    """
+
+    def mask(part: Column) -> Column:
+        tail = F.regexp_replace(F.right(part, F.lit(52)), r"^[\s\S]*[^A-Za-z0-9\s&.,'-]", "")
+
+        def cut(z: Column) -> Column:
+            hidden = F.length(part) - F.length(z["head"]) - F.length(z["tail"])
+            return F.when(hidden > 0, F.concat(z["head"], F.repeat(F.lit("\0"), hidden), z["tail"])).otherwise(part)
+
+        return let(F.struct(F.regexp_extract(part, _HEAD, 0).alias("head"), tail.alias("tail")), cut)
+
+    return F.array_join(F.transform(F.split(text, _MARK, -1), mask), "")
+
+
 FOUND = "array<struct<pos:int,value:string>>"
 
 
@@ -178,13 +204,17 @@ def with_entities(docs: DataFrame, text_col: str = "text", types: list[str] | No
     names = [e[0] for e in EXTRACTORS]
     shown = types or names
     run = names if "DATE" in shown else shown
-    d = docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit("")))
-    d = once(d, **{f"__m_{name}": F.regexp_extract_all(F.col("__text"), F.lit(pattern), F.lit(0)) for name, pattern, *_ in EXTRACTORS if name in run})
+    own = f"__e{next(k for k in range(len(docs.columns) + 1) if not any(c.lower().startswith(f'__e{k}_') for c in docs.columns))}_"
+    text = {n: f"{own}text" for n in names} | {"ORGANIZATION": f"{own}near"}
+    d = docs.withColumn(f"{own}text", F.coalesce(F.col(text_col), F.lit("")))
+    if "ORGANIZATION" in run:
+        d = once(d, **{f"{own}near": near_marks(F.col(f"{own}text"))})
+    d = once(d, **{f"{own}m_{name}": F.regexp_extract_all(F.col(text[name]), F.lit(pattern), F.lit(0)) for name, pattern, *_ in EXTRACTORS if name in run})
     found: dict[str, Column] = {}
     for name, pattern, group, longest, _ in EXTRACTORS:
         if name not in run:
             continue
-        out = matches(F.col("__text"), pattern, group, F.col(f"__m_{name}"), places and name in shown)
+        out = matches(F.col(text[name]), pattern, group, F.col(f"{own}m_{name}"), places and name in shown)
         if longest:
             out = F.filter(out, _valid_below(longest))
         if name == "TOTAL_AMOUNT":
@@ -193,17 +223,17 @@ def with_entities(docs: DataFrame, text_col: str = "text", types: list[str] | No
             out = F.filter(out, lambda x: ~is_fragment(x["value"]))
         if name == "SIGNATORY_INCOMPLETE":
             out = F.transform(out, lambda x: F.struct(x["pos"].alias("pos"), F.concat(x["value"], F.lit(" [Name not specified]")).alias("value")))
-        found[f"__{name}"] = out
+        found[f"{own}{name}"] = out
     d = once(d, **found)
-    caps = {f"__{n}": _first(F.col(f"__{n}"), CAPS[n], _lower if n == "ORGANIZATION" else _plain) for n in run if n in CAPS and n != "DATE"}
+    caps = {f"{own}{n}": _first(F.col(f"{own}{n}"), CAPS[n], _lower if n == "ORGANIZATION" else _plain) for n in run if n in CAPS and n != "DATE"}
     if caps:
         d = once(d, **caps)
     if "DATE" in run:
-        before = F.array_distinct(F.flatten(F.array(*[F.transform(f"__{m}", _plain) for m in run[: run.index("DATE")]])))
+        before = F.array_distinct(F.flatten(F.array(*[F.transform(f"{own}{m}", _plain) for m in run[: run.index("DATE")]])))
         # At most ten new dates are looked for, so each match is compared with a bounded list only until then.
-        d = once(once(d, __before=before), __DATE=_first(F.filter("__DATE", lambda x: ~F.array_contains("__before", x["value"])), CAPS["DATE"], _plain))
-    rows = F.flatten(F.array(*[F.transform(f"__{n}", _row(names.index(n), n, c)) for n, _, _, _, c in EXTRACTORS if n in shown]))
-    return d.select(*[F.col(f"`{c}`") for c in docs.columns], rows.alias(into))
+        d = once(once(d, **{f"{own}before": before}), **{f"{own}DATE": _first(F.filter(f"{own}DATE", lambda x: ~F.array_contains(f"{own}before", x["value"])), CAPS["DATE"], _plain)})
+    rows = F.flatten(F.array(*[F.transform(f"{own}{n}", _row(names.index(n), n, c)) for n, _, _, _, c in EXTRACTORS if n in shown]))
+    return d.select(*[F.col(f"`{c}`") for c in docs.columns if c != into], rows.alias(into))
 
 
 def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", types: list[str] | None = None, places: bool = True) -> DataFrame:

@@ -198,40 +198,59 @@ def _re2(pattern: str) -> str:
 _FRAGMENT = rf"(len(string_split(v, ' ')) >= 3 AND len(list_filter(regexp_split_to_array(lower(v), '\s+'), lambda w: list_contains({_list(E.FRAGMENT_WORDS)}, w)))::DOUBLE / len(regexp_split_to_array(v, '\s+')) >= 0.4)"
 
 
+def _found(pattern: str, **groups: int) -> str:
+    """SQL for (doc_id, i, pos and a column for each group) of a pattern's matches: pieces between them and matches before tell the place."""
+    columns = ", ".join(f"regexp_extract_all(text, '{pattern}', {g}) AS {name}" for name, g in groups.items())
+    place = "coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0)::BIGINT + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)::BIGINT"
+    lists = f"SELECT doc_id, regexp_extract_all(text, '{pattern}') AS m, string_split_regex(text, '{pattern}') AS g, {columns} FROM contracts"
+    return f"SELECT doc_id, i, ({place})::INT AS pos, {', '.join(f'{n}[i] AS {n}' for n in groups)} FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM ({lists}))"
+
+
 def _values(pattern: str, group: int, longest: int | None, extra: str = "true") -> str:
     ok = f"v <> '' AND length(v) <= {longest} AND NOT regexp_matches(v, '^\\p{{Ll}}')" if longest else "true"
-    return f"SELECT doc_id, i, v FROM (SELECT doc_id, generate_subscripts(m, 1) AS i, {_TRIM.format('unnest(m)')} AS v FROM (SELECT doc_id, regexp_extract_all(text, '{_re2(pattern)}', {group}) AS m FROM contracts)) WHERE {ok} AND {extra}"
+    return f"SELECT doc_id, i, pos, v FROM (SELECT doc_id, i, pos, {_TRIM.format('raw')} AS v FROM ({_found(_re2(pattern), raw=group)})) WHERE {ok} AND {extra}"
+
 
+def _first_of(sql: str, most: int, key: str = "v") -> str:
+    return f"SELECT doc_id, min(i) AS i, arg_min(pos, i) AS pos, arg_min(v, i) AS v FROM ({sql}) GROUP BY doc_id, {key} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) <= {most}"
 
-def _entity(name: str, sql: str | None) -> None:
+
+_ORG = _re2(rf"({E._SUFFIXED})|(?:{E._ROLE}([A-Z][A-Za-z0-9\s&.,'-]{{2,40}})(?:[,\n\r;.]|\s+(?:and|or|herein|with|as)))")
+_NO_NAME = r"(?i)(signed\s+by|authorized\s+(?:representative|signatory|person)|duly\s+authorized|competent\s+authority)(\s+[A-Z][a-zA-Z])?"
+_ORGS = f"SELECT * FROM (SELECT doc_id, i, pos, {_TRIM.format("CASE WHEN a <> '' THEN a ELSE b END")} AS v FROM ({_found(_ORG, a=1, b=2)})) WHERE v <> '' AND length(v) <= 80 AND NOT regexp_matches(v, '^\\p{{Ll}}') AND NOT {_FRAGMENT}"
+#: SQL of each extractor, in order; DATE leaves out what any of the ten before it has found.
+_ENTITIES = {
+    "DUE_DATE": _values(E.DUE_DATE, 1, 80),
+    "SIGNING_DATE": _values(E.SIGNING_DATE, 1, 80),
+    "TOTAL_AMOUNT": _first_of(_values(E.AMOUNT, 0, 60, r"length(regexp_replace(v, '\D', '', 'g')) >= 2"), 15),
+    "AMOUNT_IN_WORDS": _values(E.WORDS_AMOUNT, 0, 100),
+    "DEDUCTION": _values(E.DEDUCTION, 0, 80),
+    "SIGNATORY": _values(E.SIGNATORY, 1, 60, f"NOT {_FRAGMENT}"),
+    "SIGNATORY_INCOMPLETE": f"SELECT doc_id, i, pos, a || ' [Name not specified]' AS v FROM ({_found(_NO_NAME, a=1, b=2)}) WHERE coalesce(b, '') = ''",
+    "DATE_WRITTEN_FORM": _values(E.WRITTEN_DATE, 0, None),
+    "ORGANIZATION": _first_of(_ORGS, 8, "lower(v)"),
+    "REFERENCE_NUMBER": _values(E.REFERENCE, 1, 30),
+}
+_BEFORE = " UNION ALL ".join(f"SELECT doc_id, v FROM ({sql})" for sql in _ENTITIES.values())
+_ENTITIES["DATE"] = _first_of(f"SELECT * FROM ({_values(E.DATE, 0, 40)}) a ANTI JOIN ({_BEFORE}) b USING (doc_id, v)", 10)
+
+
+def _entity(name: str) -> None:
     def run(spark, d):
         rows = E.extract(X.contracts(spark, d), types=[name], places=False)
         return rows.groupBy("doc_id", "value").agg(F.count("*").alias("n"))
 
     run.__name__ = f"ent_{name.lower()}"
-    query(sql and f"WITH {X.SQL['contracts']} SELECT doc_id, v AS value, count(*) AS n FROM ({sql}) GROUP BY ALL")(run)
-
-
-_capped = lambda sql, most: f"SELECT doc_id, v FROM (SELECT doc_id, v, min(i) AS i FROM ({sql}) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i) <= {most}"
-_digits = r"length(regexp_replace(v, '\D', '', 'g')) >= 2"
-_BEFORE = " UNION ALL ".join(f"SELECT doc_id, v FROM ({_values(p, g, n)})" for name, p, g, n, _ in E.EXTRACTORS if name in ("DUE_DATE", "SIGNING_DATE", "REFERENCE_NUMBER", "DEDUCTION"))
-_entity("DUE_DATE", _values(E.DUE_DATE, 1, 80))
-_entity("SIGNING_DATE", _values(E.SIGNING_DATE, 1, 80))
-_entity("TOTAL_AMOUNT", _capped(_values(E.AMOUNT, 0, 60, _digits), 15))
-_entity("AMOUNT_IN_WORDS", _values(E.WORDS_AMOUNT, 0, 100))
-_entity("DEDUCTION", _values(E.DEDUCTION, 0, 80))
-_entity("SIGNATORY", _values(E.SIGNATORY, 1, 60, f"NOT {_FRAGMENT}"))
-_entity("SIGNATORY_INCOMPLETE", f"SELECT doc_id, v || ' [Name not specified]' AS v FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)(signed\\s+by|authorized\\s+(?:representative|signatory|person)|duly\\s+authorized|competent\\s+authority)(\\s+[A-Z][a-zA-Z])?', 1)) AS v, unnest(regexp_extract_all(text, '(?i)(signed\\s+by|authorized\\s+(?:representative|signatory|person)|duly\\s+authorized|competent\\s+authority)(\\s+[A-Z][a-zA-Z])?', 2)) AS w FROM contracts) WHERE coalesce(w, '') = ''")
-_entity("DATE_WRITTEN_FORM", _values(E.WRITTEN_DATE, 0, None))
-_ORG = _re2(rf"({E._SUFFIXED})|(?:{E._ROLE}([A-Z][A-Za-z0-9\s&.,'-]{{2,40}})(?:[,\n\r;.]|\s+(?:and|or|herein|with|as)))")
-_entity(
-    "ORGANIZATION",
-    f"""SELECT doc_id, arg_min(v, i) AS v FROM (SELECT doc_id, i, v FROM (SELECT doc_id, i, {_TRIM.format("CASE WHEN a <> '' THEN a ELSE b END")} AS v FROM
-(SELECT doc_id, generate_subscripts(ma, 1) AS i, unnest(ma) AS a, unnest(mb) AS b FROM (SELECT doc_id, regexp_extract_all(text, '{_ORG}', 1) AS ma, regexp_extract_all(text, '{_ORG}', 2) AS mb FROM contracts)))
-WHERE v <> '' AND length(v) <= 80 AND NOT regexp_matches(v, '^\\p{{Ll}}') AND NOT {_FRAGMENT}) GROUP BY doc_id, lower(v) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) <= 8""",
-)
-_entity("REFERENCE_NUMBER", _values(E.REFERENCE, 1, 30))
-_entity("DATE", _capped(f"SELECT * FROM ({_values(E.DATE, 0, 40)}) a WHERE NOT EXISTS (SELECT 1 FROM ({_BEFORE}) b WHERE a.doc_id = b.doc_id AND a.v = b.v)", 10))
+    query(f"WITH {X.SQL['contracts']} SELECT doc_id, v AS value, count(*) AS n FROM ({_ENTITIES[name]}) GROUP BY ALL")(run)
+
+
+for _name in _ENTITIES:
+    _entity(_name)
+
+
+@query(f"WITH {X.SQL['contracts']} " + " UNION ALL ".join(f"SELECT doc_id, {k} AS ext_ord, pos AS match_pos, '{name}' AS type, v AS value FROM ({sql})" for k, (name, sql) in enumerate(_ENTITIES.items())))
+def ent_all(spark, d):
+    return E.extract(X.contracts(spark, d)).select("doc_id", "ext_ord", "match_pos", "type", "value")
 
 
 @query(rf"""WITH {X.SQL['contracts']}, m AS (SELECT doc_id, text, regexp_extract(text, '{_re2(E.REFERENCE)}', 0) AS m FROM contracts), p AS (SELECT doc_id, text, strpos(text, m) - 1 AS pos FROM m WHERE m <> '')

@@ -195,3 +195,21 @@ def test_rows_of_one_id_stay_apart(spark):
     got = [(r.doc_id, r.summary, len(r.entities)) for r in analyze(df).collect()]
     assert len(got) == 4 and len({g[1] for g in got}) == 2
     assert summaries(df).count() == 4 and "Exchange" not in analyze(df)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_masked_text_has_the_same_organisations(spark):
+    import random
+
+    rng = random.Random(1)
+    bits = ["Acme", "co", "Corp.", "Ltd.", "Technologies", " ", "  ", "\n", ":", "-", "client", "between", "Buyer :", "and", "herein", "as", ",", ";", "(", "x" * 30, "the quick brown fox jumps over", "Services", "inc", "é", "7", "&", "'", ".", " " * 70, "Partners", "licensee"]
+    texts = ["".join(rng.choices(bits, k=rng.randrange(60))) for _ in range(4000)] + ["client" + " " * 300_000 + ": Acme Ltd", "x" * 10**6 + " Ltd", "co" * 10**5]
+    d = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    plain = F.regexp_extract_all("text", F.lit(E.ORGANIZATION), F.lit(0))
+    near = E.near_marks(F.col("text"))
+    assert d.where((plain != F.regexp_extract_all(near, F.lit(E.ORGANIZATION), F.lit(0))) | (F.length(near) != F.length("text"))).count() == 0
+
+
+def test_entities_keep_columns_of_any_name(spark):
+    d = spark.createDataFrame([(1, "Invoice no: AB-77 of Acme Ltd", "a", "b", "c")], "doc_id long, text string, __e0_text string, __once0 string, `x.y` string")
+    (r,) = E.with_entities(d).collect()
+    assert (r["__e0_text"], r["__once0"], r["x.y"]) == ("a", "b", "c") and [(e.type, e.value) for e in r.entities] == [("ORGANIZATION", "AB-77 of Acme Ltd"), ("REFERENCE_NUMBER", "AB-77")]
