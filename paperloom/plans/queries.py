@@ -121,7 +121,8 @@ def term_frequency(spark, d):
 
 @query(f"WITH {_SENT}, {_DEDUP} SELECT doc_id, generate_subscripts(sentences, 1) - 1 AS idx, unnest(sentences) AS sentence FROM kept")
 def sentence_dedup(spark, d):
-    return _docs(spark, d).select("doc_id", F.posexplode(S.dedup(T.sentences(T.clean(F.col("text"))))).alias("idx", "sentence"))
+    rows = _docs(spark, d).select("doc_id", T.sentences(T.clean(F.col("text"))).alias("sentences"))
+    return S.with_dedup(rows, "sentences").select("doc_id", F.posexplode("sentences").alias("idx", "sentence"))
 
 
 @query(f"WITH {_SENT}, {_SCORES.format(src='sents')} SELECT doc_id, idx, round(score, 6) AS score FROM scored")

@@ -6,6 +6,7 @@ from paperloom.operators import entities as E
 from paperloom.operators import images as I
 from paperloom.operators import recognition as R
 from paperloom.operators.contradictions import contradictions
+from paperloom.operators import sentences as S
 from paperloom.operators.sentences import dedup, summaries
 from paperloom.plans.analyze import analyze
 from paperloom.plans.queries import ORACLES, QUERIES
@@ -213,3 +214,22 @@ def test_entities_keep_columns_of_any_name(spark):
     d = spark.createDataFrame([(1, "Invoice no: AB-77 of Acme Ltd", "a", "b", "c")], "doc_id long, text string, __e0_text string, __once0 string, `x.y` string")
     (r,) = E.with_entities(d).collect()
     assert (r["__e0_text"], r["__once0"], r["x.y"]) == ("a", "b", "c") and [(e.type, e.value) for e in r.entities] == [("ORGANIZATION", "AB-77 of Acme Ltd"), ("REFERENCE_NUMBER", "AB-77")]
+
+
+def test_long_lists_of_sentences_are_deduplicated_as_short_ones(spark, monkeypatch):
+    import random
+    import time
+
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(40)] + ["the", "of", "Ärger", "É"]
+    rows = [(k, [" ".join(rng.choices(words[: rng.choice([6, 12, 44])], k=rng.randrange(0, 12))) + rng.choice([".", "", " ..."]) for _ in range(rng.choice([0, 1, 30, 99, 160]))]) for k in range(60)] + [(100, None)]
+    d = spark.createDataFrame(rows, "doc_id long, sentences array<string>")
+    want = {r.doc_id: r.s for r in d.select("doc_id", dedup(F.col("sentences")).alias("s")).collect()}
+    monkeypatch.setattr(S, "FOLDED", 0)
+    got = {r.doc_id: r.sentences for r in S.with_dedup(d, "sentences").collect()}
+    assert {k: v or None for k, v in got.items()} == {k: v or None for k, v in want.items()}
+    long = [" ".join(f"u{rng.randrange(20000)}" for _ in range(15)) for _ in range(60_000)]
+    long += [s + " more" for s in long[:40_000]]
+    began = time.perf_counter()
+    kept = S._first_of_similar([frozenset(s.split()) for s in long])
+    assert time.perf_counter() - began < 60 and sum(kept) == 60_000 and all(kept[:60_000])
