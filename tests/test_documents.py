@@ -216,7 +216,7 @@ def test_entities_keep_columns_of_any_name(spark):
     assert (r["__e0_text"], r["__once0"], r["x.y"]) == ("a", "b", "c") and [(e.type, e.value) for e in r.entities] == [("ORGANIZATION", "AB-77 of Acme Ltd"), ("REFERENCE_NUMBER", "AB-77")]
 
 
-def test_long_lists_of_sentences_are_deduplicated_as_short_ones(spark, monkeypatch):
+def test_sentences_are_deduplicated_by_an_index_as_by_a_fold(spark):
     import random
     import time
 
@@ -225,7 +225,6 @@ def test_long_lists_of_sentences_are_deduplicated_as_short_ones(spark, monkeypat
     rows = [(k, [" ".join(rng.choices(words[: rng.choice([6, 12, 44])], k=rng.randrange(0, 12))) + rng.choice([".", "", " ..."]) for _ in range(rng.choice([0, 1, 30, 99, 160]))]) for k in range(60)] + [(100, None)]
     d = spark.createDataFrame(rows, "doc_id long, sentences array<string>")
     want = {r.doc_id: r.s for r in d.select("doc_id", dedup(F.col("sentences")).alias("s")).collect()}
-    monkeypatch.setattr(S, "FOLDED", 0)
     got = {r.doc_id: r.sentences for r in S.with_dedup(d, "sentences").collect()}
     assert {k: v or None for k, v in got.items()} == {k: v or None for k, v in want.items()}
     long = [" ".join(f"u{rng.randrange(20000)}" for _ in range(15)) for _ in range(60_000)]
