@@ -6,6 +6,7 @@ Everything but the engine itself is a Column or DataFrame expression.  An engine
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -23,6 +24,8 @@ LAYOUT, BLOCK = 3, 6
 MODELS = ["eng", "ben", "hin"]
 #: Marks that tell of a wrong language, and their share of all characters.
 WRONG_MARKS, WRONG_SHARE = r"~%|#\^&*@<>{}\[\]\\", 0.08
+#: The marks of both classes of characters one by one.
+WRONG, MARKS = (frozenset(re.sub(r"\\(?=[\^\[\]\\])", "", c)) for c in (WRONG_MARKS, T.GARBAGE))
 #: Inked characters of a native page, the confidence of native text, and messages.
 NATIVE_LEAST, NATIVE_SURE = 50, 98.0
 NATIVE = "NATIVE_PDF: This is a digital PDF — text was extracted directly without OCR for maximum accuracy."
@@ -71,30 +74,36 @@ def image_texts(rows: DataFrame, language: str = "language") -> DataFrame:
 
 
 def run_engine(rows: DataFrame, engine: Callable, into: str, mode: int, language: Column, where: Column | None = None) -> DataFrame:
-    """Adds the engine's text of each raster (height, width, data); null where it is not asked for or fails."""
+    """Adds the engine's text of each raster (height, width, data), null where it is not asked for or fails, and ``<into>_failure``, what it failed of."""
     ship_package(rows.sparkSession)
     asked = rows.withColumns({"__language": language, "__asked": F.lit(True) if where is None else F.coalesce(where, F.lit(False))})
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", `{into}` string"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", `{into}` string, `{into}_failure` string"
     names = rows.columns
 
     def run(frames):
         for pdf in frames:
-            out = []
+            out, lost = [], []
             for r in pdf.to_dict("records"):
+                text = failure = None
                 try:
-                    a = np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"])
-                    out.append(engine(a, r["__language"], mode, SETTINGS) if r["__asked"] else None)
-                except Exception:  # a lost try is one null text
-                    out.append(None)
+                    if r["__asked"]:
+                        text = engine(np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"]), r["__language"], mode, SETTINGS)
+                except Exception as e:  # a lost try is one null text
+                    failure = f"{type(e).__name__}: {e}"
+                out.append(text)
+                lost.append(failure)
             done = pdf[names].copy()
-            done[into] = out
+            done[into], done[f"{into}_failure"] = out, lost
             yield done
 
     return asked.mapInPandas(run, schema)
 
 
 def recognise(images: DataFrame, engine: Callable, available: list[str] = MODELS[:1]) -> DataFrame:
-    """Images (Spark's image columns) to texts: cleaned up, language probed, read by layout, and as one block where that is poor."""
+    """Images (Spark's image columns) to texts: cleaned up, language probed, read by layout, and as one block where that is poor.
+
+    What a try failed of stands in probe_failure, first_failure and second_failure.
+    """
     d = I.preprocess(images)
     d = run_engine(d, engine, "probe", BLOCK, F.lit("eng"), F.lit(len(models(available)) > 1))
     d = d.withColumn("language", choose_language(F.col("probe"), available))
@@ -103,6 +112,81 @@ def recognise(images: DataFrame, engine: Callable, available: list[str] = MODELS
     return image_texts(d).drop("data", "probe", "first", "second")
 
 
+def poor(text: str) -> bool:
+    """``T.is_low_quality`` beside an engine, where the text is in no column yet."""
+    ink = re.sub(r"[ \t-\r]+", "", text)
+    words = re.findall(r"[^ \t-\r]+", text)
+    n = len(words) + (text[:1] != ink[:1])
+    single = sum(len(w) == 1 and w not in "aAI0123456789" for w in words) / n if n > 10 else 0.0
+    if len(text.strip("".join(map(chr, range(33))))) < 20 or not ink:
+        return True
+    letters = sum(c.isalpha() or c.isdecimal() or c in ".,'\"-" for c in ink)
+    return letters / len(ink) < 0.5 or sum(c in MARKS for c in ink) / len(ink) > 0.05 or single > 0.3
+
+
+def _probed(read: Callable[[str], str], available: list[str]) -> str:
+    """``choose_language`` beside an engine; a probe that fails is lost."""
+    have = models(available)
+    if len(have) == 1:
+        return "eng"
+    try:
+        probe = read("eng")
+    except Exception:  # the probe alone is lost, as in choose_language
+        probe = None
+    wrong = probe is None or (probe and sum(c in WRONG for c in probe) / len(probe) > WRONG_SHARE)
+    return "+".join(have) if wrong else "eng"
+
+
+def read_pages(pages: DataFrame, engine: Callable, available: list[str] = MODELS[:1]) -> DataFrame:
+    """Pages (doc_id, page_no, native, height, width, nChannels, data) as ``page_texts`` takes them, with the reason of a failure.
+
+    A page with enough text of its own is not read, and its raster stays in the JVM.  Any other is cleaned up, its
+    language probed, read as one block, and again by layout if that is poor: one call of Python for each page, so that a
+    raster is shipped once.  Whatever fails is that page's failure alone.  Nothing is shuffled: pages of one document
+    are read wherever they lie.  Null or damaged rasters fail; a null native text is empty; other columns end here.
+    """
+    ship_package(pages.sparkSession)
+    own = F.length(T.ink(F.coalesce("native", F.lit("")))) >= NATIVE_LEAST
+    raster = F.when(~own, F.struct("height", "width", "nChannels", "data"))
+    kind = {f.name: f.dataType.simpleString() for f in pages.schema}
+    schema = f"doc_id {kind['doc_id']}, page_no {kind['page_no']}, native string, block string, layout string, skew double, failed boolean, reason string"
+
+    def one(raster: dict | None) -> dict:
+        out = {"block": None, "layout": None, "skew": None, "failed": False, "reason": None}
+        if raster is None:
+            return out
+        try:
+            h, w, bands = (raster[k] or 0 for k in ("height", "width", "nChannels"))
+            if h <= 0 or not raster["data"]:
+                raise ValueError("cannot read image")
+            raw = np.frombuffer(raster["data"], np.uint8).reshape(h, w, bands)
+            a, seen = I.enhance(raw[..., 2::-1] if bands >= 3 else raw)
+            out["skew"] = seen["skew"]
+            language = _probed(lambda name: engine(a, name, BLOCK, SETTINGS), available)
+            out["block"] = engine(a, language, BLOCK, SETTINGS)
+            if poor(out["block"] or ""):
+                out["layout"] = engine(a, language, LAYOUT, SETTINGS)
+        except Exception as e:  # one bad page is one failed page
+            out |= {"failed": True, "reason": str(e) or type(e).__name__}
+        return out
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            done = [one(r) for r in b.column("raster").to_pylist()]
+            kinds = [("block", pa.string()), ("layout", pa.string()), ("skew", pa.float64()), ("failed", pa.bool_()), ("reason", pa.string())]
+            read = [pa.array([d[k] for d in done], t) for k, t in kinds]
+            yield pa.RecordBatch.from_arrays([b.column(k) for k in ("doc_id", "page_no", "native")] + read, ["doc_id", "page_no", "native"] + [k for k, _ in kinds])
+
+    return pages.select("doc_id", "page_no", "native", raster.alias("raster")).mapInArrow(run, schema)
+
+
+def scanned_documents(pages: DataFrame, engine: Callable, available: list[str] = MODELS[:1], language: str = "eng") -> DataFrame:
+    """Documents (see ``documents``) of page rasters, read by an engine.  Only texts are shuffled."""
+    return documents(read_pages(pages, engine, available).drop("reason"), language)
+
+
 def page_texts(pages: DataFrame) -> DataFrame:
     """Pages (doc_id, page_no, native, block, layout, skew, failed) with is_native, text and notes.
 

@@ -23,8 +23,8 @@ CONTRACT = f"""concat(
   case o_custkey % 4 when 0 then 'Fees are non-refundable. ' when 1 then 'Fees are refundable. ' when 2 then 'Fees are non-refundable and refundable. ' else '' end,
   case o_custkey % 3 when 0 then 'A non-exclusive license. ' when 1 then 'An exclusive license. ' else '' end)"""
 NOISY = f"""concat(
-  'ﬁrst  line of ', n_name, '   ﬂat “quoted” ‘text’', {_NL}, 'hyphen-', {_NL}, '   ated word-', chr(13), {_NL}, 'next  ', {_NL}, {_NL}, {_NL}, {_NL},
-  'Øne • · ● – — ◦ eﬃcient baﬄe', {_NL}, '1O0 and $O5 but 1OO0', cast(n_nationkey as string), ' 2l3 wo|rd a |b', {_NL}, '%%%%%%', {_NL}, '#1', {_NL}, 'tail   ', chr(12), 'a   b  c  d', {_NL}, '***', {_NL}, '«end» `q´')"""
+  'ﬁrst  line of ', c_name, '   ﬂat “quoted” ‘text’', {_NL}, 'hyphen-', {_NL}, '   ated word-', chr(13), {_NL}, 'next  ', {_NL}, {_NL}, {_NL}, {_NL},
+  'Øne • · ● – — ◦ eﬃcient baﬄe', {_NL}, '1O0 and $O5 but 1OO0', cast(c_custkey as string), ' 2l3 wo|rd a |b', {_NL}, '%%%%%%', {_NL}, '#1', {_NL}, 'tail   ', chr(12), 'a   b  c  d', {_NL}, '***', {_NL}, '«end» `q´')"""
 PAGE = f"""concat(
   case when c_custkey % 3 < 2 or page_no % 2 = 0 then concat('Report ', cast(c_custkey % 7 as string)) else concat('Part ', cast(page_no as string)) end,
   case when c_custkey % 11 = 0 and page_no = 2 then '' else concat({_NL}, 'Line of ', c_name, ' on page ', cast(page_no as string), ' which is long enough for a native page', {_NL}, case when page_no = 3 then concat('Report ', cast(c_custkey % 7 as string)) else 'middle' end) end,
@@ -38,8 +38,13 @@ SCAN = f"""doc_id, page_no,
   case when (doc_id + page_no) % 4 = 0 then '%%## ~~ @@ ^^ && ** <<>> == ||' else concat('Scan head ', cast(doc_id % 3 as string), {_NL}, {_NL}, 'page ', cast(page_no as string), ' of the scan has  2l3 marks and 1O0 words enough', {_NL}, 'Scan foot') end AS block,
   case (doc_id + page_no) % 8 when 0 then concat('Better layout read on page ', cast(page_no as string), ' by the other mode') when 4 then '## @@' else '' end AS layout,
   cast((doc_id * 7 + page_no * 3) % 51 - 25 as double) / 10 AS skew, doc_id % 13 = 0 AND page_no = 2 AS failed"""
-FILE = "case n_nationkey % 9 when 0 then '255044462D312E37' when 1 then '89504E470D0A1A0A' when 2 then 'FFD8FFE0' when 3 then '49492A00FF' when 4 then '4D4D002AFF' when 5 then '424D' when 6 then '00' when 7 then '' else 'CAFEBABE00' end"
-DECLARED = "case n_nationkey % 3 when 0 then 'application/pdf' when 1 then 'image/png' end"
+#: Sheets of sixteen bars that spell a number, thick ones for set bits: 40 pixels wide and 136 high, by page and supplier.
+BARS_HEIGHT, BARS_WIDTH = 136, 40
+_BAR = "case when shiftright(sheet, i) % 2 = 1 then concat(repeat('14', 200), repeat('EB', 120)) else concat(repeat('14', 80), repeat('EB', 240)) end"
+BARS = f"unhex(concat(repeat('EB', 160), array_join(transform(sequence(0, 15), i -> {_BAR}), ''), repeat('EB', 160)))"
+OWN = "case when s_suppkey % 6 = 0 or (s_suppkey % 3 = 0 and page_no = 2) then concat('The file ', s_name, ' holds on page ', cast(page_no as string), ' a text of its own that needs no reading') when page_no = 3 then 'too short' end"
+FILE = "case c_custkey % 9 when 0 then '255044462D312E37' when 1 then '89504E470D0A1A0A' when 2 then 'FFD8FFE0' when 3 then '49492A00FF' when 4 then '4D4D002AFF' when 5 then '424D' when 6 then '00' when 7 then '' else 'CAFEBABE00' end"
+DECLARED = "case c_custkey % 3 when 0 then 'application/pdf' when 1 then 'image/png' end"
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -51,7 +56,7 @@ def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "nation").selectExpr("n_nationkey AS id", f"{NOISY} AS text")
+    return _read(spark, sf_dir, "customer").selectExpr("c_custkey AS id", f"{NOISY} AS text")
 
 
 def page_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +68,15 @@ def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_sets(spark, sf_dir).selectExpr(*[x.strip() for x in _split(SCAN)])
 
 
+def bar_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page rasters for each supplier: some with a text of their own, some damaged."""
+    pages = _read(spark, sf_dir, "supplier").selectExpr("s_suppkey", "s_name", "explode(sequence(1, 1 + cast(s_suppkey % 4 AS int))) AS page_no")
+    # Rasters are dear to clean up, so pages are dealt out before they are made.
+    pages = pages.repartition(spark.sparkContext.defaultParallelism, "s_suppkey", "page_no").selectExpr("s_suppkey AS doc_id", "page_no", f"{OWN} AS native", "cast((s_suppkey * 8 + page_no) % 65536 AS int) AS sheet")
+    damaged = "doc_id % 13 = 1 AND page_no = 2"
+    return pages.selectExpr("doc_id", "page_no", "native", f"if({damaged}, -1, {BARS_HEIGHT}) AS height", f"{BARS_WIDTH} AS width", "1 AS nChannels", f"{BARS} AS data")
+
+
 def _split(columns: str) -> list[str]:
     """A select list cut at its outer commas."""
     out, depth = [""], 0
@@ -96,7 +110,7 @@ def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "nation").selectExpr("cast(n_nationkey AS string) AS doc_id", f"unhex({FILE}) AS content", f"{DECLARED} AS declared")
+    return _read(spark, sf_dir, "customer").selectExpr("cast(c_custkey AS string) AS doc_id", f"unhex({FILE}) AS content", f"{DECLARED} AS declared")
 
 
 def _grid_sql(name: str, key: str, table: str, height: int, width: int, value: str) -> str:
@@ -106,11 +120,12 @@ def _grid_sql(name: str, key: str, table: str, height: int, width: int, value: s
 #: The same inputs as DuckDB table expressions.
 SQL = {
     "contracts": f"contracts AS (SELECT o_orderkey AS doc_id, {CONTRACT} AS text FROM orders)",
-    "noisy": f"noisy AS (SELECT n_nationkey AS id, {NOISY} AS text FROM nation)",
+    "noisy": f"noisy AS (SELECT c_custkey AS id, {NOISY} AS text FROM customer)",
     "page_sets": f"page_sets AS (SELECT c_custkey AS doc_id, page_no::INT AS page_no, {PAGE} AS text FROM (SELECT c_custkey, c_name, unnest(generate_series(1, 1 + c_custkey % 5)) AS page_no FROM customer))",
     "pixels": _grid_sql("pixels", "c_custkey", "customer", SIDE, SIDE, PIXEL),
     "scans": f"scans AS (SELECT {SCAN} FROM page_sets)",
     "wide_pixels": _grid_sql("wide_pixels", "s_suppkey", "supplier", WIDE_SIDE, WIDE_SIDE, PIXEL),
     "sheets": _grid_sql("sheets", "s_suppkey", "supplier", SHEET_HEIGHT, SHEET_WIDTH, SHEET),
-    "files": f"files AS (SELECT n_nationkey::VARCHAR AS doc_id, unhex({FILE}) AS content, {DECLARED} AS declared FROM nation)",
+    "bar_pages": f"bar_pages AS (SELECT s_suppkey AS doc_id, page_no::INT AS page_no, {OWN} AS native, (s_suppkey * 8 + page_no) % 65536 AS sheet FROM (SELECT s_suppkey, s_name, unnest(generate_series(1, 1 + s_suppkey % 4)) AS page_no FROM supplier))",
+    "files": f"files AS (SELECT c_custkey::VARCHAR AS doc_id, unhex({FILE}) AS content, {DECLARED} AS declared FROM customer)",
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -290,16 +291,16 @@ def validate_files(spark, d):
     return validate(X.files(spark, d)).select("doc_id", "status", "message")
 
 
-_BYTES = "CASE n_nationkey % 4 WHEN 0 THEN 52428800 + n_nationkey * 123456 ELSE n_nationkey % 3 * 100 END"
+_BYTES = "CASE c_custkey % 4 WHEN 0 THEN 52428800 + c_custkey * 123456 ELSE c_custkey % 3 * 100 END"
 
 
-@query(f"""WITH t AS (SELECT n_nationkey::VARCHAR AS doc_id, ({_BYTES}) AS n FROM nation)
+@query(f"""WITH t AS (SELECT c_custkey::VARCHAR AS doc_id, ({_BYTES}) AS n FROM customer)
 SELECT doc_id, CASE WHEN n = 0 THEN 422 WHEN n > 52428800 THEN 413 WHEN doc_id::INT % 5 = 1 THEN 500 END AS status, CASE WHEN n = 0 THEN 'OCR Processing Failed' WHEN n > 52428800 THEN 'File Too Large' ELSE 'Internal Server Error' END AS error,
 CASE WHEN n = 0 THEN '{S_.EMPTY}' WHEN n > 52428800 THEN replace('{S_.TOO_LARGE}', '%.1f', concat((n * 10 + 524288) // 1048576 // 10, '.', (n * 10 + 524288) // 1048576 % 10)) ELSE '{S_.UNEXPECTED}' END AS message
 FROM t WHERE n = 0 OR n > 52428800 OR doc_id::INT % 5 = 1""")
 def error_table(spark, d):
     """Files that are empty or too large, and rows that failed with a status that is not listed."""
-    files = spark.read.parquet(f"{d}/nation.parquet").selectExpr("cast(n_nationkey AS string) AS doc_id", "unhex('25504446') AS content", f"{_BYTES} AS n")
+    files = spark.read.parquet(f"{d}/customer.parquet").selectExpr("cast(c_custkey AS string) AS doc_id", "unhex('25504446') AS content", f"{_BYTES} AS n")
     checked = validate(files, F.col("n"))
     lost = checked.where("status IS NULL AND cast(doc_id AS int) % 5 = 1").withColumns({"status": F.lit(507), "message": F.lit("java.lang.OutOfMemoryError")})
     return errors(checked.where("status IS NOT NULL").unionByName(lost)).drop("ts")
@@ -320,7 +321,7 @@ _SECOND = "second AS (SELECT a.doc_id, a.page_no, a.low AND b.alnum > a.alnum AS
 _SURE = f"(CASE WHEN {_INK.format('text')} = 0 THEN 10 ELSE greatest(10, least(98, {_ALNUM} * 100 - taken)) END)"
 
 
-@query(rf"""WITH {X.SQL['page_sets']}, {X.SQL['scans']}, {_RATED}, {_SECOND},
+_DOCUMENTS = rf"""{_RATED}, {_SECOND},
 read AS (SELECT doc_id, page_no, native, {_INK.format('native')} >= 50 AS own, coalesce(failed, false) AS failed, second AND NOT failed AS again, skew, {_TRIM.format('CASE WHEN second THEN layout ELSE block END')} AS text FROM scans JOIN second USING (doc_id, page_no)),
 cleaned AS (SELECT *, CASE WHEN failed THEN '' ELSE {_CLEAN_OCR} END AS ocr FROM read),
 pg AS (SELECT doc_id, page_no, native, own, CASE WHEN own THEN {_CLEAN_NATIVE.replace('text', 'native')} ELSE ocr END AS text,
@@ -333,7 +334,10 @@ kept AS (SELECT pg.doc_id, page_no, CASE WHEN lines IS NULL THEN text ELSE {_TRI
 joined AS (SELECT doc_id, {_TRIM.format('string_agg(t, chr(10) || chr(10) ORDER BY page_no)')} AS read FROM kept GROUP BY doc_id),
 done AS (SELECT doc_id, pages, natives, notes, CASE WHEN natives = pages THEN {_CLEAN_NATIVE.replace('text', 'whole')} ELSE read END AS text, 0 AS taken FROM total JOIN joined USING (doc_id))
 SELECT doc_id, text, pages AS page_count, natives = pages AS native, CASE WHEN natives = pages THEN 'native-text' WHEN natives > 0 THEN 'mixed' ELSE 'eng' END AS detected, round(CASE WHEN natives = pages THEN 98 ELSE {_SURE} END, 7) AS confidence,
-array_to_string(CASE WHEN natives = pages THEN ['{R.NATIVE}'] WHEN natives > 0 THEN [concat('MIXED_PDF: ', natives, ' page(s) used direct text extraction, ', pages - natives, ' page(s) used OCR.')] || notes ELSE notes END, '; ') AS warnings FROM done""")
+array_to_string(CASE WHEN natives = pages THEN ['{R.NATIVE}'] WHEN natives > 0 THEN [concat('MIXED_PDF: ', natives, ' page(s) used direct text extraction, ', pages - natives, ' page(s) used OCR.')] || notes ELSE notes END, '; ') AS warnings FROM done"""
+
+
+@query(f"WITH {X.SQL['page_sets']}, {X.SQL['scans']}, {_DOCUMENTS}")
 def mixed_document(spark, d):
     out = R.documents(X.scans(spark, d))
     return out.withColumns({"confidence": F.round("confidence", 7), "warnings": F.array_join("warnings", "; ")})
@@ -349,6 +353,29 @@ def image_driver(spark, d):
     return out.select("doc_id", "page_no", "text", F.round("confidence", 7).alias("confidence"), F.array_join("warnings", "; ").alias("warnings"))
 
 
+def bar_reader(raster, language, mode, settings):
+    """An engine for sheets of bars: the dark rows down the middle are bits of a number, thick ones set; some numbers are read badly or not."""
+    ends = np.flatnonzero(np.diff(np.concatenate([[0], (raster[:, raster.shape[1] // 2] == 0).astype(np.int8), [0]])))
+    n = sum(1 << i for i, size in enumerate(ends[1::2] - ends[::2]) if size > 10)
+    if n % 11 == 5:
+        raise RuntimeError("the engine stopped")
+    if mode == R.BLOCK:
+        return "%%## ~~ @@ ^^ && ** <<>> == ||" if n % 5 == 0 else f"Scan head\n\nsheet {n} of the scan has  2l3 marks and 1O0 words enough\nScan foot"
+    return "## @@" if n % 10 == 0 else f"Better layout read on sheet {n} by the other mode"
+
+
+_BARS_READ = """scans AS (SELECT doc_id, page_no, native, 0::DOUBLE AS skew, (doc_id % 13 = 1 AND page_no = 2) OR sheet % 11 = 5 AS failed,
+  CASE WHEN sheet % 5 = 0 THEN '%%## ~~ @@ ^^ && ** <<>> == ||' ELSE concat('Scan head', chr(10), chr(10), 'sheet ', sheet, ' of the scan has  2l3 marks and 1O0 words enough', chr(10), 'Scan foot') END AS block,
+  CASE WHEN sheet % 10 = 0 THEN '## @@' ELSE concat('Better layout read on sheet ', sheet, ' by the other mode') END AS layout FROM bar_pages)"""
+
+
+@query(f"WITH {X.SQL['bar_pages']}, {_BARS_READ}, {_DOCUMENTS}".replace("string_agg(native, chr(10)", "string_agg(coalesce(native, ''), chr(10)").replace("length(regexp_replace(native,", "length(regexp_replace(coalesce(native, ''),"))
+def scanned_pages(spark, d):
+    """Page rasters to documents by an engine: clean-up, first and second try, failures page by page."""
+    out = R.scanned_documents(X.bar_pages(spark, d), bar_reader)
+    return out.withColumns({"confidence": F.round("confidence", 7), "warnings": F.array_join("warnings", "; ")})
+
+
 _PROBE = "CASE turn % 4 WHEN 0 THEN NULL WHEN 1 THEN concat(text, repeat('#', 6 + cast(conv_id % 20 AS int))) WHEN 2 THEN '' ELSE text END"
 
 

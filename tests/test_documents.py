@@ -132,6 +132,47 @@ def test_pages_of_odd_documents(spark):
     assert R.documents(pages.limit(0)).count() == 0
 
 
+def test_poor_text_is_judged_alike_in_rows_and_beside_an_engine(spark):
+    import random
+
+    rng = random.Random(2)
+    bits = ["word ", "a ", "é ", "%", "#", "x ", "7 ", "٣ ", "\n", "\t", "\x0b", " ", "中文 ", "=", "]", "\\", ". ", "\u00a0", "\x1f", "quite a clear text here ", "'", "^ "]
+    texts = ["".join(rng.choices(bits, k=rng.randrange(40))) for _ in range(3000)] + ["", "q " * 11, " q" * 10 + " clear words", "%" * 10**5]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", T.is_low_quality(F.col("text")).alias("low")).collect()
+    assert {r.low for r in rows} == {True, False} and [r.text for r in rows if R.poor(r.text) != r.low] == []
+
+
+def test_pages_fail_alone_and_native_ones_are_not_read(spark):
+    import numpy as np
+
+    sheet = np.full((40, 30), 240, np.uint8)
+    sheet[10:14] = 10
+    ok, rgb = bytearray(sheet.tobytes()), bytearray(np.repeat(sheet[..., None], 3, 2).tobytes())
+    rows = [("a", 1, None, 40, 30, 1, ok), ("a", 2, "y" * 60, 40, 30, 1, ok), ("a", 3, "", -1, -1, -1, None), ("b", 1, None, 40, 30, 3, rgb), ("b", 2, None, 40, 31, 1, ok), ("c", 1, None, None, None, None, None), ("d", 1, "short", 40, 30, 1, ok), ("d", 1, "short", 40, 30, 1, ok)]
+    pages = spark.createDataFrame(rows, "doc_id string, page_no int, native string, height int, width int, nChannels int, data binary").withColumn("reason", F.lit("clash"))
+
+    def engine(raster, language, mode, settings):
+        if mode == R.BLOCK:
+            return None if raster.shape[0] < 1 else "%%%%"
+        return f"a clear text in {language} by layout of {raster.shape[1]}"
+
+    got = {(r.doc_id, r.page_no): r for r in R.read_pages(pages, engine, ["hin"]).collect()}
+    assert got["a", 1].layout == "a clear text in eng+hin by layout of 90" == got["b", 1].layout and not got["a", 1].failed
+    assert got["a", 2].block is None and not got["a", 2].failed and got["a", 2].native == "y" * 60
+    assert (got["a", 3].failed, got["a", 3].reason) == (True, "cannot read image") == (got["c", 1].failed, got["c", 1].reason) and "reshape" in got["b", 2].reason
+    docs = {r.doc_id: r for r in R.scanned_documents(pages, engine, ["hin"]).collect()}
+    assert docs["a"].detected == "mixed" and docs["a"].warnings[0] == R.MIXED % (1, 2) and docs["a"].warnings[-1] == "Page 3 could not be processed."
+    assert docs["b"].warnings == ["Page 1: Used automatic layout detection for better results.", "Page 2 could not be processed."] and docs["c"].confidence == 10 and docs["d"].page_count == 2
+    assert "Exchange" not in R.read_pages(pages, engine)._jdf.queryExecution().executedPlan().toString() and R.scanned_documents(pages.limit(0), engine).count() == 0
+
+    def stops(raster, *rest):
+        raise OSError("no model") if raster.shape[1] == 90 else ValueError
+
+    images = spark.createDataFrame([("a", 40, 30, 1, 0, ok)], "origin string, height int, width int, nChannels int, mode int, data binary")
+    r = R.recognise(images, stops).first()
+    assert r.text == "" and r.first_failure == "OSError: no model" == r.second_failure and r.probe_failure is None
+
+
 def test_analysis_of_blank_text(spark):
     r = analyze(spark.createDataFrame([(1, " ")], "doc_id long, text string")).first()
     assert r.text == T.PLACEHOLDER and r.metadata.word_count == 22 and not r.is_empty and r.metadata.ocr_confidence_percent == 10
