@@ -110,7 +110,11 @@ def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "customer").selectExpr("cast(c_custkey AS string) AS doc_id", f"unhex({FILE}) AS content", f"{DECLARED} AS declared")
+    return as_files(_read(spark, sf_dir, "customer"))
+
+
+def as_files(customers: DataFrame) -> DataFrame:
+    return customers.selectExpr("cast(c_custkey AS string) AS doc_id", f"unhex({FILE}) AS content", f"{DECLARED} AS declared")
 
 
 def _grid_sql(name: str, key: str, table: str, height: int, width: int, value: str) -> str:

@@ -19,8 +19,10 @@ from paperloom.operators import sentences as S
 from paperloom.operators.contradictions import PAYMENT, contradictions
 from paperloom.plans import fixtures as X
 from paperloom.plans.analyze import analyze, to_json
+from paperloom.session import shared_folder
 from paperloom.sources import files as S_
 from paperloom.sources.files import effective_mime, errors, extension, is_pdf, sniff, validate
+from paperloom.streaming.drops import land, landed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -270,9 +272,21 @@ def analysis_rows(spark, d):
     return out.select("doc_id", "metadata.word_count", "metadata.character_count", F.round("metadata.ocr_confidence_percent", 7).alias("confidence"), "summary", "is_empty")
 
 
-@query()
+_SURE_OF = {name: sure for name, *_, sure in E.EXTRACTORS}
+_SHOWN_AS = "(VALUES " + ", ".join(f"({[e[0] for e in E.EXTRACTORS].index(t)}, '{icon}', '{color}', '{label}', {str(flag).lower()}, {_SURE_OF[t]})" for t, icon, color, label, flag in E.META) + ") m(ext_ord, icon, color, label, flagged, confidence)"
+
+
+@query(rf"""WITH {X.SQL['contracts']}, documents AS (FROM contracts), s AS ({ORACLES['summary']}), c AS ({ORACLES['clause_conflicts']}), e AS ({ORACLES['ent_all']}),
+shown AS (SELECT doc_id, list(concat_ws('|', ext_ord, match_pos, type, value, '...' || {_TRIM.format("regexp_replace(substring(text, greatest(0, match_pos - 80) + 1, match_pos + 80 - greatest(0, match_pos - 80)), '[\n\r]+', ' ', 'g')")} || '...', (confidence * 100)::INT, icon, color, label, flagged) ORDER BY ext_ord, match_pos) AS entities FROM e JOIN contracts USING (doc_id) JOIN {_SHOWN_AS} USING (ext_ord) GROUP BY doc_id)
+SELECT doc_id, md5(text) AS text_md5, len(regexp_extract_all(text, '\S+')) AS word_count, length(text) AS character_count, round(greatest(10, least(98, {_ALNUM} * 100)), 7) AS confidence, 0 AS warnings, array_to_string(coalesce(entities, []), chr(10)) AS entities, CASE WHEN found = '' THEN summary ELSE summary || '{S.CONFLICTS.replace(chr(10), "' || chr(10) || '")}' || found END AS summary, found AS contradictions, is_empty
+FROM contracts JOIN s USING (doc_id) JOIN c USING (doc_id) LEFT JOIN shown USING (doc_id)""")
 def analyze_json(spark, d):
-    return to_json(analyze(X.contracts(spark, d)))
+    """Response documents as JSON, read again and taken apart field by field."""
+    analysed = analyze(X.contracts(spark, d))
+    back = to_json(analysed).select(F.from_json("json", analysed.schema).alias("r")).select("r.*")
+    line = lambda e: F.concat_ws("|", *[e[k].cast("string") for k in ("ext_ord", "match_pos", "type", "value", "context")], F.round(e["confidence"] * 100).cast("int").cast("string"), *[e[k].cast("string") for k in ("icon", "color", "label", "flagged")])
+    parts = {"text_md5": F.md5("text"), "word_count": F.col("metadata.word_count"), "character_count": F.col("metadata.character_count"), "confidence": F.round("metadata.ocr_confidence_percent", 7), "warnings": F.size("warnings"), "entities": F.array_join(F.transform("entities", line), "\n"), "contradictions": F.array_join("contradictions", "; ")}
+    return back.select("doc_id", *[c.alias(k) for k, c in parts.items()], "summary", "is_empty")
 
 
 # --- files ------------------------------------------------------------------------------------
@@ -311,6 +325,21 @@ def pdf_files(spark, d):
     return X.files(spark, d).select("doc_id", is_pdf(effective_mime(F.col("content"), F.col("declared"))).alias("pdf"))
 
 
+@query(f"""WITH {X.SQL['files']}, t AS (SELECT doc_id, {_SNIFF} AS mime, octet_length(content)::BIGINT AS bytes, coalesce(declared, 'unknown') AS declared FROM files)
+SELECT doc_id, CASE WHEN bytes = 0 OR mime IS NULL THEN NULL ELSE mime END AS mime, CASE WHEN bytes > 0 AND mime IS NOT NULL THEN bytes END AS bytes, CASE WHEN bytes = 0 THEN 422 WHEN mime IS NULL THEN 400 END AS status,
+CASE WHEN bytes = 0 THEN 'OCR Processing Failed' WHEN mime IS NULL THEN 'Unsupported File Type' END AS error, CASE WHEN bytes = 0 THEN '{S_.EMPTY}' WHEN mime IS NULL THEN '{S_.UNSUPPORTED}' || declared || '{S_.SUPPORTED}' END AS message FROM t""")
+def landed_files(spark, d):
+    """Files as a stream into two tables, accepted rows and error rows, read back together."""
+    source = spark.read.parquet(f"{d}/customer.parquet")
+    stream = spark.readStream.schema(source.schema).parquet(f"{d}/customer.parquet*")  # a stream wants a folder or a pattern
+    top = shared_folder(spark, "landed")
+    accepted, rejected = f"{top}/accepted", f"{top}/rejected"
+    run = land(validate(X.as_files(stream)), accepted, rejected, f"{top}/checkpoint")
+    run.awaitTermination()
+    good = landed(spark, accepted).select("doc_id", "mime", F.length("content").cast("long").alias("bytes"))
+    return good.unionByName(landed(spark, rejected).select("doc_id", "status", "error", "message"), allowMissingColumns=True)
+
+
 # --- recognised text --------------------------------------------------------------------------
 
 _LOW = f"(length({_TRIM.format('text')}) < 20 OR {_INK.format('text')} = 0 OR {_ALNUM} < 0.5 OR {_GARBAGE} > 0.05 OR {_SINGLE} > 0.3)"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -21,3 +22,13 @@ def ship_package(spark: SparkSession) -> None:
             z.write(p, str(Path(top.name) / p.relative_to(top)))
     sc.addPyFile(str(archive))
     sc._paperloom_shipped = True
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path below the one that all machines share (``spark.checkpoint.dir``); a local one only where Spark is local and none is set."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        top = "file://" + tempfile.mkdtemp(prefix="paperloom-")
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"

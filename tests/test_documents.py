@@ -12,7 +12,8 @@ from paperloom.plans.analyze import analyze
 from paperloom.plans.queries import ORACLES, QUERIES
 from paperloom.sources.backends import Damaged, PasswordNeeded, extract_pages, model_path
 from paperloom.sources.files import errors, info, read_files, validate
-from paperloom.streaming.drops import file_drops
+from paperloom.streaming import drops
+from paperloom.streaming.drops import file_drops, land, landed
 
 from .oracle import compare
 
@@ -87,6 +88,37 @@ def test_files_and_backends(spark, tmp_path):
     assert extract_pages(files, lambda b: [b.decode(), "two"]).where("status IS NULL").count() == 4
 
 
+def test_dropped_files_land_once_though_a_batch_fails_between_its_writes(spark, tmp_path, monkeypatch):
+    source, good, bad, at = (str(tmp_path / k) for k in ("in", "good", "bad", "at"))
+    (tmp_path / "in").mkdir()
+    drop = lambda **files: [(tmp_path / "in" / k).write_bytes(v) for k, v in files.items()]
+    run = lambda: land(file_drops(spark, source), good, bad, at).awaitTermination()
+    names = lambda table: sorted((r.path.rsplit("/", 1)[1], r.batch_id) for r in landed(spark, table).collect())
+    drop(a=b"%PDF-1", b=b"zz")
+    run()
+    drop(c=b"BM", d=b"??", e=b"x")
+
+    def stops(rows):
+        raise OSError("the second sink is lost")
+
+    monkeypatch.setattr(drops, "errors", stops)
+    with pytest.raises(Exception, match="second sink"):
+        run()
+    assert names(good) == [("a", 0), ("c", 1)] and landed(spark, bad).count() == 1
+    # Half a folder of the second sink, as a lost driver leaves it, is passed over and then replaced.
+    (tmp_path / "bad" / "batch_id=1").mkdir()
+    (tmp_path / "bad" / "batch_id=1" / "part-0.parquet").write_bytes(b"half")
+    assert landed(spark, bad).count() == 1
+    monkeypatch.undo()
+    run()
+    run()
+    assert names(good) == [("a", 0), ("c", 1)] and landed(spark, good).where("mime = 'image/bmp'").count() == 1
+    assert sorted((r.batch_id, r.status) for r in landed(spark, bad).collect()) == [(0, 400), (1, 400), (1, 400)]
+    drop(f=b"\x89PNG\r\n")
+    run()
+    assert names(good) == [("a", 0), ("c", 1), ("f", 2)] and landed(spark, bad).count() == 3
+
+
 def test_failures_are_typed(spark, tmp_path):
     def backend(content):
         raise {b"p": PasswordNeeded(), b"d": Damaged("bad xref"), b"m": MemoryError("heap"), b"x": ValueError("odd")}[content] if content != b"n" else StopIteration("none")
