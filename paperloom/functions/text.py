@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.functions.rows import once
+from paperloom.functions.rows import fresh, once
 
 #: Marks of page breaks and failed pages, and the text that stands for no text.
 PAGE_BREAK = r"---\s*Page Break\s*---"
 FAILED_PAGE = r"\[Page \d+: Could not be processed\]"
 PLACEHOLDER = "[No readable text could be extracted from this document. The image may be too low resolution, blank, or contain only graphical elements.]"
-#: Characters that one-to-one clean-up maps, marks that count as garbage, and ligatures.
+#: Characters that one-to-one clean-up maps, those that trimming takes, marks that count as garbage, and ligatures.
 BULLETS = "Ø·•●"
 DASHES = "‐‑‒–—―"
+CONTROLS = "".join(map(chr, range(33)))
 GARBAGE = r"~%|#^&*@<>{}\[\]\\=+"
 LIGATURES = {"ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl"}
 
@@ -24,7 +25,7 @@ COSTS = {"LOW_RESOLUTION": 10, "DARK_IMAGE": 5}
 
 def trim(c: Column) -> Column:
     """Removes code points up to U+0020 at both ends."""
-    return F.regexp_replace(c, r"\A[\x00-\x20]++|(?<![\x00-\x20])[\x00-\x20]++\z", "")
+    return F.trim(c, F.lit(CONTROLS))
 
 
 def strip_end(c: Column) -> Column:
@@ -91,12 +92,13 @@ def is_low_quality(c: Column) -> Column:
 def with_quality(df: DataFrame, text_col: str = "text") -> DataFrame:
     """The input with ``alnum``, ``garbage``, ``single_share``, ``low_quality`` and ``confidence``: one pass of each pattern a text."""
     c = F.col(text_col)
-    d = once(df, __ink=ink_length(c), __alnum=alnum_length(c), __garbage=garbage_length(c), single_share=single_char_share(c))
-    ink_n = F.col("__ink")
-    d = once(d, alnum=alnum_ratio(c, ink_n, F.col("__alnum")), garbage=garbage_ratio(c, ink_n, F.col("__garbage")))
+    ink, letters, marks = fresh(df, "ink", "letters", "marks")
+    d = once(df, **{ink: ink_length(c), letters: alnum_length(c), marks: garbage_length(c)}, single_share=single_char_share(c))
+    ink_n = F.col(ink)
+    d = once(d, alnum=alnum_ratio(c, ink_n, F.col(letters)), garbage=garbage_ratio(c, ink_n, F.col(marks)))
     low = _low(c, ink_n, F.col("alnum"), F.col("garbage"), F.col("single_share"))
     sure = F.when(F.coalesce(ink_n, F.lit(0)) == 0, 10.0).otherwise(_bounded(F.col("alnum") * 100))
-    return d.withColumns({"low_quality": low, "confidence": sure}).drop("__ink", "__alnum", "__garbage")
+    return d.withColumns({"low_quality": low, "confidence": sure}).drop(ink, letters, marks)
 
 
 def _bounded(c: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
-from paperloom.functions.rows import let, once
+from paperloom.functions.rows import fresh, let, once
 from paperloom.operators import images as I
 from paperloom.session import ship_package
 
@@ -66,17 +66,19 @@ def image_texts(rows: DataFrame, language: str = "language") -> DataFrame:
     Adds text (cleaned), warnings, confidence (of the raw text), page_count, native and detected.  A null
     measurement (clean-up failed) gives no warning.
     """
-    d = once(rows, __raw=better(F.col("first"), F.col("second")))
+    (raw,) = fresh(rows, "raw")
+    d = once(rows, **{raw: better(F.col("first"), F.col("second"))})
     d = d.withColumn("warnings", I.warnings(F.col("low_resolution"), F.col("brightness"), F.col("skew")))
     return d.withColumns(
-        {"text": T.normalize_ocr(F.col("__raw")), "confidence": T.confidence(F.col("__raw"), F.col("warnings")), "page_count": F.lit(1), "native": F.lit(False), "detected": F.col(language)}
-    ).drop("__raw")
+        {"text": T.normalize_ocr(F.col(raw)), "confidence": T.confidence(F.col(raw), F.col("warnings")), "page_count": F.lit(1), "native": F.lit(False), "detected": F.col(language)}
+    ).drop(raw)
 
 
 def run_engine(rows: DataFrame, engine: Callable, into: str, mode: int, language: Column, where: Column | None = None) -> DataFrame:
     """Adds the engine's text of each raster (height, width, data), null where it is not asked for or fails, and ``<into>_failure``, what it failed of."""
     ship_package(rows.sparkSession)
-    asked = rows.withColumns({"__language": language, "__asked": F.lit(True) if where is None else F.coalesce(where, F.lit(False))})
+    spoken, wanted = fresh(rows, "language", "asked")
+    asked = rows.withColumns({spoken: language, wanted: F.lit(True) if where is None else F.coalesce(where, F.lit(False))})
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", `{into}` string, `{into}_failure` string"
     names = rows.columns
 
@@ -86,8 +88,8 @@ def run_engine(rows: DataFrame, engine: Callable, into: str, mode: int, language
             for r in pdf.to_dict("records"):
                 text = failure = None
                 try:
-                    if r["__asked"]:
-                        text = engine(np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"]), r["__language"], mode, SETTINGS)
+                    if r[wanted]:
+                        text = engine(np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"]), r[spoken], mode, SETTINGS)
                 except Exception as e:  # a lost try is one null text
                     failure = f"{type(e).__name__}: {e}"
                 out.append(text)
@@ -195,12 +197,13 @@ def page_texts(pages: DataFrame) -> DataFrame:
     """
     failed = F.coalesce("failed", F.lit(False))
     own = F.length(T.ink(F.coalesce("native", F.lit("")))) >= NATIVE_LEAST
-    d = once(pages, is_native=own, __again=~failed & takes_second(F.col("block"), F.col("layout")))
-    read = F.when(F.col("__again"), F.col("layout")).otherwise(F.col("block"))
+    (again,) = fresh(pages, "again")
+    d = once(pages, is_native=own, **{again: ~failed & takes_second(F.col("block"), F.col("layout"))})
+    read = F.when(F.col(again), F.col("layout")).otherwise(F.col("block"))
     note = lambda when, form, *args: F.when(when, F.format_string(form, *args))
-    notes = F.array_compact(F.array(note(F.abs("skew") > 1.0, TURNED, F.col("page_no"), F.col("skew")), note(F.col("__again"), RETRIED, F.col("page_no")), note(failed, FAILED, F.col("page_no"))))
+    notes = F.array_compact(F.array(note(F.abs("skew") > 1.0, TURNED, F.col("page_no"), F.col("skew")), note(F.col(again), RETRIED, F.col("page_no")), note(failed, FAILED, F.col("page_no"))))
     text = F.when(F.col("is_native"), T.normalize_native(F.col("native"))).when(failed, "").otherwise(T.normalize_ocr(T.trim(F.coalesce(read, F.lit("")))))
-    return d.withColumns({"text": text, "notes": F.when(F.col("is_native"), F.array().cast(NO_TEXTS)).otherwise(notes)}).drop("__again")
+    return d.withColumns({"text": text, "notes": F.when(F.col("is_native"), F.array().cast(NO_TEXTS)).otherwise(notes)}).drop(again)
 
 
 def without_repeated(pages: Column, share: float = 0.6) -> Column:

@@ -164,6 +164,15 @@ def test_pages_of_odd_documents(spark):
     assert R.documents(pages.limit(0)).count() == 0
 
 
+def test_trim_takes_what_lies_up_to_the_blank(spark):
+    import random
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choices(["a", " ", "\n", "\0", "\x1f", "é", "\u00a0", "\u3000", "\t", "\x7f"], k=rng.randrange(12))) for _ in range(5000)] + [" " * 10**6, "a" + " " * 10**6 + "b", "\0", ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", T.trim(F.col("text")).alias("out")).collect()
+    assert [r.text for r in rows if r.out != r.text.strip(T.CONTROLS)] == [] and spark.sql("SELECT cast(null AS string) AS t").select(T.trim(F.col("t")).alias("t")).first().t is None
+
+
 def test_poor_text_is_judged_alike_in_rows_and_beside_an_engine(spark):
     import random
 
@@ -289,6 +298,16 @@ def test_entities_keep_columns_of_any_name(spark):
     assert (r["__e0_text"], r["__once0"], r["x.y"]) == ("a", "b", "c") and [(e.type, e.value) for e in r.entities] == [("ORGANIZATION", "AB-77 of Acme Ltd"), ("REFERENCE_NUMBER", "AB-77")]
 
 
+def test_columns_of_any_name_are_kept(spark):
+    names = ["__text0", "__clean0", "__SENTS0", "__ink0", "__again0", "__raw0", "__once0"]
+    more = lambda d: d.select("*", *[F.lit(n).alias(n) for n in names])
+    docs = more(spark.createDataFrame([(1, "Some words. " * 40)], "doc_id long, text string"))
+    pages = more(spark.createDataFrame([(1, 1, None, "x", "a clear text of enough words", 0.0, False)], "doc_id long, page_no int, native string, block string, layout string, skew double, failed boolean"))
+    images = more(spark.createDataFrame([("x", "a clear text of enough words", False, 100.0, 0.0, "eng")], "first string, second string, low_resolution boolean, brightness double, skew double, language string"))
+    for out in (S.with_summary(docs), T.with_quality(docs), R.page_texts(pages), R.image_texts(images)):
+        assert [out.first()[n] for n in names] == names and not [c for c in out.columns if c.startswith("__") and c not in names]
+
+
 def test_sentences_are_deduplicated_by_an_index_as_by_a_fold(spark):
     import random
     import time
