@@ -7,7 +7,7 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from paperloom.session import ship_package
 
@@ -18,6 +18,15 @@ LONG_SIDE_AT_LEAST, UPSCALE_MOST, REACH, OFFSET = 2500, 3.0, 35, 12
 # --- relational forms -------------------------------------------------------------------------
 
 
+def line(by: str, order: str) -> WindowSpec:
+    """The pixels of one row or column of an image.
+
+    A number of image and place comes first, as sorting looks at the first key alone where it can.
+    """
+    number = F.coalesce(F.shiftleft(F.col("img_id").try_cast("long"), 32), F.lit(0)) + F.col(by)
+    return Window.partitionBy(number, "img_id", by).orderBy(order)
+
+
 def gray(r: Column, g: Column, b: Column) -> Column:
     return F.floor(0.299 * r + 0.587 * g + 0.114 * b).cast("int")
 
@@ -34,9 +43,12 @@ def histogram(pixels: DataFrame) -> DataFrame:
 
 def clip_points(pixels: DataFrame) -> DataFrame:
     """(img_id, low, high): the grey values at the brightness-dependent percentiles."""
-    run = Window.partitionBy("img_id").orderBy("v")
-    h = histogram(pixels).withColumn("c", F.sum("n").over(run)).withColumn("total", F.sum("n").over(Window.partitionBy("img_id")))
-    h = h.join(brightness(pixels), "img_id")
+    image = Window.partitionBy("img_id")
+    sampled = F.when((F.col("x") % 4 == 0) & (F.col("y") % 4 == 0), F.col("v"))
+    # The bins tell the brightness too, so pixels are read once.
+    h = pixels.groupBy("img_id", "v").agg(F.count("*").alias("n"), F.count(sampled).alias("m"))
+    light = F.sum(F.col("v") * F.col("m")).over(image) / F.nullif(F.sum("m").over(image), F.lit(0))
+    h = h.withColumns({"c": F.sum("n").over(image.orderBy("v")), "total": F.sum("n").over(image), "brightness": F.coalesce(light, F.lit(128.0))})
     low = F.floor(F.col("total") * F.when(F.col("brightness") < 80, 0.02).otherwise(0.01))
     high = F.floor(F.col("total") * F.when(F.col("brightness") > 200, 0.98).otherwise(0.99))
     # Value 0 can't be the low point unless nothing follows: the search goes on from 1, and bins of no pixels count.
@@ -47,37 +59,57 @@ def clip_points(pixels: DataFrame) -> DataFrame:
     return out.select("img_id", F.when((F.col("z") == 1) | (F.col("k") == 1), F.least(F.lit(1), "high")).otherwise(F.coalesce("f", F.lit(0))).cast("int").alias("low"), F.col("high").cast("int"))
 
 
+def with_each(pixels: DataFrame, images: DataFrame, how: str = "inner") -> DataFrame:
+    """Pixels with what is known of their image: a task holds the rows of its own images.
+
+    Spark takes exploded pixels for as few as the rows they come from and would send them all to the driver, so the join is named.
+    """
+    return pixels.join(images.hint("shuffle_hash"), "img_id", how)
+
+
 def stretch(pixels: DataFrame) -> DataFrame:
     """Grey values spread over 0-255 between the clip points; images without a range stay."""
-    p = pixels.join(clip_points(pixels), "img_id")
+    p = with_each(pixels, clip_points(pixels))
     v = F.least("high", F.greatest("low", "v"))
     out = F.floor((v - F.col("low")) / (F.col("high") - F.col("low")) * 255 + 0.5).cast("int")
     return p.select("img_id", "y", "x", F.when(F.col("high") > F.col("low"), out).otherwise(F.col("v")).cast("int").alias("v"))
 
 
+def moving_sums(df: DataFrame, along: WindowSpec, reach: int, *columns: str) -> DataFrame:
+    """Replaces columns by their sums over the rows within ``reach`` each way: differences of running sums, whose cost does not follow the reach."""
+    upto = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return differences(df.withColumns({c: F.sum(F.coalesce(c, F.lit(0))).over(upto) for c in columns}), along, reach, *columns)
+
+
+def differences(df: DataFrame, along: WindowSpec, reach: int, *columns: str) -> DataFrame:
+    """Running sums to sums of the rows within ``reach`` each way, cut off at both ends."""
+    whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    upper = lambda c: F.coalesce(F.lead(c, reach).over(along), F.last(c).over(whole))
+    return df.withColumns({c: upper(c) - F.coalesce(F.lag(c, reach + 1).over(along), F.lit(0)) for c in columns})
+
+
 def local_threshold(pixels: DataFrame, reach: int = REACH, offset: int = OFFSET) -> DataFrame:
     """0 where a pixel is darker than the mean of its clipped square by more than the offset, else 255; two window passes."""
-    rows = Window.partitionBy("img_id", "y").orderBy("x").rowsBetween(-reach, reach)
-    cols = Window.partitionBy("img_id", "x").orderBy("y").rowsBetween(-reach, reach)
-    p = pixels.withColumns({"s": F.sum("v").over(rows), "k": F.count("*").over(rows)}).withColumns({"s": F.sum("s").over(cols), "k": F.sum("k").over(cols)})
+    across, down = line("y", "x"), line("x", "y")
+    p = moving_sums(pixels.withColumns({"s": F.col("v"), "k": F.lit(1)}), across, reach, "s", "k")
+    p = moving_sums(p, down, reach, "s", "k")
     return p.select("img_id", "y", "x", F.when(F.col("v") < F.col("s") / F.col("k") - offset, 0).otherwise(255).alias("v"))
 
 
-def _cross(pixels: DataFrame, f) -> DataFrame:
-    across = Window.partitionBy("img_id", "y").orderBy("x").rowsBetween(-1, 1)
-    down = Window.partitionBy("img_id", "x").orderBy("y").rowsBetween(-1, 1)
-    pick = F.least if f is F.min else F.greatest
-    return pixels.select("img_id", "y", "x", pick(f("v").over(across), f("v").over(down)).alias("v"))
+def close_gaps(pixels: DataFrame) -> DataFrame:
+    """Dark parts grown by a cross of five cells, then shrunk; columns, which the first ends with, are what the second begins with."""
+    across, down = line("y", "x"), line("x", "y")
 
+    def crossed(p: DataFrame, pick, first: WindowSpec, second: WindowSpec) -> DataFrame:
+        near = lambda over: pick("v", F.lag("v").over(over), F.lead("v").over(over))
+        return p.withColumn("half", near(first)).select("img_id", "y", "x", pick("half", near(second)).alias("v"))
 
-def close_gaps(pixels: DataFrame) -> DataFrame:
-    """Dark parts grown by a cross of five cells, then shrunk."""
-    return _cross(_cross(pixels, F.min), F.max)
+    return crossed(crossed(pixels, F.least, across, down), F.greatest, down, across)
 
 
 def convolve(pixels: DataFrame, kernel: list[list[float]]) -> DataFrame:
     """A 3x3 convolution, rounded and clamped; the border stays."""
-    across, down = Window.partitionBy("img_id", "y").orderBy("x"), Window.partitionBy("img_id", "x").orderBy("y")
+    across, down = line("y", "x"), line("x", "y")
     p = pixels.withColumns({"l": F.lag("v").over(across), "r": F.lead("v").over(across)})
     p = p.withColumns({f"{c}{d}": f(c).over(down) for c in ("l", "v", "r") for d, f in (("u", F.lag), ("d", F.lead))})
     cells = [["lu", "vu", "ru"], ["l", "v", "r"], ["ld", "vd", "rd"]]
