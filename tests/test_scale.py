@@ -1,7 +1,10 @@
 """What keeps queries bounded on large tables: how rows are dealt out, and which joins are planned."""
 
+import re
+
 import pytest
 
+from paperloom.operators import entities as E
 from paperloom.plans import fixtures as X
 from paperloom.plans.queries import QUERIES
 
@@ -35,3 +38,23 @@ def test_only_the_table_of_angles_is_broadcast(spark, sf, name):
     lines = plan(QUERIES[name](spark, sf)).splitlines()
     below = [lines[k + 1 : k + 4] for k, line in enumerate(lines) if "BroadcastExchange" in line]
     assert below and all(any("tenths" in line and "Scan" in line for line in some) for some in below)
+
+
+def test_a_date_looks_only_for_values_that_can_be_dates(spark):
+    df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    assert "crore" not in plan(E.extract(df, types=["DATE"], places=False))
+
+
+@pytest.mark.parametrize("text", ["", "Invoice # A-123 and Invoice # B-456", "￾Invoice # A-123￿ or ￿Invoice # B-456￾", "Invoice # A-123", "no match ￾"])
+def test_places_of_texts_that_hold_the_marks(spark, text):
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = [(r.match_pos, r.value) for r in E.extract(df, types=["REFERENCE_NUMBER"]).orderBy("match_pos").collect()]
+    assert got == [(m.start(), m.group(1)) for m in re.finditer(r"Invoice # ([\w-]+)", text)]
+
+
+def test_an_organisation_that_is_a_date_is_no_date(spark):
+    rows = [(1, "Buyer: Jan 5, 2023\nOn Jan 5, 2023 and Feb 6, 2024"), (2, "Buyer Acme Ltd of Jan 5, 2023"), (3, "client: Mar 7 2020; Acme Ltd on Mar 7 2020")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    every = {(r.doc_id, r.value) for r in E.extract(df).where("type = 'DATE'").collect()}
+    alone = {(r.doc_id, r.value) for r in E.extract(df, types=["DATE"], places=False).collect()}
+    assert alone == every and {d for d, _ in alone} == {1, 2}
