@@ -2,9 +2,11 @@
 
 import re
 
+import pyarrow as pa
 import pytest
 
 from paperloom.operators import entities as E
+from paperloom.operators import sentences as S
 from paperloom.plans import fixtures as X
 from paperloom.plans.queries import QUERIES
 
@@ -58,3 +60,18 @@ def test_an_organisation_that_is_a_date_is_no_date(spark):
     every = {(r.doc_id, r.value) for r in E.extract(df).where("type = 'DATE'").collect()}
     alone = {(r.doc_id, r.value) for r in E.extract(df, types=["DATE"], places=False).collect()}
     assert alone == every and {d for d, _ in alone} == {1, 2}
+
+
+def test_lists_become_python_objects_a_slab_at_a_time():
+    seen, lists = [], pa.array([["word " * 200] * 20, None, []] * 400, pa.list_(pa.string()))
+    out = S.by_slab(lambda part: (seen.append(part.nbytes), pa.array(part.is_null()))[1])(lists)
+    assert out.equals(lists.is_null()) and len(seen) > 2 and max(seen) <= 2 * S.SLAB_BYTES
+    assert len(S.by_slab(lambda part: part)(lists.slice(0, 0))) == 0
+
+
+def test_the_rows_of_an_analysis_look_for_no_entities(spark, sf):
+    assert "crore" not in plan(QUERIES["analysis_rows"](spark, sf))
+
+
+def test_a_summary_is_one_python_step(spark, sf):
+    assert plan(QUERIES["summary"](spark, sf)).count("ArrowEvalPython") == 1
