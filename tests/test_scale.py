@@ -75,3 +75,9 @@ def test_the_rows_of_an_analysis_look_for_no_entities(spark, sf):
 
 def test_a_summary_is_one_python_step(spark, sf):
     assert plan(QUERIES["summary"](spark, sf)).count("ArrowEvalPython") == 1
+
+
+def test_the_means_of_cells_join_sizes_without_a_broadcast_at_any_size(spark, sf):
+    """Exploded pixels are taken for few, so a join that is not named would send them all to the driver (img_downscale)."""
+    p = plan(QUERIES["img_downscale"](spark, sf))
+    assert "ShuffledHashJoin" in p and "Broadcast" not in p and p.count("Exchange") <= 2
