@@ -81,3 +81,10 @@ def test_the_means_of_cells_join_sizes_without_a_broadcast_at_any_size(spark, sf
     """Exploded pixels are taken for few, so a join that is not named would send them all to the driver (img_downscale)."""
     p = plan(QUERIES["img_downscale"](spark, sf))
     assert "ShuffledHashJoin" in p and "Broadcast" not in p and p.count("Exchange") <= 2
+
+
+@pytest.mark.parametrize("name,made", [("img_integral", 2), ("img_threshold_integral", 4)])
+def test_sorted_pixels_have_tasks_in_step_with_their_sorts(spark, sf, monkeypatch, name, made):
+    monkeypatch.setattr(X, "TASK_PIXELS", 1 << 12)
+    suppliers = spark.read.parquet(f"{sf}/supplier.parquet").count()
+    assert QUERIES[name](spark, sf).rdd.getNumPartitions() >= suppliers * X.WIDE_SIDE**2 * made // X.TASK_PIXELS
