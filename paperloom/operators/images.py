@@ -186,19 +186,51 @@ def skew(a: np.ndarray) -> int:
     a = shrink(a, k) if (k := a.shape[1] // 600) > 1 else a
     h, w = a.shape
     y, x = np.nonzero(a < 128)
-    best, top = 0, -1.0
+    # A row is a sum of a part by y and a part by x: pixels look both up, in 32 bits where these hold all sums.
+    kind = np.int32 if 2 * h + w < 1 << 15 else np.int64
+    x2, y2 = 2 * np.arange(w) + 1 - w, 2 * np.arange(h) + 1 - h
+    best, top, tried = 0, -1.0, set()
     for angles in (range(-50, 51, 5), None):
         for d in range(best - 10, best + 11) if angles is None else angles:
+            if d in tried:
+                continue
+            tried.add(d)
             s, c = _turn(d)
             high = (h * c + w * abs(s)) >> 16
-            row = (-s * (2 * x + 1 - w) + c * (2 * y + 1 - h) + (high << 16)) >> 17
-            n = np.bincount(row - row.min(initial=0)) if len(row) else np.zeros(1, np.int64)
+            by_y, by_x = c * y2 + (high << 16), s * x2
+            least = min(0, (int(by_y.min()) - int(by_x.max())) >> 17)  # rows off the canvas count from here
+            row = (by_y - (least << 17)).astype(kind)[y]
+            row -= by_x.astype(kind)[x]
+            row >>= 17
+            n = np.bincount(row, minlength=1)
             v = float(high * int((n * n).sum()) - int(n.sum()) ** 2) / (high * high)
             if v > top:
                 best, top = d, v
     return best
 
 
+def _convolved(a: np.ndarray, kernel: list[list[int]], unit: int) -> np.ndarray:
+    """A 3x3 convolution by multiples of 1 / unit, rounded (halves up) and clamped; the border stays."""
+    near = a.astype(np.int16)
+    total = sum(k * near[1 + i : a.shape[0] - 1 + i, 1 + j : a.shape[1] - 1 + j] for i, row in zip((-1, 0, 1), kernel) for j, k in zip((-1, 0, 1), row) if k)
+    out = a.copy()
+    out[1:-1, 1:-1] = np.clip((2 * total + unit) // (2 * unit), 0, 255)
+    return out
+
+
+def _thresholded(a: np.ndarray) -> np.ndarray:
+    """0 where a pixel is darker than the mean of its clipped square by more than the offset, else 255; sums are differences of the integral image."""
+    y, x = np.arange(a.shape[0]), np.arange(a.shape[1])
+    y0, y1 = np.maximum(y - REACH, 0), np.minimum(y + REACH + 1, a.shape[0])
+    x0, x1 = np.maximum(x - REACH, 0), np.minimum(x + REACH + 1, a.shape[1])
+    total = np.zeros((a.shape[0] + 1, a.shape[1] + 1), np.int32 if a.size < 1 << 23 else np.int64)
+    a.cumsum(0, dtype=total.dtype).cumsum(1, dtype=total.dtype, out=total[1:, 1:])
+    total = total.take(y1, 0) - total.take(y0, 0)
+    total = total.take(x1, 1) - total.take(x0, 1)
+    n = np.outer(y1 - y0, x1 - x0).astype(np.int32)
+    return np.where((a + np.int32(OFFSET)) * n < total, 0, 255).astype(np.uint8)
+
+
 def enhance(rgb: np.ndarray) -> tuple[np.ndarray, dict]:
     """The eight steps for one image (h, w, bands): the cleaned raster and what was measured."""
     h, w = rgb.shape[:2]
@@ -209,33 +241,28 @@ def enhance(rgb: np.ndarray) -> tuple[np.ndarray, dict]:
         k = min(LONG_SIDE_AT_LEAST / min(h, w), UPSCALE_MOST)
         bands = np.stack([_cubic(bands[..., c], int(h * k), int(w * k)) for c in range(bands.shape[2])], axis=2)
     a = np.floor(bands[..., :3] @ [0.299, 0.587, 0.114]) if bands.shape[2] >= 3 else bands[..., 0]
-    cum = np.cumsum(np.bincount(a.astype(int).ravel(), minlength=256))
+    a = a.astype(np.uint8)
+    cum = np.cumsum(np.bincount(a.ravel(), minlength=256))
     low_at, high_at = int(a.size * (0.02 if light < 80 else 0.01)), int(a.size * (0.98 if light > 200 else 0.99))
     high = int(np.argmax(cum >= high_at))
     low = min(max(1, int(np.argmax(cum >= low_at))), high)
     if high > low:
-        a = np.clip(np.floor((np.clip(a, low, high) - low) / (high - low) * 255 + 0.5), 0, 255)
+        a = np.clip(np.floor((np.clip(np.arange(256), low, high) - low) / (high - low) * 255 + 0.5), 0, 255).astype(np.uint8)[a]
     tenths = skew(a)
     if 8 < abs(tenths) <= 50:
-        a = rotate(a, -tenths).astype(float)
+        a = rotate(a, -tenths).astype(np.uint8)
     elif abs(tenths) > 50:
         tenths = 0
     angle = tenths / 10
-    for kernel in (BLUR, SHARPEN):
-        inner = sum(k * a[1 + i : a.shape[0] - 1 + i, 1 + j : a.shape[1] - 1 + j] for i, row in zip((-1, 0, 1), kernel) for j, k in zip((-1, 0, 1), row))
-        a = a.copy()
-        a[1:-1, 1:-1] = np.clip(np.floor(inner + 0.5), 0, 255)
-    y0, y1 = np.maximum(np.arange(a.shape[0]) - REACH, 0), np.minimum(np.arange(a.shape[0]) + REACH + 1, a.shape[0])
-    x0, x1 = np.maximum(np.arange(a.shape[1]) - REACH, 0), np.minimum(np.arange(a.shape[1]) + REACH + 1, a.shape[1])
-    total = np.pad(a.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
-    mean = (total[y1][:, x1] - total[y0][:, x1] - total[y1][:, x0] + total[y0][:, x0]) / np.outer(y1 - y0, x1 - x0)
-    a = np.where(a < mean - OFFSET, 0, 255)
+    for kernel, unit in ((BLUR, 16), (SHARPEN, 5)):
+        a = _convolved(a, [[round(k * unit) for k in row] for row in kernel], unit)
+    a = _thresholded(a)
     for f in (np.minimum, np.maximum):
         out = a.copy()
         out[1:], out[:-1] = f(out[1:], a[:-1]), f(out[:-1], a[1:])
         out[:, 1:], out[:, :-1] = f(out[:, 1:], a[:, :-1]), f(out[:, :-1], a[:, 1:])
         a = out
-    return a.astype(np.uint8), {"low_resolution": w < LOW or h < LOW, "brightness": light, "skew": angle}
+    return a, {"low_resolution": w < LOW or h < LOW, "brightness": light, "skew": angle}
 
 
 def preprocess(images: DataFrame) -> DataFrame:

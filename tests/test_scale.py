@@ -88,3 +88,28 @@ def test_sorted_pixels_have_tasks_in_step_with_their_sorts(spark, sf, monkeypatc
     monkeypatch.setattr(X, "TASK_PIXELS", 1 << 12)
     suppliers = spark.read.parquet(f"{sf}/supplier.parquet").count()
     assert QUERIES[name](spark, sf).rdd.getNumPartitions() >= suppliers * X.WIDE_SIDE**2 * made // X.TASK_PIXELS
+
+
+def test_the_number_of_sheets_a_task_cleans_does_not_grow(spark, sf, monkeypatch):
+    before = X.bar_pages(spark, sf).rdd.getNumPartitions()
+    monkeypatch.setattr(X, "TASK_PIXELS", X.SHEETS_COST)
+    assert X.bar_pages(spark, sf).rdd.getNumPartitions() > before
+
+
+def test_a_page_is_cleaned_up_in_whole_numbers_as_in_doubles():
+    import numpy as np
+
+    from paperloom.operators import images as I
+
+    rng = np.random.default_rng(5)
+    for h, w in ((1, 1), (2, 7), (40, 90), (130, 75)):
+        a = rng.integers(0, 256, (h, w)).astype(np.uint8)
+        for kernel, unit in ((I.BLUR, 16), (I.SHARPEN, 5)):
+            want = a.copy()
+            for y in range(1, h - 1):
+                for x in range(1, w - 1):
+                    want[y, x] = min(255, max(0, np.floor(sum(kernel[i][j] * float(a[y + i - 1, x + j - 1]) for i in range(3) for j in range(3)) + 0.5)))
+            assert (I._convolved(a, [[round(k * unit) for k in row] for row in kernel], unit) == want).all()
+        near = lambda y, x: a[max(0, y - I.REACH) : y + I.REACH + 1, max(0, x - I.REACH) : x + I.REACH + 1]
+        want = [[0 if a[y, x] < near(y, x).mean() - I.OFFSET else 255 for x in range(w)] for y in range(h)]
+        assert I._thresholded(a).tolist() == want
