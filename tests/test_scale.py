@@ -113,3 +113,11 @@ def test_a_page_is_cleaned_up_in_whole_numbers_as_in_doubles():
         near = lambda y, x: a[max(0, y - I.REACH) : y + I.REACH + 1, max(0, x - I.REACH) : x + I.REACH + 1]
         want = [[0 if a[y, x] < near(y, x).mean() - I.OFFSET else 255 for x in range(w)] for y in range(h)]
         assert I._thresholded(a).tolist() == want
+
+
+@pytest.mark.parametrize("name", ["image_driver", "mixed_document", "scanned_pages"])
+def test_pages_are_dealt_by_their_documents_before_they_are_made(spark, sf, name):
+    """Rows of a small table would be one task else; the exchange carries keys and names, no pages."""
+    lines = plan(QUERIES[name](spark, sf)).splitlines()
+    dealt = [k for k, line in enumerate(lines) if "REPARTITION_BY_NUM" in line and "hashpartitioning" in line]
+    assert len(dealt) == 1 and not any("Generate" in line for line in lines[dealt[0] :]) and any("Generate" in line for line in lines[: dealt[0]])
