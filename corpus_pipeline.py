@@ -9,13 +9,17 @@ null ids stay null, columns beyond those of ``documents`` are kept, and an empty
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm import gam, langid
 from paperloom.llm.common import Workspace, fresh, in_workspace, spread_join
-from paperloom.llm.ngram_join import ngram_jaccard_classes
+from paperloom.llm.ngram_join import bits_of, bloom, may_hold, ngram_jaccard_classes
 from paperloom.llm.packing import pack_documents
 from paperloom.llm.pii import pseudonymise
 from paperloom.llm.queries import pii_key
@@ -48,27 +52,50 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return _first_of_each(docs)
 
 
+#: What filters tell of a row: it goes or stays for sure, or must be looked up.
+GOES, STAYS, EITHER = range(3)
+
+
+def _told(going: DataFrame, chosen: DataFrame, row: Column) -> Column:
+    """GOES, STAYS or EITHER by two filters of fixed size over the values of row: those that may go, and those chosen."""
+    filters = [bloom(keys.toDF("node").withColumn("doc_id", F.lit(0).cast("long"))) for keys in (going, chosen)]
+
+    @F.pandas_udf("int")
+    def told(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        may_go, may_stay = map(bits_of, filters)
+        for part in parts:
+            node = part.to_numpy()
+            no_id = np.zeros(len(node), np.int64)
+            go, stay = may_hold(may_go, node, no_id), may_hold(may_stay, node, no_id)
+            yield pd.Series(np.where(go & stay, EITHER, np.where(go, GOES, STAYS)).astype(np.int32))
+
+    return told(row)
+
+
 @in_workspace
 def _first_of_each(docs: DataFrame, ws: Workspace) -> DataFrame:
-    row, at = fresh(docs, "row", "at")
+    row, at, told = fresh(docs, "row", "at", "told")
     own = _columns(docs)
     keyed = docs.withColumn(row, F.xxhash64("doc_id", "text"))
     # Copies of an id and text are one row with their number from here on, and wordless rows are in no group.
     worded = F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
     classes = ngram_jaccard_classes(keyed.where(worded), id_col=row, n=5, num=80, den=100).groupBy("doc_id", "component_id").agg(F.count("*").alias("copies"))
+    classes = ws.table(classes, "classes")
     ids = keyed.where(worded).select(F.col(row).alias("doc_id"), F.col("doc_id").alias("id")).distinct()
     least = F.struct(F.col("id").isNull().alias("none"), "id", "doc_id")
     first = classes.join(ids, "doc_id").groupBy("component_id").agg(F.min_by(F.struct("doc_id", "copies"), least).alias("first"))
     first = ws.table(first.select(F.col("first.doc_id").alias(row), F.col("first.copies").alias("k")), "first")
-    once = keyed.where(worded).join(first.where("k = 1"), row, "left_semi").select(own)
-    # The copies of a chosen row may be many: they are dealt to several tasks, each of which keeps its first.
     several = first.where("k > 1")
+    # Texts stay where they are: filters tell nearly every row's fate, and only what they leave open is shuffled.
+    going = classes.select(F.col("doc_id").alias(row)).join(first.where("k = 1"), row, "left_anti").select(row)
+    fate = _told(going, first.select(row), F.col(row))
+    kept = keyed.withColumn(told, fate).where(~worded | (F.col(told) == STAYS)).select(own)
+    open_rows = keyed.where(worded).withColumn(at, F.monotonically_increasing_id()).withColumn(told, fate).where(F.col(told) == EITHER).drop(told)
+    # The copies of a chosen row may be many: they are dealt to several tasks, each of which keeps its first.
     total = several.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
-    copies = keyed.where(worded).withColumn(at, F.monotonically_increasing_id())
-    chosen = spread_join(copies, several.select(row), [row], several, total, F.col(at), "left_semi")
+    chosen = spread_join(open_rows, first.select(row), [row], several, total, F.col(at), "left_semi")
     chosen = chosen.groupBy(row).agg(F.min_by(F.struct(*own), at).alias(at))
-    chosen = chosen.select(*[F.col(at).getField(c).alias(c) for c in docs.columns])
-    return ws.later(once.union(chosen).union(docs.where(~worded)))
+    return ws.later(kept.union(chosen.select(*[F.col(at).getField(c).alias(c) for c in docs.columns])))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -107,8 +107,11 @@ def _order(survey: DataFrame, bits: int, fragments: int) -> tuple[np.ndarray, np
     slots = np.flatnonzero(count > limit)
     hot = np.stack([slots, np.minimum(-(-count[slots].astype(np.int64) // limit), 32767)])
     noise = max(1.0, 2 * float(count.mean(dtype=np.float64)))
-    level = np.clip(np.ceil(2 * np.log2(np.maximum(count, 1) / noise)), 0, 63).astype(np.uint8)
-    mass = np.bincount(level, weights=count, minlength=64) + 1e-9
+    level, mass = np.empty(len(count), np.uint8), np.full(64, 1e-9)
+    for b in range(0, len(count), BLOCK):  # not at once: a sketch of doubles is eight times the classes
+        c = count[b : b + BLOCK]
+        level[b : b + BLOCK] = np.clip(np.ceil(2 * np.log2(np.maximum(c, 1) / noise)), 0, 63)
+        mass += np.bincount(level[b : b + BLOCK], weights=c, minlength=64)
     cum = np.concatenate([[0], np.cumsum(mass)]) / mass.sum()
     cuts = []
     for f in range(1, fragments):
@@ -197,7 +200,7 @@ def _marks(node: np.ndarray, doc_id: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return (h & size).astype(np.int64), ((h >> np.uint64(32)) & size).astype(np.int64)
 
 
-def _bloom(keys: DataFrame):
+def bloom(keys: DataFrame):
     """Bits of the (node, doc_id) rows, of fixed size, sent compressed; a false hit only costs work."""
 
     def run(batches):
@@ -212,21 +215,32 @@ def _bloom(keys: DataFrame):
     out = np.zeros(1 << (BLOOM_BITS - 3), np.uint8)
     for block, blob in reduce_blobs(map_arrow(keys, "block int, blob binary", run), "uint8", np.bitwise_or).toLocalIterator():
         out[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(blob, np.uint8)
-    return keys.sparkSession.sparkContext.broadcast(zlib.compress(out.tobytes(), 1))
+    return keys.sparkSession.sparkContext.broadcast(zlib.compress(out.data, 1))
+
+
+def bits_of(sent) -> np.ndarray:
+    """The bits of a filter that was sent."""
+    return np.frombuffer(zlib.decompress(sent.value), np.uint8)
+
+
+def may_hold(bits: np.ndarray, node: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
+    """False where a filter does not hold (node, doc_id) for sure."""
+    hit = np.ones(len(node), bool)
+    for k in _marks(node, doc_id):
+        hit &= (bits[k >> 3] >> (k & 7).astype(np.uint8)) & 1 == 1
+    return hit
 
 
 def _fragments(docs: DataFrame, n: int, bits: int, level, cuts: np.ndarray, wanted) -> DataFrame:
     """(node, fragment, n, part): the sets of the wanted documents, cut at the pivots."""
 
     def run(batches):
-        bloom = np.frombuffer(zlib.decompress(wanted.value), np.uint8)
+        bits_wanted = bits_of(wanted)
         for batch, sets in _sets(batches, n):
             ids = np.asarray(batch.column(0).fill_null(0))
             some = np.array([i for i, s in enumerate(sets) if len(s)], np.int64)
             nodes = np.array([_node(sets[i]) for i in some], np.int64)
-            hit = np.ones(len(some), bool)
-            for k in _marks(nodes, ids[some]):
-                hit &= (bloom[k >> 3] >> (k & 7).astype(np.uint8)) & 1 == 1
+            hit = may_hold(bits_wanted, nodes, ids[some])
             rows = []
             for i, node in zip(some[hit], nodes[hit]):
                 keys = _keys(sets[i], level.value, bits)
@@ -269,7 +283,7 @@ class Verifier:
         for t in self.known:
             new = new.join(t, "node", "left_anti")
         if not new.isEmpty():
-            wanted = _bloom(self.owners.join(new, "node").select("node", "doc_id"))
+            wanted = bloom(self.owners.join(new, "node").select("node", "doc_id"))
             self.parts.append(self.ws.table(_fragments(self.docs, self.n, self.bits, self.level, self.cuts, wanted), f"parts-{name}"))
             self.known.append(nodes)
         parts = self.fragments()

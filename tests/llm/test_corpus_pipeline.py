@@ -108,3 +108,12 @@ def test_near_duplicates_keeps_columns_of_any_name_and_type(spark, monkeypatch):
     assert all(r["__row"] == "keep me" and r["a.b"] == {"a": r.k} and r["__at"].x == r.k for r in rows)
     want = {d for _, _, d in classes_of([(r.doc_id, r.text) for r in docs.where("text is not null").collect()], 5, 80, 100)}
     assert {r.doc_id for r in rows if r.doc_id is not None} == want
+
+
+def test_only_rows_that_filters_leave_open_are_shuffled_with_their_texts(spark, sf, monkeypatch):
+    seen, join = [], corpus_pipeline.spread_join
+    monkeypatch.setattr(corpus_pipeline, "spread_join", lambda left, *rest: (seen.append(left.count()), join(left, *rest))[1])
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    out = corpus_pipeline.near_duplicates(spark, docs.union(docs.withColumn("doc_id", F.col("doc_id") + 10**6)).union(docs.limit(2)), sf)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert seen[0] <= docs.count() // 100 + 4 and plan.count("Join") == 1
