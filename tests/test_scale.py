@@ -4,6 +4,7 @@ import re
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from paperloom.operators import entities as E
 from paperloom.operators import sentences as S
@@ -54,6 +55,19 @@ def test_places_of_texts_that_hold_the_marks(spark, text):
     assert got == [(m.start(), m.group(1)) for m in re.finditer(r"Invoice # ([\w-]+)", text)]
 
 
+def test_a_text_is_searched_once_for_matches_and_their_places(spark):
+    df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    assert plan(df.select(E.search(df.text, "(?i)needle", True).alias("m"))).count("(?:(?i)needle)") == 1
+
+
+@pytest.mark.parametrize("text,left", [("A text with no mark in it, of some names", ""), ("Acme Ltd. and then there is nothing more", "Acme Ltd."), ("Buyer: Orion Holdings Big Name, and", "Buyer: Orion Holdings Big Name, and"), ("Foo Co and Bar Corp.", "Foo Co and Bar Corp.")])
+def test_little_is_left_to_search_for_organisations(spark, text, left):
+    df = spark.createDataFrame([(text,)], "text string").withColumn("near", E.near_marks(F.col("text")))
+    found = [F.regexp_extract_all(c, F.lit(E.ORGANIZATION), F.lit(0)) for c in ("text", "near")]
+    near, plainly, quickly = df.select("near", *found).first()
+    assert near.rstrip("\0") == left and plainly == quickly
+
+
 def test_an_organisation_that_is_a_date_is_no_date(spark):
     rows = [(1, "Buyer: Jan 5, 2023\nOn Jan 5, 2023 and Feb 6, 2024"), (2, "Buyer Acme Ltd of Jan 5, 2023"), (3, "client: Mar 7 2020; Acme Ltd on Mar 7 2020")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
